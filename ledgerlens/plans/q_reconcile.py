@@ -44,3 +44,97 @@ def stock_agg(spark, sf_dir):
     """A2: snapshot SUM(qty) by Ref, rounded to 2 dp."""
     out = R.aggregate_side(T.stock_lines(spark, sf_dir), out="Stock_Qty")
     return out.select("Ref", F.col("Stock_Qty").cast("double").alias("Stock_Qty"))
+
+
+# --- period filters ---------------------------------------------------------
+
+@query("cutoff_cumulative", S.recon_sql(
+    "stock_lines", "mov_cut", mov_cut="SELECT * FROM mov_lines WHERE mov_date < DATE '1998-07-01'"))
+def cutoff_cumulative(spark, sf_dir):
+    """ledger up to the end of June 1998 (earlier years included)."""
+    mov = cumulative_cutoff(T.mov_lines(spark, sf_dir), 1998, 6)
+    return R.reconcile(T.stock_lines(spark, sf_dir), mov)
+
+
+@query("cutoff_exact_month", S.recon_sql(
+    "stock_lines", "mov_cut",
+    mov_cut="SELECT * FROM mov_lines WHERE mov_date >= DATE '1998-06-01' AND mov_date < DATE '1998-07-01'"))
+def cutoff_exact_month(spark, sf_dir):
+    """ledger restricted to June 1998 only."""
+    mov = exact_month(T.mov_lines(spark, sf_dir), 1998, 6)
+    return R.reconcile(T.stock_lines(spark, sf_dir), mov)
+
+
+# --- rounding order and tolerance -------------------------------------------
+
+@query("round_then_sum", cte(value_lines=S.VALUE_LINES)
+       + "SELECT ref AS Ref, CAST(ROUND(SUM(ROUND(qty, 2)), 2) AS DOUBLE) AS Value_Rounded, "
+         "CAST(ROUND(SUM(qty), 2) AS DOUBLE) AS Value_Raw FROM value_lines GROUP BY ref")
+def round_then_sum(spark, sf_dir):
+    """Round each line to 2 dp before summing, against sum-then-round."""
+    v = T.value_lines(spark, sf_dir)
+    rounded = R.aggregate_side(v, out="Value_Rounded", round_lines=2)
+    raw = R.aggregate_side(v, out="Value_Raw")
+    return (rounded.join(raw, "Ref")
+            .select("Ref", F.col("Value_Rounded").cast("double").alias("Value_Rounded"),
+                    F.col("Value_Raw").cast("double").alias("Value_Raw")))
+
+
+@query("reconcile_tolerance", S.recon_sql("value_lines", "value_lines", tolerance=0.02,
+                                          stock_round=2, value_lines=S.VALUE_LINES))
+def reconcile_tolerance(spark, sf_dir):
+    """|Difference| <= 0.02 counts as a match (rounded vs raw line values)."""
+    v = T.value_lines(spark, sf_dir)
+    return R.reconcile(v, v, tolerance=0.02, stock_round=2)
+
+
+# --- location rules ---------------------------------------------------------
+
+@query("location_in", S.recon_sql(
+    "stock_in", "mov_lines", stock_in="SELECT * FROM mov_lines WHERE localisation IN ('A', 'R')"))
+def location_in(spark, sf_dir):
+    """Snapshot lines of several listed locations summed for one atelier."""
+    from ledgerlens.operators.locations import location_in as loc_in
+    stock = loc_in(T.mov_lines(spark, sf_dir), ["A", "R "])
+    return R.reconcile(stock, T.mov_lines(spark, sf_dir))
+
+
+@query("location_pair_in", S.recon_sql(
+    "stock_in", "mov_lines",
+    stock_in="SELECT * FROM mov_lines WHERE (local = 'F' AND localisation = 'A') "
+             "OR (local = 'O' AND localisation = 'N')"))
+def location_pair_in(spark, sf_dir):
+    """snapshot filtered by (LOCAL, LOCALISATION) pairs."""
+    from ledgerlens.operators.locations import location_pair_in as pair_in
+    stock = pair_in(T.mov_lines(spark, sf_dir), [("F", "A"), ("O", "N")])
+    return R.reconcile(stock, T.mov_lines(spark, sf_dir))
+
+
+@query("location_not_in", S.recon_sql(
+    "stock_in", "mov_in", tolerance=0.02,
+    stock_in="SELECT * FROM mov_lines WHERE localisation IN ('A', 'R')",
+    mov_in="SELECT * FROM mov_lines WHERE mov_date < DATE '1998-07-01' AND localisation IS NOT NULL "
+           "AND localisation NOT IN ('N') AND localisation IN ('A', 'R')"))
+def location_not_in(spark, sf_dir):
+    """F8: configured include list minus exclusions, on both sides."""
+    from ledgerlens.operators.locations import implicit_selection
+    lines = T.mov_lines(spark, sf_dir)
+    stock, mov = implicit_selection(lines, cumulative_cutoff(lines, 1998, 6),
+                                    include=["A", "N", "R"], exclude=["N"])
+    return R.reconcile(stock, mov, tolerance=0.02)
+
+
+@query("location_implicit", S.recon_sql(
+    "stock_in", "mov_in", tolerance=0.02,
+    locs="SELECT DISTINCT localisation AS location FROM stock_lines "
+         "WHERE localisation IS NOT NULL AND localisation NOT IN ('N')",
+    stock_in="SELECT * FROM stock_lines WHERE localisation IN (SELECT location FROM locs)",
+    mov_in="SELECT * FROM mov_lines WHERE mov_date < DATE '1998-07-01' AND localisation NOT IN ('N') "
+           "AND localisation <> '' AND localisation IN (SELECT location FROM locs)"))
+def location_implicit(spark, sf_dir):
+    """include = every snapshot location minus exclusions."""
+    from ledgerlens.operators.locations import implicit_selection
+    stock, mov = implicit_selection(T.stock_lines(spark, sf_dir),
+                                    cumulative_cutoff(T.mov_lines(spark, sf_dir), 1998, 6),
+                                    exclude=["N"])
+    return R.reconcile(stock, mov, tolerance=0.02)

@@ -44,3 +44,17 @@ def full_join(s: str, m: str, keys: list[str] | None = None) -> str:
     sel = ", ".join([f"COALESCE({s}.{k}, {m}.{k}) AS {k}" for k in keys]
                     + [f"COALESCE({s}.Ref, {m}.Ref) AS Ref", "Stock_Qty", "Calc_Mov_Qty"])
     return f"(SELECT {sel} FROM {s} FULL OUTER JOIN {m} ON {on})"
+
+
+def recon_sql(stock_src: str, mov_src: str, keys: list[str] | None = None,
+              tolerance: float | None = None, stock_round: int | None = None,
+              mov_round: int | None = None, **ctes: str) -> str:
+    """Complete oracle statement: CTEs, both side aggregates, full outer join."""
+    keys = keys or []
+    k = ", ".join(keys)
+    parts = dict(mov_lines=MOV_LINES, stock_lines=STOCK_LINES)
+    parts.update(ctes)
+    parts["s_agg"] = side_agg(stock_src, "Stock_Qty", stock_round, k)
+    parts["m_agg"] = side_agg(mov_src, "Calc_Mov_Qty", mov_round, k)
+    body = ",\n".join(f"{n} AS ({v})" for n, v in parts.items())
+    return f"WITH {body}\n" + recon_select(full_join("s_agg", "m_agg", keys), k, tolerance)
