@@ -58,3 +58,27 @@ def recon_sql(stock_src: str, mov_src: str, keys: list[str] | None = None,
     parts["m_agg"] = side_agg(mov_src, "Calc_Mov_Qty", mov_round, k)
     body = ",\n".join(f"{n} AS ({v})" for n, v in parts.items())
     return f"WITH {body}\n" + recon_select(full_join("s_agg", "m_agg", keys), k, tolerance)
+
+
+# Same whitespace class as ledgerlens.functions.text.WS_CLASS (RE2 accepts it).
+from ledgerlens.functions.text import WS_CLASS  # noqa: E402
+
+SQL_WS = WS_CLASS
+
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{SQL_WS}+|{SQL_WS}+$', '', 'g')"
+
+
+def sql_sim(a: str, b: str) -> str:
+    s1 = f"lower({sql_strip(f'COALESCE({a}, {chr(39)}{chr(39)})')})"
+    s2 = f"lower({sql_strip(f'COALESCE({b}, {chr(39)}{chr(39)})')})"
+    return (f"(CASE WHEN {s1} = {s2} THEN 1.0 WHEN length({s1}) = 0 OR length({s2}) = 0 THEN 0.0 "
+            f"ELSE 1.0 - CAST(levenshtein({s1}, {s2}) AS DOUBLE) / greatest(length({s1}), length({s2})) END)")
+
+
+PART_POS = "SELECT Ref, Difference, row_number() OVER (ORDER BY Difference DESC, Ref) AS pos FROM part_diff"
+PAIRS_BRUTE = ("SELECT a.Ref AS ref1, b.Ref AS ref2, a.pos AS i, b.pos AS j, "
+               "CAST(a.Difference AS DOUBLE) AS diff1, CAST(b.Difference AS DOUBLE) AS diff2, "
+               + sql_sim("a.Ref", "b.Ref") + " AS sim FROM part_pos a JOIN part_pos b "
+               "ON a.pos < b.pos AND a.Difference <> 0 AND abs(a.Difference + b.Difference) < 0.01")
