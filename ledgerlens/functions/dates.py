@@ -47,8 +47,10 @@ def parse_monthfirst(c) -> Column:
 
 
 def parse_by_order(c, order: Column) -> Column:
-    """Parse by a per-row detected order: 'us' month-first, otherwise day-first."""
-    return F.when(order == "us", parse_monthfirst(c)).otherwise(parse_dayfirst(c))
+    """Parse by a detected order: 'us' and 'iso' columns are read month-first
+    (non-ISO values included), 'eu' and 'unknown' day-first; ISO text always
+    parses as ISO."""
+    return F.when(order.isin("us", "iso"), parse_monthfirst(c)).otherwise(parse_dayfirst(c))
 
 
 def excel_serial_to_date(num: Column) -> Column:
