@@ -27,23 +27,30 @@ def _blank_null(c) -> Column:
     return F.when(s != "", s)
 
 
-def _try_patterns(s: Column, patterns) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in patterns]).cast("date")
+# Cheap shape tests run before the parsers: a failed parse is costly, so a
+# value is only handed to the layouts its shape allows.
+ISO_SHAPE = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}"
+DMY_SHAPE = r"^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}"
+
+
+def _try_patterns(s: Column, patterns, shape: str) -> Column:
+    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in patterns]).cast("date")
+    return F.when(s.rlike(shape), parsed)
 
 
 def parse_iso(c) -> Column:
-    return _try_patterns(_blank_null(c), ISO_PATTERNS)
+    return _try_patterns(_blank_null(c), ISO_PATTERNS, ISO_SHAPE)
 
 
 def parse_dayfirst(c) -> Column:
     """Day-first text date (ISO first); blank or unparsable -> NULL."""
     s = _blank_null(c)
-    return F.coalesce(_try_patterns(s, ISO_PATTERNS), _try_patterns(s, DAYFIRST_PATTERNS))
+    return F.coalesce(_try_patterns(s, ISO_PATTERNS, ISO_SHAPE), _try_patterns(s, DAYFIRST_PATTERNS, DMY_SHAPE))
 
 
 def parse_monthfirst(c) -> Column:
     s = _blank_null(c)
-    return F.coalesce(_try_patterns(s, ISO_PATTERNS), _try_patterns(s, MONTHFIRST_PATTERNS))
+    return F.coalesce(_try_patterns(s, ISO_PATTERNS, ISO_SHAPE), _try_patterns(s, MONTHFIRST_PATTERNS, DMY_SHAPE))
 
 
 def parse_by_order(c, order: Column) -> Column:

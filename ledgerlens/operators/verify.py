@@ -13,3 +13,63 @@ def unknown_ateliers(requested: DataFrame, known: DataFrame) -> DataFrame:
     return miss.select("unit", "atelier", F.lit("error").alias("severity"),
                        F.lit("UNKNOWN_ATELIER").alias("code"),
                        F.concat(F.lit("Unknown atelier: "), F.col("atelier")).alias("message"))
+
+
+def verification(grid: DataFrame, jobs: DataFrame, date_aliases, ref_aliases, qty_aliases,
+                 scan_rows: int = 20) -> DataFrame:
+    """Per matched file: expected sheet present, header (first ``scan_rows``
+    rows, date-name cell), ref / qty / date columns detected, error list.
+
+    ``jobs(unit, atelier, file_id, expected_sheets ARRAY<STRING>)``; the
+    sheet list per workbook is small (bounded by the workbook), so it is
+    gathered with ``collect_set``.
+    """
+    from ledgerlens.operators import columns as C
+    from ledgerlens.operators import headers as H
+    from ledgerlens.sources.grids import sheets_of
+
+    sheets = sheets_of(grid)
+    avail = sheets.groupBy("file_id").agg(F.sort_array(F.collect_set("sheet")).alias("available_sheets"))
+    j = jobs.join(avail, "file_id", "left")
+    j = j.withColumn("expected_sheet", F.try_element_at(
+        F.filter("expected_sheets", lambda s: F.array_contains(F.col("available_sheets"), s)), F.lit(1)))
+    hdr = H.header_cells(grid, H.header_by_alias(grid, date_aliases, max_rows=scan_rows))
+    hdr = hdr.select(F.col("file_id").alias("_f"), F.col("sheet").alias("_s"), "header")
+    j = j.join(hdr, (j["file_id"] == hdr["_f"]) & (j["expected_sheet"] == hdr["_s"]), "left").drop("_f", "_s")
+    ref_pos = C.resolve_exact("header", ref_aliases)
+    qty_pos = C.resolve_exact("header", qty_aliases)
+    date_pos = C.resolve_exact("header", date_aliases)
+    name_at = lambda p: F.when(p.isNotNull(), F.try_element_at("header", p + 1))
+    sheet_missing = F.col("expected_sheet").isNull()
+    errors = F.array_compact(F.array(
+        F.when(sheet_missing, F.concat(F.lit("Sheet not found: "), F.array_join("expected_sheets", ", "))),
+        F.when(~sheet_missing & ref_pos.isNull(), F.lit("Reference column not found")),
+        F.when(~sheet_missing & qty_pos.isNull(), F.lit("Quantity column not found")),
+        F.when(~sheet_missing & date_pos.isNull(), F.lit("Date column not found"))))
+    return j.select("unit", "atelier", F.col("file_id").alias("filename"), (F.size(errors) == 0).alias("valid"),
+                    errors.alias("errors"), F.coalesce("available_sheets", F.array().cast("array<string>"))
+                    .alias("available_sheets"),
+                    F.coalesce(F.filter("header", lambda x: x.isNotNull()), F.array().cast("array<string>"))
+                    .alias("available_columns"),
+                    "expected_sheet", name_at(ref_pos).alias("detected_ref"),
+                    name_at(qty_pos).alias("detected_qty"), name_at(date_pos).alias("detected_date"))
+
+
+def blank_ref_diagnostics(lines: DataFrame, keys) -> DataFrame:
+    """Lines whose ref is blank are excluded from the sums; count them."""
+    return (lines.where(F.col("ref").isNull()).groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce(F.col("qty"), F.lit(0))).alias("_q"))
+            .select(F.concat_ws("/", *keys).alias("scope"), F.lit("warning").alias("severity"),
+                    F.lit("BLANK_REF").alias("code"),
+                    F.format_string("%d line(s) without reference, quantity %s", F.col("_n"),
+                                    F.col("_q").cast("string")).alias("message")))
+
+
+def missing_inputs(units: DataFrame, snapshots: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """A unit needs a snapshot and at least one matched ledger."""
+    s = snapshots.select("unit").distinct().withColumn("_s", F.lit(True))
+    m = ledgers.select("unit").distinct().withColumn("_m", F.lit(True))
+    u = units.select("unit").distinct().join(s, "unit", "left").join(m, "unit", "left")
+    return u.where(F.col("_s").isNull() | F.col("_m").isNull()).select(
+        F.col("unit").alias("scope"), F.lit("error").alias("severity"), F.lit("MISSING_INPUT").alias("code"),
+        F.when(F.col("_s").isNull(), "no stock snapshot").otherwise("no matched ledger file").alias("message"))
