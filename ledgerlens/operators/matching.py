@@ -65,6 +65,8 @@ def _greedy(mode: str):
 
 def assign(files: DataFrame, ateliers: DataFrame, mode: str = "files_first") -> DataFrame:
     """(unit, atelier, path) of the greedy assignment."""
+    from ledgerlens.session import ship_package
+    ship_package(files.sparkSession)
     cand = candidates(files, ateliers, mode)
     return cand.groupBy("unit").applyInPandas(_greedy(mode), ASSIGN_SCHEMA)
 

@@ -66,12 +66,29 @@ _WB_RELS = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
             'worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
 
 
+def _py(v):
+    """numpy scalars -> Python values for the cell writer."""
+    if v is None:
+        return None
+    if hasattr(v, "item"):
+        v = v.item()
+    if isinstance(v, float) and v != v:
+        return None
+    return v
+
+
 def _xml_escape(s: str) -> str:
     return (s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;"))
 
 
 def xlsx_bytes(columns: Sequence[str], rows, sheet_name: str = "Sheet1") -> bytes:
     """One-sheet workbook: numbers as numeric cells, other values inline text."""
+    return workbook_bytes([(sheet_name, [list(columns)] + [list(r) for r in rows])])
+
+
+def workbook_bytes(sheets) -> bytes:
+    """Workbook from ``[(sheet_name, rows)]``; a row is a list of cell values
+    (None leaves the cell empty)."""
     import io
     import zipfile
 
@@ -84,18 +101,43 @@ def xlsx_bytes(columns: Sequence[str], rows, sheet_name: str = "Sheet1") -> byte
             return f"<c><v>{v!r}</v></c>"
         return f'<c t="inlineStr"><is><t xml:space="preserve">{_xml_escape(str(v))}</t></is></c>'
 
-    body = ["<row>" + "".join(cell(c) for c in columns) + "</row>"]
-    body += ["<row>" + "".join(cell(v) for v in r) + "</row>" for r in rows]
-    sheet = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-             '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
-             + "".join(body) + "</sheetData></worksheet>")
+    def col_letter(i: int) -> str:
+        s = ""
+        i += 1
+        while i:
+            i, r = divmod(i - 1, 26)
+            s = chr(65 + r) + s
+        return s
+
+    def row_xml(n: int, values) -> str:
+        cs = []
+        for i, v in enumerate(values):
+            if v is None:
+                continue
+            cs.append(cell(v).replace("<c", f'<c r="{col_letter(i)}{n}"', 1))
+        return f'<row r="{n}">' + "".join(cs) + "</row>"
+
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", _CT)
+        overrides = "".join(
+            f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" ContentType="application/'
+            'vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(len(sheets)))
+        z.writestr("[Content_Types].xml", _CT.replace("</Types>", "").split('<Override PartName="/xl/worksheets')[0]
+                   + overrides + "</Types>")
         z.writestr("_rels/.rels", _RELS)
-        z.writestr("xl/workbook.xml", _WB.format(name=_xml_escape(sheet_name[:31])))
-        z.writestr("xl/_rels/workbook.xml.rels", _WB_RELS)
-        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        sheet_els = "".join(f'<sheet name="{_xml_escape(str(n)[:31])}" sheetId="{i + 1}" r:id="rId{i + 1}"/>'
+                            for i, (n, _) in enumerate(sheets))
+        z.writestr("xl/workbook.xml", _WB.replace('<sheet name="{name}" sheetId="1" r:id="rId1"/>', sheet_els))
+        rels = "".join(f'<Relationship Id="rId{i + 1}" Type="http://schemas.openxmlformats.org/officeDocument/'
+                       f'2006/relationships/worksheet" Target="worksheets/sheet{i + 1}.xml"/>'
+                       for i in range(len(sheets)))
+        z.writestr("xl/_rels/workbook.xml.rels", _WB_RELS.split("<Relationship ")[0] + rels + "</Relationships>")
+        for i, (_, rows) in enumerate(sheets):
+            body = "".join(row_xml(n + 1, r) for n, r in enumerate(rows))
+            z.writestr(f"xl/worksheets/sheet{i + 1}.xml",
+                       '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+                       '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+                       + body + "</sheetData></worksheet>")
     return buf.getvalue()
 
 
@@ -106,6 +148,8 @@ def write_xlsx(recon: DataFrame, path: str, parts: Sequence[str] = ("unit", "ate
     gathered into a single task.  Returns (file, rows) per written file."""
     import pandas as pd
 
+    from ledgerlens.session import ship_package
+    ship_package(recon.sparkSession)
     n = num_partitions or recon.sparkSession.sparkContext.defaultParallelism
     cols = [c for c in recon.columns if c not in parts]
     os.makedirs(path, exist_ok=True)
@@ -120,7 +164,8 @@ def write_xlsx(recon: DataFrame, path: str, parts: Sequence[str] = ("unit", "ate
                 name = "__".join(str(k) for k in key).replace("/", "_")
                 fn = os.path.join(path, f"{name}__part{pid:05d}_{uuid.uuid4().hex[:6]}.xlsx")
                 with open(fn, "wb") as fh:
-                    fh.write(xlsx_bytes(cols, g[cols].itertuples(index=False, name=None), str(key[-1])))
+                    fh.write(xlsx_bytes(cols, [tuple(_py(v) for v in r) for r in
+                                               g[cols].itertuples(index=False, name=None)], str(key[-1])))
                 out.append((fn, len(g)))
         yield pd.DataFrame(out, columns=["file", "rows"])
 

@@ -219,3 +219,22 @@ def mov_stacked(spark, sf_dir):
 
 
 __all__ = ["QTY"]
+
+
+@query("csv_sniff", "SELECT 'csv_' || l_returnflag || l_linestatus || '_' || CAST(l_orderkey // 1000 AS VARCHAR) "
+       "AS file_id, CASE (l_orderkey // 1000) % 4 WHEN 0 THEN ';' WHEN 1 THEN ',' WHEN 2 THEN chr(9) ELSE '|' END "
+       "AS sep, COUNT(*) + 1 AS n_rows, 'Qté' AS qty_header, CAST(SUM(l_orderkey) AS BIGINT) AS ref_sum "
+       "FROM lineitem GROUP BY l_returnflag, l_linestatus, l_orderkey // 1000")
+def csv_sniff(spark, sf_dir):
+    """CSV ledgers with per-file delimiter, quoting and encoding
+    (UTF-8 with BOM or code page 1252) parsed to grids; the detected
+    delimiter, row count, decoded header and the parsed refs are reported."""
+    from ledgerlens.sources.csv_grid import csv_grid, lines_of, sniff
+    files = G.csv_ledger_files(spark, sf_dir)
+    grid = csv_grid(files)
+    seps = sniff(lines_of(files))
+    stats = grid.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.max(F.when(F.col("row_idx") == 0, F.element_at("cells", 3))).alias("qty_header"),
+        F.sum(F.when(F.col("row_idx") > 0, F.element_at("cells", 2).try_cast("long"))).alias("ref_sum"))
+    return stats.join(seps, "file_id").select("file_id", "sep", "n_rows", "qty_header", "ref_sum")

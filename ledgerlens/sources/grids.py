@@ -178,3 +178,36 @@ def sheets_of(grid: DataFrame) -> DataFrame:
     """Workbook sheet list ``(file_id, sheet_pos, sheet)``."""
     return grid.groupBy("file_id", "sheet").agg(F.min("sheet_pos").alias("sheet_pos")).select(
         "file_id", "sheet_pos", "sheet")
+
+
+# CSV exports of the ledger: one file per (flag, status, block of 1000 orders),
+# so a file's size is bounded while the number of files grows with the data.
+# The block number picks the delimiter and the encoding.
+CSV_BLOCK = 1000
+CSV_HEADER = ["Date", "REFERENCE", "Qté", "STOCK", "LOCALISATION"]
+
+
+def csv_ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, content BINARY)`` rows, as the ``binaryFile`` source gives them."""
+    from ledgerlens.sources.csv_grid import SEPARATORS
+    li = read_table(spark, sf_dir, "lineitem")
+    block = (F.col("l_orderkey") / CSV_BLOCK).cast("long")
+    k = (block % len(SEPARATORS)).cast("int")
+    sep = F.element_at(F.array(*[F.lit(s) for s in SEPARATORS]), k + 1)
+    qty = F.col("l_quantity").cast("decimal(18,2)").cast("string")
+    qty = F.when(sep == ";", F.regexp_replace(qty, r"\.", ",")).otherwise(qty)
+    ref = F.col("l_orderkey").cast("string")
+    ref = F.when(sep == ",", F.concat(F.lit('"'), ref, F.lit('"'))).otherwise(ref)
+    line = F.concat_ws("", F.date_format(F.col("l_shipdate").cast("date"), "d/M/yyyy"), sep, ref, sep,
+                       F.lit("part"), sep, qty, sep, F.col("l_returnflag"))
+    path = F.concat(F.lit("csv_"), F.col("l_returnflag"), F.col("l_linestatus"), F.lit("_"), block.cast("string"))
+    per_file = (li.select(path.alias("path"), sep.alias("sep"), F.struct("l_orderkey", "l_linenumber", line.alias("l"))
+                          .alias("x"))
+                .groupBy("path", "sep")
+                .agg(F.sort_array(F.collect_list("x")).alias("xs")))
+    header = F.expr("array_join(array(" + ", ".join(f"'{h}'" for h in CSV_HEADER) + "), sep)")
+    text = F.concat(header, F.lit("\n"), F.array_join(F.col("xs.l"), "\n"), F.lit("\n"))
+    latin = (F.substring_index(F.col("path"), "_", -1).cast("long") % 3) == 0
+    content = F.when(latin, F.encode(text, "ISO-8859-1")).otherwise(
+        F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
+    return per_file.select("path", content.alias("content"))
