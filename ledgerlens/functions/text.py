@@ -69,7 +69,9 @@ def sign_class(c) -> Column:
 def format_2dp(c) -> Column:
     """Fixed two-decimal text; null or non-numeric becomes '0'."""
     v = F.expr(f"try_cast({_sql_of(c)} AS DOUBLE)") if isinstance(c, str) else _c(c).cast("double")
-    return F.coalesce(F.format_string("%.2f", v), F.lit("0"))
+    # String.format prints a NULL as 'null' cut to the precision ('nu'), so
+    # the NULL branch is explicit.
+    return F.when(v.isNotNull() & ~F.isnan(v), F.format_string("%.2f", v)).otherwise(F.lit("0"))
 
 
 def _sql_of(name: str) -> str:

@@ -36,15 +36,17 @@ def detect_date_order(df: DataFrame, group: Sequence[str], order_col: str, value
     sample = (df.where(F.col(value_col).isNotNull())
               .select(*group, order_col, strip_text(F.col(value_col).cast("string")).alias("_v"))
               .withColumn("_rn", F.row_number().over(w))
-              .where(F.col("_rn") <= sample_size)
-              .where(F.col("_v") != ""))
+              .where(F.col("_rn") <= sample_size))
     v = F.col("_v")
-    iso = v.rlike(ISO_RE)
-    md = ~iso & v.rlike(MD_RE)
+    filled = v != ""
+    iso = filled & v.rlike(ISO_RE)
+    md = filled & ~iso & v.rlike(MD_RE)
     a = F.regexp_extract(v, MD_RE, 1).try_cast("int")
     b = F.regexp_extract(v, MD_RE, 2).try_cast("int")
+    # blank values stay in the sample rows so that a column of blanks still
+    # yields a row ('unknown'); they are not counted
     counts = sample.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_sample"),
+        F.sum(F.when(filled, 1).otherwise(0)).alias("n_sample"),
         F.sum(F.when(iso, 1).otherwise(0)).alias("n_iso"),
         F.sum(F.when(md & (a > 12) & (b <= 12), 1).otherwise(0)).alias("n_eu"),
         F.sum(F.when(md & (b > 12) & (a <= 12), 1).otherwise(0)).alias("n_us"))
