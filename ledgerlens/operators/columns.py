@@ -30,10 +30,18 @@ def _last_pos(arr: Column, value: str) -> Column:
     return F.when(p > 0, (F.size(arr) - p).cast("int"))
 
 
+def _first_present(arr: Column, names: Sequence[str]) -> Column:
+    """The first of ``names`` (priority order) that occurs in ``arr``."""
+    lits = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    return F.try_element_at(F.filter(lits, lambda a: F.array_contains(arr, a)), F.lit(1))
+
+
 def resolve_exact(header, aliases: Sequence[str]) -> Column:
     """First alias (priority order) present verbatim; its first column."""
     h = _h(header)
-    return F.coalesce(*[_first_pos(h, a) for a in aliases], F.lit(None).cast("int"))
+    hit = _first_present(h, list(aliases))
+    p = F.array_position(h, hit)
+    return F.when(hit.isNotNull() & (p > 0), (p - 1).cast("int"))
 
 
 def resolve_casefold(header, aliases: Sequence[str], collapse: bool = False) -> Column:
@@ -48,7 +56,9 @@ def resolve_casefold(header, aliases: Sequence[str], collapse: bool = False) ->
     else:
         norm = F.transform(_h(header), lambda x: F.lower(strip_text(x)))
         keys = [str(a).strip().lower() for a in aliases]
-    return F.coalesce(*[_last_pos(norm, k) for k in keys], F.lit(None).cast("int"))
+    hit = _first_present(norm, keys)
+    p = F.array_position(F.reverse(norm), hit)
+    return F.when(hit.isNotNull() & (p > 0), (F.size(norm) - p).cast("int"))
 
 
 def resolve_exact_then_casefold(header, aliases: Sequence[str]) -> Column:
