@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reconciliation workload is batch only: every run compares a snapshot
+with whole ledgers for a period, and a late ledger row is simply included the
+next time its date passes the period filter.  There are no watermarks,
+event-time windows or stateful operators to provide, so no streaming
+operators are built (see README, "Scope").
+"""
