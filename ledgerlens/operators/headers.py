@@ -40,14 +40,20 @@ def _scan(grid: DataFrame, max_rows: int | None) -> DataFrame:
 
 
 def _first(grid: DataFrame, keys: Sequence[str], *preds: Column) -> DataFrame:
-    """First row index satisfying the predicates in priority order, else the
-    sheet's first row."""
-    firsts = [F.min(F.when(p, F.col("row_idx"))) for p in preds]
-    hit = F.coalesce(*firsts) if len(firsts) > 1 else firsts[0]
-    return (grid.groupBy(*keys)
-            .agg(hit.alias("_hit"), F.min("row_idx").alias("_first"))
-            .select(*keys, F.coalesce("_hit", "_first").alias("header_idx"),
-                    F.col("_hit").isNotNull().alias("found")))
+    """First row satisfying the predicates in priority order, else the
+    sheet's first row.  The header cells come out of the same aggregate
+    (``min_by`` skips rows whose ordering value is NULL), so no second pass
+    over the grid is needed."""
+    idx, cells = F.col("row_idx"), F.col("cells")
+    aggs = []
+    for i, p in enumerate(preds):
+        aggs += [F.min(F.when(p, idx)).alias(f"_h{i}"), F.min_by(cells, F.when(p, idx)).alias(f"_c{i}")]
+    out = grid.groupBy(*keys).agg(*aggs, F.min(idx).alias("_first"), F.min_by(cells, idx).alias("_fc"))
+    hit = F.coalesce(*[F.col(f"_h{i}") for i in range(len(preds))])
+    hdr = F.coalesce(*[F.when(F.col(f"_h{i}").isNotNull(), F.col(f"_c{i}")) for i in range(len(preds))],
+                     F.col("_fc"))
+    return out.select(*keys, F.coalesce(hit, F.col("_first")).alias("header_idx"),
+                      hit.isNotNull().alias("found"), hdr.alias("header"))
 
 
 def header_by_alias(grid: DataFrame, aliases: Sequence[str], keys: Sequence[str] = KEYS,
@@ -74,9 +80,10 @@ def normalize_label_py(value: str) -> str:
 def header_densest(grid: DataFrame, keys: Sequence[str] = KEYS, max_rows: int | None = None) -> DataFrame:
     """Row with the most non-empty cells; the first such row wins ties."""
     n = F.size(F.filter(F.col("cells"), lambda x: x.isNotNull()))
-    return (_scan(grid, max_rows).groupBy(*keys)
-            .agg(F.max_by(F.col("row_idx"), F.struct(n, -F.col("row_idx"))).alias("header_idx"))
-            .withColumn("found", F.lit(True)))
+    best = F.max_by(F.struct(F.col("row_idx"), F.col("cells")), F.struct(n, -F.col("row_idx")))
+    return (_scan(grid, max_rows).groupBy(*keys).agg(best.alias("_b"))
+            .select(*keys, F.col("_b.row_idx").alias("header_idx"), F.lit(True).alias("found"),
+                    F.col("_b.cells").alias("header")))
 
 
 def header_required(grid: DataFrame, required: Sequence[str], keys: Sequence[str] = KEYS,
@@ -111,7 +118,12 @@ def _contains(keyword: str):
 
 
 def header_cells(grid: DataFrame, headers: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The header row's cells per sheet: ``(keys..., header_idx, found, header)``."""
+    """The header row's cells per sheet: ``(keys..., header_idx, found, header)``.
+
+    Header rules already return the cells; only a bare ``header_idx`` table
+    is joined back to the grid."""
+    if "header" in headers.columns:
+        return headers.select(*keys, "header_idx", "found", "header")
     h = headers.select(*keys, "header_idx", "found")
     g = grid.select(*keys, F.col("row_idx").alias("header_idx"), F.col("cells").alias("header"))
     return h.join(g, [*keys, "header_idx"], "left")

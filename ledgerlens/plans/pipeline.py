@@ -158,6 +158,11 @@ def run_units(stock_grid: DataFrame, mov_grid: DataFrame, jobs: DataFrame, locat
     file and sheet candidates per job; ``locations(unit, atelier, job_idx,
     location)`` - snapshot locations of each job (configuration).
     """
+    from ledgerlens.session import stage
+    # every unit and header rule reads the grids several times: ingest once
+    order = ("file_id", "sheet", "row_idx")
+    stock_grid = stage(stock_grid, "grid-stock", order)
+    mov_grid = stage(mov_grid, "grid-ledger", order)
     recons, diags = [], []
     loc = F.broadcast(locations)
     for r in rules:
