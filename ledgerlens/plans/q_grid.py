@@ -16,6 +16,7 @@ from ledgerlens.operators.cutoff import cumulative_cutoff
 from ledgerlens.operators.dates import parse_dates_auto
 from ledgerlens.operators.loaders import extract
 from ledgerlens.operators.sheets import restrict, sheet_by_keywords, sheet_from_candidates
+from ledgerlens.plans import sql_grid as SG
 from ledgerlens.plans.profiles import aliases
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import grids as G
@@ -29,15 +30,19 @@ def _ledger(spark, sf_dir):
     return restrict(g, chosen.select("file_id", "sheet"))
 
 
+def _hdr(h):
+    return h.select(*KEYS, "header_idx", "found")
+
+
 # --- sheet choice -------------------------------------------------------------
 
-@query("sheet_list")
+@query("sheet_list", SG.SHEET_LIST)
 def sheet_list(spark, sf_dir):
     """S3: sheet names of every workbook, in workbook order."""
     return G.sheets_of(G.ledger_grid(spark, sf_dir))
 
 
-@query("sheet_fallback")
+@query("sheet_fallback", SG.SHEET_FALLBACK)
 def sheet_fallback(spark, sf_dir):
     """First available sheet from an ordered candidate list (digits
     name a sheet position)."""
@@ -49,7 +54,7 @@ def sheet_fallback(spark, sf_dir):
     return sheet_from_candidates(sheets, jobs, ["job"])
 
 
-@query("sheet_prefer")
+@query("sheet_prefer", SG.SHEET_PREFER)
 def sheet_prefer(spark, sf_dir):
     """First sheet whose name contains a preferred keyword, else the
     first sheet."""
@@ -58,35 +63,35 @@ def sheet_prefer(spark, sf_dir):
 
 # --- header rows --------------------------------------------------------------
 
-@query("header_date")
+@query("header_date", SG.HEADER_DATE)
 def header_date(spark, sf_dir):
     """H1/H2/H8: first row with an exact date-name cell (scan capped at 20)."""
-    return H.header_by_alias(_ledger(spark, sf_dir), aliases("Fath1", "mov", "date"), max_rows=20)
+    return _hdr(H.header_by_alias(_ledger(spark, sf_dir), aliases("Fath1", "mov", "date"), max_rows=20))
 
 
-@query("header_densest")
+@query("header_densest", SG.HEADER_DENSEST)
 def header_densest(spark, sf_dir):
     """The row with the most non-empty cells, first on ties."""
-    return H.header_densest(_ledger(spark, sf_dir))
+    return _hdr(H.header_densest(_ledger(spark, sf_dir)))
 
 
-@query("header_required")
+@query("header_required", SG.HEADER_REQUIRED)
 def header_required(spark, sf_dir):
     """H4: >= 2 required names, or any cell containing 'date' (80 rows)."""
-    return H.header_required(_ledger(spark, sf_dir), ["REF", "STOCKS", "LOCALISATION", "STOCK"], max_rows=80)
+    return _hdr(H.header_required(_ledger(spark, sf_dir), ["REF", "STOCKS", "LOCALISATION", "STOCK"], max_rows=80))
 
 
-@query("header_tiered")
+@query("header_tiered", SG.HEADER_TIERED)
 def header_tiered(spark, sf_dir):
     """H5: 'date' substring / date alias, else ref or qty alias (50 rows)."""
-    return H.header_tiered(_ledger(spark, sf_dir), aliases("Larbaa", "mov", "date"),
-                           aliases("Larbaa", "mov", "ref"), aliases("Larbaa", "mov", "quantity"))
+    return _hdr(H.header_tiered(_ledger(spark, sf_dir), aliases("Larbaa", "mov", "date"),
+                                aliases("Larbaa", "mov", "ref"), aliases("Larbaa", "mov", "quantity")))
 
 
-@query("header_keywords")
+@query("header_keywords", SG.HEADER_KEYWORDS)
 def header_keywords(spark, sf_dir):
     """H6: >= 2 snapshot keywords inside upper-cased cells (50 rows)."""
-    return H.header_keywords(G.multi_sheet_grid(spark, sf_dir))
+    return _hdr(H.header_keywords(G.multi_sheet_grid(spark, sf_dir)))
 
 
 # --- column resolution ----------------------------------------------------------
@@ -98,7 +103,7 @@ def _ledger_headers(spark, sf_dir, unit="Fath1"):
     return g, H.header_cells(g, h)
 
 
-@query("resolve_exact")
+@query("resolve_exact", SG.RESOLVE_EXACT)
 def resolve_exact(spark, sf_dir):
     """H9: first alias present verbatim (priority order) per role."""
     _, hc = _ledger_headers(spark, sf_dir)
@@ -108,7 +113,7 @@ def resolve_exact(spark, sf_dir):
                      C.resolve_exact("header", aliases("Fath2", "mov", "date")).alias("date_pos"))
 
 
-@query("resolve_casefold")
+@query("resolve_casefold", SG.RESOLVE_CASEFOLD)
 def resolve_casefold(spark, sf_dir):
     """Trimmed case-folded (and whitespace-collapsed) match."""
     _, hc = _ledger_headers(spark, sf_dir)
@@ -118,7 +123,7 @@ def resolve_casefold(spark, sf_dir):
                      C.resolve_exact_then_casefold("header", ["DATE", "la date"]).alias("date_pos"))
 
 
-@query("resolve_contains")
+@query("resolve_contains", SG.RESOLVE_CONTAINS)
 def resolve_contains(spark, sf_dir):
     """First column containing an alias; configured quantity
     column matched both ways."""
@@ -140,7 +145,7 @@ def _custom_pos(name_col):
     return F.when(p > 0, (p - 1).cast("int"))
 
 
-@query("override_cols")
+@query("override_cols", SG.OVERRIDE_COLS)
 def override_cols(spark, sf_dir):
     """Configured or user-chosen column names win when present;
     '-1' and blanks mean no override."""
