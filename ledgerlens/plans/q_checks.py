@@ -12,12 +12,13 @@ from ledgerlens.operators import sinks
 from ledgerlens.operators.loaders import extract, missing_columns
 from ledgerlens.operators.sheets import restrict, sheet_by_keywords
 from ledgerlens.operators.verify import blank_ref_diagnostics, missing_inputs, verification
+from ledgerlens.plans import sql_grid as SG
 from ledgerlens.plans.profiles import aliases
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import grids as G
 
 
-@query("verify_files")
+@query("verify_files", SG.VERIFY_FILES)
 def verify_files(spark, sf_dir):
     """Per matched ledger file: sheet present, header found in the first
     20 rows, ref / qty / date columns detected, list of errors."""
@@ -29,7 +30,7 @@ def verify_files(spark, sf_dir):
                         aliases("Fath1", "mov", "quantity"))
 
 
-@query("diagnostics")
+@query("diagnostics", SG.DIAGNOSTICS)
 def diagnostics(spark, sf_dir):
     """Errors as data - missing columns per sheet, blank refs, units
     lacking a snapshot or a ledger; other sheets and units still run."""
@@ -52,7 +53,17 @@ def diagnostics(spark, sf_dir):
     return miss.unionByName(blanks).unionByName(missing_inputs(units, snaps, ledgers))
 
 
-@query("export_csv")
+def _export_sql() -> str:
+    from ledgerlens.plans.q_results import _UNIT_RECON
+    return (_UNIT_RECON + "SELECT Ref, CAST(Stock_Qty AS VARCHAR) AS Stock_Qty, "
+            "CAST(Calc_Mov_Qty AS VARCHAR) AS Calc_Mov_Qty, CAST(Difference AS VARCHAR) AS Difference, "
+            "unit, atelier, status FROM recon")
+
+
+_EXPORT_SQL = _export_sql()
+
+
+@query("export_csv", _EXPORT_SQL)
 def export_csv(spark, sf_dir):
     """Results written as CSV per (unit, atelier, status), read back."""
     from ledgerlens.plans.q_results import unit_recon

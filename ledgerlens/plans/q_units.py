@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerlens.plans.pipeline import demo_inputs, run_units
 from ledgerlens.plans.registry import cte, query
+from ledgerlens.plans.sql_grid import DIAGNOSTICS_UNITS
 
 _SQL = (cte(
     st="SELECT l_returnflag AS atelier, CAST(l_orderkey AS VARCHAR) AS ref, CAST(l_quantity AS DECIMAL(18,4)) AS qty "
@@ -39,7 +40,7 @@ def reconcile_units(spark, sf_dir):
     return recon
 
 
-@query("diagnostics_units")
+@query("diagnostics_units", DIAGNOSTICS_UNITS)
 def diagnostics_units(spark, sf_dir):
     """The diagnostics side of the all-units run (unreadable ledgers)."""
     sgrid, mgrid, jobs, locations, rules = demo_inputs(spark, sf_dir)

@@ -186,3 +186,53 @@ OVERRIDE_COLS = (_TIERED_HC.rstrip("\n") + ", o AS (SELECT * FROM (VALUES ('MOV
                  f"SELECT hc.file_id, hc.sheet, {_override('ref_col', pos_exact('header', _al('Fath2', 'mov', 'ref')))} "
                  f"AS ref_pos, {_override('qty_col', pos_exact('header', _al('Fath2', 'mov', 'quantity')))} AS qty_pos "
                  "FROM hc LEFT JOIN o ON hc.file_id = o.file_id")
+
+
+# --- verification / diagnostics / export --------------------------------------------
+
+def _date_hdr_cells(files_pred: str = "true", max_rows: int | None = None) -> str:
+    pred = has_any(present(), _al("Fath1", "mov", "date"))
+    return (f"h AS ({first_header(f'(SELECT * FROM g WHERE {files_pred})', pred, max_rows)}), "
+            "hc AS (SELECT h.file_id, h.sheet, h.header_idx, h.found, g.cells AS header FROM h JOIN g "
+            "ON g.file_id = h.file_id AND g.sheet = h.sheet AND g.row_idx = h.header_idx)")
+
+
+_JOINED = "array_to_string(list_transform(header, lambda x: COALESCE(x, '')), ', ')"
+
+
+def _missing_msg(ref: str, qty: str) -> str:
+    missing = f"list_filter([CASE WHEN {ref} IS NULL THEN 'ref' END, CASE WHEN {qty} IS NULL THEN 'qty' END], " \
+              "lambda x: x IS NOT NULL)"
+    return (f"'Could not find ' || array_to_string({missing}, '/') || ' column. Available: ' || {_JOINED}", missing)
+
+
+_F1_REF = pos_exact("header", _al("Fath1", "mov", "ref"))
+_F1_QTY = pos_exact("header", _al("Fath1", "mov", "quantity"))
+_MSG, _MISSING = _missing_msg(_F1_REF, _F1_QTY)
+
+DIAGNOSTICS_UNITS = (f"WITH g AS ({LEDGER_GRID}), " + _date_hdr_cells("sheet = 'MOUVEMENT'") + "\n"
+                     f"SELECT 'Fath1' AS unit, file_id || '/' || sheet AS scope, 'error' AS severity, "
+                     f"'MISSING_COLUMN' AS code, {_MSG} AS message FROM hc WHERE len({_MISSING}) > 0")
+
+DIAGNOSTICS = (f"WITH g AS ({LEDGER_GRID}), " + _date_hdr_cells() + "\n"
+               f"SELECT file_id || '/' || sheet AS scope, 'error' AS severity, 'MISSING_COLUMN' AS code, "
+               f"{_MSG} AS message FROM hc WHERE len({_MISSING}) > 0 "
+               "UNION ALL SELECT 'X', 'error', 'MISSING_INPUT', 'no stock snapshot'")
+
+_F1_DATE = pos_exact("header", _al("Fath1", "mov", "date"))
+VERIFY_FILES = (
+    f"WITH g AS ({LEDGER_GRID}), s AS ({LEDGER_SHEETS}), "
+    "av AS (SELECT file_id, list_sort(list_distinct(list(sheet))) AS available_sheets FROM s GROUP BY file_id), "
+    "j AS (SELECT substr(av.file_id, 6, 1) AS unit, substr(av.file_id, 5, 1) AS atelier, av.file_id, "
+    "available_sheets, CASE WHEN list_contains(available_sheets, 'MOUVEMENT') THEN 'MOUVEMENT' END "
+    "AS expected_sheet FROM av), " + _date_hdr_cells("true", 20) + ", "
+    "x AS (SELECT j.*, hc.header FROM j LEFT JOIN hc ON hc.file_id = j.file_id AND hc.sheet = j.expected_sheet), "
+    f"y AS (SELECT *, {_F1_REF} AS rp, {_F1_QTY} AS qp, {_F1_DATE} AS dp FROM x)\n"
+    "SELECT unit, atelier, file_id AS filename, len(errs) = 0 AS valid, errs AS errors, available_sheets, "
+    "COALESCE(list_filter(header, lambda c: c IS NOT NULL), CAST([] AS VARCHAR[])) AS available_columns, "
+    "expected_sheet, header[rp + 1] AS detected_ref, header[qp + 1] AS detected_qty, header[dp + 1] AS detected_date "
+    "FROM (SELECT *, list_filter([CASE WHEN expected_sheet IS NULL THEN 'Sheet not found: MOUVEMENT' END, "
+    "CASE WHEN expected_sheet IS NOT NULL AND rp IS NULL THEN 'Reference column not found' END, "
+    "CASE WHEN expected_sheet IS NOT NULL AND qp IS NULL THEN 'Quantity column not found' END, "
+    "CASE WHEN expected_sheet IS NOT NULL AND dp IS NULL THEN 'Date column not found' END], "
+    "lambda e: e IS NOT NULL) AS errs FROM y) z")
