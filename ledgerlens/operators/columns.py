@@ -87,6 +87,15 @@ def resolve_custom(header, name: str) -> Column:
     return F.when(p > 0, (p - 1).cast("int"))
 
 
+def resolve_custom_col(header, name: Column) -> Column:
+    """``resolve_custom`` with the configured name taken from a column."""
+    c = F.upper(name)
+    flags = F.transform(_h(header), lambda x: F.coalesce(
+        c.contains(F.upper(strip_text(x))) | F.upper(strip_text(x)).contains(c), F.lit(False)))
+    p = F.array_position(flags, F.lit(True))
+    return F.when(p > 0, (p - 1).cast("int"))
+
+
 def resolve_date_fallback(header, aliases: Sequence[str]) -> Column:
     """Exact alias, else the first column whose name contains 'date'."""
     flags = F.transform(_h(header), lambda x: F.coalesce(F.lower(x.cast("string")).contains("date"), F.lit(False)))

@@ -95,6 +95,17 @@ def header_required(grid: DataFrame, required: Sequence[str], keys: Sequence[str
     return _first(_scan(grid, max_rows), keys, (hits >= min_hits) | has_date)
 
 
+def header_required_col(grid: DataFrame, required_col: str, keys: Sequence[str] = KEYS,
+                        max_rows: int = 80, min_hits: int = 2) -> DataFrame:
+    """``header_required`` with the required names taken from a column of the
+    rows (per job configuration); NULL lists only test for 'date'."""
+    vals = present_values()
+    req = F.coalesce(F.col(required_col), F.array().cast("array<string>"))
+    hits = F.size(F.array_intersect(vals, F.array_distinct(req)))
+    has_date = F.exists(vals, lambda v: F.lower(v).contains(DATE_MARK))
+    return _first(_scan(grid, max_rows), keys, (hits >= min_hits) | has_date)
+
+
 def header_tiered(grid: DataFrame, date_aliases: Sequence[str], ref_aliases: Sequence[str],
                   qty_aliases: Sequence[str], keys: Sequence[str] = KEYS, max_rows: int = 50) -> DataFrame:
     """'date' substring or date alias first; else the first ref / qty alias row."""

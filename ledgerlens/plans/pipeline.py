@@ -1,80 +1,74 @@
-"""End-to-end run: snapshot grid + ledger grids + site profiles -> results.
+"""End-to-end run: snapshot grids + ledger grids + site configuration -> results.
 
-Each unit's rules (see ``plans.profiles``) select which header rule, column
-resolver, date order, period filter, rounding and match rule apply; every
-atelier job of every unit flows through the same operators and the units are
-unioned into one plan keyed by ``(unit, atelier, job_idx)``.  Failures are
-rows of ``diagnostics``; they never stop other ateliers.
+Each unit's rules (``plans.profiles``) choose the sheet rule, header rule,
+column resolver, date order, period filter, rounding, location rule and
+match rule; each job row (``plans.sites``, joined with the file assigned to
+its atelier) supplies sheet candidates, location lists and column
+overrides.  Every job of every unit flows through the same operators and the
+units are unioned into one plan keyed by ``(unit, atelier, job_idx)``.
+Failures (no sheet, no ref / qty column) are rows of ``diagnostics`` and
+never stop the other jobs.
+
+The Python-side loop is over *units* (nine rule sets), never over data.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import parse_dayfirst, parse_monthfirst
-from ledgerlens.functions.numbers import QTY, coerce_locale_number, coerce_number, qty_or_zero
+from ledgerlens.functions.numbers import QTY, coerce_locale_number, qty_or_zero
 from ledgerlens.functions.text import normalize_ref, strip_text
 from ledgerlens.operators import columns as C
 from ledgerlens.operators import headers as H
 from ledgerlens.operators import reconcile as R
-from ledgerlens.operators.cutoff import cumulative_cutoff, exact_month
 from ledgerlens.operators.dates import coerce_dates, parse_dates_auto
 from ledgerlens.operators.loaders import extract, missing_columns
-from ledgerlens.operators.sheets import restrict, sheet_by_keywords, sheet_from_candidates
+from ledgerlens.operators.rollforward import rollforward
+from ledgerlens.operators.sheets import sheet_by_keywords, sheet_from_candidates
 from ledgerlens.plans.profiles import PROFILE_COLUMNS, PROFILES, aliases
 from ledgerlens.sources.grids import sheets_of
 
 JOB_KEYS = ["unit", "atelier", "job_idx"]
 G_KEYS = ["file_id", "sheet"]
+# Snapshot header names of the required-names rule.
+STOCK_REQUIRED = ["RF", "S REEL", "LOCALISATION"]
 
 
 @dataclass
 class UnitRules:
     unit: str
+    stock_sheet: str = "prefer:STOCK"
+    stock_header: str = "densest"
+    stock_resolve: str = "exact"
+    stock_null_qty: str = "zero"
+    stock_round: int | None = None
     mov_header: str = "date_alias"
     mov_header_rows: int | None = None
     mov_resolve: str = "exact"
     date_order: str = "dmy"
     period: str = "cumulative"
     mov_round: int | None = None
-    stock_resolve: str = "exact"
-    stock_null_qty: str = "zero"
-    stock_round: int | None = None
+    location_rule: str = "stock_in"
     match: str = "exact"
+    order: str = "signed"
     tolerance: float = 0.02
     extra: dict = field(default_factory=dict)
 
     @classmethod
     def from_profile(cls, unit: str, **overrides) -> "UnitRules":
         row = dict(zip(PROFILE_COLUMNS, next(p for p in PROFILES if p[0] == unit)))
-        keep = {k: row[k] for k in ("mov_header", "mov_header_rows", "mov_resolve", "date_order", "period",
-                                    "mov_round", "stock_resolve", "stock_null_qty", "stock_round", "match")}
-        keep.update(overrides)
-        return cls(unit=unit, **keep)
-
-
-def _mov_headers(grid: DataFrame, r: UnitRules) -> DataFrame:
-    al = {k: aliases(r.unit, "mov", k) for k in ("date", "ref", "quantity")}
-    if r.mov_header == "date_alias_norm":
-        h = H.header_by_alias(grid, al["date"], max_rows=r.mov_header_rows, normalize=True)
-    elif r.mov_header == "tiered":
-        h = H.header_tiered(grid, al["date"], al["ref"], al["quantity"], max_rows=r.mov_header_rows or 50)
-    elif r.mov_header == "required":
-        h = H.header_required(grid, r.extra.get("required", al["ref"] + al["quantity"]),
-                              max_rows=r.mov_header_rows or 80)
-    elif r.mov_header == "densest":
-        h = H.header_densest(grid)
-    else:
-        h = H.header_by_alias(grid, al["date"], max_rows=r.mov_header_rows)
-    return H.header_cells(grid, h)
+        row.pop("unit")
+        row.update(overrides)
+        return cls(unit=unit, **row)
+
 
+# --- resolution helpers -------------------------------------------------------
 
-def _resolve(r: UnitRules, side: str, role: str):
-    names = aliases(r.unit, side, role)
-    how = r.mov_resolve if side == "mov" else r.stock_resolve
+def _resolver(how: str, names: list[str]) -> Column:
     if how == "casefold":
         return C.resolve_casefold("header", names)
     if how == "collapse":
@@ -82,99 +76,230 @@ def _resolve(r: UnitRules, side: str, role: str):
     if how == "exact_casefold":
         return C.resolve_exact_then_casefold("header", names)
     if how == "contains":
+        return F.coalesce(C.resolve_exact("header", names), C.resolve_contains("header", names))
+    if how == "substring":
         return C.resolve_contains("header", names)
-    if role == "date" and r.mov_header == "tiered":
-        return C.resolve_date_fallback("header", names)
     return C.resolve_exact("header", names)
 
 
-def movement_lines(mov_grid: DataFrame, jobs: DataFrame, r: UnitRules, year: int, month: int
-                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Typed ledger lines ``(unit, atelier, job_idx, ref, qty, mov_date)`` of
-    one unit's jobs, the diagnostics of its sheets, and the jobs whose ledger
-    could be read (sheet found, ref and quantity columns resolved)."""
+def _mov_roles(r: UnitRules) -> dict[str, Column]:
+    al = {k: aliases(r.unit, "mov", k) for k in ("date", "ref", "quantity", "localisation")}
+    date = (C.resolve_date_fallback("header", al["date"]) if r.mov_header == "tiered"
+            else _resolver(r.mov_resolve, al["date"]))
+    roles = {"ref": C.override("header", F.col("ref_col"), _resolver(r.mov_resolve, al["ref"])),
+             "qty": C.override("header", F.col("qty_col"), _resolver(r.mov_resolve, al["quantity"])),
+             "date": date}
+    if al["localisation"]:
+        roles["loc"] = _resolver(r.mov_resolve, al["localisation"])
+    return roles
+
+
+def _headers(grid: DataFrame, rule: str, r: UnitRules, side: str, keys, max_rows=None) -> DataFrame:
+    al = {k: aliases(r.unit, side, k) for k in ("date", "ref", "quantity")}
+    if side == "stock" and not al["date"]:
+        al["date"] = aliases(r.unit, "mov", "date")
+    if rule == "densest":
+        h = H.header_densest(grid, keys, max_rows)
+    elif rule == "date_alias_norm":
+        h = H.header_by_alias(grid, al["date"], keys, max_rows, normalize=True)
+    elif rule == "tiered":
+        h = H.header_tiered(grid, al["date"], al["ref"], al["quantity"], keys, max_rows or 50)
+    elif rule == "keywords":
+        h = H.header_keywords(grid, keys=keys, max_rows=max_rows or 50)
+    elif rule == "ref_or_qty":
+        h = H.header_by_alias(grid, al["ref"] + al["quantity"], keys, max_rows or 50)
+    elif rule == "required":
+        if side == "mov":
+            h = H.header_required_col(grid, "must_contain", keys, max_rows or 80)
+        else:
+            h = H.header_required(grid, STOCK_REQUIRED, keys, max_rows or 80)
+    else:
+        h = H.header_by_alias(grid, al["date"], keys, max_rows)
+    return h
+
+
+# --- ledger side ----------------------------------------------------------------
+
+def ledger_sheets(mov_grid: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(job keys, file_id, sheet): first available candidate, or every
+    available candidate for stacked jobs."""
+    sheets = sheets_of(mov_grid)
+    single = sheet_from_candidates(sheets, jobs.where(~F.col("stack_sheets")), JOB_KEYS)
+    st = jobs.where(F.col("stack_sheets")).select(*JOB_KEYS, "file_id", F.explode("candidates").alias("sheet"))
+    stacked = st.join(sheets, ["file_id", "sheet"], "left_semi")
+    return single.unionByName(stacked.select(*JOB_KEYS, "file_id", "sheet"))
+
+
+def movement_lines(mov_grid: DataFrame, jobs: DataFrame, r: UnitRules, year: int, month: int):
+    """Typed ledger lines ``(unit, atelier, job_idx, ref, qty, mov_date,
+    localisation)``, diagnostics, and the jobs whose ledger could be read."""
     ujobs = jobs.where(F.col("unit") == r.unit)
-    chosen = sheet_from_candidates(sheets_of(mov_grid), ujobs.select(*JOB_KEYS, "file_id", "candidates"),
-                                   JOB_KEYS)
-    # several jobs may read one sheet: detect headers once per sheet
-    sheet_rows = restrict(mov_grid, chosen.select(*G_KEYS).distinct())
-    hc = _mov_headers(sheet_rows, r)
-    roles = {"ref": _resolve(r, "mov", "ref"), "qty": _resolve(r, "mov", "quantity"),
-             "date": _resolve(r, "mov", "date")}
-    diag = missing_columns(hc, roles, ["ref", "qty"]).select(
-        F.lit(r.unit).alias("unit"), F.concat_ws("/", *G_KEYS).alias("scope"), "severity", "code", "message")
-    readable = (hc.select(*G_KEYS, roles["ref"].alias("_r"), roles["qty"].alias("_q"))
-                .where(F.col("_r").isNotNull() & F.col("_q").isNotNull()).select(*G_KEYS))
-    ok_jobs = chosen.join(readable, G_KEYS, "left_semi").select(*JOB_KEYS)
-    lines = extract(sheet_rows.join(readable, G_KEYS, "left_semi"), hc, roles)
-    lines = lines.join(chosen.where(F.col("sheet").isNotNull()), G_KEYS)
+    chosen = ledger_sheets(mov_grid, ujobs).where(F.col("sheet").isNotNull())
+    jcols = ujobs.select(*JOB_KEYS, "ref_col", "qty_col", "must_contain")
+    per_job = F.broadcast(chosen.join(jcols, JOB_KEYS))
+    keys = [*G_KEYS, *JOB_KEYS]
+    rows = mov_grid.join(per_job, G_KEYS)
+    hdr = _headers(rows, r.mov_header, r, "mov", keys, r.mov_header_rows)
+    hc = hdr.join(per_job, keys)
+    roles = _mov_roles(r)
+    diag = missing_columns(hc, roles, ["ref", "qty"], keys).select(
+        "unit", F.concat_ws("/", "atelier", "file_id", "sheet").alias("scope"), "severity", "code", "message")
+    lines = extract(rows, hc, roles, keys)
+    lines = lines.where(F.col("ref_pos").isNotNull() & F.col("qty_pos").isNotNull())
+    ok_jobs = (hc.select(*JOB_KEYS, roles["ref"].alias("_r"), roles["qty"].alias("_q"))
+               .where(F.col("_r").isNotNull() & F.col("_q").isNotNull()).select(*JOB_KEYS).distinct())
     if r.date_order == "auto":
-        lines = parse_dates_auto(lines, G_KEYS, "row_idx", "date")
+        lines = parse_dates_auto(lines, keys, "row_idx", "date")
     elif r.date_order == "serial_dmy":
-        lines = coerce_dates(lines, G_KEYS, "date")
+        lines = coerce_dates(lines, keys, "date").where(F.col("mov_date").isNotNull())
     elif r.date_order == "mdy":
         lines = lines.withColumn("mov_date", parse_monthfirst("date"))
     else:
         lines = lines.withColumn("mov_date", parse_dayfirst("date"))
     has_date = F.col("date_pos").isNotNull()
+    start = F.make_date(F.lit(year), F.lit(month), F.lit(1))
     if r.period == "cumulative":
-        lines = lines.where(~has_date | (F.col("mov_date") < F.add_months(F.make_date(F.lit(year), F.lit(month),
-                                                                                       F.lit(1)), 1)))
+        lines = lines.where(~has_date | (F.col("mov_date") < F.add_months(start, 1)))
     elif r.period == "exact_month":
         d = F.col("mov_date")
-        start = F.make_date(F.lit(year), F.lit(month), F.lit(1))
         lines = lines.where(~has_date | ((d >= start) & (d < F.add_months(start, 1))))
-    qty = qty_or_zero("qty")
+    qty = coerce_locale_number("qty") if r.stock_null_qty == "zero_locale" else qty_or_zero("qty")
     if r.mov_round is not None:
         qty = F.round(qty, r.mov_round)
-    typed = lines.select(*JOB_KEYS, normalize_ref("ref").alias("ref"), qty.cast(QTY).alias("qty"), "mov_date")
+    loc = strip_text("loc") if "loc" in roles else F.lit(None).cast("string")
+    typed = lines.select(*JOB_KEYS, normalize_ref("ref").alias("ref"), qty.cast(QTY).alias("qty"), "mov_date",
+                         loc.alias("localisation"), F.col("loc_pos").isNotNull().alias("_has_loc")
+                         if "loc" in roles else F.lit(False).alias("_has_loc"))
     return typed, diag, ok_jobs
 
 
-def stock_lines(stock_grid: DataFrame, r: UnitRules) -> DataFrame:
-    """Snapshot lines ``(ref, qty, localisation)`` under the unit's rules."""
-    chosen = sheet_by_keywords(sheets_of(stock_grid), ["STOCK"])
-    g = restrict(stock_grid, chosen.select("file_id", "sheet"))
-    hc = H.header_cells(g, H.header_densest(g))
-    lines = extract(g, hc, {"ref": _resolve(r, "stock", "ref"), "qty": _resolve(r, "stock", "quantity"),
-                            "loc": _resolve(r, "stock", "localisation")})
-    if r.stock_null_qty == "skip":
-        qty = coerce_number("qty")
-    elif r.stock_null_qty == "zero_locale":
-        qty = coerce_locale_number("qty")
+# --- snapshot side ----------------------------------------------------------------
+
+def snapshot_lines(stock_grid: DataFrame, jobs: DataFrame, r: UnitRules) -> DataFrame:
+    """Snapshot lines ``(unit, [atelier, job_idx,] ref, qty, local,
+    localisation, source_sheet)`` under the unit's sheet / header / column
+    rules.  With 'listed' sheets the lines are already per job."""
+    g = stock_grid.where(F.col("unit") == r.unit) if "unit" in stock_grid.columns else \
+        stock_grid.withColumn("unit", F.lit(r.unit))
+    sheets = sheets_of(g)
+    kind, _, arg = r.stock_sheet.partition(":")
+    per_job = kind == "listed"
+    if per_job:
+        js = (jobs.where(F.col("unit") == r.unit)
+              .select(*JOB_KEYS, F.explode("stock_sheets").alias("sheet"), "stock_qty_col"))
+        chosen = sheets.join(js, "sheet").select("file_id", "sheet", *JOB_KEYS, "stock_qty_col")
+    elif kind == "candidates":
+        fj = sheets.select("file_id").distinct().select(
+            F.lit(r.unit).alias("unit"), "file_id", F.array(*[F.lit(c) for c in arg.split(",")]).alias("candidates"))
+        chosen = sheet_from_candidates(sheets, fj, ["unit"]).where(F.col("sheet").isNotNull())
     else:
-        qty = qty_or_zero("qty")
+        chosen = sheet_by_keywords(sheets, arg.split(","), exact=(kind == "exact")).select(
+            "file_id", "sheet", F.lit(r.unit).alias("unit"))
+    keys = [*G_KEYS, *JOB_KEYS] if per_job else [*G_KEYS, "unit"]
+    rows = g.drop("unit").join(F.broadcast(chosen), G_KEYS)
+    hc = _headers(rows, r.stock_header, r, "stock", keys)
+    if per_job:
+        hc = hc.join(F.broadcast(chosen.select(*keys, "stock_qty_col")), keys)
+    al = {k: aliases(r.unit, "stock", k) for k in ("ref", "quantity", "localisation", "local")}
+    qty_pos = _resolver(r.stock_resolve, al["quantity"])
+    if per_job:
+        qty_pos = F.when(F.col("stock_qty_col").isNotNull(),
+                         C.resolve_custom_col("header", F.col("stock_qty_col"))).otherwise(qty_pos)
+    roles = {"ref": _resolver(r.stock_resolve, al["ref"]), "qty": qty_pos}
+    if al["localisation"]:
+        roles["loc"] = _resolver(r.stock_resolve, al["localisation"])
+    if al["local"]:
+        roles["local"] = _resolver(r.stock_resolve, al["local"])
+    lines = extract(rows, hc, roles, keys).where(F.col("ref_pos").isNotNull() & F.col("qty_pos").isNotNull())
+    qty = coerce_locale_number("qty") if r.stock_null_qty == "zero_locale" else qty_or_zero("qty")
     if r.stock_round is not None:
         qty = F.round(qty, r.stock_round)
-    return lines.select(normalize_ref("ref").alias("ref"), qty.cast(QTY).alias("qty"),
-                        strip_text("loc").alias("localisation"))
+    out = [c for c in keys if c not in G_KEYS]
+    return lines.select(*out, normalize_ref("ref").alias("ref"), qty.cast(QTY).alias("qty"),
+                        (strip_text("local") if "local" in roles else F.lit(None).cast("string")).alias("local"),
+                        (strip_text("loc") if "loc" in roles else F.lit(None).cast("string")).alias("localisation"),
+                        F.col("sheet").alias("source_sheet"))
 
 
-def run_units(stock_grid: DataFrame, mov_grid: DataFrame, jobs: DataFrame, locations: DataFrame,
-              rules: list[UnitRules], year: int, month: int) -> tuple[DataFrame, DataFrame]:
-    """All units and ateliers in one plan.
+def _explode_list(jobs: DataFrame, col: str, name: str) -> DataFrame:
+    return jobs.select(*JOB_KEYS, F.explode(F.transform(col, lambda x: strip_text(x))).alias(name)).where(
+        F.col(name) != "")
 
-    ``jobs(unit, atelier, job_idx, file_id, candidates)`` - matched ledger
-    file and sheet candidates per job; ``locations(unit, atelier, job_idx,
-    location)`` - snapshot locations of each job (configuration).
+
+def apply_locations(stock: DataFrame, mov: DataFrame, jobs: DataFrame, r: UnitRules):
+    """Per-job location rules -> (stock lines by job, ledger lines by job)."""
+    ujobs = F.broadcast(jobs.where(F.col("unit") == r.unit))
+    if r.stock_sheet == "listed":                       # the job's own sheets already
+        return stock, mov
+    jk = ujobs.select(*JOB_KEYS)
+    if r.location_rule == "none":
+        return stock.join(jk, "unit"), mov
+    if r.location_rule == "local_or_pairs":
+        plain = _explode_list(ujobs, "locations", "_l")
+        pairs = ujobs.select(*JOB_KEYS, F.explode("location_pairs").alias("_p"))
+        s1 = stock.join(plain, (stock["unit"] == plain["unit"]) & (stock["local"] == plain["_l"])).select(
+            *[plain[k] for k in JOB_KEYS], "ref", "qty")
+        s2 = stock.join(pairs, (stock["unit"] == pairs["unit"]) & (stock["local"] == strip_text("_p.local"))
+                        & (stock["localisation"] == strip_text("_p.localisation"))).select(
+            *[pairs[k] for k in JOB_KEYS], "ref", "qty")
+        return s1.unionByName(s2), mov
+    if r.location_rule == "in_not_in":
+        conf = _explode_list(ujobs.where(F.size("locations") > 0), "locations", "_l")
+        implicit = (ujobs.where(F.coalesce(F.size("locations"), F.lit(0)) <= 0).select(*JOB_KEYS)
+                    .join(stock.select("unit", F.col("localisation").alias("_l")).where(F.col("_l") != "")
+                          .distinct(), "unit"))
+        inc = conf.unionByName(implicit.select(*JOB_KEYS, "_l"))
+        exc = _explode_list(ujobs.where(F.size("exclude") > 0), "exclude", "_x")
+        inc = inc.join(exc, [inc[k] == exc[k] for k in JOB_KEYS] + [inc["_l"] == exc["_x"]], "left_anti")
+        s = stock.join(inc, (stock["unit"] == inc["unit"]) & (stock["localisation"] == inc["_l"])).select(
+            *[inc[k] for k in JOB_KEYS], "ref", "qty")
+        nl = ujobs.select(*JOB_KEYS, "no_loc_col")
+        m = mov.join(nl, JOB_KEYS)
+        with_loc = m.where(~F.col("no_loc_col"))
+        with_loc = with_loc.where(F.col("localisation").isNotNull() & (F.col("localisation") != ""))
+        with_loc = with_loc.join(exc, [with_loc[k] == exc[k] for k in JOB_KEYS]
+                                 + [with_loc["localisation"] == exc["_x"]], "left_anti")
+        with_loc = with_loc.join(inc, [with_loc[k] == inc[k] for k in JOB_KEYS]
+                                 + [with_loc["localisation"] == inc["_l"]], "left_semi")
+        m = with_loc.unionByName(m.where(F.col("no_loc_col"))).drop("no_loc_col")
+        return s, m
+    # stock_in (an empty list keeps everything)
+    inc = _explode_list(ujobs, "locations", "_l")
+    s = stock.join(inc, (stock["unit"] == inc["unit"]) & (stock["localisation"] == inc["_l"])).select(
+        *[inc[k] for k in JOB_KEYS], "ref", "qty")
+    keep_all = ujobs.where(F.coalesce(F.size("locations"), F.lit(0)) <= 0).select(*JOB_KEYS)
+    s_all = stock.join(keep_all, "unit").select(*JOB_KEYS, "ref", "qty")
+    return s.unionByName(s_all), mov
+
+
+def run_units(stock_grid: DataFrame, mov_grid: DataFrame, jobs: DataFrame, rules: list[UnitRules],
+              year: int, month: int, opening_grid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All units and jobs in one plan.
+
+    ``jobs`` - job rows (``plans.sites.JOB_DDL``) plus the assigned ledger
+    ``file_id``; ``stock_grid`` / ``opening_grid`` - snapshot grids with a
+    ``unit`` column (or shared by all units).  Returns ``(recon, diagnostics)``.
     """
     from ledgerlens.session import stage
-    # every unit and header rule reads the grids several times: ingest once
     order = ("file_id", "sheet", "row_idx")
     stock_grid = stage(stock_grid, "grid-stock", order)
     mov_grid = stage(mov_grid, "grid-ledger", order)
     recons, diags = [], []
-    loc = F.broadcast(locations)
     for r in rules:
         mov, diag, ok_jobs = movement_lines(mov_grid, jobs, r, year, month)
-        st = stock_lines(stock_grid, r)
-        ujobs_loc = loc.where(F.col("unit") == r.unit)
-        st = st.join(ujobs_loc, st["localisation"] == ujobs_loc["location"]).select(*JOB_KEYS, "ref", "qty")
-        # only jobs whose ledger could be read produce results (others are
-        # reported in diagnostics); the job list is configuration-sized
-        st = st.join(F.broadcast(ok_jobs), JOB_KEYS, "left_semi")
+        stock, mov = apply_locations(snapshot_lines(stock_grid, jobs, r), mov, jobs, r)
+        # only jobs whose ledger could be read produce results; job lists are
+        # configuration-sized
+        stock = stock.join(F.broadcast(ok_jobs), JOB_KEYS, "left_semi")
         tol = r.tolerance if r.match == "tolerance" else None
-        recons.append(R.reconcile(st, mov, JOB_KEYS, tolerance=tol))
+        if r.period == "exact_month" and opening_grid is not None:
+            opening, _ = apply_locations(snapshot_lines(opening_grid, jobs, r), mov, jobs, r)
+            opening = opening.join(F.broadcast(ok_jobs), JOB_KEYS, "left_semi")
+            out = rollforward(stock, mov, opening, keys=tuple(JOB_KEYS), mov_round=r.mov_round,
+                              tolerance=r.tolerance)
+        else:
+            out = R.reconcile(stock, mov, JOB_KEYS, tolerance=tol)
+        recons.append(out)
         diags.append(diag)
     recon, diag = recons[0], diags[0]
     for x, d in zip(recons[1:], diags[1:]):
@@ -182,19 +307,24 @@ def run_units(stock_grid: DataFrame, mov_grid: DataFrame, jobs: DataFrame, locat
     return recon, diag
 
 
+def assign_jobs(job_rows: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Attach the ledger file assigned to each atelier (``match_files``)."""
+    return job_rows.join(assigned.select("unit", "atelier", F.col("path").alias("file_id")), ["unit", "atelier"])
+
+
 def demo_inputs(spark: SparkSession, sf_dir: str):
     """Profiles applied to the lineitem workbooks: unit Fath1 reads the 'F'
     ledgers, unit Mdoukal the 'O' ledgers; atelier = return flag, whose
     snapshot location is the same letter."""
+    from ledgerlens.plans.sites import JOB_DDL
     from ledgerlens.sources.grids import ledger_grid, stock_grid
     mov_grid = ledger_grid(spark, sf_dir)
     sgrid = stock_grid(spark, sf_dir)
-    jobs = spark.createDataFrame(
-        [(u, a, 0, f"MOV {a}{s}.xlsx", ["MOUVEMENT", "MOV"]) for u, s in (("Fath1", "F"), ("Mdoukal", "O"))
-         for a in "ANR"],
-        "unit string, atelier string, job_idx int, file_id string, candidates array<string>")
-    locations = spark.createDataFrame([(u, a, 0, a) for u in ("Fath1", "Mdoukal") for a in "ANR"],
-                                      "unit string, atelier string, job_idx int, location string")
+    rows = [(u, a, 0, a, ["MOUVEMENT", "MOV"], False, None, None, [a], None, None, None, None, None, False,
+             f"MOV {a}{s}.xlsx") for u, s in (("Fath1", "F"), ("Mdoukal", "O")) for a in "ANR"]
+    jobs = spark.createDataFrame(rows, JOB_DDL + ", file_id string")
+    # the rendered snapshot workbook has a junk first sheet and no date column,
+    # so the second unit reads it with the preference / densest-row rules
     rules = [UnitRules.from_profile("Fath1"),
-             UnitRules.from_profile("Mdoukal", date_order="dmy")]
-    return sgrid, mov_grid, jobs, locations, rules
+             UnitRules.from_profile("Mdoukal", date_order="dmy", stock_sheet="prefer:STOCK", stock_header="densest")]
+    return sgrid, mov_grid, jobs, rules

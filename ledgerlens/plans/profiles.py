@@ -66,9 +66,9 @@ ALIASES: dict[str, dict[str, dict[str, list[str]]]] = {
 
 # The rule matrix, one row per unit.
 #   stock_sheet: 'prefer:<kw>,<kw>' (substring preference, else first sheet),
-#                'exact:<name>' (else first), 'named:<name>', 'listed', 'candidates:<a>,<b>,<pos>'
+#                'exact:<name>' (else first), 'listed' (the job's own sheets), 'candidates:<a>,<b>,<pos>'
 #   header: densest | date_alias | required | keywords | tiered | ref_or_qty
-#   resolve: exact | casefold | exact_casefold | contains | collapse
+#   resolve: exact | casefold | exact_casefold | contains (exact, else substring) | substring | collapse
 #   period: none | cumulative | exact_month ; match: exact | tolerance ; order: signed | abs
 PROFILE_COLUMNS = ("unit", "stock_sheet", "stock_header", "stock_resolve", "stock_null_qty", "stock_round",
                    "mov_header", "mov_header_rows", "mov_resolve", "date_order", "period", "mov_round",
@@ -78,15 +78,15 @@ PROFILES = [
      "stock_in", "exact", "signed"),
     ("Fath2", "prefer:MOV,STOCK", "date_alias", "exact", "zero", 2, "date_alias", None, "exact", "mdy",
      "cumulative", 2, "stock_in", "exact", "signed"),
-    ("Fath3", "named:STOCKS", "required", "exact_casefold", "zero_locale", 4, "required", 80, "exact_casefold",
+    ("Fath3", "exact:STOCKS", "required", "exact_casefold", "zero_locale", 4, "required", 80, "exact_casefold",
      "serial_dmy", "cumulative", None, "in_not_in", "tolerance", "signed"),
     ("Fath5", "prefer:MOUV,MOV,STOCK", "date_alias", "contains", "zero", 2, "date_alias", None, "exact", "mdy",
      "cumulative", 2, "stock_in", "exact", "signed"),
-    ("Larbaa", "listed", "keywords", "contains", "zero", 2, "tiered", 50, "exact", "auto", "cumulative", None,
+    ("Larbaa", "listed", "keywords", "substring", "zero", 2, "tiered", 50, "exact", "auto", "cumulative", None,
      "sheet", "exact", "abs"),
-    ("Oran", "named", "densest", "collapse", "zero", None, "date_alias_norm", None, "collapse", "mdy",
+    ("Oran", "listed", "densest", "collapse", "zero", None, "date_alias_norm", None, "collapse", "mdy",
      "cumulative", None, "sheet", "exact", "signed"),
-    ("Fibre", "named:STOCKS GLOBALE", "date_alias", "casefold", "zero", 2, "date_alias", None, "casefold", "mdy",
+    ("Fibre", "exact:STOCKS GLOBALE", "date_alias", "casefold", "zero", 2, "date_alias", None, "casefold", "mdy",
      "cumulative", 2, "local_or_pairs", "exact", "abs"),
     ("Mdoukal", "exact:MOUV", "date_alias", "contains", "zero", 2, "date_alias", 80, "exact", "mdy",
      "cumulative", 2, "stock_in", "tolerance", "signed"),

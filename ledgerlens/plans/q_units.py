@@ -35,14 +35,14 @@ def reconcile_units(spark, sf_dir):
     (no period + exact match; cumulative cutoff + per-line rounding +
     tolerance), every atelier in one plan.  The 'F' ledger of location R has
     no column the first profile knows and yields a diagnostic instead."""
-    sgrid, mgrid, jobs, locations, rules = demo_inputs(spark, sf_dir)
-    recon, _diag = run_units(sgrid, mgrid, jobs, locations, rules, 1998, 6)
+    sgrid, mgrid, jobs, rules = demo_inputs(spark, sf_dir)
+    recon, _diag = run_units(sgrid, mgrid, jobs, rules, 1998, 6)
     return recon
 
 
 @query("diagnostics_units", DIAGNOSTICS_UNITS)
 def diagnostics_units(spark, sf_dir):
     """The diagnostics side of the all-units run (unreadable ledgers)."""
-    sgrid, mgrid, jobs, locations, rules = demo_inputs(spark, sf_dir)
-    _recon, diag = run_units(sgrid, mgrid, jobs, locations, rules, 1998, 6)
+    sgrid, mgrid, jobs, rules = demo_inputs(spark, sf_dir)
+    _recon, diag = run_units(sgrid, mgrid, jobs, rules, 1998, 6)
     return diag

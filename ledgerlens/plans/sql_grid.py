@@ -211,7 +211,8 @@ _F1_QTY = pos_exact("header", _al("Fath1", "mov", "quantity"))
 _MSG, _MISSING = _missing_msg(_F1_REF, _F1_QTY)
 
 DIAGNOSTICS_UNITS = (f"WITH g AS ({LEDGER_GRID}), " + _date_hdr_cells("sheet = 'MOUVEMENT'") + "\n"
-                     f"SELECT 'Fath1' AS unit, file_id || '/' || sheet AS scope, 'error' AS severity, "
+                     f"SELECT 'Fath1' AS unit, substr(file_id, 5, 1) || '/' || file_id || '/' || sheet AS scope, "
+                     "'error' AS severity, "
                      f"'MISSING_COLUMN' AS code, {_MSG} AS message FROM hc WHERE len({_MISSING}) > 0")
 
 DIAGNOSTICS = (f"WITH g AS ({LEDGER_GRID}), " + _date_hdr_cells() + "\n"
