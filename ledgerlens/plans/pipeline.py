@@ -281,9 +281,9 @@ def run_units(stock_grid: DataFrame, mov_grid: DataFrame, jobs: DataFrame, rules
     ``unit`` column (or shared by all units).  Returns ``(recon, diagnostics)``.
     """
     from ledgerlens.session import stage
-    order = ("file_id", "sheet", "row_idx")
-    stock_grid = stage(stock_grid, "grid-stock", order)
-    mov_grid = stage(mov_grid, "grid-ledger", order)
+    # every unit and rule reads the grids several times: stage them once
+    stock_grid = stage(stock_grid, "grid-stock")
+    mov_grid = stage(mov_grid, "grid-ledger")
     recons, diags = [], []
     for r in rules:
         mov, diag, ok_jobs = movement_lines(mov_grid, jobs, r, year, month)
