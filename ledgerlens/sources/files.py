@@ -60,3 +60,27 @@ def previous_snapshot(files: DataFrame) -> DataFrame:
         F.col("file_name").alias("prev_file"), F.col("period").alias("_pp"))
     return (cur.join(prev, F.add_months(F.col("c.period"), -1) == F.col("_pp"), "left")
             .select("c.file_name", "c.period", "prev_file"))
+
+
+def assign_snapshots(files: DataFrame, year: int, month: int, keys=("unit",)) -> DataFrame:
+    """Role of each snapshot file for a target period: 'current' when its
+    name says the target month, 'previous' for the month before; files whose
+    name carries no period fill the free roles in listing order (current
+    first, then previous).  ``files(keys..., path, file_name, file_pos)``;
+    a unit's snapshot listing is small, so the window below stays small."""
+    from pyspark.sql import Window
+
+    f = with_period(files)
+    target = F.make_date(F.lit(year), F.lit(month), F.lit(1))
+    role = (F.when(F.col("period") == target, "current")
+            .when(F.col("period") == F.add_months(target, -1), "previous"))
+    f = f.withColumn("role", role)
+    named = f.where(F.col("role").isNotNull())
+    taken = named.groupBy(*keys).agg(F.collect_set("role").alias("_taken"))
+    rest = f.where(F.col("role").isNull()).join(taken, list(keys), "left")
+    rest = rest.withColumn("_free", F.filter(F.array(F.lit("current"), F.lit("previous")),
+                                             lambda r: ~F.coalesce(F.array_contains("_taken", r), F.lit(False))))
+    rest = rest.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("file_pos")))
+    rest = rest.withColumn("role", F.try_element_at("_free", F.col("_n").cast("int")))
+    cols = [*keys, "path", "file_name", "role"]
+    return named.select(*cols).unionByName(rest.where(F.col("role").isNotNull()).select(*cols))

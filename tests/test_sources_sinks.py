@@ -72,3 +72,29 @@ def test_report_and_xlsx_writers(spark):
         with zipfile.ZipFile(r.file) as z:
             assert "xl/worksheets/sheet1.xml" in z.namelist()
         assert len(list(read_workbook(r.file))) == r.rows + 1
+
+
+def test_read_grid_dispatches_by_extension(spark):
+    from ledgerlens.sources.grid_reader import read_grid
+    d = tmpdir()
+    with open(os.path.join(d, "a.xlsx"), "wb") as fh:
+        fh.write(sinks.workbook_bytes([("S", [["Date", "REF"], ["1", "x"]])]))
+    with open(os.path.join(d, "b.csv"), "wb") as fh:
+        fh.write(b"Date;REF\n2;y\n")
+    with open(os.path.join(d, "notes.txt"), "wb") as fh:
+        fh.write(b"ignored")
+    got = {(r.file_id, r.sheet, r.row_idx): r.cells for r in read_grid(spark, d + "/*").collect()}
+    assert got == {("a.xlsx", "S", 0): ["Date", "REF"], ("a.xlsx", "S", 1): ["1", "x"],
+                   ("b.csv", "CSV", 0): ["Date", "REF"], ("b.csv", "CSV", 1): ["2", "y"]}
+
+
+def test_assign_snapshots_by_period_and_fallback(spark):
+    from ledgerlens.sources.files import assign_snapshots
+    files = spark.createDataFrame([("M", "/p/STOCK 3-2025.xlsx", "STOCK 3-2025.xlsx", 0),
+                                   ("M", "/p/inventaire.xlsx", "inventaire.xlsx", 1),
+                                   ("N", "/p/a.xlsx", "a.xlsx", 0), ("N", "/p/b.xlsx", "b.xlsx", 1),
+                                   ("N", "/p/STOCK 11-2024.xlsx", "STOCK 11-2024.xlsx", 2)],
+                                  "unit string, path string, file_name string, file_pos int")
+    got = {(r.unit, r.file_name): r.role for r in assign_snapshots(files, 2025, 3).collect()}
+    assert got == {("M", "STOCK 3-2025.xlsx"): "current", ("M", "inventaire.xlsx"): "previous",
+                   ("N", "a.xlsx"): "current", ("N", "b.xlsx"): "previous"}
