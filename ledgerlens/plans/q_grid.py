@@ -19,6 +19,7 @@ from ledgerlens.operators.sheets import restrict, sheet_by_keywords, sheet_from_
 from ledgerlens.plans import sql_grid as SG
 from ledgerlens.plans.profiles import aliases
 from ledgerlens.plans.registry import query
+from ledgerlens.session import stage
 from ledgerlens.sources import grids as G
 
 KEYS = ["file_id", "sheet"]
@@ -169,7 +170,7 @@ def override_cols(spark, sf_dir):
 def stock_load(spark, sf_dir):
     """Snapshot workbook -> preferred sheet -> densest header -> fixed
     columns -> cleaned lines -> SUM by (location, Ref)."""
-    g = G.stock_grid(spark, sf_dir)
+    g = stage(G.stock_grid(spark, sf_dir), "grid-stock")
     chosen = sheet_by_keywords(G.sheets_of(g), ["STOCK"])
     g = restrict(g, chosen.select("file_id", "sheet"))
     hc = H.header_cells(g, H.header_densest(g))
@@ -191,7 +192,7 @@ MULTI_QTY = {"MAG A": "QUANTITE", "MAG N": "QUANTITE/KG", "MAG R": "QUANTITE/M"}
 def stock_multi_sheet(spark, sf_dir):
     """Listed snapshot sheets stacked with their source
     sheet kept; each sheet has its own header row and quantity column."""
-    g = G.multi_sheet_grid(spark, sf_dir)
+    g = stage(G.multi_sheet_grid(spark, sf_dir), "grid-multi")
     listed = spark.createDataFrame([(G.MULTI_FILE, s, q) for s, q in MULTI_QTY.items()],
                                    "file_id string, sheet string, qty_name string")
     g = g.join(F.broadcast(listed), KEYS)
@@ -210,7 +211,7 @@ def stock_multi_sheet(spark, sf_dir):
 def mov_stacked(spark, sf_dir):
     """The two ledger sheets of a pair, each with its own
     header and date order, stacked and summed by Ref up to June 1998."""
-    g = G.paired_ledger_grid(spark, sf_dir)
+    g = stage(G.paired_ledger_grid(spark, sf_dir), "grid-pair")
     al = {r: aliases("Larbaa", "mov", r) for r in ("date", "ref", "quantity")}
     hc = H.header_cells(g, H.header_tiered(g, al["date"], al["ref"], al["quantity"]))
     lines = extract(g, hc, {"ref": C.resolve_exact("header", al["ref"]),

@@ -111,5 +111,12 @@ def stage(df: DataFrame, name: str, order_by: tuple[str, ...] = ()) -> DataFrame
     if order_by:
         n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         df = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
+    else:
+        # an input with fewer splits than task slots (one small file) is
+        # spread round-robin so that every later pass runs in parallel; a
+        # large input already has more splits and is written as it is
+        slots = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < slots:
+            df = df.repartition(slots)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
