@@ -151,3 +151,32 @@ def test_two_units_in_one_plan_with_column_override(spark):
                    ("Fath2", "ouate 01", "A2"): (0.0, 1.0, "discrepancy"),
                    ("Fath5", "secondaire", "S1"): (5.0, 5.0, "match")}
     assert diag.count() == 0
+
+
+def test_process_from_files_with_matching_skip_and_override(spark):
+    from ledgerlens.plans.run import process
+    d = tempfile.mkdtemp(dir="/tmp")
+    write(d, "STOCK 3-2025.xlsx", [("Feuil1", [["x"]]), ("STOCK", [
+        ["ETAT"], ["REFERENCE", "DESIGNATION", "QUANTITE", "LOCALISATION"],
+        ["B1", "d", "4", "MAGASINE DE BLOCS"], ["B1", "d", "1", "MAGASIN COMMERCIAL"],
+        ["C1", "d", "2", "MAGASIN COMMERCIAL"], ["Z", "d", "9", "ATT  ROULER"]])])
+    write(d, "MOV bloc 2025.xlsx", [("MOUVEM 09", [["Titre"], ["Date", "REFERENCE", "STOCK"],
+                                                   ["1/1/2024", "B1", "4"], ["2/1/2024", "B2", "1"]])])
+    write(d, "mov-com.xlsx", [("MOV", [["Date", "REFERENCE", "STOCK", "QTE"], ["1/1/2025", "C1", "99", "2"],
+                                       ["1/1/2025", "B1", "0", "1.5"]])])
+    write(d, "MOV rouler.xlsx", [("MOVEMENT ROLI", [["Date", "REFERENCE", "STOCK"], ["1/1/2025", "Z", "9"]])])
+    write(d, "notes.xlsx", [("S", [["x"]])])
+    paths = [("Fath1", "stock", f"{d}/STOCK 3-2025.xlsx")] + [
+        ("Fath1", "ledger", f"{d}/{n}") for n in ("MOV bloc 2025.xlsx", "mov-com.xlsx", "MOV rouler.xlsx", "notes.xlsx")]
+    inputs = spark.createDataFrame(paths, "unit string, role string, path string")
+    skip = spark.createDataFrame([("Fath1", "rouler")], "unit string, atelier string")
+    ovr = spark.createDataFrame([("Fath1", "mov-com", "", None, "QTE")],
+                                "unit string, atelier string, sheet_name string, ref_col string, qty_col string")
+    recon, diag, assigned = process(spark, inputs, 2025, 3, skip=skip, overrides=ovr)
+    assert {(r.atelier, r.path.split("/")[-1]) for r in assigned.collect()} == {
+        ("bloc", "MOV bloc 2025.xlsx"), ("mov-com", "mov-com.xlsx")}
+    got = {(r.atelier, r.Ref): (r.Stock_Qty, r.Calc_Mov_Qty, r.status) for r in recon.collect()}
+    assert got == {("bloc", "B1"): (4.0, 4.0, "match"), ("bloc", "B2"): (0.0, 1.0, "discrepancy"),
+                   ("mov-com", "C1"): (2.0, 2.0, "match"), ("mov-com", "B1"): (1.0, 1.5, "discrepancy")}
+    assert {(r.code, r.scope) for r in diag.collect()} == {("UNMATCHED_FILE", "MOV rouler.xlsx"),
+                                                          ("UNMATCHED_FILE", "notes.xlsx")}
