@@ -226,14 +226,34 @@ def _explode_list(jobs: DataFrame, col: str, name: str) -> DataFrame:
         F.col(name) != "")
 
 
+def _job_keys(jobs: DataFrame, unit: str, where: Column | None = None) -> list[tuple[str, int]]:
+    """(atelier, job_idx) of a unit's jobs - configuration rows (a few per
+    unit), read on the driver to tag lines without a join."""
+    j = jobs.where(F.col("unit") == unit)
+    if where is not None:
+        j = j.where(where)
+    return sorted({(r.atelier, r.job_idx) for r in j.select("atelier", "job_idx").collect()})
+
+
+def _tag_jobs(df: DataFrame, unit: str, keys: list[tuple[str, int]]) -> DataFrame:
+    """Every row once per listed job of ``unit`` (no join: the job list is a
+    literal array)."""
+    if not keys:
+        return df.where(F.lit(False)).select(F.lit(unit).alias("unit"), F.lit(None).cast("string").alias("atelier"),
+                                             F.lit(None).cast("int").alias("job_idx"), "*")
+    arr = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(i).alias("i")) for a, i in keys])
+    t = df.select("*", F.explode(arr).alias("_job"))
+    return t.select(F.lit(unit).alias("unit"), F.col("_job.a").alias("atelier"),
+                    F.col("_job.i").cast("int").alias("job_idx"), *[c for c in df.columns if c != "unit"])
+
+
 def apply_locations(stock: DataFrame, mov: DataFrame, jobs: DataFrame, r: UnitRules):
     """Per-job location rules -> (stock lines by job, ledger lines by job)."""
     ujobs = F.broadcast(jobs.where(F.col("unit") == r.unit))
     if r.stock_sheet == "listed":                       # the job's own sheets already
         return stock, mov
-    jk = ujobs.select(*JOB_KEYS)
     if r.location_rule == "none":
-        return stock.join(jk, "unit"), mov
+        return _tag_jobs(stock, r.unit, _job_keys(jobs, r.unit)).select(*JOB_KEYS, "ref", "qty"), mov
     if r.location_rule == "local_or_pairs":
         plain = _explode_list(ujobs, "locations", "_l")
         pairs = ujobs.select(*JOB_KEYS, F.explode("location_pairs").alias("_p"))
@@ -245,9 +265,9 @@ def apply_locations(stock: DataFrame, mov: DataFrame, jobs: DataFrame, r: UnitRu
         return s1.unionByName(s2), mov
     if r.location_rule == "in_not_in":
         conf = _explode_list(ujobs.where(F.size("locations") > 0), "locations", "_l")
-        implicit = (ujobs.where(F.coalesce(F.size("locations"), F.lit(0)) <= 0).select(*JOB_KEYS)
-                    .join(stock.select("unit", F.col("localisation").alias("_l")).where(F.col("_l") != "")
-                          .distinct(), "unit"))
+        implicit_jobs = _job_keys(jobs, r.unit, F.coalesce(F.size("locations"), F.lit(0)) <= 0)
+        implicit = _tag_jobs(stock.select(F.col("localisation").alias("_l")).where(F.col("_l") != "").distinct(),
+                             r.unit, implicit_jobs)
         inc = conf.unionByName(implicit.select(*JOB_KEYS, "_l"))
         exc = _explode_list(ujobs.where(F.size("exclude") > 0), "exclude", "_x")
         inc = inc.join(exc, [inc[k] == exc[k] for k in JOB_KEYS] + [inc["_l"] == exc["_x"]], "left_anti")
@@ -267,8 +287,10 @@ def apply_locations(stock: DataFrame, mov: DataFrame, jobs: DataFrame, r: UnitRu
     inc = _explode_list(ujobs, "locations", "_l")
     s = stock.join(inc, (stock["unit"] == inc["unit"]) & (stock["localisation"] == inc["_l"])).select(
         *[inc[k] for k in JOB_KEYS], "ref", "qty")
-    keep_all = ujobs.where(F.coalesce(F.size("locations"), F.lit(0)) <= 0).select(*JOB_KEYS)
-    s_all = stock.join(keep_all, "unit").select(*JOB_KEYS, "ref", "qty")
+    keep_all = _job_keys(jobs, r.unit, F.coalesce(F.size("locations"), F.lit(0)) <= 0)
+    if not keep_all:
+        return s, mov
+    s_all = _tag_jobs(stock, r.unit, keep_all).select(*JOB_KEYS, "ref", "qty")
     return s.unionByName(s_all), mov
 
 
