@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import strip_text
 
-# Accepted textual layouts.  ISO is always tried first; the
-# slash / dash day-month layouts need a four-digit year so that '25' is never
-# read as year 25.
-ISO_PATTERNS = ("yyyy-M-d", "yyyy/M/d", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s")
-DAYFIRST_PATTERNS = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yyyy H:m:s", "d/M/yyyy H:m")
-MONTHFIRST_PATTERNS = ("M/d/yyyy", "M-d-yyyy", "M/d/yyyy H:m:s", "M/d/yyyy H:m")
+# Accepted textual layouts, as full-string shapes.  ISO is
+# always tried first; day / month take one or two digits (day 1-31, month
+# 1-12) and the year exactly four, so that '25' is never read as year 25.
+#   ISO         yyyy-M-d, yyyy/M/d, yyyy-M-d H:m:s, yyyy-M-dTH:m:s
+#   day-first   d/M/yyyy, d-M-yyyy, d.M.yyyy, d/M/yyyy H:m:s, d/M/yyyy H:m
+#   month-first M/d/yyyy, M-d-yyyy, M/d/yyyy H:m:s, M/d/yyyy H:m
+_D = "(0?[1-9]|[12][0-9]|3[01])"
+_M = "(0?[1-9]|1[0-2])"
+_Y = "[0-9]{4}"
+_HM = "([01]?[0-9]|2[0-3]):[0-5]?[0-9]"
+_HMS = f"{_HM}:[0-5]?[0-9]"
+ISO_FULL = f"^{_Y}(-{_M}-{_D}([ T]{_HMS})?|/{_M}/{_D})$"
+DMY_FULL = rf"^{_D}(/{_M}/{_Y}( {_HM}(:[0-5]?[0-9])?)?|-{_M}-{_Y}|\.{_M}\.{_Y})$"
+MDY_FULL = f"^{_M}(/{_D}/{_Y}( {_HM}(:[0-5]?[0-9])?)?|-{_D}-{_Y})$"
+# the first three numbers of a matched value, rewritten as year-month-day
+_FIRST3 = "^([0-9]+)[-/.]([0-9]+)[-/.]([0-9]+).*$"
 # Excel's day zero; serial day numbers count from here.
 EXCEL_EPOCH = "1899-12-30"
 SERIAL_MEDIAN_LOW, SERIAL_MEDIAN_HIGH = 20000, 60000
@@ -27,30 +37,26 @@ def _blank_null(c) -> Column:
     return F.when(s != "", s)
 
 
-# Cheap shape tests run before the parsers: a failed parse is costly, so a
-# value is only handed to the layouts its shape allows.
-ISO_SHAPE = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}"
-DMY_SHAPE = r"^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}"
-
-
-def _try_patterns(s: Column, patterns, shape: str) -> Column:
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in patterns]).cast("date")
-    return F.when(s.rlike(shape), parsed)
+def _layout(s: Column, shape: str, ymd: str) -> Column:
+    """A value of the given shape as a DATE: one full-string regex test, one
+    rewrite to year-month-day and a cast that yields NULL for impossible
+    days (30 February); no parser runs on values of other shapes."""
+    return F.when(s.rlike(shape), F.regexp_replace(s, _FIRST3, ymd).try_cast("date"))
 
 
 def parse_iso(c) -> Column:
-    return _try_patterns(_blank_null(c), ISO_PATTERNS, ISO_SHAPE)
+    return _layout(_blank_null(c), ISO_FULL, "$1-$2-$3")
 
 
 def parse_dayfirst(c) -> Column:
     """Day-first text date (ISO first); blank or unparsable -> NULL."""
     s = _blank_null(c)
-    return F.coalesce(_try_patterns(s, ISO_PATTERNS, ISO_SHAPE), _try_patterns(s, DAYFIRST_PATTERNS, DMY_SHAPE))
+    return F.coalesce(_layout(s, ISO_FULL, "$1-$2-$3"), _layout(s, DMY_FULL, "$3-$2-$1"))
 
 
 def parse_monthfirst(c) -> Column:
     s = _blank_null(c)
-    return F.coalesce(_try_patterns(s, ISO_PATTERNS, ISO_SHAPE), _try_patterns(s, MONTHFIRST_PATTERNS, DMY_SHAPE))
+    return F.coalesce(_layout(s, ISO_FULL, "$1-$2-$3"), _layout(s, MDY_FULL, "$3-$1-$2"))
 
 
 def parse_by_order(c, order: Column) -> Column:

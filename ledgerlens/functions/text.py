@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 WS_CLASS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
-_STRIP_RE = f"^{WS_CLASS}+|{WS_CLASS}+$"
+# the same characters as a literal set, for btrim
+WS_CHARS = "".join(chr(c) for c in [0x09, 0x0A, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                                     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 _DIGIT_DOT_DIGIT = r"(?<=\p{Nd})\.(?=\p{Nd})"
 
 
@@ -20,8 +22,9 @@ def _c(c) -> Column:
 
 
 def strip_text(c) -> Column:
-    """Strip leading and trailing whitespace (Unicode aware, like str.strip)."""
-    return F.regexp_replace(_c(c), _STRIP_RE, "")
+    """Strip leading and trailing whitespace (Unicode aware, like str.strip):
+    a character-set trim, no regex."""
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def normalize_ref(c) -> Column:
