@@ -1,8 +1,8 @@
 """Per-file date handling: US / EU / ISO detection and Excel serial gating.
 
 Both decisions are per (file, sheet) column and are computed with
-aggregates, then joined back to the lines (one row per file, AQE broadcasts
-it).  The first-200-values sample uses ``row_number() <= 200`` per file,
+aggregates, then joined back to the lines (one row per file, broadcast when
+its measured size allows).  The first-200-values sample uses ``row_number() <= 200`` per file,
 which Spark plans as a partial group limit before the shuffle, so a huge
 file only ships 200 rows per map task.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.dates import (SERIAL_MEDIAN_HIGH, SERIAL_MEDIAN_LOW, excel_serial_to_date,
                                         parse_by_order, parse_dayfirst)
 from ledgerlens.functions.text import strip_text
+from ledgerlens.session import checked_broadcast
 
 SAMPLE_SIZE = 200
 # day/month/year and ISO shapes used for the order signals.
@@ -62,7 +63,7 @@ def detect_date_order(df: DataFrame, group: Sequence[str], order_col: str, value
 def parse_dates_auto(df: DataFrame, group: Sequence[str], order_col: str, value_col: str,
                      out: str = "mov_date") -> DataFrame:
     """Parse each column by its detected order."""
-    det = detect_date_order(df, group, order_col, value_col).select(*group, "date_order")
+    det = checked_broadcast(detect_date_order(df, group, order_col, value_col).select(*group, "date_order"))
     j = df.join(det, list(group), "left").fillna("unknown", ["date_order"])
     return j.withColumn(out, parse_by_order(F.col(value_col), F.col("date_order")))
 
@@ -101,7 +102,7 @@ def serial_date_columns(df: DataFrame, group: Sequence[str], value_col: str) ->
 
 def coerce_dates(df: DataFrame, group: Sequence[str], value_col: str, out: str = "mov_date") -> DataFrame:
     """Serial numbers where the column passes the gate, else day-first text."""
-    gate = serial_date_columns(df, group, value_col)
+    gate = checked_broadcast(serial_date_columns(df, group, value_col))
     j = df.join(gate, list(group), "left").fillna(False, ["is_serial"])
     s = strip_text(F.col(value_col).cast("string"))
     num = F.when(s != "", s).try_cast("decimal(38,10)").cast("double")

@@ -2,7 +2,7 @@
 
 A grid is ``(file_id, sheet, row_idx, cells ARRAY<STRING>)`` with NULL for
 empty cells.  Every rule is a per-sheet aggregate (``min`` of the qualifying
-row index, or ``max_by`` for the densest row): partial aggregation runs
+row index, or the ``max`` of a packed (count, row) for the densest row): partial aggregation runs
 map-side, so no sheet is gathered into one task.  The result has one row per
 sheet: ``(keys..., header_idx, found)``; without a qualifying row the first
 row of the sheet is the header, as a headerless read would take it.
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import normalize_label, strip_text
+from ledgerlens.session import checked_broadcast
 
 KEYS = ("file_id", "sheet")
 
@@ -39,21 +40,43 @@ def _scan(grid: DataFrame, max_rows: int | None) -> DataFrame:
     return grid.where(F.col("row_idx") < max_rows) if max_rows is not None else grid
 
 
-def _first(grid: DataFrame, keys: Sequence[str], *preds: Column) -> DataFrame:
+def _first(grid: DataFrame, keys: Sequence[str], *preds: Column, whole: DataFrame | None = None) -> DataFrame:
     """First row satisfying the predicates in priority order, else the
-    sheet's first row.  The header cells come out of the same aggregate
-    (``min_by`` skips rows whose ordering value is NULL), so no second pass
-    over the grid is needed."""
+    sheet's first row.
+
+    Over a capped scan the header cells come out of the same aggregate
+    (``min_by`` skips rows whose ordering value is NULL; its array buffer
+    makes it a sort aggregate, but only over the first rows of each sheet).
+    Over a whole sheet (``whole`` given) only row indices are aggregated - a
+    hash aggregate, no sort of the sheet - and the cells are fetched by one
+    join back to ``whole``."""
     idx, cells = F.col("row_idx"), F.col("cells")
+    with_cells = whole is None
     aggs = []
     for i, p in enumerate(preds):
-        aggs += [F.min(F.when(p, idx)).alias(f"_h{i}"), F.min_by(cells, F.when(p, idx)).alias(f"_c{i}")]
-    out = grid.groupBy(*keys).agg(*aggs, F.min(idx).alias("_first"), F.min_by(cells, idx).alias("_fc"))
+        aggs.append(F.min(F.when(p, idx)).alias(f"_h{i}"))
+        if with_cells:
+            aggs.append(F.min_by(cells, F.when(p, idx)).alias(f"_c{i}"))
+    aggs.append(F.min(idx).alias("_first"))
+    if with_cells:
+        aggs.append(F.min_by(cells, idx).alias("_fc"))
+    out = grid.groupBy(*keys).agg(*aggs)
     hit = F.coalesce(*[F.col(f"_h{i}") for i in range(len(preds))])
+    picked = [*keys, F.coalesce(hit, F.col("_first")).alias("header_idx"), hit.isNotNull().alias("found")]
+    if not with_cells:
+        return _fetch_cells(whole, out.select(*picked), keys)
     hdr = F.coalesce(*[F.when(F.col(f"_h{i}").isNotNull(), F.col(f"_c{i}")) for i in range(len(preds))],
                      F.col("_fc"))
-    return out.select(*keys, F.coalesce(hit, F.col("_first")).alias("header_idx"),
-                      hit.isNotNull().alias("found"), hdr.alias("header"))
+    return out.select(*picked, hdr.alias("header"))
+
+
+def _fetch_cells(grid: DataFrame, picked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attach each sheet's header-row cells: the grid streams through one
+    join with the one-row-per-sheet pick (broadcast when its measured size
+    allows).  The picked row index came from the grid, so an inner join
+    keeps every sheet."""
+    g = grid.select(*keys, F.col("row_idx").alias("header_idx"), F.col("cells").alias("header"))
+    return g.join(checked_broadcast(picked), [*keys, "header_idx"]).select(*keys, "header_idx", "found", "header")
 
 
 def header_by_alias(grid: DataFrame, aliases: Sequence[str], keys: Sequence[str] = KEYS,
@@ -69,7 +92,7 @@ def header_by_alias(grid: DataFrame, aliases: Sequence[str], keys: Sequence[str]
         vals = present_values()
         targets = list(aliases)
     pred = F.exists(vals, lambda v: F.array_contains(_lit_array(targets), v))
-    return _first(_scan(grid, max_rows), keys, pred)
+    return _first(_scan(grid, max_rows), keys, pred, whole=grid if max_rows is None else None)
 
 
 def normalize_label_py(value: str) -> str:
@@ -77,13 +100,24 @@ def normalize_label_py(value: str) -> str:
     return " ".join(str(value).split()).strip().lower()
 
 
+# Row indices are BIGINT, so below 10^19: (non-empty count, first row) packs
+# into one DECIMAL(38,0) whose max is the densest row, first on ties.
+_ROW_SPAN = 10 ** 19
+
+
 def header_densest(grid: DataFrame, keys: Sequence[str] = KEYS, max_rows: int | None = None) -> DataFrame:
-    """Row with the most non-empty cells; the first such row wins ties."""
-    n = F.size(F.filter(F.col("cells"), lambda x: x.isNotNull()))
-    best = F.max_by(F.struct(F.col("row_idx"), F.col("cells")), F.struct(n, -F.col("row_idx")))
-    return (_scan(grid, max_rows).groupBy(*keys).agg(best.alias("_b"))
-            .select(*keys, F.col("_b.row_idx").alias("header_idx"), F.lit(True).alias("found"),
-                    F.col("_b.cells").alias("header")))
+    """Row with the most non-empty cells; the first such row wins ties.
+
+    The pick is a plain ``max`` of a packed decimal, so the whole-sheet scan
+    is a hash aggregate; the winning row's cells are fetched by one join."""
+    dec = "decimal(38,0)"
+    span, last = F.lit(str(_ROW_SPAN)).cast(dec), F.lit(str(_ROW_SPAN - 1)).cast(dec)
+    n = F.size(F.filter(F.col("cells"), lambda x: x.isNotNull())).cast(dec)
+    packed = n * span + (last - F.col("row_idx").cast(dec))
+    best = _scan(grid, max_rows).groupBy(*keys).agg(F.max(packed).alias("_k"))
+    row = (last - F.col("_k") % span).cast("bigint")
+    picked = best.select(*keys, row.alias("header_idx"), F.lit(True).alias("found"))
+    return _fetch_cells(grid, picked, keys)
 
 
 def header_required(grid: DataFrame, required: Sequence[str], keys: Sequence[str] = KEYS,

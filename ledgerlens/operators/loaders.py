@@ -2,7 +2,8 @@
 
 ``extract`` keeps the rows below each sheet's header, drops wholly blank
 rows and picks the cells at the resolved positions.  The per-sheet header
-table (one row per sheet) is joined to the grid; AQE broadcasts it.
+table (one row per sheet) is joined to the grid, broadcast when its measured
+size allows (``session.checked_broadcast``), so the grid is not shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.columns import cell
+from ledgerlens.session import checked_broadcast
 
 KEYS = ("file_id", "sheet")
 
@@ -22,7 +24,7 @@ def extract(grid: DataFrame, header: DataFrame, roles: Mapping[str, Column],
     """``header(keys..., header_idx, header)`` and role -> position expression
     over ``header`` give ``(keys..., row_idx, <role>...)`` raw text cells,
     plus ``<role>_pos`` for diagnostics."""
-    pos = header.select(*keys, "header_idx", *[e.alias(f"{r}_pos") for r, e in roles.items()])
+    pos = checked_broadcast(header.select(*keys, "header_idx", *[e.alias(f"{r}_pos") for r, e in roles.items()]))
     body = grid.join(pos, list(keys)).where(F.col("row_idx") > F.col("header_idx"))
     body = body.where(F.exists("cells", lambda c: c.isNotNull()))
     return body.select(*keys, "row_idx", *[cell(F.col(f"{r}_pos")).alias(r) for r in roles],

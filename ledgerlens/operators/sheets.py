@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import checked_broadcast
+
 
 def sheet_from_candidates(sheets: DataFrame, jobs: DataFrame, job_keys: Sequence[str]) -> DataFrame:
     """First available sheet from each job's ordered candidate list.
@@ -43,5 +45,7 @@ def sheet_by_keywords(sheets: DataFrame, keywords: Sequence[str], exact: bool =
 
 def restrict(grid: DataFrame, chosen: DataFrame) -> DataFrame:
     """Rows of the chosen sheets only; extra key columns of ``chosen`` (such
-    as the job) are carried onto the rows."""
-    return grid.join(chosen.where(F.col("sheet").isNotNull()), ["file_id", "sheet"])
+    as the job) are carried onto the rows.  ``chosen`` has one row per
+    (file, sheet, job): it is materialized so the planner broadcasts it
+    while its size allows and the grid streams through unshuffled."""
+    return grid.join(checked_broadcast(chosen.where(F.col("sheet").isNotNull()), "sheets"), ["file_id", "sheet"])

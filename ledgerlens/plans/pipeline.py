@@ -339,9 +339,11 @@ def demo_inputs(spark: SparkSession, sf_dir: str):
     ledgers, unit Mdoukal the 'O' ledgers; atelier = return flag, whose
     snapshot location is the same letter."""
     from ledgerlens.plans.sites import JOB_DDL
+    from ledgerlens.session import stage
     from ledgerlens.sources.grids import ledger_grid, stock_grid
-    mov_grid = ledger_grid(spark, sf_dir)
-    sgrid = stock_grid(spark, sf_dir)
+    # staged once, as grids read from files are: every rule pass scans them
+    mov_grid = stage(ledger_grid(spark, sf_dir), "grid-ledger")
+    sgrid = stage(stock_grid(spark, sf_dir), "grid-stock")
     rows = [(u, a, 0, a, ["MOUVEMENT", "MOV"], False, None, None, [a], None, None, None, None, None, False,
              f"MOV {a}{s}.xlsx") for u, s in (("Fath1", "F"), ("Mdoukal", "O")) for a in "ANR"]
     jobs = spark.createDataFrame(rows, JOB_DDL + ", file_id string")

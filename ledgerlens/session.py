@@ -61,6 +61,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checked_broadcast(small: DataFrame, name: str = "per-key") -> DataFrame:
+    """A per-sheet / per-file / per-group table made safe to join to
+    data-sized rows.
+
+    The table (an aggregate over the data) is computed once and written as
+    Parquet to the shared checkpoint folder, then read back: a lineage cut,
+    and its real file size becomes the relation's size statistic, so the
+    planner broadcasts it - the data side streams through the join without
+    a shuffle - only while that size is under
+    ``spark.sql.autoBroadcastJoinThreshold``; above it the join shuffles
+    both sides (AQE still splits skew)."""
+    import uuid
+
+    spark = small.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    small.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
