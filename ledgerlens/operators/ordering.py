@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import checked_broadcast, cut_lineage
 
 
 def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column],
@@ -41,8 +41,10 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[C
     numbered = (sorted_df.join(F.broadcast(offsets), "_pid")
                 .withColumn("_g", F.col("_off") + F.col("_local")))
     if group_cols:
-        # one row per group; AQE turns this into a broadcast when it is small
-        starts = numbered.groupBy(*group_cols).agg(F.min("_g").alias("_g0"))
+        # one row per group, written back so the planner broadcasts it by its
+        # real size: the numbered rows are never shuffled by group (a hot
+        # group would otherwise land in one task)
+        starts = checked_broadcast(numbered.groupBy(*group_cols).agg(F.min("_g").alias("_g0")), "group-starts")
         cond = [numbered[c].eqNullSafe(starts[c]) for c in group_cols]
         numbered = numbered.join(starts, cond).drop(*[starts[c] for c in group_cols])
     else:
