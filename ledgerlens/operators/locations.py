@@ -1,8 +1,10 @@
 """Location rules: which snapshot / ledger lines belong to an atelier.
 
 Location lists are configuration.  A literal list becomes ``isin`` (pushed to
-the scan); per-atelier lists and implicit lists are small DataFrames used in
-left-semi / left-anti joins, which AQE broadcasts once their size is known.
+the scan); per-atelier lists and (LOCAL, LOCALISATION) pairs are small
+configuration DataFrames, broadcast into left-semi joins.  The implicit list
+(every distinct snapshot location) is derived from the data, so it goes
+through ``session.checked_broadcast`` and is broadcast only by its real size.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import strip_text
+from ledgerlens.session import checked_broadcast
 
 
 def _clean(values: Sequence[str] | None) -> list[str]:
@@ -79,6 +82,7 @@ def implicit_selection(stock: DataFrame, mov: DataFrame, include: Sequence[str]
             .where(F.col("location").isNotNull()).distinct())
     if exc:
         locs = locs.where(~F.col("location").isin(exc))
+    locs = checked_broadcast(locs, "locations")
     s = stock.alias("s").join(locs.alias("l"), [F.col(f"s.{k}") == F.col(f"l.{k}") for k in keys]
                               + [strip_text(F.col(f"s.{stock_col}")) == F.col("l.location")], "left_semi")
     if mov_col is None:

@@ -30,6 +30,7 @@ from ledgerlens.operators.loaders import extract, missing_columns
 from ledgerlens.operators.rollforward import rollforward
 from ledgerlens.operators.sheets import sheet_by_keywords, sheet_from_candidates
 from ledgerlens.plans.profiles import PROFILE_COLUMNS, PROFILES, aliases
+from ledgerlens.session import checked_broadcast
 from ledgerlens.sources.grids import sheets_of
 
 JOB_KEYS = ["unit", "atelier", "job_idx"]
@@ -271,6 +272,9 @@ def apply_locations(stock: DataFrame, mov: DataFrame, jobs: DataFrame, r: UnitRu
         inc = conf.unionByName(implicit.select(*JOB_KEYS, "_l"))
         exc = _explode_list(ujobs.where(F.size("exclude") > 0), "exclude", "_x")
         inc = inc.join(exc, [inc[k] == exc[k] for k in JOB_KEYS] + [inc["_l"] == exc["_x"]], "left_anti")
+        # one row per (job, location), partly derived from the data: joined to
+        # both sides by its checked size
+        inc = checked_broadcast(inc, "locations")
         s = stock.join(inc, (stock["unit"] == inc["unit"]) & (stock["localisation"] == inc["_l"])).select(
             *[inc[k] for k in JOB_KEYS], "ref", "qty")
         nl = ujobs.select(*JOB_KEYS, "no_loc_col")
