@@ -137,7 +137,8 @@ def movement_lines(mov_grid: DataFrame, jobs: DataFrame, r: UnitRules, year: int
     ujobs = jobs.where(F.col("unit") == r.unit)
     chosen = ledger_sheets(mov_grid, ujobs).where(F.col("sheet").isNotNull())
     jcols = ujobs.select(*JOB_KEYS, "ref_col", "qty_col", "must_contain")
-    per_job = F.broadcast(chosen.join(jcols, JOB_KEYS))
+    # one row per (sheet, job), from the grid's sheet list: joined by its checked size
+    per_job = checked_broadcast(chosen.join(jcols, JOB_KEYS), "sheets")
     keys = [*G_KEYS, *JOB_KEYS]
     rows = mov_grid.join(per_job, G_KEYS)
     hdr = _headers(rows, r.mov_header, r, "mov", keys, r.mov_header_rows)
@@ -197,10 +198,11 @@ def snapshot_lines(stock_grid: DataFrame, jobs: DataFrame, r: UnitRules) -> Data
         chosen = sheet_by_keywords(sheets, arg.split(","), exact=(kind == "exact")).select(
             "file_id", "sheet", F.lit(r.unit).alias("unit"))
     keys = [*G_KEYS, *JOB_KEYS] if per_job else [*G_KEYS, "unit"]
-    rows = g.drop("unit").join(F.broadcast(chosen), G_KEYS)
+    chosen = checked_broadcast(chosen, "sheets")
+    rows = g.drop("unit").join(chosen, G_KEYS)
     hc = _headers(rows, r.stock_header, r, "stock", keys)
     if per_job:
-        hc = hc.join(F.broadcast(chosen.select(*keys, "stock_qty_col")), keys)
+        hc = hc.join(chosen.select(*keys, "stock_qty_col"), keys)
     al = {k: aliases(r.unit, "stock", k) for k in ("ref", "quantity", "localisation", "local")}
     qty_pos = _resolver(r.stock_resolve, al["quantity"])
     if per_job:
@@ -343,11 +345,9 @@ def demo_inputs(spark: SparkSession, sf_dir: str):
     ledgers, unit Mdoukal the 'O' ledgers; atelier = return flag, whose
     snapshot location is the same letter."""
     from ledgerlens.plans.sites import JOB_DDL
-    from ledgerlens.session import stage
     from ledgerlens.sources.grids import ledger_grid, stock_grid
-    # staged once, as grids read from files are: every rule pass scans them
-    mov_grid = stage(ledger_grid(spark, sf_dir), "grid-ledger")
-    sgrid = stage(stock_grid(spark, sf_dir), "grid-stock")
+    mov_grid = ledger_grid(spark, sf_dir)
+    sgrid = stock_grid(spark, sf_dir)
     rows = [(u, a, 0, a, ["MOUVEMENT", "MOV"], False, None, None, [a], None, None, None, None, None, False,
              f"MOV {a}{s}.xlsx") for u, s in (("Fath1", "F"), ("Mdoukal", "O")) for a in "ANR"]
     jobs = spark.createDataFrame(rows, JOB_DDL + ", file_id string")
