@@ -6,8 +6,9 @@ whole group (one atelier may hold a third of all rows) into one task.
 Instead the rows are range-sorted across all partitions, each row gets its
 position inside its partition, per-partition counts (one row per partition)
 give prefix offsets, and each group's first global position is subtracted.
-The sorted, numbered rows are checkpointed to the shared checkpoint folder
-so both passes read the same order.
+The sorted rows, with their partition and in-partition positions as
+columns, are written once to the shared checkpoint folder so both passes
+read the same order.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[C
                  .withColumn("_pid", F.spark_partition_id())
                  .withColumn("_local", F.monotonically_increasing_id()
                              - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    sorted_df = cut_lineage(sorted_df)
+    sorted_df = cut_lineage(sorted_df, "ranked")
     # one row per partition: a size bounded by the partition count
     counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(

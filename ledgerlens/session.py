@@ -55,10 +55,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Lineage cut: ``df`` computed once and written as Parquet under the
+    shared checkpoint folder (never local), then read back.  Unlike an eager
+    ``checkpoint()`` of an unpersisted plan, the rows are computed once."""
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def checked_broadcast(small: DataFrame, name: str = "per-key") -> DataFrame:
