@@ -35,16 +35,64 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, f"llm-{name}")
 
 
-def words_of(text: Column | str) -> Column:
+#: Stands for a null doc_id, which counts as the largest.
+LAST = 2**63 - 1
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def words_of(text: Column) -> Column:
     """Array of the words of a text; null or blank text: empty array."""
-    c = F.col(text) if isinstance(text, str) else text
-    parts = F.split(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), GAPS, " ")), " ", -1)
-    return F.filter(parts, lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAPS, -1))
+
+
+def lines_of(text: Column) -> Column:
+    """Array of the newline-separated lines; null or empty text: one empty line."""
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def lower_ascii(c: Column) -> Column:
+    return F.translate(c, UPPER, LOWER)
+
+
+def strip_ascii(c: Column) -> Column:
+    return F.btrim(c, F.lit(SPACES))
+
+
+def identity(docs: DataFrame) -> DataFrame:
+    """``docs`` as (d: the whole row, doc: its doc_id or LAST, tx: hash of its
+    text).  (doc, tx) names a row by content: rows that share it are alike, so
+    every result computed for one holds for the others.  Keeping the row in a
+    struct leaves no column that could clash."""
+    return docs.select(F.struct("*").alias("d"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
+                       F.xxhash64(F.col("text")).alias("tx"))
+
+
+def without_lines(df: DataFrame) -> DataFrame:
+    """``df`` (d, gone, ...) with n_lines and ``text``: the text of d without
+    the lines at the places ``gone`` (null: none), joined by newlines.  The
+    lines are a column of their own first: inside a lambda they would be
+    split again for every element."""
+    split = df.withColumn("lines", lines_of(F.col("d.text")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    return split.select(
+        *df.columns, F.size("lines").cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), F.coalesce("d.text", F.lit("")))
+        .otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")).alias("text"))
 
 
-def count_words(text: Column) -> Column:
-    """Number of words as long; null: 0."""
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))).cast("long")
+def with_text(row: str, text: Column, columns: list[str]) -> list[Column]:
+    """The columns of a kept row struct with its text replaced, and n_chars
+    following the text where the table has it."""
+    out = []
+    for c in columns:
+        if c == "text":
+            out.append(text.alias(c))
+        elif c == "n_chars":
+            out.append(F.length(text).cast("long").alias(c))
+        else:
+            out.append(F.col(f"{row}.`{c}`").alias(c))
+    return out
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
