@@ -59,3 +59,63 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_cut_words <= 0.7 * n_words AS kept, n_cut_words
 FROM m
 """.replace("__WORDS__", WORDS)
+
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+o AS (SELECT *, row_number() OVER w AS rn, lag(role) OVER w AS before,
+             length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS n
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(n + CASE WHEN rn > 1 AND role = before THEN 10 ELSE 12 + length(role) + 1 + 11 END)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+MIX = r"""
+WITH b AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k, len(__WORDS__)::BIGINT AS size,
+                  ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT k, sum(size)::DOUBLE AS n, 2 * sum(size)::DOUBLE AS cap,
+             (CASE (row_number() OVER (ORDER BY k) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::DOUBLE AS w FROM b GROUP BY k),
+r AS (SELECT *, (1.5 * sum(n) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+lv AS (SELECT arg_min(level, cap / w) AS level FROM r WHERE cap > level * w),
+t AS (SELECT k, n, least(cap, coalesce((SELECT level FROM lv), 0) * w) AS target FROM s),
+g AS (SELECT k, n, target, CASE WHEN n > 0 THEN floor(target / n)::BIGINT ELSE 0 END AS copies FROM t),
+c AS (SELECT b.k, b.h, sum(b.size) AS v, sum(sum(b.size)) OVER (PARTITION BY b.k ORDER BY b.h) AS upto FROM b GROUP BY b.k, b.h),
+e AS (SELECT c.k, arg_min(CASE WHEN (g.target - g.copies * g.n) - (c.upto - c.v) <= c.upto - (g.target - g.copies * g.n) THEN c.h ELSE c.h + 1 END, c.h) AS bound
+      FROM c JOIN g USING (k) WHERE g.target - g.copies * g.n > 0 AND c.upto >= g.target - g.copies * g.n GROUP BY c.k)
+SELECT b.doc_id, b.size, g.n::BIGINT AS source_size, g.target,
+       (b.size * (g.copies + CASE WHEN b.h < coalesce(e.bound, 0) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM b JOIN g USING (k) LEFT JOIN e USING (k)
+""".replace("__WORDS__", WORDS)
+
+URLS = r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+x AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM u),
+p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM x),
+k AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
+      WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
+h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain,
+             string_split(host, '.')[-1] AS suffix FROM p LEFT JOIN k USING (page_id) GROUP BY host),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT sum(bad) / sum(n) FROM d) AS prior FROM d GROUP BY suffix),
+sr AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - prior) * (bad / n - prior)) - sum(prior * (1 - prior))) / nullif(sum((n - 1) * prior * (1 - prior)), 0), 0), 0.001::DOUBLE), 0.5::DOUBLE) - 1 AS k FROM s WHERE n > 0),
+s2 AS (SELECT suffix, (k * prior + bad) / (k + n) AS mean FROM s, sr),
+d2 AS (SELECT d.domain, d.n, d.bad, s2.mean AS prior FROM d JOIN s2 USING (suffix)),
+dr AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - prior) * (bad / n - prior)) - sum(prior * (1 - prior))) / nullif(sum((n - 1) * prior * (1 - prior)), 0), 0), 0.001::DOUBLE), 0.5::DOUBLE) - 1 AS k FROM d2 WHERE n > 0),
+d3 AS (SELECT domain, (k * prior + bad) / (k + n) AS mean FROM d2, dr),
+h2 AS (SELECT h.host, h.n, h.bad, d3.mean AS prior FROM h JOIN d3 USING (domain)),
+hr AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - prior) * (bad / n - prior)) - sum(prior * (1 - prior))) / nullif(sum((n - 1) * prior * (1 - prior)), 0), 0), 0.001::DOUBLE), 0.5::DOUBLE) - 1 AS k FROM h2 WHERE n > 0),
+h3 AS (SELECT host, (k * prior + bad) / (k + n) AS mean, k + n AS weight FROM h2, hr),
+r(action, rule, rh, rp) AS (VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
+  ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),
+f AS (SELECT p.page_id, p.host, p.path, (SELECT arg_max(rule, length(rule)) FROM r
+             WHERE (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp)) AS rule FROM p)
+SELECT f.page_id, f.host, f.path, f.rule,
+       coalesce((SELECT action FROM r WHERE r.rule = f.rule),
+                CASE WHEN mean - sqrt(mean * (1 - mean) / (weight + 1)) > 0.2 THEN 'block' ELSE 'allow' END) AS verdict
+FROM f JOIN h3 USING (host)
+"""
