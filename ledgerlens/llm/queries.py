@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, line_dedup, mixing, near_dup, quality, sql, substring, urls
+from ledgerlens.llm import ann, chat, line_dedup, mixing, near_dup, pieces, quality, sql, substring, urls
 from ledgerlens.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(v, v.where("vec_id % 20 = 0"), k=20)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -54,12 +59,21 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = pieces.encode(docs).select(F.col("d.doc_id").alias("doc_id"), "n_chunks", "ids")
+    return pieces.decode(tokens).select("doc_id", "n_chunks", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_chat_formatting": (op1_chat_formatting, sql.CHAT),
+    "op2_nearest_neighbours": (op2_nearest_neighbours, None),
     "op3_mixing": (op3_mixing, sql.MIX),
     "op5_minhash_near_dedup": (op5_minhash_near_dedup, None),
     "op6_url_filter": (op6_url_filter, sql.URLS),
     "op7_quality_rules": (op7_quality_rules, sql.QUALITY),
     "op8_line_dedup": (op8_line_dedup, sql.LINE_DEDUP),
     "op9_substring_dedup": (op9_substring_dedup, sql.SUBSTRING),
+    "op10_sentencepiece": (op10_sentencepiece, None),
 }
