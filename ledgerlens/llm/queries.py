@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ann, chat, line_dedup, mixing, near_dup, pieces, quality, sql, substring, urls
+from ledgerlens.llm import ann, chat, line_dedup, mixing, near_dup, pieces, pii, quality, sql, substring, urls
 from ledgerlens.llm.common import table
 
 
@@ -33,6 +33,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = got.select("doc_id", "spans", F.filter("spans", lambda x: x["base"]).alias("base"))
+    return got.select(
+        "doc_id", *[F.size(F.filter("base.kind", lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -70,6 +78,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_chat_formatting": (op1_chat_formatting, sql.CHAT),
     "op2_nearest_neighbours": (op2_nearest_neighbours, None),
     "op3_mixing": (op3_mixing, sql.MIX),
+    "op4_pii": (op4_pii, None),
     "op5_minhash_near_dedup": (op5_minhash_near_dedup, None),
     "op6_url_filter": (op6_url_filter, sql.URLS),
     "op7_quality_rules": (op7_quality_rules, sql.QUALITY),
