@@ -30,8 +30,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and read it back."""
+def save(df: DataFrame, name: str, share: int = 1) -> DataFrame:
+    """Compute ``df`` once into the shared checkpoint folder and read it back.
+    ``share``: for a table that is a small part of the data, one file for so
+    many shuffle partitions (8 files at least)."""
+    if share > 1:
+        df = df.coalesce(max(8, partitions(df.sparkSession) // share))
     return cut_lineage(df, f"llm-{name}")
 
 
@@ -95,29 +99,72 @@ def with_text(row: str, text: Column, columns: list[str]) -> list[Column]:
     return out
 
 
+def contracted(edges: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """Edges (u, v) of binary node keys, each task's chunk of them replaced by
+    links to the smallest node of its local component."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def flush(up):
+            def top(x):
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+            links = [(x, top(x)) for x in list(up)]
+            links = [(x, r) for x, r in links if x != r]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([r for _, r in links], pa.binary())], ["u", "v"])
+
+        up: dict = {}
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for n in (x, y):
+                    up.setdefault(n, n)
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                while up[y] != y:
+                    up[y] = up[up[y]]
+                    y = up[y]
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) >= chunk:
+                yield flush(up)
+                up = {}
+        if up:
+            yield flush(up)
+
+    return edges.mapInArrow(run, "u binary, v binary")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)``: (node, comp), comp the
-    smallest node of its component.
+    """Connected components of ``edges(a, b)`` over binary node keys: (node,
+    comp), comp the smallest node of its component.
 
-    Alternates large-star and small-star steps (O(log n) rounds for chains);
-    each round is one written table, so a lost executor costs one round.
-    Nothing but a count and a checksum reaches the driver.
+    Every task first contracts its own edges; then large-star and small-star
+    steps alternate (O(log n) rounds for chains) until the edges are stars.
+    Each round is one written table, so a lost executor costs one round.
+    Nothing but a yes or no reaches the driver.
     """
-    e = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
+    e = save(contracted(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")), "edges", 8)
     for _ in range(max_rounds):
+        hubs = e.select(F.col("v").alias("hub")).distinct()
+        chains = e.join(hubs, e.u == hubs.hub, "left_semi").select("u")
+        forks = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+        if chains.union(forks).isEmpty():
+            break
         both = e.union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .union(least.select("u", "m")))
-        e = save(small.where("u <> v").distinct(), "stars")
-        mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+                 .union(least.select("u", F.col("m").alias("v"))))
+        e = save(contracted(small.where("u <> v").distinct()), "stars", 8)
     else:
         raise RuntimeError("components did not converge")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+ship(__name__)

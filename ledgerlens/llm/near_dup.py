@@ -8,9 +8,9 @@ one representative first.  Each tree sorts the representatives by its
 most ``WINDOW`` + 1 rows yields all its pairs; in a larger one each row meets
 its ``WINDOW`` next rows, those with the longest common prefix, so the depth
 adapts to the region.  Candidates are confirmed on their full sets.  Crowded
-regions are then searched again: rows are grouped by the components found,
-and every row is compared with those of its next rows that belong to *other* components, until a
-pass brings no new candidate.
+regions are then searched again: rows are ordered by the components found,
+and every row is compared with those of its next rows that belong to *other*
+components, until a pass brings no new link.
 
 Defined results: null text and text without words have no shingles and link
 with nothing; fewer words than a shingle count as one shingle; rows that
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import components, partitions, save, ship
 
-TREES, DEPTH, MIN_DEPTH, WINDOW = 20, 5, 3, 6
+TREES, DEPTH, MIN_DEPTH, WINDOW = 20, 5, 3, 4
 SEED = 20240229
 
 
@@ -59,8 +59,9 @@ def signature(s, mult):
 
 
 def features(docs: DataFrame, k: int = 5) -> DataFrame:
-    """One row per document: doc_id, n_shingles, fp (128-bit content key) and
-    signature; fp and signature are null for a text without words."""
+    """One row per document: doc_id, tx (hash of its text), n_shingles, fp
+    (128-bit key of its word sequence) and signature; fp and signature are
+    null for a text without words."""
 
     def run(batches):
         import numpy as np
@@ -70,26 +71,26 @@ def features(docs: DataFrame, k: int = 5) -> DataFrame:
         mult = np.random.default_rng(SEED + 1).integers(1, 2**63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
         for b in batches:
             n, fp, sig = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 w = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 s = shingle_set(w, k)
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(b" ".join(w)) if w else None)
                 sig.append(signature(s, mult) if w else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "fp", "sig"])
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())],
+                ["doc_id", "tx", "n_shingles", "fp", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, fp binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(
+        run, "doc_id long, tx long, n_shingles long, fp binary, sig binary")
 
 
-def neighbours(rows: DataFrame, window: int, min_depth: int, crossing: bool) -> DataFrame:
+def neighbours(rows: DataFrame, window: int, min_depth: int, crossing: bool, border: bool = False) -> DataFrame:
     """Candidate pairs of rows (tree, key, fp, comp) that follow each other in
     the sorted order of a tree.  Output: kind 0: pairs (a, b); kind 1: rows
     of crowded regions; kind 2: the first and last rows of a partition, for
     the pairs that a partition border separates.  ``crossing``: only pairs of
-    different components, and each row looks past rows of its own."""
+    different components.  ``border``: only pairs of different partitions."""
 
     def run(batches):
         import numpy as np
@@ -109,7 +110,7 @@ def neighbours(rows: DataFrame, window: int, min_depth: int, crossing: bool) ->
                 t = pa.concat_tables([tail, t])
             n = t.num_rows
             key = np.frombuffer(b"".join(t.column("key").to_pylist()), ">u4").reshape(n, DEPTH)
-            tree = t.column("tree").to_numpy()
+            tree, part = t.column("tree").to_numpy(), t.column("part").to_numpy()
             fp = np.array(t.column("fp").to_pylist(), object)
             comp = np.array(t.column("comp").to_pylist(), object)
             out_a, out_b, crowded = [], [], np.zeros(n, bool)
@@ -125,6 +126,8 @@ def neighbours(rows: DataFrame, window: int, min_depth: int, crossing: bool) ->
                 differ = fp[w:] != fp[:-w]
                 if crossing:
                     differ &= comp[w:] != comp[:-w]
+                if border:
+                    differ &= part[w:] != part[:-w]
                 at = np.flatnonzero(same & differ)
                 out_a.append(fp[at])
                 out_b.append(fp[at + w])
@@ -167,11 +170,12 @@ def candidates(rows: DataFrame, window: int, min_depth: int, crossing: bool) ->
     order = ["tree", "key", "comp", "fp"]
     found = save(neighbours(rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
                             .withColumn("part", F.spark_partition_id()), window, min_depth, crossing), "neighbours")
-    # first and last rows of every partition: a bounded number of rows each
-    edge = found.where("kind = 2").select("tree", "key", "fp", "comp").distinct()
-    border = neighbours(edge.coalesce(1).sortWithinPartitions(*order).withColumn("part", F.lit(0)),
-                        window, min_depth, crossing).where("kind = 0")
-    pairs = (found.where("kind = 0").select("fp", "other").union(border.select("fp", "other"))
+    # first and last rows of every partition: a bounded number of rows each,
+    # in the order of all, so that two rows of different partitions that are
+    # close here are as close there
+    edge = found.where("kind = 2").select("tree", "key", "fp", "comp", "part").distinct()
+    edges = neighbours(edge.coalesce(1).sortWithinPartitions(*order), window, min_depth, crossing, True).where("kind = 0")
+    pairs = (found.where("kind = 0").select("fp", "other").union(edges.select("fp", "other"))
              .toDF("a", "b").distinct())
     return pairs, found.where("kind = 1").select("tree", "key", "fp", "comp").distinct()
 
@@ -218,34 +222,37 @@ def confirmed(pairs: DataFrame, docs: DataFrame, feats: DataFrame, k: int, perce
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, max_passes: int = 12) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    """doc_id, tx, n_shingles, component_id, kept for every row of ``docs``;
+    (doc_id, tx) names the row by content."""
     feats = save(features(docs, k), "features")
     reps = feats.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("root"), F.first("sig").alias("sig"))
     step = 4 * DEPTH
     rows = reps.select("fp", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
         "tree", F.expr(f"substring(sig, tree * {step} + 1, {step})").alias("key"), "fp", F.col("fp").alias("comp"))
     pairs, crowded = candidates(rows, WINDOW, MIN_DEPTH, False)
-    tested = save(confirmed(save(pairs, "pairs"), docs, feats, k, percent), "tested")
+    tested = save(confirmed(save(pairs, "pairs", 4), docs, feats, k, percent), "tested")
     labels = components(tested.where("ok").select("a", "b"))
-    crowded = save(crowded.drop("comp"), "crowded")
+    crowded = save(crowded.drop("comp"), "crowded", 4)
     for _ in range(max_passes):
         now = crowded.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
             "tree", "key", "fp", F.coalesce("comp", "fp").alias("comp"))
         more, _rest = candidates(now, WINDOW, MIN_DEPTH, True)
-        more = save(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more")
+        more = save(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more", 8)
         if more.isEmpty():
             break
-        new = save(confirmed(more, docs, feats, k, percent), "tested")
+        new = save(confirmed(more, docs, feats, k, percent), "tested", 4)
+        if new.where("ok").isEmpty():
+            break  # the same components would bring the same candidates
         tested = tested.union(new)
-        if not new.where("ok").isEmpty():
-            labels = components(tested.where("ok").select("a", "b"))
+        labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+                            .union(new.where("ok").select("a", "b")))
     roots = feats.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("root"))
     linked = roots.join(labels.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("comp").agg(F.min("root").alias("least"))
     of_fp = roots.join(linked.select("fp", "comp").join(least, "comp").select("fp", "least"), "fp", "left").select(
         "fp", F.coalesce("least", "root").alias("component_id"))
     return (feats.join(of_fp, "fp", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+            .select("doc_id", "tx", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.expr("doc_id <=> component_id")))
 
 
