@@ -13,8 +13,7 @@ from ledgerlens.llm.common import LAST, identity, save, with_text, without_lines
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their boilerplate lines."""
-    kept = quality.judge(docs).where("kept").select("d", "gone")
-    return without_lines(kept).select(*with_text("d", F.col("text"), docs.columns))
+    return without_lines(quality.kept_rows(docs)).select(*with_text("d", F.col("text"), docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,34 +27,38 @@ SYMBOLS = "#*$%&|<>"
 
 
 def measures(rows: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+    """(doc_id, doc, tx) with n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words.
 
     Every step refers to the arrays of the step before more than once, so the
     optimizer keeps them as columns instead of recomputing them per element.
+    A filter on the results would be pushed through all steps and undo that:
+    write them first.
     """
+    ids = ["doc_id", "doc", "tx"]
     text = F.coalesce("d.text", F.lit(""))
     one = rows.select(
-        "*", words_of(text).alias("w"),
+        F.col("d.doc_id").alias("doc_id"), "doc", "tx", words_of(text).alias("w"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.filter(lines_of(text), lambda x: strip_ascii(x) != "").alias("full"))
     two = one.select(
-        *rows.columns, "word_chars", "n_symbols", F.size("w").cast("long").alias("n_words"),
+        *ids, "word_chars", "n_symbols", F.size("w").cast("long").alias("n_words"),
         (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     base = ["word_chars", "n_symbols", "n_words", "n_dup_lines"]
     gram = F.transform(F.slice("h", 1, F.greatest(F.size("h") - GRAM + 1, F.lit(0))),
                        lambda x, i: F.xxhash64(x, *[F.get("h", i + j) for j in range(1, GRAM)]))
-    three = two.select(*rows.columns, *base, gram.alias("g"))
+    three = two.select(*ids, *base, gram.alias("g"))
     # (hash, place) sorted, only where some window repeats
-    four = three.select(*rows.columns, *base, F.when(
+    four = three.select(*ids, *base, F.when(
         F.size(F.array_distinct("g")) < F.size("g"),
         F.array_sort(F.transform("g", lambda x, i: F.struct(x.alias("g"), i.alias("i"))))).alias("s"))
     twice = F.filter("s", lambda x, k: (x["g"] == F.get("s", k - 1)["g"]) | (x["g"] == F.get("s", k + 1)["g"]))
-    five = four.select(*rows.columns, *base, F.array_sort(F.transform(twice, lambda x: x["i"])).alias("p"))
+    five = four.select(*ids, *base, F.array_sort(F.transform(twice, lambda x: x["i"])).alias("p"))
     cover = F.aggregate(F.transform("p", lambda x, k: F.least(F.lit(GRAM), F.coalesce(F.get("p", k + 1) - x, F.lit(GRAM)))),
                         F.lit(0).cast("long"), lambda a, x: a + x)
-    return five.select(*rows.columns, *base, F.coalesce(F.when(F.size("p") > 0, cover), F.lit(0)).cast("long").alias("n_repeat_words"))
+    return five.select(*ids, *base, F.coalesce(F.when(F.size("p") > 0, cover), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -80,9 +84,10 @@ def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
 
 
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """(d, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, n_cut_words, gone, kept): each row of ``docs`` as a struct,
-    its measures, the places of its boilerplate lines and the verdict."""
+    """(doc_id, doc, tx, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, n_cut_words, gone, base_failed, kept): one row per row of
+    ``docs``, with its measures, the places of its boilerplate lines and the
+    verdict; (doc, tx) as in ``identity``."""
     rows = identity(docs)
     lines, over = frequent_lines(rows, min_docs, share)
     cut = (lines.join(over, ["host", "h"]).where("doc > first").groupBy("doc", "tx")
@@ -90,8 +95,16 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, deple
     # rows that repeat are counted as often as they stand; each alike
     cut = cut.select("doc", "tx", "gone", (F.col("cut_twice") * F.size("gone") / F.col("n")).cast("long").alias("n_cut_words"))
     m = measures(rows)
-    return (m.join(cut, [m.doc == cut.doc, m.tx.eqNullSafe(cut.tx)], "left")
-            .select("d", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                    base_failed(F.col("n_words"), F.col("n_repeat_words")).alias("base_failed"),
-                    F.coalesce("n_cut_words", F.lit(0)).alias("n_cut_words"), "gone")
-            .withColumn("kept", ~F.col("base_failed") & (F.col("n_cut_words") <= depleted * F.col("n_words"))))
+    out = save(m.join(cut, [m.doc == cut.doc, m.tx.eqNullSafe(cut.tx)], "left").select(
+        "doc_id", m.doc, m.tx, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.coalesce("n_cut_words", F.lit(0)).cast("long").alias("n_cut_words"), "gone"), "judged")
+    return out.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))).withColumn(
+        "kept", ~F.col("base_failed") & (F.col("n_cut_words") <= depleted * F.col("n_words")))
+
+
+def kept_rows(docs: DataFrame, **options) -> DataFrame:
+    """(d, gone): the rows of ``docs`` that pass, as structs, with the places
+    of their boilerplate lines."""
+    passed = judge(docs, **options).where("kept").select("doc", "tx", "gone").dropDuplicates(["doc", "tx"])
+    rows = identity(docs)
+    return rows.join(passed, [rows.doc == passed.doc, rows.tx.eqNullSafe(passed.tx)]).select("d", "gone")
