@@ -1,6 +1,6 @@
 """Quantity coercion.
 
-Quantities are summed as DECIMAL(18,4) so that sums do not depend on the
+Quantities are summed as DECIMAL(28,4) so that sums do not depend on the
 shuffle order and rounding is HALF_UP everywhere; outputs are cast to DOUBLE.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql.types import DecimalType
 
 from ledgerlens.functions.text import WS_CLASS, strip_text
 
-QTY = DecimalType(18, 4)
+QTY = DecimalType(28, 4)
 MONEY = DecimalType(18, 2)
 
 
@@ -21,7 +21,7 @@ def _c(c) -> Column:
 
 
 def coerce_number(c) -> Column:
-    """Lenient numeric text -> DECIMAL(18,4); anything unparsable -> NULL.
+    """Lenient numeric text -> DECIMAL(28,4); anything unparsable -> NULL.
 
     Text such as '12d' or 'Infinity' is NULL (a DOUBLE cast would accept the
     first), as are blanks.
@@ -31,7 +31,7 @@ def coerce_number(c) -> Column:
 
 
 def coerce_locale_number(c) -> Column:
-    """Locale text ('1 234,5', NBSP thousands) -> DECIMAL(18,4), bad -> 0."""
+    """Locale text ('1 234,5', NBSP thousands) -> DECIMAL(28,4), bad -> 0."""
     s = _c(c).cast("string")
     s = F.regexp_replace(s, r"[\x{A0} ]", "")
     s = F.regexp_replace(s, ",", ".")

@@ -1,17 +1,15 @@
 """Per-file date handling: US / EU / ISO detection and Excel serial gating.
 
 Both decisions are per (file, sheet) column and are computed with
-aggregates, then joined back to the lines (one row per file, broadcast when
-its measured size allows).  The first-200-values sample uses ``row_number() <= 200`` per file,
-which Spark plans as a partial group limit before the shuffle, so a huge
-file only ships 200 rows per map task.
+hash aggregates over all values, then joined back to the lines (one row per
+file, broadcast when its measured size allows).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import (SERIAL_MEDIAN_HIGH, SERIAL_MEDIAN_LOW, excel_serial_to_date,
@@ -19,51 +17,46 @@ from ledgerlens.functions.dates import (SERIAL_MEDIAN_HIGH, SERIAL_MEDIAN_LOW, e
 from ledgerlens.functions.text import strip_text
 from ledgerlens.session import checked_broadcast
 
-SAMPLE_SIZE = 200
 # day/month/year and ISO shapes used for the order signals.
 MD_RE = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})"
 ISO_RE = r"^\d{4}[/-]\d{1,2}[/-]\d{1,2}"
 
 
-def detect_date_order(df: DataFrame, group: Sequence[str], order_col: str, value_col: str,
-                      sample_size: int = SAMPLE_SIZE) -> DataFrame:
-    """(group..., date_order, n_us, n_eu, n_iso, n_sample) per column.
+def detect_date_order(df: DataFrame, group: Sequence[str], value_col: str) -> DataFrame:
+    """(group..., date_order, n_us, n_eu, n_iso, n_values) per column.
 
-    Sample: the first ``sample_size`` non-null values in row order, stripped,
-    blanks removed.  Clear day>12 / month>12 signals vote; ties fall to 'eu'
-    unless at least half the sample is ISO.
+    All non-null values vote, stripped, blanks not counted: one hash
+    aggregate, no sort and no window.  Clear day>12 / month>12 signals
+    decide; ties fall to 'eu' unless at least half the values are ISO.
     """
-    w = Window.partitionBy(*group).orderBy(order_col)
     sample = (df.where(F.col(value_col).isNotNull())
-              .select(*group, order_col, strip_text(F.col(value_col).cast("string")).alias("_v"))
-              .withColumn("_rn", F.row_number().over(w))
-              .where(F.col("_rn") <= sample_size))
+              .select(*group, strip_text(F.col(value_col).cast("string")).alias("_v")))
     v = F.col("_v")
     filled = v != ""
     iso = filled & v.rlike(ISO_RE)
     md = filled & ~iso & v.rlike(MD_RE)
     a = F.regexp_extract(v, MD_RE, 1).try_cast("int")
     b = F.regexp_extract(v, MD_RE, 2).try_cast("int")
-    # blank values stay in the sample rows so that a column of blanks still
+    # blank values stay in the rows so that a column of blanks still
     # yields a row ('unknown'); they are not counted
     counts = sample.groupBy(*group).agg(
-        F.sum(F.when(filled, 1).otherwise(0)).alias("n_sample"),
+        F.sum(F.when(filled, 1).otherwise(0)).alias("n_values"),
         F.sum(F.when(iso, 1).otherwise(0)).alias("n_iso"),
         F.sum(F.when(md & (a > 12) & (b <= 12), 1).otherwise(0)).alias("n_eu"),
         F.sum(F.when(md & (b > 12) & (a <= 12), 1).otherwise(0)).alias("n_us"))
-    us, eu, iso_n, n = F.col("n_us"), F.col("n_eu"), F.col("n_iso"), F.col("n_sample")
+    us, eu, iso_n, n = F.col("n_us"), F.col("n_eu"), F.col("n_iso"), F.col("n_values")
     fmt = (F.when(n == 0, "unknown")
            .when((us > eu) & (us > 0), "us")
            .when((eu > us) & (eu > 0), "eu")
            .when((iso_n > 0) & (iso_n >= n * 0.5), "iso")
            .otherwise("eu"))
-    return counts.select(*group, fmt.alias("date_order"), "n_us", "n_eu", "n_iso", "n_sample")
+    return counts.select(*group, fmt.alias("date_order"), "n_us", "n_eu", "n_iso", "n_values")
 
 
-def parse_dates_auto(df: DataFrame, group: Sequence[str], order_col: str, value_col: str,
+def parse_dates_auto(df: DataFrame, group: Sequence[str], value_col: str,
                      out: str = "mov_date") -> DataFrame:
     """Parse each column by its detected order."""
-    det = checked_broadcast(detect_date_order(df, group, order_col, value_col).select(*group, "date_order"))
+    det = checked_broadcast(detect_date_order(df, group, value_col).select(*group, "date_order"))
     j = df.join(det, list(group), "left").fillna("unknown", ["date_order"])
     return j.withColumn(out, parse_by_order(F.col(value_col), F.col("date_order")))
 

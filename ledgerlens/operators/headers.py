@@ -40,6 +40,12 @@ def _scan(grid: DataFrame, max_rows: int | None) -> DataFrame:
     return grid.where(F.col("row_idx") < max_rows) if max_rows is not None else grid
 
 
+def _rule(grid: DataFrame, max_rows: int | None, keys: Sequence[str], *preds: Column) -> DataFrame:
+    """``_first`` over the whole sheet, or over its first ``max_rows`` rows
+    where a caller asks for such a limit (none does by default)."""
+    return _first(_scan(grid, max_rows), keys, *preds, whole=grid if max_rows is None else None)
+
+
 def _first(grid: DataFrame, keys: Sequence[str], *preds: Column, whole: DataFrame | None = None) -> DataFrame:
     """First row satisfying the predicates in priority order, else the
     sheet's first row.
@@ -92,7 +98,7 @@ def header_by_alias(grid: DataFrame, aliases: Sequence[str], keys: Sequence[str]
         vals = present_values()
         targets = list(aliases)
     pred = F.exists(vals, lambda v: F.array_contains(_lit_array(targets), v))
-    return _first(_scan(grid, max_rows), keys, pred, whole=grid if max_rows is None else None)
+    return _rule(grid, max_rows, keys, pred)
 
 
 def normalize_label_py(value: str) -> str:
@@ -121,41 +127,41 @@ def header_densest(grid: DataFrame, keys: Sequence[str] = KEYS, max_rows: int |
 
 
 def header_required(grid: DataFrame, required: Sequence[str], keys: Sequence[str] = KEYS,
-                    max_rows: int = 80, min_hits: int = 2) -> DataFrame:
+                    max_rows: int | None = None, min_hits: int = 2) -> DataFrame:
     """First row with >= ``min_hits`` required names, or a cell containing 'date'."""
     vals = present_values()
     hits = F.size(F.array_intersect(vals, _lit_array(list(dict.fromkeys(required)))))
     has_date = F.exists(vals, lambda v: F.lower(v).contains(DATE_MARK))
-    return _first(_scan(grid, max_rows), keys, (hits >= min_hits) | has_date)
+    return _rule(grid, max_rows, keys, (hits >= min_hits) | has_date)
 
 
 def header_required_col(grid: DataFrame, required_col: str, keys: Sequence[str] = KEYS,
-                        max_rows: int = 80, min_hits: int = 2) -> DataFrame:
+                        max_rows: int | None = None, min_hits: int = 2) -> DataFrame:
     """``header_required`` with the required names taken from a column of the
     rows (per job configuration); NULL lists only test for 'date'."""
     vals = present_values()
     req = F.coalesce(F.col(required_col), F.array().cast("array<string>"))
     hits = F.size(F.array_intersect(vals, F.array_distinct(req)))
     has_date = F.exists(vals, lambda v: F.lower(v).contains(DATE_MARK))
-    return _first(_scan(grid, max_rows), keys, (hits >= min_hits) | has_date)
+    return _rule(grid, max_rows, keys, (hits >= min_hits) | has_date)
 
 
 def header_tiered(grid: DataFrame, date_aliases: Sequence[str], ref_aliases: Sequence[str],
-                  qty_aliases: Sequence[str], keys: Sequence[str] = KEYS, max_rows: int = 50) -> DataFrame:
+                  qty_aliases: Sequence[str], keys: Sequence[str] = KEYS, max_rows: int | None = None) -> DataFrame:
     """'date' substring or date alias first; else the first ref / qty alias row."""
     vals = present_values()
     tier12 = (F.exists(vals, lambda v: F.lower(v).contains(DATE_MARK))
               | F.arrays_overlap(vals, _lit_array(date_aliases)))
     tier3 = (F.arrays_overlap(vals, _lit_array(ref_aliases)) | F.arrays_overlap(vals, _lit_array(qty_aliases)))
-    return _first(_scan(grid, max_rows), keys, F.coalesce(tier12, F.lit(False)), F.coalesce(tier3, F.lit(False)))
+    return _rule(grid, max_rows, keys, F.coalesce(tier12, F.lit(False)), F.coalesce(tier3, F.lit(False)))
 
 
 def header_keywords(grid: DataFrame, keywords: Sequence[str] = SNAPSHOT_HEADER_KEYWORDS,
-                    keys: Sequence[str] = KEYS, max_rows: int = 50, min_hits: int = 2) -> DataFrame:
+                    keys: Sequence[str] = KEYS, max_rows: int | None = None, min_hits: int = 2) -> DataFrame:
     """First row where >= ``min_hits`` keywords occur inside upper-cased cells."""
     vals = F.transform(present_values(), lambda v: F.upper(v))
     hits = sum(F.exists(vals, _contains(k)).cast("int") for k in keywords)
-    return _first(_scan(grid, max_rows), keys, hits >= min_hits)
+    return _rule(grid, max_rows, keys, hits >= min_hits)
 
 
 def _contains(keyword: str):

@@ -16,9 +16,8 @@ def unknown_ateliers(requested: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def verification(grid: DataFrame, jobs: DataFrame, date_aliases, ref_aliases, qty_aliases,
-                 scan_rows: int = 20) -> DataFrame:
-    """Per matched file: expected sheet present, header (first ``scan_rows``
-    rows, date-name cell), ref / qty / date columns detected, error list.
+                 scan_rows: int | None = None) -> DataFrame:
+    """Per matched file: expected sheet present, header (date-name cell), ref / qty / date columns detected, error list.
 
     ``jobs(unit, atelier, file_id, expected_sheets ARRAY<STRING>)``; the
     sheet list per workbook is small (bounded by the workbook), so it is

@@ -104,16 +104,16 @@ def _headers(grid: DataFrame, rule: str, r: UnitRules, side: str, keys, max_rows
     elif rule == "date_alias_norm":
         h = H.header_by_alias(grid, al["date"], keys, max_rows, normalize=True)
     elif rule == "tiered":
-        h = H.header_tiered(grid, al["date"], al["ref"], al["quantity"], keys, max_rows or 50)
+        h = H.header_tiered(grid, al["date"], al["ref"], al["quantity"], keys, max_rows)
     elif rule == "keywords":
-        h = H.header_keywords(grid, keys=keys, max_rows=max_rows or 50)
+        h = H.header_keywords(grid, keys=keys, max_rows=max_rows)
     elif rule == "ref_or_qty":
-        h = H.header_by_alias(grid, al["ref"] + al["quantity"], keys, max_rows or 50)
+        h = H.header_by_alias(grid, al["ref"] + al["quantity"], keys, max_rows)
     elif rule == "required":
         if side == "mov":
-            h = H.header_required_col(grid, "must_contain", keys, max_rows or 80)
+            h = H.header_required_col(grid, "must_contain", keys, max_rows)
         else:
-            h = H.header_required(grid, STOCK_REQUIRED, keys, max_rows or 80)
+            h = H.header_required(grid, STOCK_REQUIRED, keys, max_rows)
     else:
         h = H.header_by_alias(grid, al["date"], keys, max_rows)
     return h
@@ -151,7 +151,7 @@ def movement_lines(mov_grid: DataFrame, jobs: DataFrame, r: UnitRules, year: int
     ok_jobs = (hc.select(*JOB_KEYS, roles["ref"].alias("_r"), roles["qty"].alias("_q"))
                .where(F.col("_r").isNotNull() & F.col("_q").isNotNull()).select(*JOB_KEYS).distinct())
     if r.date_order == "auto":
-        lines = parse_dates_auto(lines, keys, "row_idx", "date")
+        lines = parse_dates_auto(lines, keys, "date")
     elif r.date_order == "serial_dmy":
         lines = coerce_dates(lines, keys, "date").where(F.col("mov_date").isNotNull())
     elif r.date_order == "mdy":

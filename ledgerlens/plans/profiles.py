@@ -78,19 +78,19 @@ PROFILES = [
      "stock_in", "exact", "signed"),
     ("Fath2", "prefer:MOV,STOCK", "date_alias", "exact", "zero", 2, "date_alias", None, "exact", "mdy",
      "cumulative", 2, "stock_in", "exact", "signed"),
-    ("Fath3", "exact:STOCKS", "required", "exact_casefold", "zero_locale", 4, "required", 80, "exact_casefold",
+    ("Fath3", "exact:STOCKS", "required", "exact_casefold", "zero_locale", 4, "required", None, "exact_casefold",
      "serial_dmy", "cumulative", None, "in_not_in", "tolerance", "signed"),
     ("Fath5", "prefer:MOUV,MOV,STOCK", "date_alias", "contains", "zero", 2, "date_alias", None, "exact", "mdy",
      "cumulative", 2, "stock_in", "exact", "signed"),
-    ("Larbaa", "listed", "keywords", "substring", "zero", 2, "tiered", 50, "exact", "auto", "cumulative", None,
+    ("Larbaa", "listed", "keywords", "substring", "zero", 2, "tiered", None, "exact", "auto", "cumulative", None,
      "sheet", "exact", "abs"),
     ("Oran", "listed", "densest", "collapse", "zero", None, "date_alias_norm", None, "collapse", "mdy",
      "cumulative", None, "sheet", "exact", "signed"),
     ("Fibre", "exact:STOCKS GLOBALE", "date_alias", "casefold", "zero", 2, "date_alias", None, "casefold", "mdy",
      "cumulative", 2, "local_or_pairs", "exact", "abs"),
-    ("Mdoukal", "exact:MOUV", "date_alias", "contains", "zero", 2, "date_alias", 80, "exact", "mdy",
+    ("Mdoukal", "exact:MOUV", "date_alias", "contains", "zero", 2, "date_alias", None, "exact", "mdy",
      "cumulative", 2, "stock_in", "tolerance", "signed"),
-    ("Mags", "candidates:MOUV,MOV,MAG,0", "ref_or_qty", "exact", "zero", 2, "date_alias", 50, "exact", "mdy",
+    ("Mags", "candidates:MOUV,MOV,MAG,0", "ref_or_qty", "exact", "zero", 2, "date_alias", None, "exact", "mdy",
      "exact_month", 2, "none", "tolerance", "signed"),
 ]
 

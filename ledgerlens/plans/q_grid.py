@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.numbers import QTY, coerce_number, qty_or_zero
+from ledgerlens.functions.numbers import coerce_number, qty_or_zero
 from ledgerlens.functions.text import normalize_ref
 from ledgerlens.operators import columns as C
 from ledgerlens.operators import headers as H
@@ -19,7 +19,7 @@ from ledgerlens.operators.sheets import restrict, sheet_by_keywords, sheet_from_
 from ledgerlens.plans import sql_grid as SG
 from ledgerlens.plans.profiles import aliases
 from ledgerlens.plans.registry import query
-from ledgerlens.session import stage
+from ledgerlens.session import checked_broadcast, cut_lineage, stage
 from ledgerlens.sources import grids as G
 
 KEYS = ["file_id", "sheet"]
@@ -66,8 +66,8 @@ def sheet_prefer(spark, sf_dir):
 
 @query("header_date", SG.HEADER_DATE)
 def header_date(spark, sf_dir):
-    """H1/H2/H8: first row with an exact date-name cell (scan capped at 20)."""
-    return _hdr(H.header_by_alias(_ledger(spark, sf_dir), aliases("Fath1", "mov", "date"), max_rows=20))
+    """H1/H2/H8: first row of the sheet with an exact date-name cell."""
+    return _hdr(H.header_by_alias(_ledger(spark, sf_dir), aliases("Fath1", "mov", "date")))
 
 
 @query("header_densest", SG.HEADER_DENSEST)
@@ -78,20 +78,20 @@ def header_densest(spark, sf_dir):
 
 @query("header_required", SG.HEADER_REQUIRED)
 def header_required(spark, sf_dir):
-    """H4: >= 2 required names, or any cell containing 'date' (80 rows)."""
-    return _hdr(H.header_required(_ledger(spark, sf_dir), ["REF", "STOCKS", "LOCALISATION", "STOCK"], max_rows=80))
+    """H4: >= 2 required names, or any cell containing 'date'."""
+    return _hdr(H.header_required(_ledger(spark, sf_dir), ["REF", "STOCKS", "LOCALISATION", "STOCK"]))
 
 
 @query("header_tiered", SG.HEADER_TIERED)
 def header_tiered(spark, sf_dir):
-    """H5: 'date' substring / date alias, else ref or qty alias (50 rows)."""
+    """H5: 'date' substring / date alias, else ref or qty alias."""
     return _hdr(H.header_tiered(_ledger(spark, sf_dir), aliases("Larbaa", "mov", "date"),
                                 aliases("Larbaa", "mov", "ref"), aliases("Larbaa", "mov", "quantity")))
 
 
 @query("header_keywords", SG.HEADER_KEYWORDS)
 def header_keywords(spark, sf_dir):
-    """H6: >= 2 snapshot keywords inside upper-cased cells (50 rows)."""
+    """H6: >= 2 snapshot keywords inside upper-cased cells."""
     return _hdr(H.header_keywords(G.multi_sheet_grid(spark, sf_dir)))
 
 
@@ -133,19 +133,11 @@ def resolve_contains(spark, sf_dir):
     custom = F.when(F.col("sheet") == "MAG N", "QUANTITE/KG").when(F.col("sheet") == "MAG R", "QUANTITE/M")
     return hc.select(*KEYS, "header_idx",
                      C.resolve_contains("header", aliases("Larbaa", "stock", "ref")).alias("ref_pos"),
-                     F.coalesce(F.when(custom.isNotNull(), _custom_pos(custom)),
+                     F.coalesce(F.when(custom.isNotNull(), C.resolve_custom_col("header", custom)),
                                 C.resolve_contains("header", aliases("Larbaa", "stock", "quantity"))).alias("qty_pos"),
                      C.resolve_date_fallback("header", aliases("Larbaa", "stock", "date")).alias("date_pos"))
 
 
-def _custom_pos(name_col):
-    flags = F.transform(F.col("header"), lambda x: F.coalesce(
-        F.upper(name_col).contains(F.upper(F.trim(x))) | F.upper(F.trim(x)).contains(F.upper(name_col)),
-        F.lit(False)))
-    p = F.array_position(flags, F.lit(True))
-    return F.when(p > 0, (p - 1).cast("int"))
-
-
 @query("override_cols", SG.OVERRIDE_COLS)
 def override_cols(spark, sf_dir):
     """Configured or user-chosen column names win when present;
@@ -198,7 +190,7 @@ def stock_multi_sheet(spark, sf_dir):
     g = g.join(F.broadcast(listed), KEYS)
     hc = H.header_cells(g, H.header_keywords(g)).join(F.broadcast(listed), KEYS)
     lines = extract(g, hc, {"ref": C.resolve_contains("header", aliases("Larbaa", "stock", "ref")),
-                            "qty": _custom_pos(F.col("qty_name"))})
+                            "qty": C.resolve_custom_col("header", F.col("qty_name"))})
     typed = lines.select(F.col("sheet").alias("source_sheet"), normalize_ref("ref").alias("ref"),
                          qty_or_zero("qty").alias("qty"))
     out = R.aggregate_side(typed, ["source_sheet"], "Stock_Qty", round_lines=2)
@@ -217,16 +209,13 @@ def mov_stacked(spark, sf_dir):
     lines = extract(g, hc, {"ref": C.resolve_exact("header", al["ref"]),
                             "qty": C.resolve_exact("header", al["quantity"]),
                             "date": C.resolve_date_fallback("header", al["date"])})
-    dated = parse_dates_auto(lines, KEYS, "row_idx", "date")
+    dated = parse_dates_auto(lines, KEYS, "date")
     typed = cumulative_cutoff(dated, 1998, 6).select(normalize_ref("ref").alias("ref"),
                                                       qty_or_zero("qty").alias("qty"))
     out = R.aggregate_side(typed, out="Calc_Mov_Qty")
     return out.select("Ref", F.col("Calc_Mov_Qty").cast("double").alias("Calc_Mov_Qty"))
 
 
-__all__ = ["QTY"]
-
-
 @query("csv_sniff", "SELECT 'csv_' || l_returnflag || l_linestatus || '_' || CAST(l_orderkey // 1000 AS VARCHAR) "
        "AS file_id, CASE (l_orderkey // 1000) % 4 WHEN 0 THEN ';' WHEN 1 THEN ',' WHEN 2 THEN chr(9) ELSE '|' END "
        "AS sep, COUNT(*) + 1 AS n_rows, 'Qté' AS qty_header, CAST(SUM(l_orderkey) AS BIGINT) AS ref_sum "
@@ -237,8 +226,9 @@ def csv_sniff(spark, sf_dir):
     delimiter, row count, decoded header and the parsed refs are reported."""
     from ledgerlens.sources.csv_grid import csv_grid, lines_of, sniff
     files = G.csv_ledger_files(spark, sf_dir)
-    grid = csv_grid(files)
-    seps = sniff(lines_of(files))
+    lines = cut_lineage(lines_of(files), "csv-lines")
+    seps = checked_broadcast(sniff(lines), "csv-separators")
+    grid = csv_grid(files, lines, seps)
     stats = grid.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.max(F.when(F.col("row_idx") == 0, F.element_at("cells", 3))).alias("qty_header"),

@@ -130,25 +130,24 @@ _MD = "^(\\d{1,2})[/-](\\d{1,2})[/-](\\d{2,4})"
 _ISO = "^\\d{4}[/-]\\d{1,2}[/-]\\d{1,2}"
 _DETECT = cte(
     t=TEXT_DATES,
-    s0=f"SELECT file_id, {sql_strip('raw')} AS v FROM t WHERE raw IS NOT NULL "
-       "QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY row_idx) <= 200",
+    s0=f"SELECT file_id, {sql_strip('raw')} AS v FROM t WHERE raw IS NOT NULL",
     s=f"SELECT file_id, v, regexp_matches(v, '{_ISO}') AS iso, regexp_matches(v, '{_MD}') AS md, "
       f"TRY_CAST(regexp_extract(v, '{_MD}', 1) AS INTEGER) AS a, "
       f"TRY_CAST(regexp_extract(v, '{_MD}', 2) AS INTEGER) AS b FROM s0 WHERE v <> ''",
-    c="SELECT file_id, CAST(COUNT(*) AS BIGINT) AS n_sample, "
+    c="SELECT file_id, CAST(COUNT(*) AS BIGINT) AS n_values, "
       "CAST(SUM(CASE WHEN iso THEN 1 ELSE 0 END) AS BIGINT) AS n_iso, "
       "CAST(SUM(CASE WHEN NOT iso AND md AND a > 12 AND b <= 12 THEN 1 ELSE 0 END) AS BIGINT) AS n_eu, "
       "CAST(SUM(CASE WHEN NOT iso AND md AND b > 12 AND a <= 12 THEN 1 ELSE 0 END) AS BIGINT) AS n_us "
       "FROM s GROUP BY file_id",
-    det="SELECT file_id, CASE WHEN n_sample = 0 THEN 'unknown' WHEN n_us > n_eu AND n_us > 0 THEN 'us' "
-        "WHEN n_eu > n_us AND n_eu > 0 THEN 'eu' WHEN n_iso > 0 AND n_iso >= n_sample * 0.5 THEN 'iso' "
-        "ELSE 'eu' END AS date_order, n_us, n_eu, n_iso, n_sample FROM c")
+    det="SELECT file_id, CASE WHEN n_values = 0 THEN 'unknown' WHEN n_us > n_eu AND n_us > 0 THEN 'us' "
+        "WHEN n_eu > n_us AND n_eu > 0 THEN 'eu' WHEN n_iso > 0 AND n_iso >= n_values * 0.5 THEN 'iso' "
+        "ELSE 'eu' END AS date_order, n_us, n_eu, n_iso, n_values FROM c")
 
 
 @query("detect_date_order", _DETECT + "SELECT * FROM det")
 def detect_date_order(spark, sf_dir):
-    """US / EU / ISO vote over the first 200 values of each file."""
-    return D.detect_date_order(text_dates(spark, sf_dir), ["file_id"], "row_idx", "raw")
+    """US / EU / ISO vote over all values of each file."""
+    return D.detect_date_order(text_dates(spark, sf_dir), ["file_id"], "raw")
 
 
 @query("parse_dates_auto", _DETECT + "SELECT t.file_id, t.row_idx, COALESCE(det.date_order, 'unknown') AS date_order, "
@@ -156,7 +155,7 @@ def detect_date_order(spark, sf_dir):
        f"ELSE {_sql_dayfirst('t.raw')} END AS mov_date FROM t LEFT JOIN det ON t.file_id = det.file_id")
 def parse_dates_auto(spark, sf_dir):
     """P10: parse every file by its detected order."""
-    out = D.parse_dates_auto(text_dates(spark, sf_dir), ["file_id"], "row_idx", "raw")
+    out = D.parse_dates_auto(text_dates(spark, sf_dir), ["file_id"], "raw")
     return out.select("file_id", "row_idx", "date_order", "mov_date")
 
 

@@ -131,23 +131,23 @@ SHEET_PREFER = (_S + ", k AS (SELECT * FROM (VALUES (0, 'MOUV'), (1, 'MOV'), (2,
                 "SELECT fst.file_id, COALESCE(p, f) AS sheet, p IS NOT NULL AS preferred "
                 "FROM fst LEFT JOIN pref ON fst.file_id = pref.file_id")
 
-HEADER_DATE = _G + first_header("g", has_any(present(), _al("Fath1", "mov", "date")), 20)
+HEADER_DATE = _G + first_header("g", has_any(present(), _al("Fath1", "mov", "date")))
 _N_CELLS = "len(list_filter(cells, lambda x: x IS NOT NULL))"
 HEADER_DENSEST = (_G + f"SELECT file_id, sheet, arg_max(row_idx, {_N_CELLS} * 1000000000000 - row_idx) "
                   "AS header_idx, true AS found FROM g GROUP BY file_id, sheet")
 _REQ = ["REF", "STOCKS", "LOCALISATION", "STOCK"]
 HEADER_REQUIRED = _G + first_header(
-    "g", f"(len(list_intersect({present()}, {lst(_REQ)})) >= 2 OR {contains_date(present())})", 80)
+    "g", f"(len(list_intersect({present()}, {lst(_REQ)})) >= 2 OR {contains_date(present())})")
 _T12 = f"({contains_date(present())} OR {has_any(present(), _al('Larbaa', 'mov', 'date'))})"
 _T3 = f"({has_any(present(), _al('Larbaa', 'mov', 'ref'))} OR {has_any(present(), _al('Larbaa', 'mov', 'quantity'))})"
-HEADER_TIERED = _G + first_header("g", _T12, 50, _T3)
+HEADER_TIERED = _G + first_header("g", _T12, pred2=_T3)
 _KW = ["REFERENCE", "DESIGNIATION", "DATE", "QUANTITE", "REF"]
 _UP = f"list_transform({present()}, lambda v: upper(v))"
 _HITS = " + ".join(f"CAST(COALESCE(list_bool_or(list_transform({_UP}, lambda v: contains(v, {_q(k)}))), false) AS INTEGER)"
                    for k in _KW)
-HEADER_KEYWORDS = f"WITH g AS ({MULTI_GRID})\n" + first_header("g", f"({_HITS}) >= 2", 50)
+HEADER_KEYWORDS = f"WITH g AS ({MULTI_GRID})\n" + first_header("g", f"({_HITS}) >= 2")
 
-_TIERED_HC = (_G + f", h AS ({first_header('g', _T12, 50, _T3)}), "
+_TIERED_HC = (_G + f", h AS ({first_header('g', _T12, pred2=_T3)}), "
               "hc AS (SELECT h.file_id, h.sheet, h.header_idx, g.cells AS header FROM h JOIN g "
               "ON g.file_id = h.file_id AND g.sheet = h.sheet AND g.row_idx = h.header_idx)\n")
 RESOLVE_EXACT = (_TIERED_HC + f"SELECT file_id, sheet, header_idx, {pos_exact('header', _al('Fath2', 'mov', 'ref'))} "
@@ -165,7 +165,7 @@ def _custom(name: str) -> str:
     return f"CAST(NULLIF(list_position({flags}, true), 0) - 1 AS INTEGER)"
 
 
-RESOLVE_CONTAINS = (f"WITH g AS ({MULTI_GRID}), h AS ({first_header('g', f'({_HITS}) >= 2', 50)}), "
+RESOLVE_CONTAINS = (f"WITH g AS ({MULTI_GRID}), h AS ({first_header('g', f'({_HITS}) >= 2')}), "
                     "hc AS (SELECT h.file_id, h.sheet, h.header_idx, g.cells AS header FROM h JOIN g "
                     "ON g.file_id = h.file_id AND g.sheet = h.sheet AND g.row_idx = h.header_idx)\n"
                     f"SELECT file_id, sheet, header_idx, {pos_contains('header', _al('Larbaa', 'stock', 'ref'))} "
@@ -226,7 +226,7 @@ VERIFY_FILES = (
     "av AS (SELECT file_id, list_sort(list_distinct(list(sheet))) AS available_sheets FROM s GROUP BY file_id), "
     "j AS (SELECT substr(av.file_id, 6, 1) AS unit, substr(av.file_id, 5, 1) AS atelier, av.file_id, "
     "available_sheets, CASE WHEN list_contains(available_sheets, 'MOUVEMENT') THEN 'MOUVEMENT' END "
-    "AS expected_sheet FROM av), " + _date_hdr_cells("true", 20) + ", "
+    "AS expected_sheet FROM av), " + _date_hdr_cells() + ", "
     "x AS (SELECT j.*, hc.header FROM j LEFT JOIN hc ON hc.file_id = j.file_id AND hc.sheet = j.expected_sheet), "
     f"y AS (SELECT *, {_F1_REF} AS rp, {_F1_QTY} AS qp, {_F1_DATE} AS dp FROM x)\n"
     "SELECT unit, atelier, file_id AS filename, len(errs) = 0 AS valid, errs AS errors, available_sheets, "

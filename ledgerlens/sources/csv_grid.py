@@ -5,10 +5,12 @@ encoding decision and the row numbering are per file:
 
 * encoding: valid UTF-8 (a byte-order mark is dropped), otherwise Windows
   code page 1252 (Latin-1 decode plus the 0x80-0x9F remap below);
-* rows: non-blank lines, numbered densely from 0 (blank lines do not count);
-* delimiter: over the first 50 rows, the candidate giving the most fields
-  wins, earlier candidates win ties; with no candidate above one field the
-  comma is used;
+* rows: non-blank records, numbered densely from 0 (blank lines do not
+  count); a line break inside double quotes belongs to its field;
+* delimiter: over all rows, the candidate outside quotes that splits the most
+  rows into the header row's number of fields wins, if that is at least two;
+  ties go to the larger number of fields, then to the earlier candidate; with
+  no candidate above one field the comma is used;
 * fields: split on the delimiter outside double quotes, quotes removed,
   doubled quotes unescaped, empty fields NULL.
 
@@ -20,9 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Candidate delimiters in preference order, preview size.
+from ledgerlens.session import checked_broadcast, cut_lineage
+
+# Candidate delimiters in preference order.
 SEPARATORS = [";", ",", "\t", "|"]
-PREVIEW_ROWS = 50
+# Control characters that stand for what quotes protect while a text is split.
+QUOTED_BREAK, FIELD_END = "\x1e", "\x1f"
 
 # Code page 1252 differs from Latin-1 only in 0x80-0x9F; derive that block
 # from Python's codec (undefined bytes become U+FFFD as with errors='replace').
@@ -36,35 +41,58 @@ def decode_text(content: Column) -> Column:
     return F.when(F.expr("is_valid_utf8(content)"), utf8).otherwise(latin)
 
 
-def _split_quoted(line: Column, sep: str) -> Column:
-    import re
-    s = re.escape(sep) if sep != "\t" else "\\t"
-    fields = F.split(line, f'{s}(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    def clean(x: Column) -> Column:
-        unq = F.when(x.startswith('"') & x.endswith('"') & (F.length(x) >= 2),
-                     F.regexp_replace(F.substring(x, 2, F.length(x) - 2), '""', '"')).otherwise(x)
-        return F.when(unq != "", unq)
-    return F.transform(fields, clean)
+def _parts(text: Column) -> Column:
+    """The text cut at its double quotes: parts at odd places are quoted (an
+    empty part between two quotes is an escaped quote)."""
+    return F.split(text, '"', -1)
 
 
 def lines_of(files: DataFrame) -> DataFrame:
-    """(file_id, row_idx, line) for the non-blank lines of each file."""
+    """(file_id, row_idx, line) for the non-blank records of each file; line
+    breaks inside quotes are replaced by ``QUOTED_BREAK``."""
     text = decode_text(F.col("content"))
-    lines = F.filter(F.split(text, r"\r\n|\n|\r"), lambda l: F.trim(l) != "")
+    whole = F.regexp_replace(text, r"\r\n?", "\n")
+    kept = F.when(F.instr(whole, '"') > 0, F.array_join(F.transform(_parts(whole), lambda p, i: F.when(
+        i % 2 == 1, F.translate(p, "\n", QUOTED_BREAK)).otherwise(p)), '"')).otherwise(whole)
+    lines = F.filter(F.split(kept, "\n"), lambda l: F.trim(l) != "")
     return files.select(F.col("path").alias("file_id"), F.posexplode(lines).alias("row_idx", "line"))
 
 
+def _bare(line: Column) -> Column:
+    """A line without what its quotes enclose."""
+    return F.when(F.instr(line, '"') > 0, F.array_join(F.filter(_parts(line), lambda p, i: i % 2 == 0), "")).otherwise(line)
+
+
 def sniff(lines: DataFrame) -> DataFrame:
-    """(file_id, sep) by the widest-preview rule."""
-    preview = lines.where(F.col("row_idx") < PREVIEW_ROWS)
-    cands = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(s).alias("sep")) for i, s in enumerate(SEPARATORS)])
-    x = preview.select("file_id", "line", F.explode(cands).alias("c"))
-    per = x.groupBy("file_id", "c.k", "c.sep").agg(
-        F.max(F.size(F.split(F.col("line"), F.when(F.col("c.sep") == "|", "\\|")
-                                               .when(F.col("c.sep") == "\t", "\\t")
-                                               .otherwise(F.col("c.sep"))))).alias("n"))
-    best = per.groupBy("file_id").agg(F.max_by(F.struct("sep", "n"), F.struct("n", -F.col("k"))).alias("b"))
-    return best.select("file_id", F.when(F.col("b.n") > 1, F.col("b.sep")).otherwise(",").alias("sep"))
+    """(file_id, sep): two hash aggregates over all rows."""
+    bare = _bare(F.col("line"))
+    counts = [(F.length(bare) - F.length(F.translate(bare, s, "")) + 1).alias(f"n{i}") for i, s in enumerate(SEPARATORS)]
+    rows = lines.select("file_id", "row_idx", *counts)
+    heads = checked_broadcast(rows.where("row_idx = 0").drop("row_idx").toDF("file_id", *[f"h{i}" for i in range(len(SEPARATORS))]), "csv-heads")
+    fits = rows.join(heads, "file_id").groupBy("file_id").agg(*[
+        F.struct(F.sum(F.when((F.col(f"h{i}") > 1) & (F.col(f"n{i}") == F.col(f"h{i}")), 1).otherwise(0)).alias("rows"),
+                 F.max(f"h{i}").alias("width"), F.lit(-i).alias("turn"), F.lit(s).alias("sep")).alias(f"c{i}")
+        for i, s in enumerate(SEPARATORS)])
+    best = F.greatest(*[F.col(f"c{i}") for i in range(len(SEPARATORS))])
+    return fits.select("file_id", F.when(best["rows"] > 0, best["sep"]).otherwise(",").alias("sep"))
+
+
+def _fields(line: Column, sep: Column) -> Column:
+    """The fields of a line: separators outside quotes become FIELD_END, so
+    one linear split is left."""
+    def clean(x: Column) -> Column:
+        x = F.translate(x, QUOTED_BREAK, "\n")
+        return F.when(x != "", x)
+
+    def part(p: Column, i: Column, n: Column) -> Column:
+        # an empty part outside quotes, between two quoted ones: an escaped quote
+        return (F.when(i % 2 == 1, p).when((p == "") & (i > 0) & (i < n - 1), F.lit('"'))
+                .otherwise(F.replace(p, sep, F.lit(FIELD_END))))
+
+    parts = _parts(line)
+    joined = F.when(F.instr(line, '"') > 0, F.array_join(F.transform(parts, lambda p, i: part(p, i, F.size(parts))), "")).otherwise(
+        F.replace(line, sep, F.lit(FIELD_END)))
+    return F.transform(F.split(joined, FIELD_END, -1), clean)
 
 
 def read_csv_grid(spark: SparkSession, paths) -> DataFrame:
@@ -74,14 +102,11 @@ def read_csv_grid(spark: SparkSession, paths) -> DataFrame:
     return csv_grid(files)
 
 
-def csv_grid(files: DataFrame) -> DataFrame:
-    """Same, from any ``(path, content BINARY)`` DataFrame."""
-    lines = lines_of(files)
-    seps = sniff(lines)
-    j = lines.join(seps, "file_id")
-    cells = None
-    for s in SEPARATORS:
-        e = _split_quoted(F.col("line"), s)
-        cells = F.when(F.col("sep") == s, e) if cells is None else cells.when(F.col("sep") == s, e)
+def csv_grid(files: DataFrame, lines: DataFrame | None = None, seps: DataFrame | None = None) -> DataFrame:
+    """Same, from any ``(path, content BINARY)`` DataFrame; ``lines`` and
+    ``seps``: those of the files, where a caller has them already."""
+    if lines is None:
+        lines = cut_lineage(lines_of(files), "csv-lines")
+    j = lines.join(checked_broadcast(sniff(lines), "csv-separators") if seps is None else seps, "file_id")
     return j.select("file_id", F.lit(0).alias("sheet_pos"), F.lit("CSV").alias("sheet"),
-                    F.col("row_idx").cast("bigint").alias("row_idx"), cells.alias("cells"))
+                    F.col("row_idx").cast("bigint").alias("row_idx"), _fields(F.col("line"), F.col("sep")).alias("cells"))

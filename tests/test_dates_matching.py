@@ -12,7 +12,7 @@ from ledgerlens.operators import matching as M
 
 def detect(spark, values):
     df = spark.createDataFrame([("f", i, v) for i, v in enumerate(values)], "file_id string, row_idx long, v string")
-    return D.detect_date_order(df, ["file_id"], "row_idx", "v").first()["date_order"]
+    return D.detect_date_order(df, ["file_id"], "v").first()["date_order"]
 
 
 def test_detection_votes_and_ties(spark):
@@ -24,9 +24,9 @@ def test_detection_votes_and_ties(spark):
     assert detect(spark, ["  ", None]) == "unknown"
 
 
-def test_detection_uses_first_200_values_only(spark):
+def test_detection_counts_every_value(spark):
     vals = ["01/02/2025"] * 200 + ["02/13/2025"] * 50
-    assert detect(spark, vals) == "eu"
+    assert detect(spark, vals) == "us"
 
 
 @pytest.mark.parametrize("seed", range(6))

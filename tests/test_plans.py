@@ -2,10 +2,10 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from ledgerlens.plans.catalog import QUERIES as CATALOG
 
-QUERIES = E.queries()
+QUERIES = {name: q.build for name, q in CATALOG.items()}
 # keys whose work genuinely needs Python: per-file workbook parsing / writing
 # and the per-unit greedy file assignment
 PYTHON_OK = {"match_files", "match_files_words", "unmatched", "grid_xlsx", "export_xlsx"}
