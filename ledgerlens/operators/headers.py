@@ -126,6 +126,13 @@ def header_densest(grid: DataFrame, keys: Sequence[str] = KEYS, max_rows: int |
     return _fetch_cells(grid, picked, keys)
 
 
+def else_densest(headers: DataFrame, grid: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``headers``, with the densest row where the rule found none."""
+    d = header_densest(grid, keys).select(*keys, F.col("header_idx").alias("_i"), F.col("header").alias("_h"))
+    pick = lambda a, b: F.when(F.col("found"), F.col(a)).otherwise(F.col(b)).alias(a)
+    return headers.join(d, list(keys)).select(*keys, pick("header_idx", "_i"), "found", pick("header", "_h"))
+
+
 def header_required(grid: DataFrame, required: Sequence[str], keys: Sequence[str] = KEYS,
                     max_rows: int | None = None, min_hits: int = 2) -> DataFrame:
     """First row with >= ``min_hits`` required names, or a cell containing 'date'."""

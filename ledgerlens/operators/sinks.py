@@ -7,14 +7,13 @@ order mark and quotes fields with standard CSV escaping.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.session import scratch_path
+from ledgerlens.session import cut_lineage, scratch_path
 
 
 def fresh_output(spark, name: str) -> str:
@@ -141,33 +140,47 @@ def workbook_bytes(sheets) -> bytes:
     return buf.getvalue()
 
 
+def put_file(path: str, data: bytes) -> None:
+    """Write a file of any file system pyarrow knows: under a name of its own
+    first, then moved, so a retried task replaces the file of its forerunner
+    and nothing half-written is ever read."""
+    from pyarrow import fs
+
+    where, name = fs.FileSystem.from_uri(path if ":/" in path else "file://" + path)
+    where.create_dir(name.rpartition("/")[0], recursive=True)
+    draft = f"{name.rpartition('/')[0]}/_{uuid.uuid4().hex}"
+    with where.open_output_stream(draft) as out:
+        out.write(data)
+    where.move(draft, name)
+
+
 def write_xlsx(recon: DataFrame, path: str, parts: Sequence[str] = ("unit", "atelier", "status"),
                num_partitions: int | None = None) -> DataFrame:
     """One workbook per (group, task slice): rows are range-partitioned on
     (group, Ref), each task writes the slices it holds.  No group is ever
-    gathered into a single task.  Returns (file, rows) per written file."""
+    gathered into a single task.  Files are named by group, partition and
+    batch, so a retried task writes the same names again.  Returns (file,
+    rows) per written file, computed once."""
     import pandas as pd
 
     from ledgerlens.session import ship_package
     ship_package(recon.sparkSession)
     n = num_partitions or recon.sparkSession.sparkContext.defaultParallelism
     cols = [c for c in recon.columns if c not in parts]
-    os.makedirs(path, exist_ok=True)
 
     def run(it):
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
         out = []
-        for pdf in it:
-            for key, g in pdf.groupby(list(parts), sort=True):
+        for turn, pdf in enumerate(it):
+            for key, g in pdf.groupby(list(parts), sort=True, dropna=False):
                 key = key if isinstance(key, tuple) else (key,)
                 name = "__".join(str(k) for k in key).replace("/", "_")
-                fn = os.path.join(path, f"{name}__part{pid:05d}_{uuid.uuid4().hex[:6]}.xlsx")
-                with open(fn, "wb") as fh:
-                    fh.write(xlsx_bytes(cols, [tuple(_py(v) for v in r) for r in
+                fn = f"{path}/{name}__part{pid:05d}_{turn:04d}.xlsx"
+                put_file(fn, xlsx_bytes(cols, [tuple(_py(v) for v in r) for r in
                                                g[cols].itertuples(index=False, name=None)], str(key[-1])))
                 out.append((fn, len(g)))
         yield pd.DataFrame(out, columns=["file", "rows"])
 
     ordered = recon.repartitionByRange(n, *parts, "Ref").sortWithinPartitions(*parts, "Ref")
-    return ordered.mapInPandas(run, "file string, rows long")
+    return cut_lineage(ordered.mapInPandas(run, "file string, rows long"), "xlsx-written")

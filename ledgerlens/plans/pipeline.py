@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import parse_dayfirst, parse_monthfirst
-from ledgerlens.functions.numbers import QTY, coerce_locale_number, qty_or_zero
+from ledgerlens.functions.numbers import QTY, coerce_locale_number, coerce_number, qty_or_zero
 from ledgerlens.functions.text import normalize_ref, strip_text
 from ledgerlens.operators import columns as C
 from ledgerlens.operators import headers as H
@@ -29,7 +29,7 @@ from ledgerlens.operators.dates import coerce_dates, parse_dates_auto
 from ledgerlens.operators.loaders import extract, missing_columns
 from ledgerlens.operators.rollforward import rollforward
 from ledgerlens.operators.sheets import sheet_by_keywords, sheet_from_candidates
-from ledgerlens.plans.profiles import PROFILE_COLUMNS, PROFILES, aliases
+from ledgerlens.plans.profiles import NAME_PARTS, PROFILE_COLUMNS, PROFILES, aliases
 from ledgerlens.session import checked_broadcast
 from ledgerlens.sources.grids import sheets_of
 
@@ -37,6 +37,8 @@ JOB_KEYS = ["unit", "atelier", "job_idx"]
 G_KEYS = ["file_id", "sheet"]
 # Snapshot header names of the required-names rule.
 STOCK_REQUIRED = ["RF", "S REEL", "LOCALISATION"]
+# A column position past every row: reads as empty cells.
+BEYOND = 2_000_000_000
 
 
 @dataclass
@@ -83,6 +85,16 @@ def _resolver(how: str, names: list[str]) -> Column:
     return C.resolve_exact("header", names)
 
 
+def _stock_resolver(r: UnitRules, role: str, names: list[str]) -> Column:
+    """The unit's resolver; some units look for parts of a name instead of,
+    or after, the listed names."""
+    parts = NAME_PARTS.get(r.unit, {}).get(role)
+    if not parts:
+        return _resolver(r.stock_resolve, names)
+    found = [C.resolve_contains("header", p) for p in parts["parts"]]
+    return F.coalesce(*([_resolver(r.stock_resolve, names)] if parts["after_names"] else []), *found)
+
+
 def _mov_roles(r: UnitRules) -> dict[str, Column]:
     al = {k: aliases(r.unit, "mov", k) for k in ("date", "ref", "quantity", "localisation")}
     date = (C.resolve_date_fallback("header", al["date"]) if r.mov_header == "tiered"
@@ -102,7 +114,7 @@ def _headers(grid: DataFrame, rule: str, r: UnitRules, side: str, keys, max_rows
     if rule == "densest":
         h = H.header_densest(grid, keys, max_rows)
     elif rule == "date_alias_norm":
-        h = H.header_by_alias(grid, al["date"], keys, max_rows, normalize=True)
+        h = H.else_densest(H.header_by_alias(grid, al["date"], keys, max_rows, normalize=True), grid, keys)
     elif rule == "tiered":
         h = H.header_tiered(grid, al["date"], al["ref"], al["quantity"], keys, max_rows)
     elif rule == "keywords":
@@ -131,34 +143,81 @@ def ledger_sheets(mov_grid: DataFrame, jobs: DataFrame) -> DataFrame:
     return single.unionByName(stacked.select(*JOB_KEYS, "file_id", "sheet"))
 
 
+def missing_sheets(mov_grid: DataFrame, jobs: DataFrame) -> DataFrame:
+    """A row per job none of whose sheets is in its ledger."""
+    found = ledger_sheets(mov_grid, jobs).where(F.col("sheet").isNotNull()).select(*JOB_KEYS)
+    names = F.array_join(F.transform("candidates", lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", ")
+    return jobs.join(found.distinct(), JOB_KEYS, "left_anti").select(
+        "unit", F.concat_ws("/", "atelier", "file_id").alias("scope"), F.lit("error").alias("severity"),
+        F.lit("MISSING_SHEET").alias("code"),
+        F.concat(F.lit("Could not find any of the sheets ["), names, F.lit("]")).alias("message"))
+
+
+def _bad(text: str, value: Column) -> Column:
+    """A cell that holds something no value came of."""
+    return (F.coalesce(strip_text(F.col(text).cast("string")), F.lit("")) != "") & value.isNull()
+
+
+def line_warnings(lines: DataFrame, scope: list[str], **flags: Column) -> DataFrame:
+    """Counts of lines with a blank ref or an unreadable quantity or date, one
+    aggregate per unit; a row per scope and kind that occurs."""
+    codes = {"ref": ("BLANK_REF", "line(s) without reference"), "number": ("BAD_QUANTITY", "unreadable quantity cell(s), counted as 0"),
+             "date": ("BAD_DATE", "unreadable date cell(s)")}
+    counts = lines.groupBy("unit", *scope).agg(*[F.sum(f.cast("long")).alias(f"_{k}") for k, f in flags.items()])
+    kinds = F.array(*[F.struct(F.lit(codes[k][0]).alias("code"), F.col(f"_{k}").alias("n"), F.lit(codes[k][1]).alias("what")) for k in flags])
+    return (counts.select("unit", *scope, F.explode(kinds).alias("x")).where(F.col("x.n") > 0)
+            .select("unit", F.concat_ws("/", *scope).alias("scope"), F.lit("warning").alias("severity"), F.col("x.code").alias("code"),
+                    F.concat_ws(" ", F.col("x.n").cast("string"), F.col("x.what")).alias("message")))
+
+
 def movement_lines(mov_grid: DataFrame, jobs: DataFrame, r: UnitRules, year: int, month: int):
     """Typed ledger lines ``(unit, atelier, job_idx, ref, qty, mov_date,
     localisation)``, diagnostics, and the jobs whose ledger could be read."""
     ujobs = jobs.where(F.col("unit") == r.unit)
     chosen = ledger_sheets(mov_grid, ujobs).where(F.col("sheet").isNotNull())
-    jcols = ujobs.select(*JOB_KEYS, "ref_col", "qty_col", "must_contain")
+    jcols = ujobs.select(*JOB_KEYS, "ref_col", "qty_col", "must_contain", "no_loc_col")
     # one row per (sheet, job), from the grid's sheet list: joined by its checked size
     per_job = checked_broadcast(chosen.join(jcols, JOB_KEYS), "sheets")
     keys = [*G_KEYS, *JOB_KEYS]
     rows = mov_grid.join(per_job, G_KEYS)
     hdr = _headers(rows, r.mov_header, r, "mov", keys, r.mov_header_rows)
     hc = hdr.join(per_job, keys)
+    # one row per (sheet, job) with its header: written once, read by the
+    # diagnostics, the job list and the body
+    hc = checked_broadcast(hc, "ledger-headers")
     roles = _mov_roles(r)
-    diag = missing_columns(hc, roles, ["ref", "qty"], keys).select(
+    needed = ["ref", "qty"]
+    if r.mov_header == "required":
+        needed += ["date"]
+        if "loc" in roles:  # unless the job's ledger has no such column
+            needed += ["loc"]
+            roles["loc"] = F.coalesce(roles["loc"], F.when(F.col("no_loc_col"), F.lit(BEYOND)))
+    diag = missing_columns(hc, roles, needed, keys).select(
         "unit", F.concat_ws("/", "atelier", "file_id", "sheet").alias("scope"), "severity", "code", "message")
+    diag = diag.unionByName(missing_sheets(mov_grid, ujobs))
     lines = extract(rows, hc, roles, keys)
-    lines = lines.where(F.col("ref_pos").isNotNull() & F.col("qty_pos").isNotNull())
-    ok_jobs = (hc.select(*JOB_KEYS, roles["ref"].alias("_r"), roles["qty"].alias("_q"))
-               .where(F.col("_r").isNotNull() & F.col("_q").isNotNull()).select(*JOB_KEYS).distinct())
+    for n in needed:
+        lines = lines.where(F.col(f"{n}_pos").isNotNull())
+    ok_jobs = hc.select(*JOB_KEYS, *[roles[n].alias(f"_{n}") for n in needed])
+    for n in needed:
+        ok_jobs = ok_jobs.where(F.col(f"_{n}").isNotNull())
+    ok_jobs = ok_jobs.select(*JOB_KEYS).distinct()
     if r.date_order == "auto":
         lines = parse_dates_auto(lines, keys, "date")
     elif r.date_order == "serial_dmy":
-        lines = coerce_dates(lines, keys, "date").where(F.col("mov_date").isNotNull())
+        lines = coerce_dates(lines, keys, "date")
     elif r.date_order == "mdy":
         lines = lines.withColumn("mov_date", parse_monthfirst("date"))
     else:
         lines = lines.withColumn("mov_date", parse_dayfirst("date"))
     has_date = F.col("date_pos").isNotNull()
+    number = coerce_number(F.regexp_replace(F.regexp_replace("qty", r"[\x{A0} ]", ""), ",", ".")
+                           if r.stock_null_qty == "zero_locale" else "qty")
+    diag = diag.unionByName(line_warnings(
+        lines, ["atelier", "file_id", "sheet"], ref=normalize_ref("ref").isNull(), number=_bad("qty", number),
+        date=has_date & _bad("date", F.col("mov_date"))))
+    if r.date_order == "serial_dmy":
+        lines = lines.where(F.col("mov_date").isNotNull())
     start = F.make_date(F.lit(year), F.lit(month), F.lit(1))
     if r.period == "cumulative":
         lines = lines.where(~has_date | (F.col("mov_date") < F.add_months(start, 1)))
@@ -177,10 +236,11 @@ def movement_lines(mov_grid: DataFrame, jobs: DataFrame, r: UnitRules, year: int
 
 # --- snapshot side ----------------------------------------------------------------
 
-def snapshot_lines(stock_grid: DataFrame, jobs: DataFrame, r: UnitRules) -> DataFrame:
+def snapshot_lines(stock_grid: DataFrame, jobs: DataFrame, r: UnitRules):
     """Snapshot lines ``(unit, [atelier, job_idx,] ref, qty, local,
     localisation, source_sheet)`` under the unit's sheet / header / column
-    rules.  With 'listed' sheets the lines are already per job."""
+    rules, their diagnostics, and the keys (unit, or job) whose snapshot lacks
+    a column.  With 'listed' sheets the lines are already per job."""
     g = stock_grid.where(F.col("unit") == r.unit) if "unit" in stock_grid.columns else \
         stock_grid.withColumn("unit", F.lit(r.unit))
     sheets = sheets_of(g)
@@ -203,25 +263,37 @@ def snapshot_lines(stock_grid: DataFrame, jobs: DataFrame, r: UnitRules) -> Data
     hc = _headers(rows, r.stock_header, r, "stock", keys)
     if per_job:
         hc = hc.join(chosen.select(*keys, "stock_qty_col"), keys)
+    hc = checked_broadcast(hc, "snapshot-headers")
     al = {k: aliases(r.unit, "stock", k) for k in ("ref", "quantity", "localisation", "local")}
-    qty_pos = _resolver(r.stock_resolve, al["quantity"])
+    qty_pos = _stock_resolver(r, "quantity", al["quantity"])
     if per_job:
         qty_pos = F.when(F.col("stock_qty_col").isNotNull(),
                          C.resolve_custom_col("header", F.col("stock_qty_col"))).otherwise(qty_pos)
-    roles = {"ref": _resolver(r.stock_resolve, al["ref"]), "qty": qty_pos}
+    roles = {"ref": _stock_resolver(r, "ref", al["ref"]), "qty": qty_pos}
     if al["localisation"]:
         roles["loc"] = _resolver(r.stock_resolve, al["localisation"])
     if al["local"]:
         roles["local"] = _resolver(r.stock_resolve, al["local"])
+    needed = ["ref", "qty"] + (["loc"] if "loc" in roles and r.location_rule in ("stock_in", "in_not_in") else []) + (
+        ["local"] if "local" in roles and r.location_rule == "local_or_pairs" else [])
+    out = [c for c in keys if c not in G_KEYS]
+    at = ["atelier", "file_id", "sheet"] if per_job else G_KEYS
+    diag = missing_columns(hc, roles, needed, keys).select(
+        "unit", F.concat_ws("/", *at).alias("scope"), "severity", "code", "message")
+    bad = hc.select(*out, *[roles[n].alias(f"_{n}") for n in needed]).where(
+        F.greatest(*[F.col(f"_{n}").isNull() for n in needed])).select(*out).distinct()
     lines = extract(rows, hc, roles, keys).where(F.col("ref_pos").isNotNull() & F.col("qty_pos").isNotNull())
+    number = coerce_number(F.regexp_replace(F.regexp_replace("qty", r"[\x{A0} ]", ""), ",", ".")
+                           if r.stock_null_qty == "zero_locale" else "qty")
+    diag = diag.unionByName(line_warnings(lines, at, ref=normalize_ref("ref").isNull(), number=_bad("qty", number)))
     qty = coerce_locale_number("qty") if r.stock_null_qty == "zero_locale" else qty_or_zero("qty")
     if r.stock_round is not None:
         qty = F.round(qty, r.stock_round)
-    out = [c for c in keys if c not in G_KEYS]
-    return lines.select(*out, normalize_ref("ref").alias("ref"), qty.cast(QTY).alias("qty"),
+    typed = lines.select(*out, normalize_ref("ref").alias("ref"), qty.cast(QTY).alias("qty"),
                         (strip_text("local") if "local" in roles else F.lit(None).cast("string")).alias("local"),
                         (strip_text("loc") if "loc" in roles else F.lit(None).cast("string")).alias("localisation"),
                         F.col("sheet").alias("source_sheet"))
+    return typed, diag, bad
 
 
 def _explode_list(jobs: DataFrame, col: str, name: str) -> DataFrame:
@@ -315,13 +387,19 @@ def run_units(stock_grid: DataFrame, mov_grid: DataFrame, jobs: DataFrame, rules
     recons, diags = [], []
     for r in rules:
         mov, diag, ok_jobs = movement_lines(mov_grid, jobs, r, year, month)
-        stock, mov = apply_locations(snapshot_lines(stock_grid, jobs, r), mov, jobs, r)
-        # only jobs whose ledger could be read produce results; job lists are
-        # configuration-sized
+        lines, stock_diag, bad = snapshot_lines(stock_grid, jobs, r)
+        diag = diag.unionByName(stock_diag)
+        stock, mov = apply_locations(lines, mov, jobs, r)
+        # only jobs whose ledger and snapshot could be read produce results;
+        # job lists are configuration-sized
+        ok_jobs = ok_jobs.join(F.broadcast(bad), bad.columns, "left_anti")
+        mov = mov.join(F.broadcast(ok_jobs), JOB_KEYS, "left_semi")
         stock = stock.join(F.broadcast(ok_jobs), JOB_KEYS, "left_semi")
         tol = r.tolerance if r.match == "tolerance" else None
         if r.period == "exact_month" and opening_grid is not None:
-            opening, _ = apply_locations(snapshot_lines(opening_grid, jobs, r), mov, jobs, r)
+            lines, opening_diag, _ = snapshot_lines(opening_grid, jobs, r)
+            diag = diag.unionByName(opening_diag)
+            opening, _ = apply_locations(lines, mov, jobs, r)
             opening = opening.join(F.broadcast(ok_jobs), JOB_KEYS, "left_semi")
             out = rollforward(stock, mov, opening, keys=tuple(JOB_KEYS), mov_round=r.mov_round,
                               tolerance=r.tolerance)

@@ -64,6 +64,13 @@ ALIASES: dict[str, dict[str, dict[str, list[str]]]] = {
                        "quantity": ["QUANTITE", "Quantité", "QTE", "QTY", "STOCK"]}},
 }
 
+# Parts of column names that some units accept, in priority
+# order, instead of their listed names or after them.
+NAME_PARTS: dict[str, dict[str, dict]] = {
+    "Oran": {"ref": {"after_names": False, "parts": [["référence", "reference"], ["ref"]]},
+             "quantity": {"after_names": True, "parts": [["quantité", "quantite", "qty", "stock", "q(u)"]]}},
+}
+
 # The rule matrix, one row per unit.
 #   stock_sheet: 'prefer:<kw>,<kw>' (substring preference, else first sheet),
 #                'exact:<name>' (else first), 'listed' (the job's own sheets), 'candidates:<a>,<b>,<pos>'

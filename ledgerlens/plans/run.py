@@ -1,7 +1,8 @@
 """The whole reconciliation request, as one Spark plan.
 
 ``process`` takes a table of input files - ``inputs(unit, role, path)``
-with role 'stock', 'opening' or 'ledger' - and a target period, and does
+with role 'stock', 'opening' or 'ledger', in the order given (or by an
+optional ``pos`` column) - and a target period, and does
 what a user of the desktop flow does by hand: read every file as a grid,
 match ledger files to ateliers by keyword, drop skipped ateliers, apply
 sheet / column overrides, run every unit's rules and return the results with
@@ -10,13 +11,17 @@ their diagnostics.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import matching as M
 from ledgerlens.plans.pipeline import UnitRules, run_units
 from ledgerlens.plans.sites import SITES, jobs_frame
-from ledgerlens.sources.grid_reader import read_grid
+from ledgerlens.operators.verify import missing_inputs, unknown_ateliers
+from ledgerlens.session import checked_broadcast, cut_lineage
+from ledgerlens.sources.grid_reader import read_files, readable, unreadable
+from ledgerlens.sources.grids import GRID_SCHEMA
+from ledgerlens.sources.xlsx import local_path
 
 
 def atelier_keywords(spark: SparkSession, units) -> DataFrame:
@@ -39,18 +44,21 @@ def process(spark: SparkSession, inputs: DataFrame, year: int, month: int,
     choices (blank = keep the configured value).  The file listing and the
     configuration are small tables; every data-sized step is distributed.
     """
-    inputs = inputs.withColumn("file_name", _basename(F.col("path")))
+    # files are known by their full path; the order they were given in counts
+    if "pos" not in inputs.columns:
+        inputs = inputs.withColumn("pos", F.monotonically_increasing_id())
+    inputs = cut_lineage(inputs.withColumn("path", local_path(F.col("path")))
+                         .withColumn("file_name", _basename(F.col("path"))), "inputs")
     units = [u for u in SITES]
     if rules is None:
         rules = {u: UnitRules.from_profile(u) for u in units}
     ledgers = inputs.where(F.col("role") == "ledger")
-    # the order files were given in; a unit's listing is small
-    ledgers = ledgers.withColumn("file_pos", F.row_number().over(Window.partitionBy("unit").orderBy("path")))
+    ledgers = ledgers.withColumn("file_pos", F.col("pos"))
     ateliers = atelier_keywords(spark, units)
     if skip is not None:
         ateliers = ateliers.join(F.broadcast(skip.select("unit", "atelier")), ["unit", "atelier"], "left_anti")
     assigned = M.assign(ledgers.select("unit", "path", "file_name", "file_pos"), ateliers, match_mode)
-    jobs = jobs_frame(spark).join(assigned.select("unit", "atelier", _basename(F.col("path")).alias("file_id")),
+    jobs = jobs_frame(spark).join(assigned.select("unit", "atelier", F.col("path").alias("file_id")),
                                   ["unit", "atelier"])
     if overrides is not None:
         o = overrides.select("unit", "atelier", "sheet_name", F.col("ref_col").alias("_ref"),
@@ -62,25 +70,36 @@ def process(spark: SparkSession, inputs: DataFrame, year: int, month: int,
                 .withColumn("ref_col", F.coalesce(blank("_ref"), F.col("ref_col")))
                 .withColumn("qty_col", F.coalesce(blank("_qty"), F.col("qty_col")))
                 .drop("sheet_name", "_ref", "_qty"))
-    files_unit = inputs.select("unit", "role", F.col("file_name").alias("file_id"))
+    # Spark lists its input files on the driver: the paths go there once
+    paths = [r.path for r in inputs.select("path").distinct().toLocalIterator()]
+    everything = cut_lineage(read_files(spark, paths), "grid-files") if paths else spark.createDataFrame([], GRID_SCHEMA)
+    files_unit = checked_broadcast(inputs.select("unit", "role", F.col("path").alias("file_id")).distinct(), "files")
 
     def grid_of(role):
-        paths = inputs.where(F.col("role") == role)
-        g = read_grid(spark, [r.path for r in paths.select("path").distinct().toLocalIterator()])
-        return g.join(F.broadcast(files_unit.where(F.col("role") == role).drop("role")), "file_id")
+        own = files_unit.where(F.col("role") == role).drop("role")
+        return readable(everything).join(own, "file_id")
 
-    stock_grid = grid_of("stock")
-    ledger_grid = read_grid(spark, [r.path for r in ledgers.select("path").toLocalIterator()])
-    has_opening = inputs.where(F.col("role") == "opening").limit(1).count() > 0
+    stock_grid, ledger_grid = grid_of("stock"), readable(everything).join(
+        files_unit.where(F.col("role") == "ledger").select("file_id").distinct(), "file_id", "left_semi")
+    has_opening = not inputs.where(F.col("role") == "opening").isEmpty()
     opening_grid = grid_of("opening") if has_opening else None
+    broken = unreadable(everything).join(files_unit, "file_id").select(
+        "unit", F.col("file_id").alias("scope"), F.lit("error").alias("severity"), F.lit("UNREADABLE_FILE").alias("code"), "message")
+    lacking = missing_inputs(inputs, inputs.where(F.col("role") == "stock"), assigned).select(
+        F.col("scope").alias("unit"), "scope", "severity", "code", "message")
+    asked = [d.select("unit", "atelier") for d in (skip, overrides) if d is not None]
+    notes = broken.unionByName(lacking).unionByName(_unmatched(ledgers, assigned))
+    for a in asked:
+        notes = notes.unionByName(unknown_ateliers(a, atelier_keywords(spark, units)).select(
+            "unit", F.col("atelier").alias("scope"), "severity", "code", "message"))
     present = {r.unit for r in jobs.select("unit").distinct().toLocalIterator()}
     active = [rules[u] for u in units if u in present]
     if not active:
         empty = spark.createDataFrame([], "unit string, atelier string, job_idx int, Ref string, Stock_Qty double, "
                                           "Calc_Mov_Qty double, Difference double, status string")
-        return empty, _unmatched(ledgers, assigned), assigned
+        return empty, notes, assigned
     recon, diag = run_units(stock_grid, ledger_grid, jobs, active, year, month, opening_grid)
-    return recon, diag.unionByName(_unmatched(ledgers, assigned)), assigned
+    return recon, diag.unionByName(notes), assigned
 
 
 def _unmatched(ledgers: DataFrame, assigned: DataFrame) -> DataFrame:

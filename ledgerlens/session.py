@@ -48,6 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -92,33 +94,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``ledgerlens`` importable in Python workers (pandas UDFs, the
-    xlsx source): zip the package once per SparkContext into the shared
-    checkpoint folder and register it with ``addPyFile``."""
-    sc = spark.sparkContext
-    if getattr(sc, "_ledgerlens_shipped", False):
-        return
-    import io
-    import uuid
-    import zipfile
-
-    root = os.path.dirname(os.path.abspath(__file__))
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        for d, _dirs, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(d, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    target = os.path.join(checkpoint_dir(spark), f"ledgerlens-{uuid.uuid4().hex[:8]}.zip")
-    if "://" in target and not target.startswith("file:"):
-        raise RuntimeError("ship_package expects a mounted checkpoint folder; add the package with --py-files")
-    path = target[len("file:"):] if target.startswith("file:") else target
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "wb") as fh:
-        fh.write(buf.getvalue())
-    sc.addPyFile(path)
-    sc._ledgerlens_shipped = True
+    """Send this package's functions to Python workers by value, whatever
+    file system the cluster shares."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules["ledgerlens"])
 
 
 def stage(df: DataFrame, name: str, order_by: tuple[str, ...] = ()) -> DataFrame:

@@ -1,37 +1,41 @@
 """One entry point for ledger / snapshot files of any supported type.
 
-Paths are split by extension: ``.xlsx`` files go to the ``xlsx_grid`` data
-source, ``.csv`` files to the CSV grid reader, and the two grids are unioned
-(same schema).  Other extensions are ignored, as the file classifier does.
+``.xlsx`` files go to the workbook parser, ``.csv`` files to the CSV grid
+reader, and the two grids are unioned (same schema, ``file_id`` = full path).
+A workbook of the old binary format (``.xls``) or a damaged one is kept as a
+marker row, which ``unreadable`` turns into a table; other extensions are
+ignored, as the file classifier does.
 """
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlens.sources.csv_grid import csv_grid
+from ledgerlens.sources.xlsx import UNREADABLE, local_path, parse_workbooks
+
+
+def read_files(spark: SparkSession, paths) -> DataFrame:
+    """Grid rows, marker rows included, of every file matching ``paths``."""
+    files = spark.read.format("binaryFile").load(paths).select(local_path(F.col("path")).alias("path"), "content")
+    ext = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
+    old = files.where(ext == "xls").select(
+        F.col("path").alias("file_id"), F.lit(UNREADABLE).alias("sheet_pos"), F.lit("").alias("sheet"),
+        F.lit(-1).cast("bigint").alias("row_idx"), F.array(F.lit("unsupported file type .xls")).alias("cells"))
+    return (parse_workbooks(files.where(ext == "xlsx")).unionByName(csv_grid(files.where(ext == "csv")))
+            .unionByName(old))
+
+
+def readable(grid: DataFrame) -> DataFrame:
+    return grid.where(F.col("sheet_pos") >= 0)
+
 
-from ledgerlens.sources.grids import GRID_SCHEMA
+def unreadable(grid: DataFrame) -> DataFrame:
+    """(file_id, message) of the files that could not be read."""
+    return grid.where(F.col("sheet_pos") == UNREADABLE).select("file_id", F.element_at("cells", 1).alias("message"))
 
 
 def read_grid(spark: SparkSession, paths) -> DataFrame:
-    """Grid rows of every spreadsheet / CSV file matching ``paths``."""
-    patterns = [paths] if isinstance(paths, str) else list(paths)
-    files = sorted({f for p in patterns for f in (glob.glob(p) or [p])})
-    xlsx = [f for f in files if os.path.splitext(f)[1].lower() == ".xlsx"]
-    csv = [f for f in files if os.path.splitext(f)[1].lower() == ".csv"]
-    out = spark.createDataFrame([], GRID_SCHEMA)
-    if xlsx:
-        from ledgerlens.sources.xlsx import read_xlsx_grid
-        out = out.unionByName(read_xlsx_grid(spark, ",".join(xlsx)))
-    if csv:
-        from ledgerlens.sources.csv_grid import read_csv_grid
-        g = read_csv_grid(spark, csv)
-        out = out.unionByName(g.withColumn("file_id", _basename(g["file_id"])))
-    return out
-
-
-def _basename(col):
-    from pyspark.sql import functions as F
-    return F.regexp_extract(col, r"([^/\\]*)$", 1)
+    """Grid rows of every readable spreadsheet / CSV file matching ``paths``."""
+    return readable(read_files(spark, paths))

@@ -215,13 +215,14 @@ def csv_ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xlsx_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> DataFrame:
     """Write ledger workbooks derived from lineitem into ``out_dir`` (a
-    shared, mounted folder): one per (flag, status, block of CSV_BLOCK
+    shared folder): one per (flag, status, block of CSV_BLOCK
     orders), each with a 'NOTES' sheet and a 'MOUVEMENT' sheet (title row,
     header row, one row per line).  Each workbook is built by one task from
     its bounded block of rows.  Returns (file, rows) per workbook."""
     import pandas as pd
 
-    from ledgerlens.session import ship_package
+    from ledgerlens.operators.sinks import put_file, workbook_bytes
+    from ledgerlens.session import cut_lineage, ship_package
     ship_package(spark)
     li = read_table(spark, sf_dir, "lineitem")
     block = (F.col("l_orderkey") / CSV_BLOCK).cast("long")
@@ -232,18 +233,12 @@ def xlsx_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> DataFra
                      F.col("l_quantity").cast("decimal(18,2)").cast("string").alias("q"))
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        import os as _os
-
-        from ledgerlens.operators.sinks import workbook_bytes
         pdf = pdf.sort_values(["l_orderkey", "l_linenumber"])
         fn = pdf["file"].iloc[0]
         body = [[d, str(k), q] for d, k, q in zip(pdf["d"], pdf["l_orderkey"], pdf["q"])]
         sheets = [("NOTES", [["fichier", fn]]),
                   ("MOUVEMENT", [["Suivi des mouvements"], ["Date", "REFERENCE", "STOCK"]] + body)]
-        with open(_os.path.join(out_dir, fn), "wb") as fh:
-            fh.write(workbook_bytes(sheets))
+        put_file(f"{out_dir}/{fn}", workbook_bytes(sheets))
         return pd.DataFrame({"file": [fn], "rows": [len(body)]})
 
-    import os
-    os.makedirs(out_dir, exist_ok=True)
-    return rows.groupBy("file").applyInPandas(write, "file string, rows long")
+    return cut_lineage(rows.groupBy("file").applyInPandas(write, "file string, rows long"), "xlsx-files")

@@ -1,30 +1,42 @@
-"""``xlsx_grid``: a Python data source reading spreadsheet workbooks as grids.
-
-One input partition per file; each task parses its workbook with the
-standard library (zip + streaming XML) and yields one grid row per sheet row
-that has at least one cell: ``(file_id, sheet_pos, sheet, row_idx, cells)``.
-Cell values are the stored text: shared / inline strings, numbers as written
-(dates stay Excel serial numbers), booleans as TRUE / FALSE.
-
-    spark.dataSource.register(XlsxGridSource)
-    grid = spark.read.format("xlsx_grid").load("/data/ledgers/*.xlsx")
+"""Spreadsheet workbooks as sheet grids.
+
+Files come through Spark's ``binaryFile`` source, so any file system Spark
+reads will do and small files share a partition; a workbook is parsed inside
+its task with the standard library (zip + streaming XML) and leaves as Arrow
+batches of ``(file_id, sheet_pos, sheet, row_idx, cells)``, one row per sheet
+row with at least one cell.  ``file_id`` is the full path.
+
+Cell values as a spreadsheet reader sees them: shared / inline strings,
+numbers in the shortest form of their double (``1.1``, ``10``), cells with a
+date format as ISO text, booleans as TRUE / FALSE.  A workbook that cannot be
+read yields one marker row (sheet position ``UNREADABLE``, its message in
+``cells``) instead of failing the job.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import datetime
+import io
 import re
+import sys
 import zipfile
 from xml.etree.ElementTree import iterparse
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 GRID_DDL = "file_id string, sheet_pos int, sheet string, row_idx bigint, cells array<string>"
+#: Sheet position of the marker row of a file that could not be read.
+UNREADABLE = -1
+BATCH_ROWS = 4096
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _RNS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _PNS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 _REF = re.compile(r"([A-Z]+)(\d+)")
+# Built-in number formats that show a date or time.
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+_EPOCHS = {False: datetime.datetime(1899, 12, 30), True: datetime.datetime(1904, 1, 1)}
 
 
 def _col_index(letters: str) -> int:
@@ -38,9 +50,47 @@ def _text(el) -> str:
     return "".join(t.text or "" for t in el.iter(f"{_NS}t"))
 
 
-def read_workbook(path: str):
-    """Yield (sheet_pos, sheet, row_idx, cells) for every non-empty row."""
-    with zipfile.ZipFile(path) as z:
+def _date_styles(z: zipfile.ZipFile, names: set) -> set[int]:
+    """Cell styles whose number format shows a date."""
+    if "xl/styles.xml" not in names:
+        return set()
+    custom, styles, inside = {}, [], False
+    with z.open("xl/styles.xml") as f:
+        for event, el in iterparse(f, events=("start", "end")):
+            if el.tag == f"{_NS}cellXfs":
+                inside = event == "start"
+            elif event == "end" and el.tag == f"{_NS}numFmt":
+                # what stands in quotes, brackets or behind a backslash is text
+                code = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", el.get("formatCode", ""))
+                custom[int(el.get("numFmtId"))] = bool(re.search("[dmyhs]", code, re.I)) and "General" not in code
+            elif event == "end" and inside and el.tag == f"{_NS}xf":
+                styles.append(int(el.get("numFmtId", 0)))
+    return {i for i, k in enumerate(styles) if k in _DATE_FORMATS or custom.get(k)}
+
+
+def _number(text: str) -> str:
+    """Shortest text of a stored number; what is no number stays as it is."""
+    try:
+        x = float(text)
+    except ValueError:
+        return text
+    if x != x or x in (float("inf"), float("-inf")):
+        return text
+    return str(int(x)) if x == int(x) and abs(x) < 1e15 else repr(x)
+
+
+def _date(text: str, epoch: datetime.datetime) -> str:
+    try:
+        d = epoch + datetime.timedelta(milliseconds=round(float(text) * 86_400_000))
+    except (ValueError, OverflowError):
+        return _number(text)
+    return d.strftime("%Y-%m-%d" if d.time() == datetime.time() else "%Y-%m-%d %H:%M:%S")
+
+
+def read_workbook(source):
+    """Yield (sheet_pos, sheet, row_idx, cells) for every non-empty row of a
+    workbook (a path or a binary file object)."""
+    with zipfile.ZipFile(source) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
@@ -49,17 +99,20 @@ def read_workbook(path: str):
                     if el.tag == f"{_NS}si":
                         shared.append(_text(el))
                         el.clear()
+        dates = _date_styles(z, names)
         rels = {}
         with z.open("xl/_rels/workbook.xml.rels") as f:
             for _, el in iterparse(f):
                 if el.tag == f"{_PNS}Relationship":
                     t = el.get("Target")
                     rels[el.get("Id")] = t.lstrip("/") if t.startswith("/") else "xl/" + t
-        sheets = []
+        sheets, epoch = [], _EPOCHS[False]
         with z.open("xl/workbook.xml") as f:
             for _, el in iterparse(f):
                 if el.tag == f"{_NS}sheet":
                     sheets.append((el.get("name"), rels.get(el.get(f"{_RNS}id"))))
+                elif el.tag == f"{_NS}workbookPr":
+                    epoch = _EPOCHS[el.get("date1904") in ("1", "true")]
         for pos, (name, target) in enumerate(sheets):
             if target not in names:
                 continue
@@ -73,14 +126,18 @@ def read_workbook(path: str):
                         idx = _col_index(m.group(1)) if m else len(cells)
                         t = c.get("t")
                         v = c.find(f"{_NS}v")
-                        if t == "s" and v is not None:
-                            val = shared[int(v.text)]
-                        elif t == "inlineStr":
+                        if t == "inlineStr":
                             val = _text(c)
-                        elif t == "b" and v is not None:
+                        elif v is None or v.text is None:
+                            val = None
+                        elif t == "s":
+                            val = shared[int(v.text)]
+                        elif t == "b":
                             val = "TRUE" if v.text == "1" else "FALSE"
+                        elif t in (None, "n"):
+                            val = _date(v.text, epoch) if int(c.get("s", 0)) in dates else _number(v.text)
                         else:
-                            val = v.text if v is not None else None
+                            val = v.text
                         if val is not None and val != "":
                             cells[idx] = val
                     if cells:
@@ -89,44 +146,43 @@ def read_workbook(path: str):
                     el.clear()
 
 
-class _FilePartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
+def local_path(path: Column) -> Column:
+    """A path without the ``file:`` scheme, as inputs may name it either way."""
+    return F.regexp_replace(path, "^file:/+", "/")
 
-class XlsxGridReader(DataSourceReader):
-    def __init__(self, options):
-        self.options = options
 
-    def partitions(self):
-        pattern = self.options.get("path") or self.options.get("paths")
-        files = sorted(p for part in str(pattern).split(",") for p in glob.glob(part.strip()))
-        return [_FilePartition(p) for p in files]
+def parse_workbooks(files: DataFrame) -> DataFrame:
+    """Grid rows of ``files(path, content)``."""
 
-    def read(self, partition):
-        for pos, sheet, row_idx, cells in read_workbook(partition.path):
-            yield (os.path.basename(partition.path), pos, sheet, row_idx, cells)
+    def run(batches):
+        import pyarrow as pa
 
+        schema = pa.schema([("file_id", pa.string()), ("sheet_pos", pa.int32()), ("sheet", pa.string()),
+                            ("row_idx", pa.int64()), ("cells", pa.list_(pa.string()))])
 
-class XlsxGridSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "xlsx_grid"
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    def schema(self):
-        return GRID_DDL
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1)):
+                rows, name = [], path.as_py()
+                try:
+                    for row in read_workbook(io.BytesIO(content.as_py() or b"")):
+                        rows.append((name, *row))
+                        if len(rows) >= BATCH_ROWS:
+                            yield batch(rows)
+                            rows = []
+                except Exception as e:  # noqa: BLE001 - whatever a damaged file raises becomes data
+                    rows.append((name, UNREADABLE, "", -1, [f"{type(e).__name__}: {e}"]))
+                if rows:
+                    yield batch(rows)
 
-    def reader(self, schema):
-        return XlsxGridReader(self.options)
+    return files.select(local_path(F.col("path")).alias("path"), "content").mapInArrow(run, GRID_DDL)
 
 
-def register(spark) -> None:
-    from ledgerlens.session import ship_package
-    ship_package(spark)
-    spark.dataSource.register(XlsxGridSource)
+def read_xlsx_grid(spark: SparkSession, paths) -> DataFrame:
+    """Grid of every workbook among ``paths`` (a path or pattern, or a list)."""
+    return parse_workbooks(spark.read.format("binaryFile").load(paths).select("path", "content"))
 
 
-def read_xlsx_grid(spark, paths: str):
-    register(spark)
-    return spark.read.format("xlsx_grid").load(paths)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

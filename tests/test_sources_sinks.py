@@ -84,8 +84,8 @@ def test_read_grid_dispatches_by_extension(spark):
     with open(os.path.join(d, "notes.txt"), "wb") as fh:
         fh.write(b"ignored")
     got = {(r.file_id, r.sheet, r.row_idx): r.cells for r in read_grid(spark, d + "/*").collect()}
-    assert got == {("a.xlsx", "S", 0): ["Date", "REF"], ("a.xlsx", "S", 1): ["1", "x"],
-                   ("b.csv", "CSV", 0): ["Date", "REF"], ("b.csv", "CSV", 1): ["2", "y"]}
+    assert got == {(d + "/a.xlsx", "S", 0): ["Date", "REF"], (d + "/a.xlsx", "S", 1): ["1", "x"],
+                   (d + "/b.csv", "CSV", 0): ["Date", "REF"], (d + "/b.csv", "CSV", 1): ["2", "y"]}
 
 
 def test_assign_snapshots_by_period_and_fallback(spark):
