@@ -2,7 +2,7 @@
 
 from ledgerlens.functions.text import (
     WS_CLASS, strip_text, normalize_ref, normalize_label, similarity,
-    sign_class, format_2dp, contains_ci, render_ref,
+    sign_class, format_2dp, contains_ci,
 )
 from ledgerlens.functions.numbers import (
     QTY, MONEY, coerce_number, coerce_locale_number, qty_or_zero, to_out,
@@ -14,7 +14,7 @@ from ledgerlens.functions.dates import (
 
 __all__ = [
     "WS_CLASS", "strip_text", "normalize_ref", "normalize_label", "similarity",
-    "sign_class", "format_2dp", "contains_ci", "render_ref",
+    "sign_class", "format_2dp", "contains_ci",
     "QTY", "MONEY", "coerce_number", "coerce_locale_number", "qty_or_zero", "to_out",
     "parse_iso", "parse_dayfirst", "parse_monthfirst", "parse_by_order",
     "excel_serial_to_date", "month_start", "next_month_start",

@@ -37,12 +37,6 @@ def normalize_ref(c) -> Column:
     return F.when(s != "", s)
 
 
-def render_ref(c) -> Column:
-    """Render a typed key as reference text; integral numbers lose '.0'."""
-    col = _c(c)
-    return F.when(col.isNull(), None).otherwise(col.cast("string"))
-
-
 def normalize_label(c) -> Column:
     """Header label: whitespace runs collapsed to one space, trimmed, lower."""
     s = F.regexp_replace(_c(c), f"{WS_CLASS}+", " ")

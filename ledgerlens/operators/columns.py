@@ -77,18 +77,9 @@ def resolve_contains(header, aliases: Sequence[str], upper: bool = True, strip:
     return F.when(p > 0, (p - 1).cast("int"))
 
 
-def resolve_custom(header, name: str) -> Column:
-    """First column where the configured name and the column name contain
-    one another (upper-cased, stripped)."""
-    c = name.upper()
-    flags = F.transform(_h(header), lambda x: F.coalesce(
-        F.lit(c).contains(F.upper(strip_text(x))) | F.upper(strip_text(x)).contains(c), F.lit(False)))
-    p = F.array_position(flags, F.lit(True))
-    return F.when(p > 0, (p - 1).cast("int"))
-
-
 def resolve_custom_col(header, name: Column) -> Column:
-    """``resolve_custom`` with the configured name taken from a column."""
+    """First column where the configured name (a column) and the column name
+    contain one another (upper-cased, stripped)."""
     c = F.upper(name)
     flags = F.transform(_h(header), lambda x: F.coalesce(
         c.contains(F.upper(strip_text(x))) | F.upper(strip_text(x)).contains(c), F.lit(False)))

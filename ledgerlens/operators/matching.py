@@ -1,7 +1,7 @@
 """Assign ledger files to ateliers by keyword.
 
 Candidates (file, atelier) come from a join of the file listing with the
-atelier keyword table (configuration, broadcast) on a substring predicate.
+atelier keyword table on the unit and a substring predicate.
 Two greedy policies exist:
 
 * ``files_first``   - files in order; each takes its first *free* matching
@@ -11,15 +11,18 @@ Two greedy policies exist:
   every whitespace-separated word of it.
 
 A sequential greedy choice has no single relational step, so each unit's
-candidate list (at most files x ateliers of that unit; ateliers per unit are
-configuration) is resolved by ``applyInPandas`` grouped by unit.  Many units
-and periods resolve in parallel.
+candidate list is resolved by ``applyInPandas`` grouped by unit, many units in
+parallel.  A unit with A ateliers assigns at most A files, so of each
+atelier's candidates only the first A in file order can matter (were all of
+them taken by others, more than A files would be assigned): the rest is cut
+before the grouping and no group exceeds A x A rows however many files a unit
+has.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ASSIGN_SCHEMA = "unit string, atelier string, path string"
@@ -35,7 +38,7 @@ def candidates(files: DataFrame, ateliers: DataFrame, mode: str = "files_first")
         kw = F.lower(F.trim(F.col("a.keyword")))
         words = F.split(kw, r"\s+")
         pred = name.contains(kw) | F.forall(words, lambda w: name.contains(w))
-    a = F.broadcast(ateliers.alias("a"))
+    a = ateliers.alias("a")
     return (files.alias("f").join(a, (F.col("f.unit") == F.col("a.unit")) & pred)
             .select("f.unit", "f.path", "f.file_pos", "a.atelier", "a.atelier_pos"))
 
@@ -67,7 +70,10 @@ def assign(files: DataFrame, ateliers: DataFrame, mode: str = "files_first") ->
     """(unit, atelier, path) of the greedy assignment."""
     from ledgerlens.session import ship_package
     ship_package(files.sparkSession)
-    cand = candidates(files, ateliers, mode)
+    sizes = ateliers.groupBy("unit").agg(F.count(F.lit(1)).alias("_a"))
+    order = Window.partitionBy("unit", "atelier").orderBy("file_pos", "path")
+    cand = (candidates(files, ateliers, mode).join(sizes, "unit").withColumn("_turn", F.row_number().over(order))
+            .where(F.col("_turn") <= F.col("_a")).drop("_turn", "_a"))
     return cand.groupBy("unit").applyInPandas(_greedy(mode), ASSIGN_SCHEMA)
 
 
@@ -81,7 +87,7 @@ def unmatched(files: DataFrame, ateliers: DataFrame, assigned: DataFrame) -> Dat
 
 
 def match_counts(files: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Per unit: files dropped and files matched (the UI counters)."""
+    """Per unit: files given and files matched."""
     n_files = files.groupBy("unit").agg(F.count(F.lit(1)).alias("n_files"))
     n_matched = assigned.groupBy("unit").agg(F.count(F.lit(1)).alias("n_matched"))
     return n_files.join(n_matched, "unit", "left").fillna(0, ["n_matched"])

@@ -50,7 +50,7 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[C
         numbered = numbered.join(starts, cond).drop(*[starts[c] for c in group_cols])
     else:
         numbered = numbered.withColumn("_g0", F.lit(0))
-    return (numbered.withColumn(name, (F.col("_g") - F.col("_g0") + 1).cast("int"))
+    return (numbered.withColumn(name, (F.col("_g") - F.col("_g0") + 1).cast("long"))
             .drop("_pid", "_local", "_off", "_g", "_g0"))
 
 

@@ -51,11 +51,11 @@ def report_lines(selected: DataFrame, keys: Sequence[str] = ("unit", "atelier"))
                          F.concat(F.lit("| "), F.col("Ref"), F.lit(" | "), _fmt("Stock_Qty"), F.lit(" | "),
                                   _fmt("Calc_Mov_Qty"), F.lit(" | "), _fmt("Difference"), F.lit(" |"))
                          .alias("line"))
-    groups = selected.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    groups = selected.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     fixed = groups.select(*keys, F.explode(F.array(
-        F.struct(F.lit(0).alias("line_no"), F.concat(F.lit("## "), F.col(atelier)).alias("line")),
-        F.struct(F.lit(1).alias("line_no"), F.lit(REPORT_HEADER).alias("line")),
-        F.struct(F.lit(2).alias("line_no"), F.lit(REPORT_SEPARATOR).alias("line")),
+        F.struct(F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("## "), F.col(atelier)).alias("line")),
+        F.struct(F.lit(1).cast("long").alias("line_no"), F.lit(REPORT_HEADER).alias("line")),
+        F.struct(F.lit(2).cast("long").alias("line_no"), F.lit(REPORT_SEPARATOR).alias("line")),
         F.struct((F.col("_n") + 3).alias("line_no"), F.lit("---").alias("line")))).alias("x"))
     fixed = fixed.select(*keys, "x.line_no", "x.line")
     return rows.unionByName(fixed)
@@ -77,9 +77,9 @@ def report_heading(units: DataFrame, year: int, month: int, run_date: str,
         u = u.withColumn("location", F.lit(None).cast("string"))
     d = run_date.replace("-", "/")
     return u.select("unit", F.lit(None).cast("string").alias("atelier"), F.explode(F.array(
-        F.struct(F.lit(-4).alias("line_no"), F.lit(f"# {title}").alias("line")),
-        F.struct(F.lit(-3).alias("line_no"),
+        F.struct(F.lit(-4).cast("long").alias("line_no"), F.lit(f"# {title}").alias("line")),
+        F.struct(F.lit(-3).cast("long").alias("line_no"),
                  F.concat(F.coalesce("location", "unit"), F.lit(f"    **{d}**")).alias("line")),
-        F.struct(F.lit(-2).alias("line_no"), F.lit(f"{names[month - 1]} {year}").alias("line")),
-        F.struct(F.lit(-1).alias("line_no"), F.lit("---").alias("line")))).alias("x")
+        F.struct(F.lit(-2).cast("long").alias("line_no"), F.lit(f"{names[month - 1]} {year}").alias("line")),
+        F.struct(F.lit(-1).cast("long").alias("line_no"), F.lit("---").alias("line")))).alias("x")
     ).select("unit", "atelier", "x.line_no", "x.line")

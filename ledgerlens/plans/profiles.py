@@ -1,8 +1,8 @@
 """Site profiles as data: the per-unit rule matrix and column alias lists.
 
 Adding a site means adding rows here (or loading the same tables from
-storage); no operator code changes.  ``profile_frame`` / ``alias_frame``
-expose them as DataFrames for joins.
+storage); no operator code changes.  ``profile_frame`` is the rule matrix as a
+table, from which ``plans.run.process`` takes its rules.
 """
 
 from __future__ import annotations
@@ -108,12 +108,5 @@ def profile_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROFILES, schema)
 
 
-def alias_frame(spark: SparkSession) -> DataFrame:
-    rows = [(u, side, role, i, name)
-            for u, sides in ALIASES.items() for side, roles in sides.items()
-            for role, names in roles.items() for i, name in enumerate(names)]
-    return spark.createDataFrame(rows, "unit string, side string, role string, priority int, name string")
-
-
 def aliases(unit: str, side: str, role: str) -> list[str]:
     return list(ALIASES[unit][side].get(role, []))

@@ -99,52 +99,81 @@ def classify_files(spark, sf_dir):
 
 # --- matching files to ateliers ----------------------------------------------
 
+# One unit per block of parts, so units grow with the table; a unit's files are
+# named after its parts, its ateliers after the words of their names and types,
+# so most files suit several ateliers and most ateliers several files.
+UNIT_PARTS = 100
 _MATCH_SQL = cte(
-    files="SELECT DISTINCT 'U' AS unit, 'MOV ' || p_type || ' ' || p_brand || '.xlsx' AS file_name FROM part",
-    ateliers="SELECT DISTINCT 'U' AS unit, lower(p_type) AS atelier FROM part "
-             "UNION SELECT 'U', lower(n_name) FROM nation",
-    cand="SELECT a.unit, a.atelier, f.file_name FROM ateliers a JOIN files f "
-         "ON contains(lower(f.file_name), a.atelier)",
-    chosen="SELECT unit, atelier, min(file_name) AS file_name FROM cand GROUP BY unit, atelier")
+    p="SELECT 'U' || CAST(p_partkey // 100 AS VARCHAR) AS unit, p_name, p_type, p_brand FROM part",
+    names_="SELECT DISTINCT unit, 'MOV ' || p_name || ' ' || p_type || ' ' || p_brand || '.xlsx' AS file_name FROM p",
+    files="SELECT unit, file_name, unit || '/' || file_name AS path, "
+          "row_number() OVER (PARTITION BY unit ORDER BY md5(file_name), file_name) AS file_pos FROM names_",
+    kw="SELECT DISTINCT unit, unnest(string_split(p_name, ' ') || [lower(p_type), lower(p_type) || ' ' || string_split(p_name, ' ')[1]]) AS atelier FROM p",
+    ateliers="SELECT unit, atelier, row_number() OVER (PARTITION BY unit ORDER BY atelier) AS atelier_pos FROM kw")
+
+
+def _greedy_sql(words: bool) -> str:
+    """The greedy choice step by step: by atelier (words) or by file."""
+    fits = "contains(lower(f.file_name), a.atelier)"
+    if words:
+        fits = f"({fits} OR list_bool_and(list_transform(string_split(a.atelier, ' '), lambda w: contains(lower(f.file_name), w))))"
+    step, take, by = ("atelier_pos", "path", "file_pos") if words else ("file_pos", "atelier", "atelier_pos")
+    other = "atelier" if words else "path"
+    steps = "ateliers" if words else "files"
+    return (_MATCH_SQL.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", cand AS (SELECT a.unit, a.atelier, a.atelier_pos, f.path, f.file_pos "
+            f"FROM ateliers a JOIN files f ON f.unit = a.unit AND {fits}), "
+            f"last AS (SELECT unit, max({step}) AS n FROM {steps} GROUP BY unit), "
+            "g AS (SELECT unit, 0::BIGINT AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS own, CAST(NULL AS VARCHAR) AS got FROM last "
+            "UNION ALL SELECT g.unit, g.k + 1, CASE WHEN count(c.path) = 0 THEN g.used ELSE list_append(g.used, "
+            f"arg_min(c.{take}, c.{by})) END, any_value(c.{other}), arg_min(c.{take}, c.{by}) "
+            "FROM g JOIN last ON last.unit = g.unit AND g.k < last.n LEFT JOIN cand c ON c.unit = g.unit "
+            f"AND c.{step} = g.k + 1 AND NOT list_contains(g.used, c.{take}) GROUP BY g.unit, g.k, g.used), "
+            + ("chosen AS (SELECT unit, own AS atelier, got AS path FROM g WHERE got IS NOT NULL) " if words
+               else "chosen AS (SELECT unit, got AS atelier, own AS path FROM g WHERE got IS NOT NULL) "))
 
 
 def _match_inputs(spark, sf_dir):
-    part = read_table(spark, sf_dir, "part")
-    nation = read_table(spark, sf_dir, "nation")
-    files = (part.select(F.lit("U").alias("unit"),
-                         F.concat(F.lit("MOV "), "p_type", F.lit(" "), "p_brand", F.lit(".xlsx")).alias("file_name"))
-             .distinct())
-    # a file listing per unit is metadata (bounded by the folder), so the
-    # position window below stays small
-    files = files.withColumn("path", F.col("file_name")).withColumn(
-        "file_pos", F.row_number().over(Window.partitionBy("unit").orderBy("file_name")))
-    ateliers = (part.select(F.lower("p_type").alias("atelier"))
-                .union(nation.select(F.lower("n_name").alias("atelier"))).distinct()
-                .select(F.lit("U").alias("unit"), "atelier", F.col("atelier").alias("keyword")))
-    ateliers = ateliers.withColumn("atelier_pos", F.row_number().over(
-        Window.partitionBy("unit").orderBy("atelier")))
+    p = read_table(spark, sf_dir, "part").select(
+        F.concat(F.lit("U"), F.floor(F.col("p_partkey") / UNIT_PARTS).cast("string")).alias("unit"), "p_name", "p_type", "p_brand")
+    files = p.select("unit", F.concat(F.lit("MOV "), "p_name", F.lit(" "), "p_type", F.lit(" "), "p_brand", F.lit(".xlsx"))
+                     .alias("file_name")).distinct()
+    files = files.withColumn("path", F.concat_ws("/", "unit", "file_name")).withColumn(
+        "file_pos", F.row_number().over(Window.partitionBy("unit").orderBy(F.md5("file_name"), "file_name")))
+    words = F.split("p_name", " ")
+    ateliers = p.select("unit", F.explode(F.concat(words, F.array(F.lower("p_type"), F.concat_ws(" ", F.lower("p_type"), words[0]))))
+                        .alias("atelier")).distinct()
+    ateliers = ateliers.withColumn("keyword", F.col("atelier")).withColumn(
+        "atelier_pos", F.row_number().over(Window.partitionBy("unit").orderBy("atelier")))
     return files, ateliers
 
 
-@query("match_files", _MATCH_SQL + "SELECT unit, atelier, file_name AS path FROM chosen")
+@query("match_files", _greedy_sql(False) + "SELECT unit, atelier, path FROM chosen")
 def match_files(spark, sf_dir):
     """Files in order, each takes its first free matching atelier."""
     files, ateliers = _match_inputs(spark, sf_dir)
     return M.assign(files, ateliers, "files_first")
 
 
-@query("match_files_words", _MATCH_SQL + "SELECT unit, atelier, file_name AS path FROM chosen")
+@query("match_files_words", _greedy_sql(True) + "SELECT unit, atelier, path FROM chosen")
 def match_files_words(spark, sf_dir):
     """Ateliers in order, each takes its first unused file (keyword or all its words)."""
     files, ateliers = _match_inputs(spark, sf_dir)
     return M.assign(files, ateliers, "ateliers_first")
 
 
-@query("unmatched", _MATCH_SQL + "SELECT unit, 'file' AS kind, file_name AS name FROM files "
-       "WHERE file_name NOT IN (SELECT file_name FROM chosen) "
-       "UNION ALL SELECT unit, 'atelier', atelier FROM ateliers WHERE atelier NOT IN (SELECT atelier FROM chosen)")
+@query("unmatched", _greedy_sql(True) + "SELECT unit, 'file' AS kind, file_name AS name FROM files "
+       "WHERE path NOT IN (SELECT path FROM chosen) UNION ALL SELECT unit, 'atelier', atelier FROM ateliers "
+       "WHERE unit || '/' || atelier NOT IN (SELECT unit || '/' || atelier FROM chosen)")
 def unmatched(spark, sf_dir):
-    """Files without an atelier and ateliers without a file."""
+    """Files without an atelier and ateliers without a file."""
     files, ateliers = _match_inputs(spark, sf_dir)
     assigned = M.assign(files, ateliers, "ateliers_first")
     return M.unmatched(files, ateliers, assigned)
+
+
+@query("match_counts", _greedy_sql(False) + "SELECT f.unit, count(*) AS n_files, (SELECT count(*) FROM chosen c WHERE c.unit = f.unit) "
+       "AS n_matched FROM files f GROUP BY f.unit")
+def match_counts(spark, sf_dir):
+    """Files given and matched per unit."""
+    files, ateliers = _match_inputs(spark, sf_dir)
+    return M.match_counts(files, M.assign(files, ateliers, "files_first"))

@@ -76,11 +76,9 @@ def cutoff_exact_month(spark, sf_dir):
 def round_then_sum(spark, sf_dir):
     """Round each line to 2 dp before summing, against sum-then-round."""
     v = T.value_lines(spark, sf_dir)
-    rounded = R.aggregate_side(v, out="Value_Rounded", round_lines=2)
-    raw = R.aggregate_side(v, out="Value_Raw")
-    return (rounded.join(raw, "Ref")
-            .select("Ref", F.col("Value_Rounded").cast("double").alias("Value_Rounded"),
-                    F.col("Value_Raw").cast("double").alias("Value_Raw")))
+    return v.where(F.col("ref").isNotNull()).groupBy(F.col("ref").alias("Ref")).agg(
+        F.round(F.sum(F.round("qty", 2)), 2).cast("double").alias("Value_Rounded"),
+        F.round(F.sum("qty"), 2).cast("double").alias("Value_Raw"))
 
 
 @query("reconcile_tolerance", S.recon_sql("value_lines", "value_lines", tolerance=0.02,

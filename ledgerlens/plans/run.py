@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import matching as M
 from ledgerlens.plans.pipeline import UnitRules, run_units
+from ledgerlens.plans.profiles import profile_frame
 from ledgerlens.plans.sites import SITES, jobs_frame
 from ledgerlens.operators.verify import missing_inputs, unknown_ateliers
 from ledgerlens.session import checked_broadcast, cut_lineage
@@ -51,7 +52,8 @@ def process(spark: SparkSession, inputs: DataFrame, year: int, month: int,
                          .withColumn("file_name", _basename(F.col("path"))), "inputs")
     units = [u for u in SITES]
     if rules is None:
-        rules = {u: UnitRules.from_profile(u) for u in units}
+        # the rule matrix: a row per unit, configuration
+        rules = {r.unit: UnitRules(**r.asDict()) for r in profile_frame(spark).collect()}
     ledgers = inputs.where(F.col("role") == "ledger")
     ledgers = ledgers.withColumn("file_pos", F.col("pos"))
     ateliers = atelier_keywords(spark, units)

@@ -59,7 +59,7 @@ SITES: dict[str, dict[str, dict]] = {
     "Fath3": {
         "pet": {"keyword": "pet", "sheets": ["MOUV PARC03-2023"],
                 "must_contain": ["Date", "LOCALITATION", "PRODOUITE", "Q ST PV"],
-                "mov_cols": ["PRODOUITE", "Q ST PV"], "mov_loc_cols": ["LOCALITATION", "LOCALISATION"],
+                "mov_cols": ["PRODOUITE", "Q ST PV"],
                 "exclude": ["ATT TRIAGE"]},
         "triage": {"keyword": "triage", "sheets": ["MOUVM"], "must_contain": ["DATE", "PRODUIT", "STOCK"],
                    "mov_cols": ["PRODUIT", "STOCK"], "locations": ["ATT TRIAGE"], "no_loc_col": True},

@@ -55,7 +55,7 @@ def test_resolvers(spark):
         C.resolve_casefold("header", ["stock"]).alias("casefold_last"),
         C.resolve_casefold("header", ["référence fournisseur"], collapse=True).alias("collapsed"),
         C.resolve_contains("header", ["REF"]).alias("contains"),
-        C.resolve_custom("header", "STOCK KG").alias("custom"),
+        C.resolve_custom_col("header", F.lit("STOCK KG")).alias("custom"),
         C.override("header", F.lit("-1"), F.lit(9)).alias("sentinel"),
         C.override("header", F.lit("REF PRODUIT"), F.lit(9)).alias("override"),
         C.resolve_date_fallback("header", ["DATE"]).alias("date_fb"),

@@ -8,11 +8,7 @@ from ledgerlens.plans.catalog import QUERIES as CATALOG
 QUERIES = {name: q.build for name, q in CATALOG.items()}
 # keys whose work genuinely needs Python: per-file workbook parsing / writing
 # and the per-unit greedy file assignment
-PYTHON_OK = {"match_files", "match_files_words", "unmatched", "grid_xlsx", "export_xlsx"}
-# file-name keyword matching is a substring predicate between a file listing
-# and the broadcast atelier keyword table (configuration); in these keys every
-# file belongs to one unit, so the unit equality folds away
-THETA_OK = {"match_files", "match_files_words", "unmatched"}
+PYTHON_OK = {"match_files", "match_files_words", "unmatched", "match_counts", "grid_xlsx", "export_xlsx"}
 
 
 def _plan(df) -> str:
@@ -23,8 +19,7 @@ def _plan(df) -> str:
 def test_no_cartesian_no_nested_loop_no_row_udf(spark, name):
     plan = _plan(QUERIES[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan
-    if name not in THETA_OK:
-        assert "BroadcastNestedLoopJoin" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan                      # never a row-at-a-time Python UDF
     if name not in PYTHON_OK:
         assert "ArrowEvalPython" not in plan and "FlatMapGroupsInPandas" not in plan
