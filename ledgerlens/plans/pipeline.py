@@ -380,13 +380,17 @@ def run_units(stock_grid: DataFrame, mov_grid: DataFrame, jobs: DataFrame, rules
     ``file_id``; ``stock_grid`` / ``opening_grid`` - snapshot grids with a
     ``unit`` column (or shared by all units).  Returns ``(recon, diagnostics)``.
     """
-    from ledgerlens.session import stage
-    # every unit and rule reads the grids several times: stage them once
-    stock_grid = stage(stock_grid, "grid-stock")
-    mov_grid = stage(mov_grid, "grid-ledger")
+    from ledgerlens.session import stage, stage_by
+    # every unit reads its grids several times: stage them once, a folder per
+    # unit, so that a unit's passes scan its own files and no others
+    unit_files = checked_broadcast(jobs.select("unit", "file_id").distinct(), "unit-files")
+    mov_grid = stage_by(mov_grid.drop("unit").join(unit_files, "file_id"), "unit", "grid-ledger")
+    stock_grid, opening_grid = [
+        g if g is None else stage_by(g, "unit", "grid-stock") if "unit" in g.columns else stage(g, "grid-stock")
+        for g in (stock_grid, opening_grid)]
     recons, diags = [], []
     for r in rules:
-        mov, diag, ok_jobs = movement_lines(mov_grid, jobs, r, year, month)
+        mov, diag, ok_jobs = movement_lines(mov_grid.where(F.col("unit") == r.unit).drop("unit"), jobs, r, year, month)
         lines, stock_diag, bad = snapshot_lines(stock_grid, jobs, r)
         diag = diag.unionByName(stock_diag)
         stock, mov = apply_locations(lines, mov, jobs, r)

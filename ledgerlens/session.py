@@ -127,3 +127,18 @@ def stage(df: DataFrame, name: str, order_by: tuple[str, ...] = ()) -> DataFrame
             df = df.repartition(slots)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def stage_by(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``stage`` with one folder per value of a low-cardinality ``column``:
+    a filter on it reads that folder alone."""
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        df = df.repartition(slots)
+    schema = df.schema
+    df.write.mode("overwrite").partitionBy(column).parquet(path)
+    return spark.read.schema(schema).parquet(path)
