@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import line_dedup, mixing, near_dup, pieces, quality
-from ledgerlens.llm.common import LAST, identity, save, with_text, without_lines
+from ledgerlens.llm.common import LAST, WORD, identity, save, with_text, without_lines
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +17,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the lines that an earlier one holds."""
-    return line_dedup.dedup_lines(docs).select(*with_text("d", F.col("text"), docs.columns))
+    """Every document without the lines that an earlier one holds; one that
+    has no word left (a copy of earlier documents) goes."""
+    left = line_dedup.dedup_lines(docs).select(*with_text("d", F.col("text"), docs.columns))
+    return left.where(F.rlike("text", F.lit(WORD)))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

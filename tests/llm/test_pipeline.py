@@ -13,7 +13,7 @@ def test_pipeline(spark, tmp_path):
     for (i, t, s), q in zip(docs, brute.quality(docs)):
         if q[6]:
             kept.append((i, "\n".join(x for p, x in enumerate(t.split("\n")) if p not in q[8]), s))
-    kept = [(i, x[0], s) for (i, _, s), x in zip(kept, brute.line_dedup(kept))]
+    kept = [(i, x[0], s) for (i, _, s), x in zip(kept, brute.line_dedup(kept)) if brute.WORD.search(x[0])]
     one = []
     for (i, t, s), (_, c) in zip(kept, brute.near(kept)):
         if i == c or c is None:
