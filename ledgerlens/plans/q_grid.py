@@ -62,6 +62,12 @@ def sheet_prefer(spark, sf_dir):
     return sheet_by_keywords(G.sheets_of(G.ledger_grid(spark, sf_dir)), ["MOUV", "MOV", "STOCK"])
 
 
+@query("sheet_exact", SG.SHEET_EXACT)
+def sheet_exact(spark, sf_dir):
+    """The sheet of exactly that name, else the first sheet."""
+    return sheet_by_keywords(G.sheets_of(G.ledger_grid(spark, sf_dir)), ["MOUVEMENT"], exact=True)
+
+
 # --- header rows --------------------------------------------------------------
 
 @query("header_date", SG.HEADER_DATE)
@@ -70,6 +76,18 @@ def header_date(spark, sf_dir):
     return _hdr(H.header_by_alias(_ledger(spark, sf_dir), aliases("Fath1", "mov", "date")))
 
 
+@query("header_label", SG.HEADER_LABEL)
+def header_label(spark, sf_dir):
+    """H7: first row with a label equal up to case and white space."""
+    return _hdr(H.header_by_alias(_ledger(spark, sf_dir), ["LA   DATE", " Stocks "], normalize=True))
+
+
+@query("header_ref_qty", SG.HEADER_REF_QTY)
+def header_ref_qty(spark, sf_dir):
+    """H8: first row with a reference or quantity name."""
+    return _hdr(H.header_by_alias(_ledger(spark, sf_dir), ["REF", "REFERENCE", "Référence", "STOCK", "QTE"]))
+
+
 @query("header_densest", SG.HEADER_DENSEST)
 def header_densest(spark, sf_dir):
     """The row with the most non-empty cells, first on ties."""

@@ -68,6 +68,19 @@ def cutoff_exact_month(spark, sf_dir):
     return R.reconcile(T.stock_lines(spark, sf_dir), mov)
 
 
+@query("cutoff_no_date", S.recon_sql("stock_lines", "mov_lines"))
+def cutoff_no_date(spark, sf_dir):
+    """a ledger without a date column is not filtered."""
+    mov = cumulative_cutoff(T.mov_lines(spark, sf_dir), 1998, 6, has_date=False)
+    return R.reconcile(T.stock_lines(spark, sf_dir), mov)
+
+
+@query("location_empty_list", S.recon_sql("mov_lines", "mov_lines"))
+def location_empty_list(spark, sf_dir):
+    """an empty location list keeps every snapshot line."""
+    return R.reconcile(loc_in(T.mov_lines(spark, sf_dir), [" "]), T.mov_lines(spark, sf_dir))
+
+
 # --- rounding order and tolerance -------------------------------------------
 
 @query("round_then_sum", cte(value_lines=S.VALUE_LINES)

@@ -131,6 +131,13 @@ SHEET_PREFER = (_S + ", k AS (SELECT * FROM (VALUES (0, 'MOUV'), (1, 'MOV'), (2,
                 "SELECT fst.file_id, COALESCE(p, f) AS sheet, p IS NOT NULL AS preferred "
                 "FROM fst LEFT JOIN pref ON fst.file_id = pref.file_id")
 
+SHEET_EXACT = (_S + "SELECT file_id, COALESCE(arg_min(sheet, sheet_pos) FILTER (WHERE upper(sheet) = 'MOUVEMENT'), "
+               "arg_min(sheet, sheet_pos)) AS sheet, bool_or(upper(sheet) = 'MOUVEMENT') AS preferred FROM s GROUP BY file_id")
+
+_LABELS = "list_transform(list_filter(cells, lambda x: x IS NOT NULL), lambda x: lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))))"
+HEADER_LABEL = _G + first_header("g", has_any(_LABELS, ["la date", "stocks"]))
+HEADER_REF_QTY = _G + first_header("g", has_any(present(), ["REF", "REFERENCE", "Référence", "STOCK", "QTE"]))
+
 HEADER_DATE = _G + first_header("g", has_any(present(), _al("Fath1", "mov", "date")))
 _N_CELLS = "len(list_filter(cells, lambda x: x IS NOT NULL))"
 HEADER_DENSEST = (_G + f"SELECT file_id, sheet, arg_max(row_idx, {_N_CELLS} * 1000000000000 - row_idx) "

@@ -6,10 +6,10 @@ import math
 
 import pytest
 
-import __spark_entry__ as E
+from ledgerlens.plans.catalog import QUERIES as CATALOG
 
-SQL = E.oracle_sql()
-QUERIES = E.queries()
+SQL = {name: q.sql for name, q in CATALOG.items() if q.sql is not None}
+QUERIES = {name: q.build for name, q in CATALOG.items()}
 
 
 def _norm(v):
