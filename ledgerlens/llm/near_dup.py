@@ -184,7 +184,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, feats: DataFrame, k: int, perce
     """The pairs (a, b, ok) with ok: 100 * intersection >= percent * union, on
     the full sets.  Only texts that stand in a pair are read into sets."""
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    ids = feats.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep_id")).join(wanted, "fp")
+    ids = feats.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "tx")).alias("rep")).join(wanted, "fp")
+    ids = ids.select("fp", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tx").alias("rep_tx"))
 
     def sets(batches):
         import pyarrow as pa
@@ -195,12 +196,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, feats: DataFrame, k: int, perce
             for t, want in zip(b.column(0), b.column(1)):
                 w = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 f = xxhash.xxh3_128_digest(b" ".join(w)) if w else None
-                if f == want.as_py():  # a doc_id that repeats may hold another text
+                if f == want.as_py():  # unless two texts share a hash
                     fp.append(f)
                     blob.append(shingle_set(w, k).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(blob, pa.binary())], ["fp", "s"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.expr("doc_id <=> rep_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tx"), "text").join(
+        ids, F.expr("tx = rep_tx and doc_id <=> rep_id"))
     held = save(texts.select("text", "fp").mapInArrow(sets, "fp binary, s binary").groupBy("fp")
                 .agg(F.max("s").alias("s")), "sets")
 
