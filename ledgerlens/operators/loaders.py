@@ -20,11 +20,14 @@ KEYS = ("file_id", "sheet")
 
 
 def extract(grid: DataFrame, header: DataFrame, roles: Mapping[str, Column],
-            keys: Sequence[str] = KEYS) -> DataFrame:
-    """``header(keys..., header_idx, header)`` and role -> position expression
+            keys: Sequence[str] = KEYS, written: bool = False) -> DataFrame:
+    """``header(keys..., header_idx, header)`` (``written``: a table read from
+    storage, whose size the planner knows) and role -> position expression
     over ``header`` give ``(keys..., row_idx, <role>...)`` raw text cells,
     plus ``<role>_pos`` for diagnostics."""
-    pos = checked_broadcast(header.select(*keys, "header_idx", *[e.alias(f"{r}_pos") for r, e in roles.items()]))
+    pos = header.select(*keys, "header_idx", *[e.alias(f"{r}_pos") for r, e in roles.items()])
+    if not written:
+        pos = checked_broadcast(pos)
     body = grid.join(pos, list(keys)).where(F.col("row_idx") > F.col("header_idx"))
     body = body.where(F.exists("cells", lambda c: c.isNotNull()))
     return body.select(*keys, "row_idx", *[cell(F.col(f"{r}_pos")).alias(r) for r in roles],

@@ -195,7 +195,7 @@ def movement_lines(mov_grid: DataFrame, jobs: DataFrame, r: UnitRules, year: int
     diag = missing_columns(hc, roles, needed, keys).select(
         "unit", F.concat_ws("/", "atelier", "file_id", "sheet").alias("scope"), "severity", "code", "message")
     diag = diag.unionByName(missing_sheets(mov_grid, ujobs))
-    lines = extract(rows, hc, roles, keys)
+    lines = extract(rows, hc, roles, keys, written=True)
     for n in needed:
         lines = lines.where(F.col(f"{n}_pos").isNotNull())
     ok_jobs = hc.select(*JOB_KEYS, *[roles[n].alias(f"_{n}") for n in needed])
@@ -282,7 +282,7 @@ def snapshot_lines(stock_grid: DataFrame, jobs: DataFrame, r: UnitRules):
         "unit", F.concat_ws("/", *at).alias("scope"), "severity", "code", "message")
     bad = hc.select(*out, *[roles[n].alias(f"_{n}") for n in needed]).where(
         F.greatest(*[F.col(f"_{n}").isNull() for n in needed])).select(*out).distinct()
-    lines = extract(rows, hc, roles, keys).where(F.col("ref_pos").isNotNull() & F.col("qty_pos").isNotNull())
+    lines = extract(rows, hc, roles, keys, written=True).where(F.col("ref_pos").isNotNull() & F.col("qty_pos").isNotNull())
     number = coerce_number(F.regexp_replace(F.regexp_replace("qty", r"[\x{A0} ]", ""), ",", ".")
                            if r.stock_null_qty == "zero_locale" else "qty")
     diag = diag.unionByName(line_warnings(lines, at, ref=normalize_ref("ref").isNull(), number=_bad("qty", number)))

@@ -90,7 +90,18 @@ def checked_broadcast(small: DataFrame, name: str = "per-key") -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+    path = os.path.join(checkpoint_dir(spark), name)
+    spark.sparkContext.__dict__.setdefault("_ledgerlens_scratch", []).append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session, on whatever file
+    system they lie.  Results that still read them must be written first."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in spark.sparkContext.__dict__.pop("_ledgerlens_scratch", []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -13,10 +13,11 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from ledgerlens.session import build_session
+    from ledgerlens.session import build_session, remove_scratch
     s = build_session("local[*]", shuffle_partitions=8,
                       extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="ll-test-ckpt-", dir="/tmp")})
     yield s
+    remove_scratch(s)
     s.stop()
 
 
