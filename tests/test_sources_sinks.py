@@ -98,3 +98,35 @@ def test_assign_snapshots_by_period_and_fallback(spark):
     got = {(r.unit, r.file_name): r.role for r in assign_snapshots(files, 2025, 3).collect()}
     assert got == {("M", "STOCK 3-2025.xlsx"): "current", ("M", "inventaire.xlsx"): "previous",
                    ("N", "a.xlsx"): "current", ("N", "b.xlsx"): "previous"}
+
+
+def test_csv_delimiter_counts_rows_outside_quotes(spark):
+    from ledgerlens.sources.csv_grid import csv_grid
+    files = [("a.csv", b"Date;REF;QTE\n1,5;2,5;3,5\n2;x;4\n"),
+             ("b.csv", b'Date;REF;QTE\r\n"a, b, c, d";"x ""q""";3\r\n\r\n"l1\nl2";;5\r\n')]
+    got = {(r.file_id, r.row_idx): r.cells for r in csv_grid(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert got[("a.csv", 1)] == ["1,5", "2,5", "3,5"]                  # decimal commas are no separators
+    assert got[("b.csv", 1)] == ["a, b, c, d", 'x "q"', "3"]           # nor are those inside quotes
+    assert got[("b.csv", 2)] == ["l1\nl2", None, "5"]                  # a line break inside quotes is text
+
+
+def test_workbook_writer_survives_a_retry(spark):
+    """A task that runs twice writes the same names again."""
+    recon = spark.createDataFrame([("F", "A", "match", f"R{i}", float(i)) for i in range(40)],
+                                  "unit string, atelier string, status string, Ref string, Difference double")
+    path = os.path.join(tmpdir(), "x")
+    one = sorted(map(tuple, sinks.write_xlsx(recon, path, num_partitions=2).collect()))
+    two = sorted(map(tuple, sinks.write_xlsx(recon, "file:" + path, num_partitions=2).collect()))
+    assert [n for _, n in one] == [n for _, n in two]
+    assert sorted(os.listdir(path)) == sorted(os.path.basename(f) for f, _ in one)
+
+
+def test_scratch_is_removed(spark):
+    from ledgerlens.session import cut_lineage, remove_scratch
+    kept = spark.sparkContext.__dict__.pop("_ledgerlens_scratch", [])
+    cut_lineage(spark.range(3), "gone")
+    path = spark.sparkContext.__dict__["_ledgerlens_scratch"][0]
+    assert os.path.isdir(path.removeprefix("file:"))
+    remove_scratch(spark)
+    assert not os.path.exists(path.removeprefix("file:"))
+    spark.sparkContext.__dict__["_ledgerlens_scratch"] = kept
