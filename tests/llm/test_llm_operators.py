@@ -99,6 +99,21 @@ def test_near_duplicates(spark, docs):
     assert near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_in_a_crowded_region(spark):
+    """Many variants of one text: linked with some of the others only."""
+    from ledgerlens.llm.near_dup import near_duplicates
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(900)}" for _ in range(70)]
+    docs = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rnd.randrange(5)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(9000)}"
+        docs.append((i, " ".join(w), "s"))
+    got = near_duplicates(frame(spark, docs)).select("doc_id", "n_shingles", "component_id").collect()
+    same([tuple(r) for r in got], [(i, n, c) for (i, _, _), (n, c) in zip(docs, brute.near(docs))])
+
+
 def test_components_of_a_long_chain(spark):
     from ledgerlens.llm.common import components
     from pyspark.sql import functions as F
