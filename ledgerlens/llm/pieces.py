@@ -230,6 +230,12 @@ def solved(cells: list[list[tuple[int, int]]]) -> list[int]:
     return path[::-1]
 
 
+def slices(batch, rows: int = 64):
+    """A batch in parts: token lists are large as Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """(d, n_chunks, ids): each row of ``docs`` as a struct with its tokens."""
     blob = Path(model).read_bytes()
@@ -240,10 +246,11 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
         import pyarrow as pa
 
         p = Pieces(blob)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([1] * len(texts), pa.int32()),
-                                              pa.array(p.lib.encode(texts, num_threads=1), pa.list_(pa.int32()))], ["d", "n_chunks", "ids"])
+        for whole_batch in batches:
+            for b in slices(whole_batch):
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([1] * len(texts), pa.int32()),
+                                                  pa.array(p.lib.encode(texts, num_threads=1), pa.list_(pa.int32()))], ["d", "n_chunks", "ids"])
 
     def cut(batches):
         import pyarrow as pa
@@ -272,16 +279,22 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
                 [*b.columns[:4], pa.array([[x for x, _ in g] for g in got], pa.list_(pa.int32())),
                  pa.array([[x for _, x in g] for g in got], pa.list_(pa.int32()))], ["doc", "tx", "n", "i", "a", "b"])
 
-    def scan(t):
-        t = t.sort_values("i")
-        path = solved([list(zip(a, b)) for a, b in zip(t["a"], t["b"])])
-        return t.assign(into=path[:-1], out=path[1:])[["doc", "tx", "i", "into", "out"]]
+    def scan(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for doc, tx, chain in zip(*(c.to_pylist() for c in b.columns)):
+                path = solved([list(zip(c["a"], c["b"])) for c in chain])
+                n = len(chain)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc] * n, pa.int64()), pa.array([tx] * n, pa.int64()), pa.array([c["i"] for c in chain], pa.int32()),
+                     pa.array(path[:-1], pa.int32()), pa.array(path[1:], pa.int32())], ["doc", "tx", "i", "into", "out"])
 
     def back(batches):
         import pyarrow as pa
 
         p = Pieces(blob)
-        for b in batches:
+        for b in (s for x in batches for s in slices(x)):
             ids = [traced(p, left, body, right, i == 0, i == n - 1, into, out)
                    for n, i, left, body, right, into, out in zip(*(c.to_pylist() for c in b.columns[2:]))]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ids, pa.list_(pa.int32()))], ["doc", "tx", "n", "i", "ids"])
@@ -293,8 +306,10 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     chunks = save(giant.select("doc", "tx", F.col("d.text").alias("text")).dropDuplicates(["doc", "tx"])
                   .mapInArrow(cut, "doc long, tx long, n int, i int, left string, body string, right string"), "chunks")
     wide = chunks.repartition("doc", "tx", "i")  # the chunks of a document go to many tasks
-    borders = wide.mapInArrow(cells, "doc long, tx long, n int, i int, a array<int>, b array<int>").groupBy("doc", "tx").applyInPandas(
-        scan, "doc long, tx long, i int, into int, out int")
+    # the matrices of a document: a few numbers for every CHUNK characters
+    borders = (wide.mapInArrow(cells, "doc long, tx long, n int, i int, a array<int>, b array<int>").groupBy("doc", "tx")
+               .agg(F.sort_array(F.collect_list(F.struct("i", "a", "b"))).alias("chain"))
+               .mapInArrow(scan, "doc long, tx long, i int, into int, out int"))
     parts = (chunks.join(borders, ["doc", "tx", "i"]).select("doc", "tx", "n", "i", "left", "body", "right", "into", "out")
              .mapInArrow(back, "doc long, tx long, n int, i int, ids array<int>"))
     whole_ids = parts.groupBy("doc", "tx").agg(F.max("n").alias("n_chunks"), F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("p")).select(
@@ -311,7 +326,7 @@ def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
         import pyarrow as pa
 
         table = Pieces(blob).bytes
-        for b in batches:
+        for b in (s for x in batches for s in slices(x)):
             ids = b.column(b.schema.get_field_index("ids")).to_pylist()
             text = [b"".join([table[i] for i in x or []])[1:].decode("utf-8", "replace") for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "decoded"])
