@@ -31,6 +31,7 @@ from ledgerlens.llm.common import partitions, ship
 WINDOW, PREFIX = 13, 5
 CHUNK = 1 << 20   # words that a task holds at a time
 GROUP = 1 << 19   # suffixes of one subtree
+BUCKETS = 64      # parts of the suffixes at least, whatever the session's partitions
 SEED = 13
 LAST = 2**63 - 1  # stands for a null doc_id
 
@@ -244,7 +245,7 @@ def subtrees(dealt: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, buckets: int | None = None) -> DataFrame:
     """Marks (doc_id, blobs): per document the paths of its windows that also
     start in a document with a smaller doc_id."""
-    n = buckets or partitions(docs.sparkSession)
+    n = buckets or max(BUCKETS, partitions(docs.sparkSession))
     dealt = suffixes(docs, n, window, prefix)
     spread = F.coalesce("bucket", (F.xxhash64("doc_id") % 1009).cast("int"))
     return (subtrees(dealt.repartition(n, spread).sortWithinPartitions("bucket"))
