@@ -5,8 +5,8 @@ of ``TREES`` x ``DEPTH`` minima.  Texts with equal word sequences collapse to
 one representative first.  Each tree sorts the representatives by its
 ``DEPTH`` minima; neighbours in that order with a common prefix of at least
 ``MIN_DEPTH`` minima are candidates.  A region (rows sharing the prefix) of at
-most ``WINDOW`` + 1 rows yields all its pairs; in a larger one each row meets
-its ``WINDOW`` next rows, those with the longest common prefix, so the depth
+most ``WINDOW`` rows yields all its pairs; in a larger one each row meets its
+``CROWD`` next rows, those with the longest common prefix, so the depth
 adapts to the region.  Candidates are confirmed on their full sets.  Crowded
 regions are then searched again: rows are ordered by the components found,
 and every row is compared with those of its next rows that belong to *other*
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import components, partitions, save, ship
 
 TREES, DEPTH, MIN_DEPTH, WINDOW = 20, 5, 3, 4
+CROWD = 2  # next rows that a row of a crowded region meets in a tree
 SEED = 20240229
 
 
@@ -114,15 +115,16 @@ def neighbours(rows: DataFrame, window: int, min_depth: int, crossing: bool, bor
             fp = np.array(t.column("fp").to_pylist(), object)
             comp = np.array(t.column("comp").to_pylist(), object)
             out_a, out_b, crowded = [], [], np.zeros(n, bool)
-            for w in range(1, min(window, n - 1) + 1):
+            for w in range(min(window, n - 1), 0, -1):
                 same = tree[w:] == tree[:-w]
                 for d in range(min_depth):
                     same &= key[w:, d] == key[:-w, d]
-                same[:max(0, fresh - w)] = False  # done with the batch before
-                if w == window:
-                    at = np.flatnonzero(same)
-                    for i in at:
+                if w == window and not crossing:
+                    for i in np.flatnonzero(same):
                         crowded[i:i + w + 1] = True
+                same[:max(0, fresh - w)] = False  # done with the batch before
+                if w > CROWD:
+                    same &= ~(crowded[w:] & crowded[:-w])
                 differ = fp[w:] != fp[:-w]
                 if crossing:
                     differ &= comp[w:] != comp[:-w]
