@@ -6,11 +6,15 @@ one representative first.  Each tree sorts the representatives by its
 ``DEPTH`` minima; neighbours in that order with a common prefix of at least
 ``MIN_DEPTH`` minima are candidates.  A region (rows sharing the prefix) of at
 most ``WINDOW`` rows yields all its pairs; in a larger one each row meets its
-``CROWD`` next rows, those with the longest common prefix, so the depth
-adapts to the region.  Candidates are confirmed on their full sets.  Crowded
-regions are then searched again: rows are ordered by the components found,
-and every row is compared with those of its next rows that belong to *other*
-components, until a pass brings no new link.
+``CROWD`` next rows, those with the longest common prefix.  Candidates are
+confirmed on their full sets.  Crowded regions are then searched again: rows
+are ordered by the components found, and every row is compared with those of
+its next rows that belong to *other* components, while passes bring links.
+
+What these passes miss, a join finds exactly: the rows of crowded regions that
+still hold several components meet wherever the prefixes of their sets share a
+shingle (``meetings``), and are confirmed on their full sets.  The passes only
+make that join small; no pair of a region is lost by their end.
 
 Defined results: null text and text without words have no shingles and link
 with nothing; fewer words than a shingle count as one shingle; rows that
@@ -27,6 +31,7 @@ from ledgerlens.llm.common import components, partitions, save, ship
 
 TREES, DEPTH, MIN_DEPTH, WINDOW = 20, 5, 3, 4
 CROWD = 2  # next rows that a row of a crowded region meets in a tree
+SLOTS = 20  # bits of the shingle hash by which shingles are counted
 SEED = 20240229
 
 
@@ -182,10 +187,8 @@ def candidates(rows: DataFrame, window: int, min_depth: int, crossing: bool) ->
     return pairs, found.where("kind = 1").select("tree", "key", "fp", "comp").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, feats: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, ok) with ok: 100 * intersection >= percent * union, on
-    the full sets.  Only texts that stand in a pair are read into sets."""
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+def full_sets(wanted: DataFrame, docs: DataFrame, feats: DataFrame, k: int) -> DataFrame:
+    """(fp, s): the shingle sets of the texts ``wanted`` (fp); only these are read."""
     ids = feats.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "tx")).alias("rep")).join(wanted, "fp")
     ids = ids.select("fp", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tx").alias("rep_tx"))
 
@@ -205,9 +208,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, feats: DataFrame, k: int, perce
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tx"), "text").join(
         ids, F.expr("tx = rep_tx and doc_id <=> rep_id"))
-    held = save(texts.select("text", "fp").mapInArrow(sets, "fp binary, s binary").groupBy("fp")
+    return save(texts.select("text", "fp").mapInArrow(sets, "fp binary, s binary").groupBy("fp")
                 .agg(F.max("s").alias("s")), "sets")
 
+
+def checked(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ok) with ok: 100 * intersection >= percent * union, on
+    the full sets ``held``."""
+
     def check(batches):
         import numpy as np
         import pyarrow as pa
@@ -225,6 +233,89 @@ def confirmed(pairs: DataFrame, docs: DataFrame, feats: DataFrame, k: int, perce
             .select("a", "b", "sa", "sb").mapInArrow(check, "a binary, b binary, ok boolean"))
 
 
+def confirmed(pairs: DataFrame, docs: DataFrame, feats: DataFrame, k: int, percent: int) -> DataFrame:
+    """``checked`` of the pairs on the texts that stand in one."""
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    return checked(pairs, full_sets(wanted, docs, feats, k), percent)
+
+
+def slot_counts(held: DataFrame):
+    """How many shingles of ``held`` fall into each of 2**SLOTS slots of the
+    shingle hash: one array of fixed size, whatever the number of rows."""
+    import numpy as np
+
+    blocks, width = 16, (1 << SLOTS) // 16
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(1 << SLOTS, np.int64)
+        for b in batches:
+            for s in b.column(0):
+                np.add.at(total, np.frombuffer(s.as_py(), np.uint64) >> np.uint64(64 - SLOTS), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(
+            [total[i * width:(i + 1) * width].tobytes() for i in range(blocks)], pa.binary())], ["block", "n"])
+
+    def add(x):
+        import pandas as pd
+
+        n = sum(np.frombuffer(v, np.int64) for v in x["n"])
+        return pd.DataFrame({"block": [x["block"].iloc[0]], "n": [n.tobytes()]})
+
+    parts = held.select("s").coalesce(max(8, partitions(held.sparkSession) // 4)).mapInArrow(run, "block int, n binary")
+    got = parts.groupBy("block").applyInPandas(add, "block int, n binary").collect()  # 16 rows of 512 KB
+    out = np.zeros(1 << SLOTS, np.int64)
+    for r in got:
+        out[r.block * width:(r.block + 1) * width] = np.frombuffer(r.n, np.int64)
+    return out
+
+
+def meetings(held: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of rows (fp, s, comp): all pairs of different
+    components whose sets reach ``percent``, and few others.
+
+    All sets stand in one order of shingles, rare slots first.  A pair that
+    reaches ``percent`` has its first common shingle within the first
+    n - ceil(percent n / 100) + 1 of the larger set and the first
+    m - ceil(2 percent m / (100 + percent)) + 1 of the smaller one, and behind
+    it enough shingles for the rest.  Any order keeps that true; by this one a
+    passage that many rows share stands behind their own shingles."""
+    counts = slot_counts(held)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                rows, tokens, places, sizes = [], [], [], []
+                for i, x in enumerate(part.column(1)):
+                    s = np.frombuffer(x.as_py(), np.uint64)
+                    n = len(s)
+                    m = n + percent * n // -100 + 1
+                    first = np.lexsort((s, counts[s >> np.uint64(64 - SLOTS)]))[:m]
+                    tokens.append(s[first].view(np.int64))
+                    places.append(np.arange(m, dtype=np.int32))
+                    rows.append(np.full(m, i))
+                    sizes.append(np.full(m, n, np.int32))
+                if not rows:
+                    continue
+                at_row = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens)), part.column(0).take(at_row), part.column(2).take(at_row),
+                     pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["token", "fp", "comp", "n", "at"])
+
+    marks = held.select("fp", "s", "comp").mapInArrow(run, "token long, fp binary, comp binary, n int, at int")
+    marks = save(marks, "marks")
+    x = marks.where(f"at <= n - (2L * {percent} * n + {99 + percent}) div {100 + percent}").alias("x")
+    return x.join(marks.alias("y"), F.expr(
+        f"x.token = y.token and (x.n < y.n or x.n = y.n and x.fp < y.fp) and 100L * x.n >= {percent}L * y.n and x.comp <> y.comp"
+        f" and {100 + percent}L * least(x.n - x.at, y.n - y.at) >= {percent}L * (x.n + y.n)")).select(
+        F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, max_passes: int = 12) -> DataFrame:
     """doc_id, tx, n_shingles, component_id, kept for every row of ``docs``;
     (doc_id, tx) names the row by content."""
@@ -250,6 +341,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, max_passes:
         tested = tested.union(new)
         labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
                             .union(new.where("ok").select("a", "b")))
+    # what the passes did not compare: rows of regions with several components
+    now = crowded.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "tree", F.expr(f"substring(key, 1, {4 * MIN_DEPTH})").alias("region"), "fp", F.coalesce("comp", "fp").alias("comp"))
+    mixed = now.groupBy("tree", "region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    open_rows = save(now.join(mixed, ["tree", "region"], "left_semi").select("fp", "comp").distinct(), "open", 4)
+    if not open_rows.isEmpty():
+        held = full_sets(open_rows.select("fp"), docs, feats, k)
+        more = save(meetings(held.join(open_rows, "fp"), percent).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more", 8)
+        new = save(checked(more, held, percent), "tested", 4)
+        labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+                            .union(new.where("ok").select("a", "b")))
     roots = feats.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("root"))
     linked = roots.join(labels.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("comp").agg(F.min("root").alias("least"))

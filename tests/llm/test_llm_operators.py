@@ -114,6 +114,42 @@ def test_near_duplicates_in_a_crowded_region(spark):
     same([tuple(r) for r in got], [(i, n, c) for (i, _, _), (n, c) in zip(docs, brute.near(docs))])
 
 
+def test_near_duplicates_on_one_template(spark):
+    """Many documents share one passage (similarity about 0.70, not linked);
+    pairs of 0.75 to 0.8 stand among them."""
+    from ledgerlens.llm.near_dup import near_duplicates
+    rnd = random.Random(11)
+    say = lambda k: [f"w{rnd.randrange(10**6)}" for _ in range(k)]
+    passage, docs = say(174), []
+    for i in range(700):
+        own = say(32)
+        docs.append((2 * i, " ".join(passage + own), "s"))
+        if i % 10 == 0:  # a partner with the first 8 to 10 of its own words
+            n = 8 + i // 10 % 3
+            docs.append((2 * i + 1, " ".join(passage + own[:n] + say(32 - n)), "s"))
+    rnd.shuffle(docs)
+    want = brute.near(docs)
+    assert 60 <= sum(c != i for (i, _, _), (_, c) in zip(docs, want)) <= 80
+    got = near_duplicates(frame(spark, docs)).select("doc_id", "n_shingles", "component_id").collect()
+    same([tuple(r) for r in got], [(i, n, c) for (i, _, _), (n, c) in zip(docs, want)])
+
+
+def test_meetings_hold_every_pair(spark):
+    """The join of crowded rows against all pairs, at several thresholds."""
+    from ledgerlens.llm.near_dup import meetings
+    rng = np.random.default_rng(8)
+    common = rng.integers(0, 2**64, 40, np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(common, rng.integers(0, 40), False), rng.integers(0, 2**64, rng.integers(1, 12), np.uint64)]))
+            for _ in range(250)]
+    rows = [(b"%03d" % i, s.tobytes(), b"%03d" % (i // 2)) for i, s in enumerate(sets)]
+    held = spark.createDataFrame(rows, "fp binary, s binary, comp binary")
+    for percent in (50, 75):
+        got = {(int(r.a), int(r.b)) for r in meetings(held, percent).collect()}
+        both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(250) for j in range(i + 1, 250) if i // 2 != j // 2}
+        want = {(i, j) for (i, j), n in both.items() if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n)}
+        assert want and want <= got
+
+
 def test_components_of_a_long_chain(spark):
     from ledgerlens.llm.common import components
     from pyspark.sql import functions as F
