@@ -47,8 +47,8 @@ WIDE = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}+(?![0-9])",
     "phone": r"(?<![0-9+.-])(?:00[0-9]{1,3}[\x20-]?)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
 }
-#: What a text must contain before a pattern is tried.
-NEEDS = {"email": "@|[({\\[]at[)}\\]]", "ip": "[0-9A-Fa-f][.:][0-9A-Fa-f]", "card": "[0-9][\\x20-]?[0-9]", "phone": "[0-9][\\x20().-][0-9(]"}
+#: What a text must contain before a pattern is tried: implied by a match of the base and of the wide pattern.
+NEEDS = {"email": "@|[({\\[]at[)}\\]]", "ip": "[0-9A-Fa-f][.:][0-9A-Fa-f]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]|[0-9][\\x20().-][0-9(]"}
 #: Fixed word lists of the gazetteer and context labelers.
 DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "fr", "es", "it", "uk", "us", "ch", "at", "be", "nl")
 CUES = {

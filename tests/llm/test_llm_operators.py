@@ -271,6 +271,34 @@ def test_pii_base_spans(spark, docs):
     assert pii.detect(d.limit(0)).count() == 0
 
 
+def test_pii_phone_alone(spark):
+    """Texts whose only base phone has no digit, separator, digit."""
+    from ledgerlens.llm import pii
+    texts = ["+14155550123", "call +14155550123 now", "tel:+4930123456789", "+1--4155550123", "+1(--415--5550123", "+1.-4155550123-"]
+    got = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = {i: [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t)] for i, t in enumerate(texts)}
+    assert all(len(x) == 1 for x in want.values())
+    assert {r.doc_id: [(s.kind, s.s, s.e) for s in r.spans if s.base] for r in got} == want
+
+
+def test_pii_pre_tests_are_implied():
+    """No pattern matches a text that its pre-test turns away."""
+    from ledgerlens.llm import pii
+    rnd = random.Random(12)
+    for k in pii.KINDS:
+        for pattern in (pii.BASE[k], pii.WIDE[k]):
+            hits = re.compile(pattern.replace(r"(?:(?<![A-Za-z0-9._%+-])|\G)", ""))
+            bits = {"email": ["a", "@", "(at)", "[at]", ".", " ", "(dot)"], "ip": ["1", "a", ".", ":", "12", "1:2:", "1.2."],
+                    "card": ["4", " ", "-", "41", "1111"], "phone": ["+", "1", "-", "(", ")", " ", ".", "212", "5550", "00"]}[k]
+            n = 0
+            for _ in range(20000):
+                t = "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 18)))
+                if hits.search(t):
+                    n += 1
+                    assert re.search(pii.NEEDS[k], t), (k, t)
+            assert n
+
+
 def test_em_learns_which_labelers_to_trust():
     from ledgerlens.llm import pii
     rnd = random.Random(2)
