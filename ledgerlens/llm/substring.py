@@ -1,14 +1,16 @@
-"""Repeated passages across documents: prefix-partitioned suffix trees.
+"""Repeated passages across documents: windows grouped by prefix, in place of
+prefix-partitioned suffix trees.
 
 Every word position starts a suffix.  The tree is needed down to depth
 ``WINDOW`` words: suffixes that meet in one node of that depth share a
-passage of that length.  To keep the trees small enough for memory, suffixes
+passage of that length, so that one level alone is built: equal paths of whole
+windows, found by sorting, without suffix order, inner nodes or depths.  Suffixes
 are dealt out by a prefix of ``PREFIX`` words, the smallest (by hash) of the
 prefixes that start inside the window, so that neighbouring windows travel
 together under one prefix and equal windows always meet.  Within a partition
-the prefixes are sorted and cut into groups of at most ``GROUP`` suffixes,
-short hash prefixes where suffixes are sparse and longer ones where they
-crowd; each group is one subtree, sorted by the path of its suffixes, and
+the prefixes are sorted and cut, between different prefixes, into groups of
+about ``GROUP`` suffixes; a prefix is never lengthened, so one hot prefix stays
+one group however large.  Each group is sorted by the path of its suffixes, and
 the nodes of depth ``WINDOW`` with two documents or more are the repeats.
 Paths are 64-bit word-sequence hashes (prefix) and 48 further bits (window).
 
