@@ -8,9 +8,9 @@ are an encoding of their own joined string; so with weight 0 for such a pair
 and minus infinity for any other it is the best path of a max-plus automaton,
 whose state at a chunk border is the piece over the character before it.
 Each chunk yields its transfer matrix between the states of its two borders
-(the finite entries only), the matrices of a document are multiplied along
-the chunks, which fixes the state at each border, and every chunk is then
-traced back alone.  Between places that no piece crosses (a blank after a
+(the finite entries only), one task pushes the reachable states of a document
+left to right through its matrices, which fixes the state at each border, and
+every chunk is then traced back alone.  Between places that no piece crosses (a blank after a
 non-blank) the library encodes directly, so the automaton runs only around the
 borders; a chunk without blanks is walked as a whole.
 
