@@ -181,10 +181,10 @@ def candidates(rows: DataFrame, window: int, min_depth: int, crossing: bool) ->
     # in the order of all, so that two rows of different partitions that are
     # close here are as close there
     edge = found.where("kind = 2").select("tree", "key", "fp", "comp", "part").distinct()
-    edges = neighbours(edge.coalesce(1).sortWithinPartitions(*order), window, min_depth, crossing, True).where("kind = 0")
-    pairs = (found.where("kind = 0").select("fp", "other").union(edges.select("fp", "other"))
-             .toDF("a", "b").distinct())
-    return pairs, found.where("kind = 1").select("tree", "key", "fp", "comp").distinct()
+    edges = save(neighbours(edge.coalesce(1).sortWithinPartitions(*order), window, min_depth, crossing, True), "edges")
+    both = found.union(edges)  # rows crowded only across a border count as crowded, too
+    pairs = both.where("kind = 0").select("fp", "other").toDF("a", "b").distinct()
+    return pairs, both.where("kind = 1").select("tree", "key", "fp", "comp").distinct()
 
 
 def full_sets(wanted: DataFrame, docs: DataFrame, feats: DataFrame, k: int) -> DataFrame:

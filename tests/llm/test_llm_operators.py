@@ -150,6 +150,18 @@ def test_meetings_hold_every_pair(spark):
         assert want and want <= got
 
 
+def test_region_split_by_partition_borders(spark):
+    """Every pair of a region is a candidate or both its rows are searched again."""
+    from ledgerlens.llm import near_dup
+    for n in (5, 6, 8):
+        rows = [(0, b"\0" * 4 * near_dup.DEPTH, b"%03d" % i, b"%03d" % i) for i in range(n)]
+        d = spark.createDataFrame(rows, "tree int, key binary, fp binary, comp binary")
+        pairs, crowded = near_dup.candidates(d, near_dup.WINDOW, near_dup.MIN_DEPTH, False)
+        pairs = {(int(r.a), int(r.b)) for r in pairs.collect()}
+        again = {int(r.fp) for r in crowded.collect()}
+        assert all((i, j) in pairs or {i, j} <= again for i in range(n) for j in range(i + 1, n))
+
+
 def test_components_of_a_long_chain(spark):
     from ledgerlens.llm.common import components
     from pyspark.sql import functions as F
