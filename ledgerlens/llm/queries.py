@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ann, chat, line_dedup, mixing, near_dup, pieces, pii, quality, sql, substring, urls
+from ledgerlens.llm import (ann, centroids, chat, decontaminate, line_dedup, merkle, mixing, near_dup, pieces, pii, quality, sql,
+                            substring, urls)
 from ledgerlens.llm.common import table
 
 
@@ -73,6 +74,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.lowered(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
+    return got.select("doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64)
+    return got.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.written(F.col("centroid")).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_chat_formatting": (op1_chat_formatting, sql.CHAT),
     "op2_nearest_neighbours": (op2_nearest_neighbours, None),
@@ -84,4 +100,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_line_dedup": (op8_line_dedup, sql.LINE_DEDUP),
     "op9_substring_dedup": (op9_substring_dedup, sql.SUBSTRING),
     "op10_sentencepiece": (op10_sentencepiece, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, sql.MERKLE),
+    "op12_decontamination": (op12_decontamination, sql.LEAKS),
+    "op13_centroid_clustering": (op13_centroid_clustering, sql.CENTROIDS),
 }

@@ -119,3 +119,93 @@ SELECT f.page_id, f.host, f.path, f.rule,
                 CASE WHEN mean - sqrt(mean * (1 - mean) / (weight + 1)) > 0.2 THEN 'block' ELSE 'allow' END) AS verdict
 FROM f JOIN h3 USING (host)
 """
+
+
+def _merkle(lang_levels: int = 8, top_levels: int = 3) -> str:
+    """Trees of up to 8**lang_levels leaves a group and 8**top_levels groups,
+    a level per pair of subqueries; a tree of one node stays as it is."""
+    def field(c, text="text"):
+        v = text if c == "text" else c
+        return f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(field(c, text) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = ("list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),"
+           " lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, o: xor(x >> 1, 3988292384 * (x & 1))))")
+    parts = [f"""
+d AS MATERIALIZED (SELECT *, {leaf('text')} AS leaf, coalesce(xor({crc}, 4294967295) % 3 = 0, false) AS bad,
+  {leaf(lowered)} AS changed FROM documents),
+n0 AS MATERIALIZED (SELECT lang AS g, row_number() OVER (PARTITION BY lang ORDER BY coalesce(doc_id, 9223372036854775807), leaf) - 1 AS pos,
+  leaf AS h, count(*) OVER (PARTITION BY lang) AS n, doc_id, bad, changed FROM d),
+p0 AS MATERIALIZED (SELECT doc_id, g, pos AS leaf_pos, pos, h AS leaf, '' AS proof, CASE WHEN bad THEN changed ELSE h END AS fold FROM n0)"""]
+
+    def level(i, j, group):
+        """Nodes n(i) to n(j) and paths p(i) to p(j)."""
+        runs = f"r{i}"
+        keep = f"""
+{runs} AS MATERIALIZED (SELECT g, pos // 8 AS up, max(n) AS n, list(h ORDER BY pos) AS hs FROM n{i} WHERE n > 1 GROUP BY g, pos // 8),
+n{j} AS MATERIALIZED (SELECT g, up AS pos, sha256(array_to_string(hs, '')) AS h, (n + 7) // 8 AS n FROM {runs}
+  UNION ALL SELECT g, pos, h, n FROM n{i} WHERE n = 1),
+p{j} AS MATERIALIZED (SELECT p.* REPLACE (p.pos // 8 AS pos,
+    CASE WHEN hs IS NULL THEN proof ELSE proof || array_to_string(hs[:p.pos % 8], '') || array_to_string(hs[p.pos % 8 + 2:], '') END AS proof,
+    CASE WHEN hs IS NULL THEN fold ELSE sha256(array_to_string(hs[:p.pos % 8], '') || fold || array_to_string(hs[p.pos % 8 + 2:], '')) END AS fold)
+  FROM p{i} p LEFT JOIN {runs} r ON r.{group} IS NOT DISTINCT FROM p.{group} AND r.up = p.pos // 8)"""
+        parts.append(keep)
+
+    for i in range(lang_levels):
+        level(i, i + 1, "g")
+    a, b = lang_levels, lang_levels + 1
+    parts.append(f"""
+s AS MATERIALIZED (SELECT g, h, row_number() OVER (ORDER BY g IS NOT NULL, encode(g)) - 1 AS pos, count(*) OVER () AS n FROM n{a}),
+n{b} AS MATERIALIZED (SELECT 0 AS g, pos, h, n FROM s),
+p{b} AS MATERIALIZED (SELECT p.* REPLACE (s.pos AS pos, 0 AS g), s.h AS subroot FROM p{a} p JOIN s ON s.g IS NOT DISTINCT FROM p.g)""")
+    for i in range(b, b + top_levels):
+        level(i, i + 1, "g")
+    end = b + top_levels
+    return "WITH" + ",".join(parts) + f"""
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = t.h AS verified
+FROM p{end} p CROSS JOIN n{end} t"""
+
+
+MERKLE = _merkle()
+
+LEAKS = r"""
+WITH iw AS (SELECT item_id, __W__ AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS g
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, least(len(w), 1)))) AS i FROM iw)),
+dw AS (SELECT row_number() OVER () AS r, doc_id, __W__ AS w FROM documents),
+s AS (SELECT r, i, k, list_slice(w, i, i + k - 1) AS g
+      FROM (SELECT r, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM dw, (SELECT DISTINCT len(g) AS k FROM win))),
+hit AS MATERIALIZED (SELECT r, i, k, item_id FROM s JOIN win USING (g)),
+n AS (SELECT r, count(DISTINCT i + j) AS n_hit FROM (SELECT r, i, unnest(generate_series(0, k - 1)) AS j FROM hit) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS h
+       FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN n USING (r) LEFT JOIN it USING (r)
+""".replace("__W__", r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+def _centroids(rounds: int = 3) -> str:
+    parts = [r"""
+v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS a FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), a) - 1 AS k, a FROM v QUALIFY k < 16)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (SELECT r, vec_id, v.a, k, list_sum(list_transform(list_zip(v.a, c.a), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM v, c{i} c QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        if i < rounds:
+            parts.append(f"""
+m{i} AS (SELECT k, j, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(a) AS x, generate_subscripts(a, 1) AS j FROM a{i}) GROUP BY k, j),
+c{i + 1} AS MATERIALIZED (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS a FROM m{i} GROUP BY k
+  UNION ALL SELECT k, a FROM c{i} WHERE k NOT IN (SELECT k FROM m{i}))""")
+    return "WITH" + ",".join(parts) + f"""
+SELECT vec_id, x.k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY x.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.a, ',')) AS centroid_sha256
+FROM a{rounds} x JOIN c{rounds} c USING (k)"""
+
+
+CENTROIDS = _centroids()
