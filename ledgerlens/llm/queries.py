@@ -91,10 +91,10 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_chat_formatting": (op1_chat_formatting, sql.CHAT),
-    "op2_nearest_neighbours": (op2_nearest_neighbours, None),
+    "op2_nearest_neighbours": (op2_nearest_neighbours, sql.NEAREST),
     "op3_mixing": (op3_mixing, sql.MIX),
     "op4_pii": (op4_pii, None),
-    "op5_minhash_near_dedup": (op5_minhash_near_dedup, None),
+    "op5_minhash_near_dedup": (op5_minhash_near_dedup, sql.NEAR),
     "op6_url_filter": (op6_url_filter, sql.URLS),
     "op7_quality_rules": (op7_quality_rules, sql.QUALITY),
     "op8_line_dedup": (op8_line_dedup, sql.LINE_DEDUP),

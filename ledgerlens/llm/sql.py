@@ -209,3 +209,29 @@ FROM a{rounds} x JOIN c{rounds} c USING (k)"""
 
 
 CENTROIDS = _centroids()
+
+NEAREST = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+NEAR = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+r AS MATERIALIZED (SELECT w, min(doc_id) AS root, row_number() OVER () AS r FROM w WHERE len(w) > 0 GROUP BY w),
+s AS MATERIALIZED (SELECT DISTINCT r, list_slice(w, i, i + 4) AS g
+  FROM (SELECT r, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM r)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+e AS MATERIALIZED (SELECT x, y FROM (SELECT a.r AS x, b.r AS y, count(*) AS m FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY ALL)
+  JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * m >= 75 * (p.n + q.n - m)),
+reach AS (SELECT r AS x, r AS y FROM r UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y),
+c AS (SELECT x AS r, min(root) AS component_id FROM reach JOIN r ON r.r = y GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id,
+       w.doc_id = coalesce(c.component_id, w.doc_id) AS kept
+FROM w LEFT JOIN r ON r.w = w.w LEFT JOIN n ON n.r = r.r LEFT JOIN c ON c.r = r.r
+"""
