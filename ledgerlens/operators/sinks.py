@@ -1,8 +1,8 @@
 """Result sinks: CSV per atelier / view, Markdown report files, XLSX slices.
 
 Writers partition the output by (unit, atelier, status) directories; empty
-groups simply produce no directory.  Spark's CSV writer adds no UTF-8 byte
-order mark and quotes fields with standard CSV escaping.
+groups simply produce no directory.  CSV files quote with doubled quotes and
+begin with a UTF-8 byte-order mark, by which spreadsheets know the encoding.
 """
 
 from __future__ import annotations
@@ -21,14 +21,21 @@ def fresh_output(spark, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def write_csv(recon: DataFrame, path: str, parts: Sequence[str] = ("unit", "atelier", "status")) -> str:
-    (recon.write.mode("overwrite").partitionBy(*parts).option("header", True)
-     .option("encoding", "UTF-8").csv(path))
+#: The mark is written as the begin of the header line, which every file has.
+BOM = "\ufeff"
+
+
+def write_csv(recon: DataFrame, path: str, parts: Sequence[str] = ("unit", "atelier", "status"), bom: bool = True) -> str:
+    first = next(c for c in recon.columns if c not in parts)
+    marked = recon.withColumnRenamed(first, BOM + first) if bom else recon
+    (marked.write.mode("overwrite").partitionBy(*parts).option("header", True)
+     .option("escape", '"').option("encoding", "UTF-8").csv(path))
     return path
 
 
 def read_csv_results(spark, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("basePath", path).csv(path)
+    got = spark.read.option("header", True).option("escape", '"').option("basePath", path).csv(path)
+    return got.toDF(*[c.removeprefix(BOM) for c in got.columns])
 
 
 def write_report(lines: DataFrame, path: str, num_partitions: int | None = None) -> str:

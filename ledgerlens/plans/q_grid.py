@@ -242,11 +242,14 @@ def csv_sniff(spark, sf_dir):
     """CSV ledgers with per-file delimiter, quoting and encoding
     (UTF-8 with BOM or code page 1252) parsed to grids; the detected
     delimiter, row count, decoded header and the parsed refs are reported."""
-    from ledgerlens.sources.csv_grid import csv_grid, lines_of, sniff
-    files = G.csv_ledger_files(spark, sf_dir)
-    lines = cut_lineage(lines_of(files), "csv-lines")
-    seps = checked_broadcast(sniff(lines), "csv-separators")
-    grid = csv_grid(files, lines, seps)
+    from ledgerlens.operators.sinks import fresh_output
+    from ledgerlens.sources.csv_grid import csv_grid, decoded, read_lines, sniff
+    out = fresh_output(spark, "csv-ledgers")
+    G.csv_ledger_files(spark, sf_dir, out)
+    lines = read_lines(spark, out, "*").withColumn("file_id", F.regexp_extract("file_id", "path=([^/]*)/", 1))
+    text = cut_lineage(decoded(lines), "csv-lines")
+    seps = checked_broadcast(sniff(text), "csv-separators")
+    grid = csv_grid(text, seps)
     stats = grid.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.max(F.when(F.col("row_idx") == 0, F.element_at("cells", 3))).alias("qty_header"),

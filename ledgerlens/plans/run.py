@@ -20,7 +20,7 @@ from ledgerlens.plans.profiles import profile_frame
 from ledgerlens.plans.sites import SITES, jobs_frame
 from ledgerlens.operators.verify import missing_inputs, unknown_ateliers
 from ledgerlens.session import checked_broadcast, cut_lineage
-from ledgerlens.sources.grid_reader import read_files, readable, unreadable
+from ledgerlens.sources.grid_reader import noted, read_files, readable, unreadable
 from ledgerlens.sources.grids import GRID_SCHEMA
 from ledgerlens.sources.xlsx import local_path
 
@@ -77,20 +77,24 @@ def process(spark: SparkSession, inputs: DataFrame, year: int, month: int,
     everything = cut_lineage(read_files(spark, paths), "grid-files") if paths else spark.createDataFrame([], GRID_SCHEMA)
     files_unit = checked_broadcast(inputs.select("unit", "role", F.col("path").alias("file_id")).distinct(), "files")
 
+    whole = readable(everything)
+
     def grid_of(role):
         own = files_unit.where(F.col("role") == role).drop("role")
-        return readable(everything).join(own, "file_id")
+        return whole.join(own, "file_id")
 
-    stock_grid, ledger_grid = grid_of("stock"), readable(everything).join(
+    stock_grid, ledger_grid = grid_of("stock"), whole.join(
         files_unit.where(F.col("role") == "ledger").select("file_id").distinct(), "file_id", "left_semi")
     has_opening = not inputs.where(F.col("role") == "opening").isEmpty()
     opening_grid = grid_of("opening") if has_opening else None
     broken = unreadable(everything).join(files_unit, "file_id").select(
         "unit", F.col("file_id").alias("scope"), F.lit("error").alias("severity"), F.lit("UNREADABLE_FILE").alias("code"), "message")
+    notes_of = noted(everything).join(files_unit, "file_id").select(
+        "unit", F.col("file_id").alias("scope"), F.lit("warning").alias("severity"), F.lit("UNCLOSED_QUOTE").alias("code"), "message")
     lacking = missing_inputs(inputs, inputs.where(F.col("role") == "stock"), assigned).select(
         F.col("scope").alias("unit"), "scope", "severity", "code", "message")
     asked = [d.select("unit", "atelier") for d in (skip, overrides) if d is not None]
-    notes = broken.unionByName(lacking).unionByName(_unmatched(ledgers, assigned))
+    notes = broken.unionByName(notes_of).unionByName(lacking).unionByName(_unmatched(ledgers, assigned))
     for a in asked:
         notes = notes.unionByName(unknown_ateliers(a, atelier_keywords(spark, units)).select(
             "unit", F.col("atelier").alias("scope"), "severity", "code", "message"))

@@ -1,112 +1,205 @@
-"""CSV ledgers as sheet grids, with encoding and delimiter detection.
-
-Files are read with the ``binaryFile`` source (one row per file) because the
-encoding decision and the row numbering are per file:
-
-* encoding: valid UTF-8 (a byte-order mark is dropped), otherwise Windows
-  code page 1252 (Latin-1 decode plus the 0x80-0x9F remap below);
-* rows: non-blank records, numbered densely from 0 (blank lines do not
-  count); a line break inside double quotes belongs to its field;
-* delimiter: over all rows, the candidate outside quotes that splits the most
-  rows into the header row's number of fields wins, if that is at least two;
+"""CSV ledgers as sheet grids, with encoding and delimiter detection, for
+files of any size.
+
+Files are read by Spark's text source, which cuts a large file into byte
+ranges ("blocks") and gives their physical lines as raw bytes; a file is never
+one row of one task.  What needs the whole file is put together from the
+blocks:
+
+* encoding: valid UTF-8 in every line (a byte-order mark is dropped),
+  otherwise Windows code page 1252 (Latin-1 decode plus the 0x80-0x9F remap
+  below);
+* delimiter: the candidate for which most lines have as many fields as the
+  first line, if these are at least two; where the first line is a title, the
+  candidate whose most frequent number of fields explains most delimiters;
   ties go to the larger number of fields, then to the earlier candidate; with
-  no candidate above one field the comma is used;
-* fields: split on the delimiter outside double quotes, quotes removed,
-  doubled quotes unescaped, empty fields NULL.
-
-Everything after the binary read is built-in expressions.
+  none the comma is used;
+* records: a quote opens a field at the field's start only, anywhere else it
+  is text.  Every line is a function from the state before it (outside or
+  inside a quoted field) to the state behind it.  The functions are composed
+  along each block, then along the blocks of a file, which gives every line
+  the state it starts in; all lines are then cut in parallel, and the lines of
+  one record are put together;
+* rows: non-blank records, numbered densely from 0 (blank lines do not
+  count); line breaks inside quotes are part of their field, as ``\\n``;
+* fields: split on the delimiter outside quotes, quotes removed, doubled
+  quotes unescaped, empty fields NULL;
+* a quoted field that the file never closes: from its line on, every line is a
+  record of its own, whose open quote ends with the line; the file gets a note
+  (a marker row at sheet position ``NOTED``).
+
+Everything is built-in expressions.  A physical line, and a record of several
+lines, must fit a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import checked_broadcast, cut_lineage
 
 # Candidate delimiters in preference order.
 SEPARATORS = [";", ",", "\t", "|"]
-# Control characters that stand for what quotes protect while a text is split.
-QUOTED_BREAK, FIELD_END = "\x1e", "\x1f"
+#: Sheet position of the marker row of a file that was read with a note.
+NOTED = -2
 
 # Code page 1252 differs from Latin-1 only in 0x80-0x9F; derive that block
 # from Python's codec (undefined bytes become U+FFFD as with errors='replace').
 _CP1252_HIGH = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
 _LATIN1_HIGH = bytes(range(0x80, 0xA0)).decode("latin-1")
 
+# Quoted field without its closing quote, and a whole field, for a delimiter
+# class D.  Possessive, so that a line of any length is read once.
+_OPEN = r'"[^"]*+(?:""[^"]*+)*+'
+_FIELD = rf'(?:{_OPEN}"[^D]*+|[^"D][^D]*+|)'
+_STAYS_OPEN = rf'^{_FIELD}(?:D{_FIELD})*+{_OPEN}\z'
+_STILL_OPEN = rf'^[^"]*+(?:""[^"]*+)*+(?:\z|"[^D]*+(?:D{_FIELD})*+{_OPEN}\z)'
+_CUT = rf'D({_OPEN}(?:"[^D]*+)?+|[^"D][^D]*+|)'
+_QUOTED = r'(?s)^"([^"]*+(?:""[^"]*+)*+)(?:"(.*))?\z'
+
+
+def _pattern(template: str, sep: str) -> str:
+    d = {"|": r"\|", "\t": r"\t"}.get(sep, sep)
+    return template.replace("[^D]", f"[^{d}]").replace('[^"D]', f'[^"{d}]').replace("D", d)
 
-def decode_text(content: Column) -> Column:
-    utf8 = F.regexp_replace(content.cast("string"), "^﻿", "")
-    latin = F.translate(F.decode(content, "ISO-8859-1"), _LATIN1_HIGH, _CP1252_HIGH)
-    return F.when(F.expr("is_valid_utf8(content)"), utf8).otherwise(latin)
 
+def _by_sep(build, sep: Column) -> Column:
+    """``build(separator)`` for the separator of the row."""
+    return reduce(lambda otherwise, s: F.when(sep == s, build(s)).otherwise(otherwise), reversed(SEPARATORS[:-1]), build(SEPARATORS[-1]))
 
-def _parts(text: Column) -> Column:
-    """The text cut at its double quotes: parts at odd places are quoted (an
-    empty part between two quotes is an escaped quote)."""
-    return F.split(text, '"', -1)
+
+def read_lines(spark: SparkSession, paths, names: str = "*.[cC][sS][vV]") -> DataFrame:
+    """(file_id, block, id, raw): the physical lines of the files among
+    ``paths`` with such names; (block, id) is their order in the file."""
+    text = spark.read.option("pathGlobFilter", names).text(paths)
+    # the path as the other sources give it, without URL escapes
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return text.select(F.regexp_replace(path, "^file:/+", "/").alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
+                       F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("raw"))
 
 
 def lines_of(files: DataFrame) -> DataFrame:
-    """(file_id, row_idx, line) for the non-blank records of each file; line
-    breaks inside quotes are replaced by ``QUOTED_BREAK``."""
-    text = decode_text(F.col("content"))
-    whole = F.regexp_replace(text, r"\r\n?", "\n")
-    kept = F.when(F.instr(whole, '"') > 0, F.array_join(F.transform(_parts(whole), lambda p, i: F.when(
-        i % 2 == 1, F.translate(p, "\n", QUOTED_BREAK)).otherwise(p)), '"')).otherwise(whole)
-    lines = F.filter(F.split(kept, "\n"), lambda l: F.trim(l) != "")
-    return files.select(F.col("path").alias("file_id"), F.posexplode(lines).alias("row_idx", "line"))
-
-
-def _bare(line: Column) -> Column:
-    """A line without what its quotes enclose."""
-    return F.when(F.instr(line, '"') > 0, F.array_join(F.filter(_parts(line), lambda p, i: i % 2 == 0), "")).otherwise(line)
-
-
-def sniff(lines: DataFrame) -> DataFrame:
-    """(file_id, sep): two hash aggregates over all rows."""
-    bare = _bare(F.col("line"))
-    counts = [(F.length(bare) - F.length(F.translate(bare, s, "")) + 1).alias(f"n{i}") for i, s in enumerate(SEPARATORS)]
-    rows = lines.select("file_id", "row_idx", *counts)
-    heads = checked_broadcast(rows.where("row_idx = 0").drop("row_idx").toDF("file_id", *[f"h{i}" for i in range(len(SEPARATORS))]), "csv-heads")
-    fits = rows.join(heads, "file_id").groupBy("file_id").agg(*[
-        F.struct(F.sum(F.when((F.col(f"h{i}") > 1) & (F.col(f"n{i}") == F.col(f"h{i}")), 1).otherwise(0)).alias("rows"),
-                 F.max(f"h{i}").alias("width"), F.lit(-i).alias("turn"), F.lit(s).alias("sep")).alias(f"c{i}")
-        for i, s in enumerate(SEPARATORS)])
-    best = F.greatest(*[F.col(f"c{i}") for i in range(len(SEPARATORS))])
-    return fits.select("file_id", F.when(best["rows"] > 0, best["sep"]).otherwise(",").alias("sep"))
-
-
-def _fields(line: Column, sep: Column) -> Column:
-    """The fields of a line: separators outside quotes become FIELD_END, so
-    one linear split is left."""
-    def clean(x: Column) -> Column:
-        x = F.translate(x, QUOTED_BREAK, "\n")
+    """The same of small files given as ``(path, content BINARY)``."""
+    chars = F.decode("content", "ISO-8859-1")
+    return files.select(F.col("path").alias("file_id"), F.posexplode(F.split(chars, "\r\n|\r|\n")).alias("id", "chars")).select(
+        "file_id", F.lit(0).cast("long").alias("block"), F.col("id").cast("long").alias("id"), F.encode("chars", "ISO-8859-1").alias("raw"))
+
+
+def decoded(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``text`` in place of the bytes, written once."""
+    raw = cut_lineage(lines.withColumn("utf8", F.is_valid_utf8(F.col("raw").cast("string"))), "csv-raw")
+    files = checked_broadcast(raw.groupBy("file_id").agg(F.every("utf8").alias("as_utf8")), "csv-encodings")
+    latin = F.translate(F.decode("raw", "ISO-8859-1"), _LATIN1_HIGH, _CP1252_HIGH)
+    text = F.when(F.col("as_utf8"), F.regexp_replace(F.col("raw").cast("string"), "^﻿", "")).otherwise(F.regexp_replace(latin, "^ï»¿", ""))
+    return raw.join(files, "file_id").select("file_id", "block", "id", text.alias("text"))
+
+
+def sniff(text: DataFrame) -> DataFrame:
+    """(file_id, sep) of decoded lines: one hash aggregate over all of them."""
+    def width(s: str) -> Column:
+        plain = F.length("text") - F.length(F.translate("text", s, ""))
+        quoted = F.regexp_count(F.concat(F.lit(s), F.col("text")), F.lit(_pattern(_CUT, s))) - 1
+        return F.when(F.instr("text", '"') > 0, quoted).otherwise(plain) + 1
+
+    tries = F.array(*[F.struct(F.lit(i).alias("turn"), width(s).cast("long").alias("width")) for i, s in enumerate(SEPARATORS)])
+    filled = text.where(F.trim("text") != "")
+    lines = filled.select("file_id", F.explode(tries).alias("t"))
+    fits = lines.groupBy("file_id", "t").agg(F.count(F.lit(1)).alias("n")).where("t.width > 1")
+    # the first line: one number a file, in a type that hash aggregates keep in place
+    at = F.col("block").cast("decimal(38,0)") * F.expr("9223372036854775808BD") + F.col("id")
+    first = checked_broadcast(filled.groupBy("file_id").agg(F.min(at).alias("at")), "csv-firsts")
+    heads = filled.withColumn("at", at).join(first, ["file_id", "at"]).select("file_id", F.explode(tries).alias("t")).withColumn("head", F.lit(True))
+    score = F.struct(F.when(F.col("head"), F.col("n")).otherwise(0), F.col("n") * (F.col("t.width") - 1), "t.width", -F.col("t.turn"))
+    best = fits.join(heads, ["file_id", "t"], "left").groupBy("file_id").agg(F.max_by("t.turn", score).alias("turn"))
+    seps = F.array(*[F.lit(s) for s in SEPARATORS])
+    return first.select("file_id").join(best, "file_id", "left").select("file_id", F.coalesce(F.get(seps, F.col("turn")), F.lit(",")).alias("sep"))
+
+
+def _before(value: Column, w) -> Column:
+    return value.over(w.rowsBetween(Window.unboundedPreceding, -1))
+
+
+def records(text: DataFrame, seps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file_id, row_idx, sep, record) of decoded lines, and (file_id, block,
+    id) of the line that opens a field the file never closes."""
+    line = Window.partitionBy("file_id", "block").orderBy("id")
+    block = Window.partitionBy("file_id").orderBy("block")  # a row per block of a file
+    quotes = F.instr("text", '"') > 0
+
+    def ends(template: str, otherwise: bool) -> Column:
+        return F.when(quotes, _by_sep(lambda s: F.rlike("text", F.lit(_pattern(template, s))), F.col("sep"))).otherwise(otherwise)
+
+    # out / in: is the end of the line inside quotes, if its start is outside / inside
+    lines = text.join(seps, "file_id").withColumn("out", ends(_STAYS_OPEN, False)).withColumn("in", ends(_STILL_OPEN, True))
+    swaps = F.when(F.col("out") & ~F.col("in"), 1).otherwise(0)
+    odd = lambda c: c % 2 == 1
+    # the state before a line is the last state that does not depend on what
+    # was before it, turned round by every swap since
+    scan = lines.withColumn("turns", F.coalesce(_before(F.sum(swaps), line), F.lit(0)))
+    sure = F.when(F.col("out") == F.col("in"), F.struct("id", (F.col("out") != odd(F.col("turns"))).alias("state")))
+    scan = cut_lineage(scan.withColumn("sure", sure).withColumn("known", _before(F.max("sure"), line)).withColumn("swap", swaps), "csv-scan")
+    blocks = scan.groupBy("file_id", "block").agg(F.max("sure").alias("last"), (F.sum("swap") % 2).alias("swap"))
+    blocks = blocks.withColumn("swaps", F.when(F.col("last").isNull(), F.col("swap")).otherwise(0))
+    blocks = blocks.withColumn("turns", F.coalesce(_before(F.sum("swaps"), block), F.lit(0)))
+    blocks = blocks.withColumn("sure", F.when(F.col("last").isNotNull(), F.struct(
+        "block", (F.col("last.state") != odd(F.col("swap")) ).alias("exit"), "turns")))
+    blocks = blocks.withColumn("known", _before(F.max("sure"), block))
+    entry = F.coalesce(F.col("known.exit") != odd(F.col("turns") - F.col("known.turns")), odd(F.col("turns")))
+    entries = checked_broadcast(blocks.select("file_id", "block", entry.alias("entry")), "csv-entries")
+    state = F.coalesce("known.state", "entry") != odd(F.col("turns"))
+    cut = scan.join(entries, ["file_id", "block"]).withColumn("inside", state).withColumn(
+        "open", F.when(F.col("inside"), F.col("in")).otherwise(F.col("out"))).select("file_id", "block", "id", "sep", "text", "inside", "open")
+    # a file that ends inside quotes: the line that opened them, and all behind it, stand alone
+    last = cut.groupBy("file_id").agg(F.max(F.struct("block", "id", "open")).alias("last"),
+                                      F.max(F.when(~F.col("inside"), F.struct("block", "id"))).alias("head"))
+    never = checked_broadcast(last.where("last.open").select("file_id", "head"), "csv-unclosed")
+    cut = cut.join(never, "file_id", "left")
+    alone = F.coalesce(F.struct("block", "id") >= F.col("head"), F.lit(False))
+    cut = cut.withColumn("inside", F.col("inside") & ~alone).withColumn("open", F.col("open") & ~alone).drop("head")
+    cut = cut.withColumn("row", ~F.col("inside") & (F.col("open") | (F.trim("text") != "")))
+    here = cut.withColumn("n", F.sum(F.col("row").cast("long")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    here = cut_lineage(here, "csv-cut")
+    counts = here.groupBy("file_id", "block").agg(F.max("n").alias("rows"))
+    offsets = checked_broadcast(counts.select("file_id", "block", F.coalesce(_before(F.sum("rows"), block), F.lit(0)).alias("first")), "csv-offsets")
+    numbered = here.join(offsets, ["file_id", "block"]).withColumn("row_idx", F.col("first") + F.col("n") - 1)
+    single = numbered.where("row and not open").select("file_id", "row_idx", "sep", F.col("text").alias("record"))
+    # a line inside quotes has the number of the record it belongs to
+    several = numbered.where("inside or open").groupBy("file_id", "row_idx", "sep").agg(
+        F.sort_array(F.collect_list(F.struct("block", "id", "text"))).alias("parts"))
+    whole = several.select("file_id", "row_idx", "sep", F.array_join("parts.text", "\n").alias("record"))
+    return single.union(whole), never.select("file_id", "head.*")
+
+
+def _fields(record: Column, sep: Column) -> Column:
+    """The fields of a record; empty ones NULL."""
+    def bare(x: Column) -> Column:
+        x = F.when(F.startswith(x, F.lit('"')), F.concat(
+            F.replace(F.regexp_extract(x, _QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_extract(x, _QUOTED, 2))).otherwise(x)
         return F.when(x != "", x)
 
-    def part(p: Column, i: Column, n: Column) -> Column:
-        # an empty part outside quotes, between two quoted ones: an escaped quote
-        return (F.when(i % 2 == 1, p).when((p == "") & (i > 0) & (i < n - 1), F.lit('"'))
-                .otherwise(F.replace(p, sep, F.lit(FIELD_END))))
-
-    parts = _parts(line)
-    joined = F.when(F.instr(line, '"') > 0, F.array_join(F.transform(parts, lambda p, i: part(p, i, F.size(parts))), "")).otherwise(
-        F.replace(line, sep, F.lit(FIELD_END)))
-    return F.transform(F.split(joined, FIELD_END, -1), clean)
+    # every field begins with a delimiter then, so none is an empty match
+    quoted = _by_sep(lambda s: F.regexp_extract_all(F.concat(F.lit(s), record), F.lit(_pattern(_CUT, s)), 1), sep)
+    plain = _by_sep(lambda s: F.split(record, r"\|" if s == "|" else s, -1), sep)
+    return F.when(F.instr(record, '"') > 0, F.transform(quoted, bare)).otherwise(F.transform(plain, lambda x: F.when(x != "", x)))
 
 
 def read_csv_grid(spark: SparkSession, paths) -> DataFrame:
     """Grid rows ``(file_id, sheet_pos, sheet, row_idx, cells)`` of CSV files;
     ``sheet`` is 'CSV' (a CSV file is a one-sheet workbook)."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return csv_grid(files)
-
-
-def csv_grid(files: DataFrame, lines: DataFrame | None = None, seps: DataFrame | None = None) -> DataFrame:
-    """Same, from any ``(path, content BINARY)`` DataFrame; ``lines`` and
-    ``seps``: those of the files, where a caller has them already."""
-    if lines is None:
-        lines = cut_lineage(lines_of(files), "csv-lines")
-    j = lines.join(checked_broadcast(sniff(lines), "csv-separators") if seps is None else seps, "file_id")
-    return j.select("file_id", F.lit(0).alias("sheet_pos"), F.lit("CSV").alias("sheet"),
-                    F.col("row_idx").cast("bigint").alias("row_idx"), _fields(F.col("line"), F.col("sep")).alias("cells"))
+    return csv_grid(read_lines(spark, paths)).where("sheet_pos >= 0")
+
+
+def csv_grid(lines: DataFrame, seps: DataFrame | None = None) -> DataFrame:
+    """Grid and marker rows of physical lines (``read_lines``, ``lines_of``);
+    ``seps``: the delimiters, where a caller has decoded lines and knows them."""
+    text = decoded(lines) if seps is None else lines
+    seps = checked_broadcast(sniff(text), "csv-separators") if seps is None else seps
+    rows, never = records(text, seps)
+    grid = rows.select("file_id", F.lit(0).alias("sheet_pos"), F.lit("CSV").alias("sheet"),
+                       F.col("row_idx").cast("bigint").alias("row_idx"), _fields(F.col("record"), F.col("sep")).alias("cells"))
+    notes = never.select("file_id", F.lit(NOTED).alias("sheet_pos"), F.lit("").alias("sheet"), F.lit(-1).cast("bigint").alias("row_idx"),
+                         F.array(F.lit("a quoted field is never closed; from its line on every line is a row")).alias("cells"))
+    return grid.union(notes)

@@ -187,30 +187,32 @@ CSV_BLOCK = 1000
 CSV_HEADER = ["Date", "REFERENCE", "Qté", "STOCK", "LOCALISATION"]
 
 
-def csv_ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(path, content BINARY)`` rows, as the ``binaryFile`` source gives them."""
+def csv_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
+    """Write the ledger as CSV files into the shared folder ``out_dir``, the
+    file of a name in the folder ``path=<name>``.  Parts carry inch marks, and
+    quoted texts with delimiters, doubled quotes and line breaks."""
     from ledgerlens.sources.csv_grid import SEPARATORS
     li = read_table(spark, sf_dir, "lineitem")
     block = (F.col("l_orderkey") / CSV_BLOCK).cast("long")
-    k = (block % len(SEPARATORS)).cast("int")
-    sep = F.element_at(F.array(*[F.lit(s) for s in SEPARATORS]), k + 1)
+    sep = F.element_at(F.array(*[F.lit(s) for s in SEPARATORS]), (F.col("block") % len(SEPARATORS)).cast("int") + 1)
     qty = F.col("l_quantity").cast("decimal(18,2)").cast("string")
-    qty = F.when(sep == ";", F.regexp_replace(qty, r"\.", ",")).otherwise(qty)
+    qty = F.when(F.col("sep") == ";", F.regexp_replace(qty, r"\.", ",")).otherwise(qty)
     ref = F.col("l_orderkey").cast("string")
-    ref = F.when(sep == ",", F.concat(F.lit('"'), ref, F.lit('"'))).otherwise(ref)
-    line = F.concat_ws("", F.date_format(F.col("l_shipdate").cast("date"), "d/M/yyyy"), sep, ref, sep,
-                       F.lit("part"), sep, qty, sep, F.col("l_returnflag"))
-    path = F.concat(F.lit("csv_"), F.col("l_returnflag"), F.col("l_linestatus"), F.lit("_"), block.cast("string"))
-    per_file = (li.select(path.alias("path"), sep.alias("sep"), F.struct("l_orderkey", "l_linenumber", line.alias("l"))
-                          .alias("x"))
-                .groupBy("path", "sep")
-                .agg(F.sort_array(F.collect_list("x")).alias("xs")))
-    header = F.expr("array_join(array(" + ", ".join(f"'{h}'" for h in CSV_HEADER) + "), sep)")
-    text = F.concat(header, F.lit("\n"), F.array_join(F.col("xs.l"), "\n"), F.lit("\n"))
-    latin = (F.substring_index(F.col("path"), "_", -1).cast("long") % 3) == 0
-    content = F.when(latin, F.encode(text, "ISO-8859-1")).otherwise(
-        F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
-    return per_file.select("path", content.alias("content"))
+    ref = F.when(F.col("sep") == ",", F.concat(F.lit('"'), ref, F.lit('"'))).otherwise(ref)
+    n = F.col("l_linenumber")
+    part = (F.when(n == 3, 'PIPE 5" STEEL').when(n == 5, F.concat(F.lit('"5"" pipe'), "sep", F.lit('steel\n\ncut"'))).otherwise("part"))
+    path = F.concat(F.lit("csv_"), F.col("l_returnflag"), F.col("l_linestatus"), F.lit("_"), F.col("block").cast("string"))
+    lines = li.withColumn("block", block).withColumn("sep", sep).select(
+        path.alias("path"), "block", "sep", F.col("l_orderkey").alias("at"), F.col("l_linenumber").cast("int").alias("n"),
+        F.concat_ws("", F.date_format(F.col("l_shipdate").cast("date"), "d/M/yyyy"), "sep", ref, "sep", part, "sep", qty, "sep", "l_returnflag").alias("line"))
+    latin = F.col("block") % 3 == 0
+    head = F.expr("array_join(array(" + ", ".join(f"'{h}'" for h in CSV_HEADER) + "), sep)")
+    heads = lines.select("path", "block", "sep").distinct().select(
+        "path", "block", "sep", F.lit(-1).cast("long").alias("at"), F.lit(0).alias("n"),
+        F.when(latin, head).otherwise(F.concat(F.lit("\ufeff"), head)).alias("line"))
+    both = lines.unionByName(heads).withColumn("line", F.when(latin, F.encode("line", "ISO-8859-1").cast("string")).otherwise(F.col("line")))
+    (both.repartition("path").sortWithinPartitions("path", "at", "n").select("path", "line")
+     .write.mode("overwrite").partitionBy("path").text(out_dir))
 
 
 def xlsx_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> DataFrame:

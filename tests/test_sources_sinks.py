@@ -54,6 +54,35 @@ def test_csv_partitions_round_trip_special_names(spark):
     sinks.write_csv(df, path)
     back = sinks.read_csv_results(spark, path)
     assert sorted(r.atelier for r in back.collect()) == sorted(["+croute", " pet ", "(ouate", "فيبر"])
+    assert back.columns[0] == "Ref"
+    files = [os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.startswith("part-")]
+    assert files and all(open(f, "rb").read().startswith(b"\xef\xbb\xbfRef,Difference") for f in files)
+
+
+def test_csv_export_quotes_for_spreadsheets(spark):
+    import csv
+    df = spark.createDataFrame([("U", "A", "match", 'PIPE 5" STEEL, "cut"', "مرجع\nx")], "unit string, atelier string, status string, Ref string, note string")
+    path = sinks.fresh_output(spark, "t-csv")
+    sinks.write_csv(df, path)
+    file = next(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.startswith("part-"))
+    assert list(csv.reader(open(file, encoding="utf-8-sig", newline=""))) == [["Ref", "note"], ['PIPE 5" STEEL, "cut"', "مرجع\nx"]]
+
+
+def test_a_truncated_workbook_delivers_an_error_and_no_rows(spark):
+    from ledgerlens.session import cut_lineage
+    from ledgerlens.sources.grid_reader import read_files, readable, unreadable
+    d = tmpdir()
+    whole = sinks.workbook_bytes([("A", [["Date", "REF"]]), ("S", [["Date", "REF", "STOCK"]] + [[f"d{i}", f"r{i}", i] for i in range(9000)])])
+    with zipfile.ZipFile(os.path.join(d, "half.xlsx"), "w") as z, zipfile.ZipFile(__import__("io").BytesIO(whole)) as w:
+        for n in w.namelist():  # the second sheet breaks off in its rows
+            z.writestr(n, w.read(n)[:-2000] if n.endswith("sheet2.xml") else w.read(n))
+    with open(os.path.join(d, "whole.xlsx"), "wb") as fh:
+        fh.write(whole)
+    with open(os.path.join(d, "cut.xlsx"), "wb") as fh:
+        fh.write(whole[:len(whole) // 2])
+    got = cut_lineage(read_files(spark, d + "/*"), "t-files")
+    assert sorted(os.path.basename(r.file_id) for r in unreadable(got).collect()) == ["cut.xlsx", "half.xlsx"]
+    assert {(os.path.basename(r.file_id), r["count"]) for r in readable(got).groupBy("file_id").count().collect()} == {("whole.xlsx", 9002)}
 
 
 def test_report_and_xlsx_writers(spark):
@@ -101,10 +130,10 @@ def test_assign_snapshots_by_period_and_fallback(spark):
 
 
 def test_csv_delimiter_counts_rows_outside_quotes(spark):
-    from ledgerlens.sources.csv_grid import csv_grid
+    from ledgerlens.sources.csv_grid import csv_grid, lines_of
     files = [("a.csv", b"Date;REF;QTE\n1,5;2,5;3,5\n2;x;4\n"),
              ("b.csv", b'Date;REF;QTE\r\n"a, b, c, d";"x ""q""";3\r\n\r\n"l1\nl2";;5\r\n')]
-    got = {(r.file_id, r.row_idx): r.cells for r in csv_grid(spark.createDataFrame(files, "path string, content binary")).collect()}
+    got = {(r.file_id, r.row_idx): r.cells for r in csv_grid(lines_of(spark.createDataFrame(files, "path string, content binary"))).collect()}
     assert got[("a.csv", 1)] == ["1,5", "2,5", "3,5"]                  # decimal commas are no separators
     assert got[("b.csv", 1)] == ["a, b, c, d", 'x "q"', "3"]           # nor are those inside quotes
     assert got[("b.csv", 2)] == ["l1\nl2", None, "5"]                  # a line break inside quotes is text
@@ -130,3 +159,96 @@ def test_scratch_is_removed(spark):
     remove_scratch(spark)
     assert not os.path.exists(path.removeprefix("file:"))
     spark.sparkContext.__dict__["_ledgerlens_scratch"] = kept
+
+
+def plain_csv(data: bytes):
+    """Rows of a CSV file by the standard library; an unclosed quote as the
+    reader defines it."""
+    import csv
+    import io
+    try:
+        text = data.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text = data.decode("cp1252", errors="replace")
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+
+    def cut(t):
+        return [[x or None for x in r] for r in csv.reader(io.StringIO(t, newline=""), delimiter=";") if r and (len(r) != 1 or r[0].strip(" "))]
+
+    lines = text.split("\n")
+    open_at, at = None, 0
+    while at < len(lines):
+        end = at + 1
+        while end <= len(lines) and _open("\n".join(lines[at:end])):
+            end += 1
+        if end > len(lines):
+            open_at = at
+            break
+        at = end
+    if open_at is None:
+        return cut(text)
+    out = cut("\n".join(lines[:open_at])) if open_at else []
+    for x in lines[open_at:]:
+        out += cut(x)
+    return out
+
+
+def _open(text: str) -> bool:
+    """Whether a text ends inside a quoted field."""
+    state = "start"
+    for c in text:
+        if state == "quoted":
+            state = "closing" if c == '"' else "quoted"
+        elif c == '"' and state in ("start", "closing"):
+            state = "quoted"
+        elif c in ";\n":
+            state = "start"
+        else:
+            state = "plain"
+    return state == "quoted"
+
+
+def test_csv_of_many_blocks_equals_the_standard_library(spark):
+    """Quotes inside fields, breaks inside quotes, blank lines and unclosed
+    quotes, in blocks of a few bytes and in one block."""
+    import random
+
+    from ledgerlens.session import cut_lineage
+    from ledgerlens.sources.csv_grid import NOTED, csv_grid, read_lines
+    rnd = random.Random(9)
+    fields = ["", "x", 'PIPE 5" STEEL', '"a;b"', '"l1\nl2"', '"say ""hi"""', '"q"tail', '""', '"\n\n"', "é", ' "no"', '"a\r\nb;c"', '"""\n"""', "12,5"]
+    d, want = tmpdir(), {}
+    for i in range(14):
+        rows = [";".join(rnd.choice(fields) for _ in range(4)) for _ in range(rnd.randrange(1, 60))]
+        text = "a;b;c;d\n" + "".join(r + rnd.choice(["\n", "\r\n", "\n\n", "\n  \n"]) for r in rows)
+        if i % 4 == 3:
+            text += 'x;"never closed;z\nb;"c";5" d\n1;2;"3\n'
+        data = text.encode("cp1252" if i % 3 == 1 else "utf-8-sig" if i % 3 else "utf-8")
+        name = f"f +{i}%20.csv"
+        with open(os.path.join(d, name), "wb") as fh:
+            fh.write(data)
+        want[name] = plain_csv(data)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for block in ("64", "300", size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        try:
+            lines = cut_lineage(read_lines(spark, d + "/*"), "t-lines")
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert (lines.select("file_id", "block").distinct().count() > 14) == (block != size)
+        got = csv_grid(lines).collect()
+        rows = {}
+        for r in got:
+            if r.sheet_pos >= 0:
+                rows.setdefault(os.path.basename(r.file_id), []).append((r.row_idx, r.cells))
+        assert {f: [c for _, c in sorted(x)] for f, x in rows.items()} == want
+        assert all(sorted(i for i, _ in x) == list(range(len(x))) for x in rows.values())
+        assert {os.path.basename(r.file_id) for r in got if r.sheet_pos == NOTED} == {f"f +{i}%20.csv" for i in (3, 7, 11)}
+
+
+def test_inch_marks_keep_their_rows(spark):
+    d = tmpdir()
+    with open(os.path.join(d, "a.csv"), "wb") as fh:
+        fh.write(b'Date;REF;QTE\n1/2/2025;A;1\n2/2/2025;PIPE 5" STEEL;2\n3/2/2025;B;3\n4/2/2025;C;4\n')
+    rows = read_csv_grid(spark, d + "/*.csv").orderBy("row_idx").collect()
+    assert [r.cells[1] for r in rows] == ["REF", "A", 'PIPE 5" STEEL', "B", "C"]
