@@ -1,8 +1,9 @@
 """Per-file date handling: US / EU / ISO detection and Excel serial gating.
 
 Both decisions are per (file, sheet) column and are computed with
-hash aggregates over all values, then joined back to the lines (one row per
-file, broadcast when its measured size allows).
+hash aggregates over all values (the order over the distinct texts with their
+counts), then joined back to the lines (one row per file, broadcast when its
+measured size allows).
 """
 
 from __future__ import annotations
@@ -15,22 +16,33 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.dates import (SERIAL_MEDIAN_HIGH, SERIAL_MEDIAN_LOW, excel_serial_to_date,
                                         parse_by_order, parse_dayfirst)
 from ledgerlens.functions.text import strip_text
-from ledgerlens.session import checked_broadcast
+from ledgerlens.session import checked_broadcast, cut_lineage
 
 # day/month/year and ISO shapes used for the order signals.
 MD_RE = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})"
 ISO_RE = r"^\d{4}[/-]\d{1,2}[/-]\d{1,2}"
 
 
+def dictionary(df: DataFrame, group: Sequence[str], value_col: str) -> DataFrame:
+    """(group..., value, _n): the distinct texts of every column with their
+    counts, counted map-side first and written once.  A ledger repeats a few
+    thousand days over any number of lines, so what follows (strip, patterns,
+    casts) runs once per text instead of once per line."""
+    return cut_lineage(df.where(F.col(value_col).isNotNull()).groupBy(*group, value_col).agg(F.count(F.lit(1)).alias("_n")), "dates")
+
+
 def detect_date_order(df: DataFrame, group: Sequence[str], value_col: str) -> DataFrame:
     """(group..., date_order, n_us, n_eu, n_iso, n_values) per column.
 
-    All non-null values vote, stripped, blanks not counted: one hash
-    aggregate, no sort and no window.  Clear day>12 / month>12 signals
-    decide; ties fall to 'eu' unless at least half the values are ISO.
+    All non-null values vote, stripped, blanks not counted.  Clear day>12 /
+    month>12 signals decide; ties fall to 'eu' unless at least half the values
+    are ISO.
     """
-    sample = (df.where(F.col(value_col).isNotNull())
-              .select(*group, strip_text(F.col(value_col).cast("string")).alias("_v")))
+    return _vote(dictionary(df, group, value_col), group, value_col)
+
+
+def _vote(texts: DataFrame, group: Sequence[str], value_col: str) -> DataFrame:
+    sample = texts.select(*group, "_n", strip_text(F.col(value_col).cast("string")).alias("_v"))
     v = F.col("_v")
     filled = v != ""
     iso = filled & v.rlike(ISO_RE)
@@ -39,11 +51,10 @@ def detect_date_order(df: DataFrame, group: Sequence[str], value_col: str) -> Da
     b = F.regexp_extract(v, MD_RE, 2).try_cast("int")
     # blank values stay in the rows so that a column of blanks still
     # yields a row ('unknown'); they are not counted
+    times = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0))
     counts = sample.groupBy(*group).agg(
-        F.sum(F.when(filled, 1).otherwise(0)).alias("n_values"),
-        F.sum(F.when(iso, 1).otherwise(0)).alias("n_iso"),
-        F.sum(F.when(md & (a > 12) & (b <= 12), 1).otherwise(0)).alias("n_eu"),
-        F.sum(F.when(md & (b > 12) & (a <= 12), 1).otherwise(0)).alias("n_us"))
+        times(filled).alias("n_values"), times(iso).alias("n_iso"), times(md & (a > 12) & (b <= 12)).alias("n_eu"),
+        times(md & (b > 12) & (a <= 12)).alias("n_us"))
     us, eu, iso_n, n = F.col("n_us"), F.col("n_eu"), F.col("n_iso"), F.col("n_values")
     fmt = (F.when(n == 0, "unknown")
            .when((us > eu) & (us > 0), "us")
@@ -53,12 +64,21 @@ def detect_date_order(df: DataFrame, group: Sequence[str], value_col: str) -> Da
     return counts.select(*group, fmt.alias("date_order"), "n_us", "n_eu", "n_iso", "n_values")
 
 
+#: Texts up to which parsed dates are joined back; beyond it (columns with
+#: times of day, say) every line is parsed where it stands.
+DICTIONARY_ROWS = 100_000
+
+
 def parse_dates_auto(df: DataFrame, group: Sequence[str], value_col: str,
                      out: str = "mov_date") -> DataFrame:
     """Parse each column by its detected order."""
-    det = checked_broadcast(detect_date_order(df, group, value_col).select(*group, "date_order"))
+    texts = dictionary(df, group, value_col)
+    det = checked_broadcast(_vote(texts, group, value_col).select(*group, "date_order"))
     j = df.join(det, list(group), "left").fillna("unknown", ["date_order"])
-    return j.withColumn(out, parse_by_order(F.col(value_col), F.col("date_order")))
+    if texts.count() > DICTIONARY_ROWS:
+        return j.withColumn(out, parse_by_order(F.col(value_col), F.col("date_order")))
+    dates = texts.join(det, list(group)).select(*group, value_col, parse_by_order(F.col(value_col), F.col("date_order")).alias(out))
+    return j.join(checked_broadcast(dates), [*group, value_col], "left").select(*j.columns, out)
 
 
 def serial_date_columns(df: DataFrame, group: Sequence[str], value_col: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A grid is ``(file_id, sheet, row_idx, cells ARRAY<STRING>)`` with NULL for
 empty cells.  Every rule is a per-sheet aggregate (``min`` of the qualifying
-row index, or the ``max`` of a packed (count, row) for the densest row): partial aggregation runs
-map-side, so no sheet is gathered into one task.  The result has one row per
+row index, searched in rounds from the top of the sheets, or the ``max`` of a
+packed (count, row) for the densest row): partial aggregation runs map-side,
+so no sheet is gathered into one task.  The result has one row per
 sheet: ``(keys..., header_idx, found)``; without a qualifying row the first
 row of the sheet is the header, as a headerless read would take it.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import normalize_label, strip_text
-from ledgerlens.session import checked_broadcast
+from ledgerlens.session import checked_broadcast, cut_lineage
 
 KEYS = ("file_id", "sheet")
 
@@ -40,40 +41,56 @@ def _scan(grid: DataFrame, max_rows: int | None) -> DataFrame:
     return grid.where(F.col("row_idx") < max_rows) if max_rows is not None else grid
 
 
-def _rule(grid: DataFrame, max_rows: int | None, keys: Sequence[str], *preds: Column) -> DataFrame:
-    """``_first`` over the whole sheet, or over its first ``max_rows`` rows
-    where a caller asks for such a limit (none does by default)."""
-    return _first(_scan(grid, max_rows), keys, *preds, whole=grid if max_rows is None else None)
-
+#: Rows of the first stretch of a header search, and how much longer every
+#: next one is.
+STRETCH, LONGER = 128, 64
 
-def _first(grid: DataFrame, keys: Sequence[str], *preds: Column, whole: DataFrame | None = None) -> DataFrame:
-    """First row satisfying the predicates in priority order, else the
-    sheet's first row.
 
-    Over a capped scan the header cells come out of the same aggregate
-    (``min_by`` skips rows whose ordering value is NULL; its array buffer
-    makes it a sort aggregate, but only over the first rows of each sheet).
-    Over a whole sheet (``whole`` given) only row indices are aggregated - a
-    hash aggregate, no sort of the sheet - and the cells are fetched by one
-    join back to ``whole``."""
+def _rule(grid: DataFrame, max_rows: int | None, keys: Sequence[str], *preds: Column) -> DataFrame:
+    """First row satisfying the predicates in priority order, else the sheet's
+    first row, with its cells.  ``max_rows``: only the first rows count, where
+    a caller asks for such a limit (none does by default)."""
+    return _picked(_hits(_scan(grid, max_rows), keys, preds), keys, len(preds)) if max_rows is not None else _search(grid, keys, preds)
+
+
+def _search(grid: DataFrame, keys: Sequence[str], preds: Sequence[Column]) -> DataFrame:
+    """The rule over whole sheets, in rounds that stop early and stay exact:
+    a round reads the next stretch of rows, ``LONGER`` times the one before,
+    of only those sheets that have no row of the first predicate yet and are
+    not at their end.  Every row is tested once at most; a grid written in row
+    order is read up to the headers and no further.  What is known per sheet
+    is one row, joined by its checked size."""
+    idx = F.col("row_idx")
+    spans = checked_broadcast(grid.groupBy(*keys).agg(F.max(idx).alias("_end")), "sheet-spans")
+    pending, found, at, size = spans, None, 0, STRETCH
+    while True:
+        stretch = grid.where(idx < at + size)
+        if found is not None:
+            stretch = stretch.where(idx >= at).join(pending.select(*keys), list(keys), "left_semi")
+        hits = cut_lineage(_hits(stretch, keys, preds), "header-hits")
+        found = hits if found is None else found.union(hits)
+        at, size = at + size, size * LONGER
+        pending = pending.where(F.col("_end") >= at).join(hits.where("_h0 is not null").select(*keys), list(keys), "left_anti")
+        if pending.isEmpty():
+            break
+    n = len(preds)
+    parts = [x for i in [*range(n), "f"] for x in (F.min_by(f"_c{i}", f"_h{i}").alias(f"_c{i}"), F.min(f"_h{i}").alias(f"_h{i}"))]
+    return _picked(found.groupBy(*keys).agg(*parts), keys, n)
+
+
+def _hits(grid: DataFrame, keys: Sequence[str], preds: Sequence[Column]) -> DataFrame:
+    """Per sheet: first row and its cells of every predicate, and of all rows."""
     idx, cells = F.col("row_idx"), F.col("cells")
-    with_cells = whole is None
     aggs = []
-    for i, p in enumerate(preds):
-        aggs.append(F.min(F.when(p, idx)).alias(f"_h{i}"))
-        if with_cells:
-            aggs.append(F.min_by(cells, F.when(p, idx)).alias(f"_c{i}"))
-    aggs.append(F.min(idx).alias("_first"))
-    if with_cells:
-        aggs.append(F.min_by(cells, idx).alias("_fc"))
-    out = grid.groupBy(*keys).agg(*aggs)
-    hit = F.coalesce(*[F.col(f"_h{i}") for i in range(len(preds))])
-    picked = [*keys, F.coalesce(hit, F.col("_first")).alias("header_idx"), hit.isNotNull().alias("found")]
-    if not with_cells:
-        return _fetch_cells(whole, out.select(*picked), keys)
-    hdr = F.coalesce(*[F.when(F.col(f"_h{i}").isNotNull(), F.col(f"_c{i}")) for i in range(len(preds))],
-                     F.col("_fc"))
-    return out.select(*picked, hdr.alias("header"))
+    for i, p in [*enumerate(preds), ("f", F.lit(True))]:
+        aggs += [F.min(F.when(p, idx)).alias(f"_h{i}"), F.min_by(cells, F.when(p, idx)).alias(f"_c{i}")]
+    return grid.groupBy(*keys).agg(*aggs)
+
+
+def _picked(hits: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    hit = F.coalesce(*[F.col(f"_h{i}") for i in range(n)])
+    cells = F.coalesce(*[F.when(F.col(f"_h{i}").isNotNull(), F.col(f"_c{i}")) for i in range(n)], F.col("_cf"))
+    return hits.select(*keys, F.coalesce(hit, F.col("_hf")).alias("header_idx"), hit.isNotNull().alias("found"), cells.alias("header"))
 
 
 def _fetch_cells(grid: DataFrame, picked: DataFrame, keys: Sequence[str]) -> DataFrame:

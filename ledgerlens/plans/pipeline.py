@@ -14,6 +14,7 @@ The Python-side loop is over *units* (nine rule sets), never over data.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -388,8 +389,8 @@ def run_units(stock_grid: DataFrame, mov_grid: DataFrame, jobs: DataFrame, rules
     stock_grid, opening_grid = [
         g if g is None else stage_by(g, "unit", "grid-stock") if "unit" in g.columns else stage(g, "grid-stock")
         for g in (stock_grid, opening_grid)]
-    recons, diags = [], []
-    for r in rules:
+
+    def of_unit(r: UnitRules) -> tuple[DataFrame, DataFrame]:
         mov, diag, ok_jobs = movement_lines(mov_grid.where(F.col("unit") == r.unit).drop("unit"), jobs, r, year, month)
         lines, stock_diag, bad = snapshot_lines(stock_grid, jobs, r)
         diag = diag.unionByName(stock_diag)
@@ -399,20 +400,19 @@ def run_units(stock_grid: DataFrame, mov_grid: DataFrame, jobs: DataFrame, rules
         ok_jobs = ok_jobs.join(F.broadcast(bad), bad.columns, "left_anti")
         mov = mov.join(F.broadcast(ok_jobs), JOB_KEYS, "left_semi")
         stock = stock.join(F.broadcast(ok_jobs), JOB_KEYS, "left_semi")
-        tol = r.tolerance if r.match == "tolerance" else None
         if r.period == "exact_month" and opening_grid is not None:
             lines, opening_diag, _ = snapshot_lines(opening_grid, jobs, r)
             diag = diag.unionByName(opening_diag)
             opening, _ = apply_locations(lines, mov, jobs, r)
             opening = opening.join(F.broadcast(ok_jobs), JOB_KEYS, "left_semi")
-            out = rollforward(stock, mov, opening, keys=tuple(JOB_KEYS), mov_round=r.mov_round,
-                              tolerance=r.tolerance)
-        else:
-            out = R.reconcile(stock, mov, JOB_KEYS, tolerance=tol)
-        recons.append(out)
-        diags.append(diag)
-    recon, diag = recons[0], diags[0]
-    for x, d in zip(recons[1:], diags[1:]):
+            return rollforward(stock, mov, opening, keys=tuple(JOB_KEYS), mov_round=r.mov_round, tolerance=r.tolerance), diag
+        return R.reconcile(stock, mov, JOB_KEYS, tolerance=r.tolerance if r.match == "tolerance" else None), diag
+
+    # units share no table: their small per-sheet jobs run side by side
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        done = list(pool.map(of_unit, rules))
+    recon, diag = done[0]
+    for x, d in done[1:]:
         recon, diag = recon.unionByName(x), diag.unionByName(d)
     return recon, diag
 

@@ -78,3 +78,16 @@ def test_word_matching_and_unmatched(spark):
     assert got == {"bourdi conftection ": "MOV conftection bourdi 2025.xlsx"}
     um = {(r["kind"], r["name"]) for r in M.unmatched(files, ateliers, M.assign(files, ateliers)).collect()}
     assert ("file", "notes.xlsx") in um and ("atelier", "bloc") in um
+
+
+def test_dates_through_a_dictionary_equal_dates_by_line(spark, monkeypatch):
+    from ledgerlens.operators import dates as D
+    rows = [(f"f{i % 3}", i, v) for i, v in enumerate(
+        ["13/02/2024", "02/13/2024", "2024-02-13", " 1/2/2024", "", None, "30/02/2024", "x", "5/6/2024 10:00"] * 9)] + [("g", 0, None)]
+    df = spark.createDataFrame(rows, "file_id string, n int, v string")
+
+    def run():
+        return sorted(map(repr, D.parse_dates_auto(df, ["file_id"], "v").select("file_id", "n", "date_order", "mov_date").collect()))
+    one = run()
+    monkeypatch.setattr(D, "DICTIONARY_ROWS", 1)
+    assert one == run() and len(one) == len(rows)

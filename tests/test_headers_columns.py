@@ -67,3 +67,21 @@ def test_resolvers(spark):
     assert r["custom"] == 2
     assert r["sentinel"] == 9 and r["override"] == 4
     assert r["date_fb"] == 0
+
+
+def test_header_far_down_and_none_at_all(spark):
+    """The search goes on by stretches, per sheet, until the header or the end."""
+    import pyspark.sql.functions as F
+
+    from ledgerlens.operators import headers as H
+    body = spark.range(100_500).select(F.lit("f.xlsx").alias("file_id"), F.lit(0).alias("sheet_pos"), F.explode(F.array(
+        *[F.lit(s) for s in ("early", "late", "none")])).alias("sheet"), F.col("id").alias("row_idx"))
+    mark = F.when((F.col("sheet") == "early") & (F.col("row_idx") == 3) | (F.col("sheet") == "late") & (F.col("row_idx") == 100_000), "Date").otherwise("x")
+    ref = F.when((F.col("sheet") == "none") & (F.col("row_idx") == 9_000) | (F.col("sheet") == "late") & (F.col("row_idx") == 5), "REF")
+    grid = body.select("*", F.array(mark, ref).alias("cells")).where("sheet <> 'none' or row_idx >= 200")
+    got = {r.sheet: (r.header_idx, r.found, r.header) for r in H.header_by_alias(grid, ["Date"]).collect()}
+    assert got == {"early": (3, True, ["Date", None]), "late": (100_000, True, ["Date", None]), "none": (200, False, ["x", None])}
+    # a row of the first tier wins however far below one of the second
+    got = {r.sheet: (r.header_idx, r.found) for r in H.header_tiered(grid, ["Date"], ["REF"], ["QTY"]).collect()}
+    assert got == {"early": (3, True), "late": (100_000, True), "none": (9_000, True)}
+    assert H.header_by_alias(grid.limit(0), ["Date"]).collect() == []
