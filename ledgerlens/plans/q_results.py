@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.numbers import QTY
 from ledgerlens.operators import reconcile as R
 from ledgerlens.operators.cutoff import cumulative_cutoff, exact_month
-from ledgerlens.operators.edits import apply_deletes as deletes_op, apply_renames
+from ledgerlens.operators.edits import apply_deletes as deletes_op, apply_log, apply_renames
 from ledgerlens.operators.ordering import discrepancy_order_abs
 from ledgerlens.operators.report import report_lines as lines_op, report_select as select_op, summary as summary_op
 from ledgerlens.operators.rollforward import rollforward as rollforward_op
@@ -208,3 +208,56 @@ def edit_first_ref(spark, sf_dir):
         F.col("o_orderkey").cast("string").alias("old_ref"),
         F.concat(F.col("o_orderkey").cast("string"), F.lit("-H")).alias("new_ref"))
     return apply_renames(disc, ren, discrepancy_order_abs(["job_idx"]))
+
+
+# The log of the query: edits of orders in blocks of eight, so that the oracle
+# knows without looking for them which refs can meet.
+_LOG_SQL = """o AS (SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_orderkey AS VARCHAR) AS ref, o_orderpriority AS p,
+    (o_orderkey % 3) * 1000000000000 + CAST(o_orderkey AS BIGINT) * 10 AS seq FROM orders),
+log AS (SELECT seq, 'delete' AS action, ref, '' AS new_ref, k // 8 AS g FROM o WHERE p = '1-URGENT'
+  UNION ALL SELECT seq, 'rename', ref, CAST(k + 1 AS VARCHAR), k // 8 FROM o WHERE p = '2-HIGH' AND k % 8 < 7
+  UNION ALL SELECT seq + 1, 'rename', CAST(k + 1 AS VARCHAR), ref || '-H', k // 8 FROM o WHERE p = '2-HIGH' AND k % 8 < 7
+  UNION ALL SELECT seq, 'rename', ref, ' ' || ref || '-M ', k // 8 FROM o WHERE p = '3-MEDIUM'
+  UNION ALL SELECT seq + 1, 'rename', ref, ref || '-N', k // 8 FROM o WHERE p = '3-MEDIUM'
+  UNION ALL SELECT seq + 2, 'rename', ref || '-M', ref, k // 8 FROM o WHERE p = '3-MEDIUM'
+  UNION ALL SELECT seq + 3, 'rename', ref, '  ', k // 8 FROM o WHERE p = '3-MEDIUM'
+  UNION ALL SELECT seq, 'rename', ref, CAST(k - 1 AS VARCHAR), k // 8 FROM o WHERE p = '4-NOT SPECIFIED' AND k % 8 > 0)"""
+
+_EDIT_LOG = cte(mov_lines=S.MOV_LINES,
+                jl="SELECT CASE localisation WHEN 'A' THEN 0 ELSE 1 END AS job_idx, * FROM mov_lines WHERE localisation IN ('A', 'N')",
+                jm="SELECT * FROM jl WHERE mov_date < DATE '1998-07-01'", s=S.side_agg("jl", "Stock_Qty", keys="job_idx"),
+                m=S.side_agg("jm", "Calc_Mov_Qty", keys="job_idx"), recon=S.recon_select(S.full_join("s", "m", ["job_idx"]), "job_idx"))
+
+
+@query("edit_log", _EDIT_LOG.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + _LOG_SQL + """,
+e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY seq) AS n FROM log),
+v AS (SELECT job_idx, Ref, Difference, CAST(Ref AS BIGINT) // 8 AS g,
+        row_number() OVER (ORDER BY abs(Difference) DESC, job_idx, Ref) AS place FROM recon WHERE status = 'discrepancy'),
+st AS (SELECT 0 AS n, job_idx, Difference, g, place, Ref, false AS edited FROM v
+  UNION ALL SELECT n, job_idx, Difference, g, place, CASE WHEN hit THEN trim(new_ref) ELSE Ref END, edited OR hit FROM (
+    SELECT e.n, st.job_idx, st.Difference, st.g, st.place, st.Ref, st.edited, e.action, e.ref AS old_ref, e.new_ref,
+           e.action = 'rename' AND trim(e.new_ref) <> '' AND st.Ref = e.ref
+             AND st.place = min(CASE WHEN st.Ref = e.ref THEN st.place END) OVER (PARTITION BY st.g) AS hit
+    FROM st JOIN e ON e.g = st.g AND e.n = st.n + 1) x WHERE NOT (action = 'delete' AND Ref = old_ref)),
+z AS (SELECT g, max(n) AS n FROM e GROUP BY g)
+SELECT st.job_idx, st.Ref, st.Difference, st.edited FROM st LEFT JOIN z USING (g) WHERE st.n = coalesce(z.n, 0)
+""")
+def edit_log(spark, sf_dir):
+    """Deletes and renames one after the other over the discrepancies
+    of two jobs: second edits of a ref, chains, refs that come back."""
+    from ledgerlens.plans.q_views import _multi_job
+    disc = (_multi_job(spark, sf_dir).where(F.col("status") == R.DISCREPANCY)
+            .select("job_idx", "Ref", "Difference"))
+    o = T.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_orderpriority").alias("p"))
+    name = lambda d=0: (F.col("k") + d).cast("string")
+    add = lambda text: F.concat(name(), F.lit(text))
+    high, medium = (F.col("p") == "2-HIGH") & (F.col("k") % 8 < 7), F.col("p") == "3-MEDIUM"
+    seq = (F.col("k") % 3) * 1000000000000 + F.col("k") * 10
+    steps = [(F.col("p") == "1-URGENT", 0, "delete", name(), F.lit("")), (high, 0, "rename", name(), name(1)), (high, 1, "rename", name(1), add("-H")),
+             (medium, 0, "rename", name(), F.concat(F.lit(" "), name(), F.lit("-M "))), (medium, 1, "rename", name(), add("-N")),
+             (medium, 2, "rename", add("-M"), name()), (medium, 3, "rename", name(), F.lit("  ")),
+             ((F.col("p") == "4-NOT SPECIFIED") & (F.col("k") % 8 > 0), 0, "rename", name(), name(-1))]
+    made = F.array_compact(F.array(*[F.when(when, F.struct((seq + i).alias("seq"), F.lit(action).alias("action"), old.alias("ref"), new.alias("new_ref")))
+                                     for when, i, action, old, new in steps]))
+    log = o.select(F.explode(made).alias("e")).select("e.*")
+    return apply_log(disc, log, discrepancy_order_abs(["job_idx"]))[0]
