@@ -118,6 +118,11 @@ def header_by_alias(grid: DataFrame, aliases: Sequence[str], keys: Sequence[str]
     return _rule(grid, max_rows, keys, pred)
 
 
+def header_by_names(grid: DataFrame, names_col: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``header_by_alias`` with the names taken from a column of the rows."""
+    return _rule(grid, None, keys, F.coalesce(F.arrays_overlap(present_values(), F.col(names_col)), F.lit(False)))
+
+
 def normalize_label_py(value: str) -> str:
     """Python twin of ``functions.text.normalize_label`` for config values."""
     return " ".join(str(value).split()).strip().lower()

@@ -62,3 +62,19 @@ def discrepancy_order_signed() -> list[Column]:
 def discrepancy_order_abs(extra: Sequence[str] = ("job_idx",)) -> list[Column]:
     """|Difference| descending, then job and Ref."""
     return [F.abs(F.col("Difference")).desc(), *[F.col(c).asc() for c in extra], F.col("Ref").asc()]
+
+
+def positioned(recon: DataFrame, orders: dict[str, str], keys: Sequence[str] = ("unit", "atelier", "status")) -> DataFrame:
+    """``recon`` with ``position``, the place of a row in its list (per unit,
+    atelier and status) as the unit's rule orders it, in one distributed rank
+    for all units: ``orders`` gives 'abs' (|Difference| descending over all
+    jobs) or 'signed' (job by job, Difference descending) by unit; matches
+    stand job by job by Ref.  Ties stand by job and Ref."""
+    by_abs = [u for u, o in orders.items() if o == "abs"]
+    job = F.col("job_idx") if "job_idx" in recon.columns else F.lit(0)
+    match, absolute = F.col("status") == "match", F.col("unit").isin(by_abs) if by_abs else F.lit(False)
+    first = F.when(~match & absolute, F.lit(None).cast("int")).otherwise(job)
+    size = F.when(match, F.lit(0.0)).when(absolute, F.abs("Difference")).otherwise(F.col("Difference"))
+    ranked = recon.withColumn("_first", first).withColumn("_size", size).withColumn("_job", job)
+    order = [F.col("_first").asc(), F.col("_size").desc(), F.col("_job").asc(), F.col("Ref").asc()]
+    return rank_within(ranked, list(keys), order, "position").drop("_first", "_size", "_job")

@@ -63,9 +63,12 @@ def report_lines(selected: DataFrame, keys: Sequence[str] = ("unit", "atelier"))
 
 def report_heading(units: DataFrame, year: int, month: int, run_date: str,
                    title: str = "Stock control report", labels: DataFrame | None = None,
-                   lang: str = "en") -> DataFrame:
+                   lang: str = "en", intro: str | None = None) -> DataFrame:
     """Heading lines per unit (negative line numbers sort before the tables).
 
+    ``intro``: a sentence between two rules above the tables; ``{month}`` and
+    ``{year}`` in it stand for the name of the month and the year.
+
     ``labels(unit, location)`` maps a unit to its site label; without a label
     the unit code is shown.  The run date is a parameter (no clock is read).
     """
@@ -76,10 +79,10 @@ def report_heading(units: DataFrame, year: int, month: int, run_date: str,
     else:
         u = u.withColumn("location", F.lit(None).cast("string"))
     d = run_date.replace("-", "/")
-    return u.select("unit", F.lit(None).cast("string").alias("atelier"), F.explode(F.array(
-        F.struct(F.lit(-4).cast("long").alias("line_no"), F.lit(f"# {title}").alias("line")),
-        F.struct(F.lit(-3).cast("long").alias("line_no"),
-                 F.concat(F.coalesce("location", "unit"), F.lit(f"    **{d}**")).alias("line")),
-        F.struct(F.lit(-2).cast("long").alias("line_no"), F.lit(f"{names[month - 1]} {year}").alias("line")),
-        F.struct(F.lit(-1).cast("long").alias("line_no"), F.lit("---").alias("line")))).alias("x")
+    month_name = names[month - 1]
+    lines = [F.lit(f"# {title}"), F.concat(F.coalesce("location", "unit"), F.lit(f"    **{d}**")), F.lit(f"{month_name} {year}"), F.lit("---")]
+    if intro is not None:
+        lines += [F.lit(intro.replace("{month}", month_name).replace("{year}", str(year))), F.lit("---")]
+    return u.select("unit", F.lit(None).cast("string").alias("atelier"), F.explode(F.array(*[
+        F.struct(F.lit(i - len(lines)).cast("long").alias("line_no"), x.alias("line")) for i, x in enumerate(lines)])).alias("x")
     ).select("unit", "atelier", "x.line_no", "x.line")

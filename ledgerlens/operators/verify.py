@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import checked_broadcast
+
 
 def unknown_ateliers(requested: DataFrame, known: DataFrame) -> DataFrame:
     """Requested (unit, atelier) without a configuration row -> error rows."""
@@ -15,43 +17,48 @@ def unknown_ateliers(requested: DataFrame, known: DataFrame) -> DataFrame:
                        F.concat(F.lit("Unknown atelier: "), F.col("atelier")).alias("message"))
 
 
-def verification(grid: DataFrame, jobs: DataFrame, date_aliases, ref_aliases, qty_aliases,
-                 scan_rows: int | None = None) -> DataFrame:
-    """Per matched file: expected sheet present, header (date-name cell), ref / qty / date columns detected, error list.
+def verification(grid: DataFrame, jobs: DataFrame, names: DataFrame, broken: DataFrame | None = None) -> DataFrame:
+    """A row per matched file: which sheet was looked at, its columns, the ref,
+    quantity and date columns found, and the errors.
 
-    ``jobs(unit, atelier, file_id, expected_sheets ARRAY<STRING>)``; the
-    sheet list per workbook is small (bounded by the workbook), so it is
-    gathered with ``collect_set``.
+    ``jobs(unit, atelier, file_id, expected_sheets ARRAY<STRING>)``;
+    ``names(unit, date, ref, quantity)``: the header names of the units, in
+    order of preference; ``broken(file_id, message)``: files that could not be
+    read.  The first expected sheet that the workbook has is looked at; if it
+    has none of them that is an error, and its first sheet is looked at.  The
+    header is the first row with a date name, else the first row.  A missing
+    ref or quantity column is an error, a missing date column is not.
     """
-    from ledgerlens.operators import columns as C
     from ledgerlens.operators import headers as H
     from ledgerlens.sources.grids import sheets_of
 
-    sheets = sheets_of(grid)
-    avail = sheets.groupBy("file_id").agg(F.sort_array(F.collect_set("sheet")).alias("available_sheets"))
-    j = jobs.join(avail, "file_id", "left")
-    j = j.withColumn("expected_sheet", F.try_element_at(
-        F.filter("expected_sheets", lambda s: F.array_contains(F.col("available_sheets"), s)), F.lit(1)))
-    hdr = H.header_cells(grid, H.header_by_alias(grid, date_aliases, max_rows=scan_rows))
-    hdr = hdr.select(F.col("file_id").alias("_f"), F.col("sheet").alias("_s"), "header")
-    j = j.join(hdr, (j["file_id"] == hdr["_f"]) & (j["expected_sheet"] == hdr["_s"]), "left").drop("_f", "_s")
-    ref_pos = C.resolve_exact("header", ref_aliases)
-    qty_pos = C.resolve_exact("header", qty_aliases)
-    date_pos = C.resolve_exact("header", date_aliases)
-    name_at = lambda p: F.when(p.isNotNull(), F.try_element_at("header", p + 1))
-    sheet_missing = F.col("expected_sheet").isNull()
+    avail = sheets_of(grid).groupBy("file_id").agg(  # bounded by a workbook's sheets
+        F.sort_array(F.collect_set("sheet")).alias("available_sheets"), F.min_by("sheet", "sheet_pos").alias("_first"))
+    j = jobs.join(F.broadcast(names), "unit").join(avail, "file_id", "left")  # names: configuration
+    hit = F.get(F.filter("expected_sheets", lambda s: F.array_contains("available_sheets", s)), F.lit(0))
+    j = checked_broadcast(j.withColumn("_hit", hit).withColumn("checked_sheet", F.coalesce("_hit", "_first")), "verified-files")
+    keys = ["file_id", "sheet", "unit", "atelier"]
+    rows = grid.join(j.select("file_id", F.col("checked_sheet").alias("sheet"), "unit", "atelier", F.col("date").alias("_dates")), ["file_id", "sheet"])
+    hdr = H.header_by_names(rows, "_dates", keys).select("file_id", "unit", "atelier", "header")
+    j = j.join(hdr, ["file_id", "unit", "atelier"], "left")
+    first = lambda c: F.get(F.filter(c, lambda a: F.array_contains("header", a)), F.lit(0))
+    j = j.select("*", *[first(c).alias(f"detected_{d}") for c, d in (("ref", "ref"), ("quantity", "qty"), ("date", "date"))])
+    read = F.col("available_sheets").isNotNull()
+    if broken is not None:
+        j = j.join(checked_broadcast(broken.groupBy("file_id").agg(F.min("message").alias("_message")), "broken"), "file_id", "left")
+    else:
+        j = j.withColumn("_message", F.lit(None).cast("string"))
     errors = F.array_compact(F.array(
-        F.when(sheet_missing, F.concat(F.lit("Sheet not found: "), F.array_join("expected_sheets", ", "))),
-        F.when(~sheet_missing & ref_pos.isNull(), F.lit("Reference column not found")),
-        F.when(~sheet_missing & qty_pos.isNull(), F.lit("Quantity column not found")),
-        F.when(~sheet_missing & date_pos.isNull(), F.lit("Date column not found"))))
-    return j.select("unit", "atelier", F.col("file_id").alias("filename"), (F.size(errors) == 0).alias("valid"),
-                    errors.alias("errors"), F.coalesce("available_sheets", F.array().cast("array<string>"))
-                    .alias("available_sheets"),
-                    F.coalesce(F.filter("header", lambda x: x.isNotNull()), F.array().cast("array<string>"))
-                    .alias("available_columns"),
-                    "expected_sheet", name_at(ref_pos).alias("detected_ref"),
-                    name_at(qty_pos).alias("detected_qty"), name_at(date_pos).alias("detected_date"))
+        F.when(~read, F.coalesce("_message", F.lit("no sheet could be read"))),
+        F.when(read & F.col("_hit").isNull() & (F.size("expected_sheets") > 0),
+               F.concat(F.lit("Sheet '"), F.get("expected_sheets", F.lit(0)), F.lit("' not found"))),
+        F.when(read & F.col("detected_ref").isNull(), F.lit("Reference column not found")),
+        F.when(read & F.col("detected_qty").isNull(), F.lit("Quantity column not found"))))
+    none = F.array().cast("array<string>")
+    return j.select("unit", "atelier", F.col("file_id").alias("filename"), (F.size(errors) == 0).alias("valid"), errors.alias("errors"),
+                    F.coalesce("available_sheets", none).alias("available_sheets"),
+                    F.coalesce(F.filter("header", lambda x: x.isNotNull()), none).alias("available_columns"),
+                    "expected_sheets", "checked_sheet", "detected_ref", "detected_qty", "detected_date")
 
 
 def blank_ref_diagnostics(lines: DataFrame, keys) -> DataFrame:

@@ -110,3 +110,9 @@ def profile_frame(spark: SparkSession) -> DataFrame:
 
 def aliases(unit: str, side: str, role: str) -> list[str]:
     return list(ALIASES[unit][side].get(role, []))
+
+
+def ledger_names(spark: SparkSession, units) -> DataFrame:
+    """(unit, date, ref, quantity): the ledger header names of the units."""
+    return spark.createDataFrame([(u, *[aliases(u, "mov", r) for r in ("date", "ref", "quantity")]) for u in units],
+                                 "unit string, date array<string>, ref array<string>, quantity array<string>")

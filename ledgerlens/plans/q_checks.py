@@ -13,21 +13,21 @@ from ledgerlens.operators.loaders import extract, missing_columns
 from ledgerlens.operators.sheets import restrict, sheet_by_keywords
 from ledgerlens.operators.verify import blank_ref_diagnostics, missing_inputs, verification
 from ledgerlens.plans import sql_grid as SG
-from ledgerlens.plans.profiles import aliases
+from ledgerlens.plans.profiles import aliases, ledger_names
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import grids as G
 
 
 @query("verify_files", SG.VERIFY_FILES)
 def verify_files(spark, sf_dir):
-    """Per matched ledger file: sheet present, header found in the first
-    20 rows, ref / qty / date columns detected, list of errors."""
+    """Every ledger file under the names and sheets of four units: sheet
+    looked at, its columns, ref / qty / date columns found, list of errors."""
     g = G.ledger_grid(spark, sf_dir)
-    jobs = (G.sheets_of(g).select("file_id").distinct()
-            .select(F.substring("file_id", 6, 1).alias("unit"), F.substring("file_id", 5, 1).alias("atelier"),
-                    "file_id", F.array(F.lit("MOUVEMENT")).alias("expected_sheets")))
-    return verification(g, jobs, aliases("Fath1", "mov", "date"), aliases("Fath1", "mov", "ref"),
-                        aliases("Fath1", "mov", "quantity"))
+    sheets = {"Fath1": ["MOUVEMENT"], "Fath3": ["ABSENT", "MOV"], "Larbaa": ["0"], "Mags": []}
+    units = spark.createDataFrame(list(sheets.items()), "unit string, expected_sheets array<string>")
+    jobs = (G.sheets_of(g).select("file_id").distinct().withColumn("unit", F.explode(F.array(*[F.lit(u) for u in sheets])))
+            .join(F.broadcast(units), "unit").select("unit", F.substring("file_id", 5, 1).alias("atelier"), "file_id", "expected_sheets"))
+    return verification(g, jobs, ledger_names(spark, sheets))
 
 
 @query("diagnostics", SG.DIAGNOSTICS)

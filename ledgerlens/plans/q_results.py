@@ -261,3 +261,12 @@ def edit_log(spark, sf_dir):
                                      for when, i, action, old, new in steps]))
     log = o.select(F.explode(made).alias("e")).select("e.*")
     return apply_log(disc, log, discrepancy_order_abs(["job_idx"]))[0]
+
+
+@query("result_order", _UNIT_RECON + "SELECT unit, atelier, status, Ref, Difference, row_number() OVER (PARTITION BY unit, atelier, status "
+       "ORDER BY CASE WHEN status = 'match' THEN 0 WHEN unit = 'O' THEN abs(Difference) ELSE Difference END DESC, Ref) AS position FROM recon")
+def result_order(spark, sf_dir):
+    """O1/O2/O3: the lists of a unit ordered by signed and of one ordered by
+    absolute difference, positions of all in one range sort."""
+    from ledgerlens.operators.ordering import positioned
+    return positioned(unit_recon(spark, sf_dir).select("unit", "atelier", "status", "Ref", "Difference"), {"F": "signed", "O": "abs"})

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import matching as M
+from ledgerlens.operators.ordering import positioned
 from ledgerlens.plans.pipeline import UnitRules, run_units
-from ledgerlens.plans.profiles import profile_frame
+from ledgerlens.plans.profiles import ledger_names, profile_frame
 from ledgerlens.plans.sites import SITES, jobs_frame
-from ledgerlens.operators.verify import missing_inputs, unknown_ateliers
+from ledgerlens.operators.verify import missing_inputs, unknown_ateliers, verification
 from ledgerlens.session import checked_broadcast, cut_lineage
 from ledgerlens.sources.grid_reader import noted, read_files, readable, unreadable
 from ledgerlens.sources.grids import GRID_SCHEMA
@@ -38,7 +39,8 @@ def _basename(c):
 def process(spark: SparkSession, inputs: DataFrame, year: int, month: int,
             skip: DataFrame | None = None, overrides: DataFrame | None = None,
             match_mode: str = "ateliers_first", rules: dict[str, UnitRules] | None = None):
-    """Returns ``(recon, diagnostics, assigned)``.
+    """Returns ``(recon, diagnostics, assigned)``; ``recon`` carries the
+    ``position`` of every row in its list, by its unit's order.
 
     ``skip(unit, atelier)`` - ateliers left out of the run;
     ``overrides(unit, atelier, sheet_name, ref_col, qty_col)`` - user
@@ -102,10 +104,27 @@ def process(spark: SparkSession, inputs: DataFrame, year: int, month: int,
     active = [rules[u] for u in units if u in present]
     if not active:
         empty = spark.createDataFrame([], "unit string, atelier string, job_idx int, Ref string, Stock_Qty double, "
-                                          "Calc_Mov_Qty double, Difference double, status string")
+                                          "Calc_Mov_Qty double, Difference double, status string, position long")
         return empty, notes, assigned
     recon, diag = run_units(stock_grid, ledger_grid, jobs, active, year, month, opening_grid)
-    return recon, diag.unionByName(notes), assigned
+    return positioned(recon, {r.unit: r.order for r in active}), diag.unionByName(notes), assigned
+
+
+def verify(spark: SparkSession, inputs: DataFrame, match_mode: str = "ateliers_first") -> DataFrame:
+    """Before a run: ``operators.verify.verification`` of every ledger file of
+    ``inputs`` that an atelier's keyword matches, under the sheets and header
+    names of its unit."""
+    if "pos" not in inputs.columns:
+        inputs = inputs.withColumn("pos", F.monotonically_increasing_id())
+    ledgers = cut_lineage(inputs.where(F.col("role") == "ledger").withColumn("path", local_path(F.col("path"))).select(
+        "unit", "path", _basename(F.col("path")).alias("file_name"), F.col("pos").alias("file_pos")), "inputs")
+    assigned = M.assign(ledgers, atelier_keywords(spark, list(SITES)), match_mode)
+    jobs = jobs_frame(spark).where("job_idx = 0").select("unit", "atelier", F.col("candidates").alias("expected_sheets")).join(
+        assigned.select("unit", "atelier", F.col("path").alias("file_id")), ["unit", "atelier"])
+    # Spark lists its input files on the driver: the paths go there once
+    paths = [r.path for r in ledgers.select("path").distinct().toLocalIterator()]
+    everything = cut_lineage(read_files(spark, paths), "grid-files") if paths else spark.createDataFrame([], GRID_SCHEMA)
+    return verification(readable(everything), jobs, ledger_names(spark, list(SITES)), unreadable(everything))
 
 
 def _unmatched(ledgers: DataFrame, assigned: DataFrame) -> DataFrame:
