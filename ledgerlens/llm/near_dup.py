@@ -1,25 +1,27 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Every text becomes the set of its distinct five-word shingles and a signature
-of ``TREES`` x ``DEPTH`` minima.  Texts with equal word sequences collapse to
-one representative first.  Each tree sorts the representatives by its
-``DEPTH`` minima; neighbours in that order with a common prefix of at least
-``MIN_DEPTH`` minima are candidates.  A region (rows sharing the prefix) of at
-most ``WINDOW`` rows yields all its pairs; in a larger one each row meets its
-``CROWD`` next rows, those with the longest common prefix.  Candidates are
-confirmed on their full sets.  Crowded regions are then searched again: rows
-are ordered by the components found, and every row is compared with those of
-its next rows that belong to *other* components, while passes bring links.
-
-What these passes miss, a join finds exactly: the rows of crowded regions that
-still hold several components meet wherever the prefixes of their sets share a
-shingle (``meetings``), and are confirmed on their full sets.  The passes only
-make that join small; no pair of a region is lost by their end.
+of ``MINIMA`` minima.  Texts with equal word sequences collapse to one
+representative first.  Tree t sorts the representatives by their signature
+read from its minimum ``t * STRIDE`` on, round to its begin.  How much of that
+order is sorted differs by region: a first round sorts all rows by ``DEPTHS[1]``
+minima, the next one only the rows of regions that are still crowded, by more
+minima, and so on; what equals in all minima is left at the end.  Candidates:
+all rows of a region (rows that share ``DEPTHS[0]`` minima) of at most
+``WINDOW`` rows, all rows of a small region inside a crowded one, and in a
+crowded region every two neighbours, which have the longest common prefix.
+Candidates are confirmed on their full sets.
+
+What a crowded region misses by that, a join finds exactly: its rows, if they
+are still in several components, meet wherever the prefixes of their sets
+share a shingle (``meetings``), and are confirmed on their full sets.  The
+forest only makes that join small; no pair of a region is lost.
 
 Defined results: null text and text without words have no shingles and link
 with nothing; fewer words than a shingle count as one shingle; rows that
 repeat a doc_id are nodes of their own by content; a null doc_id is never
-the smallest; extra columns are ignored.
+the smallest; of a group without any doc_id, component_id is null and the rows
+of one text are kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import components, partitions, save, ship
 
-TREES, DEPTH, MIN_DEPTH, WINDOW = 20, 5, 3, 4
-CROWD = 2  # next rows that a row of a crowded region meets in a tree
+TREES, STRIDE, MINIMA, WINDOW = 20, 5, 100, 4
+DEPTHS = (3, 5, 10, 20, 40, 80, 100)  # minima in common, round by round
 SLOTS = 20  # bits of the shingle hash by which shingles are counted
 SEED = 20240229
 
@@ -74,7 +76,7 @@ def features(docs: DataFrame, k: int = 5) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        mult = np.random.default_rng(SEED + 1).integers(1, 2**63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
+        mult = np.random.default_rng(SEED + 1).integers(1, 2**63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
         for b in batches:
             n, fp, sig = [], [], []
             for t in b.column(2):
@@ -91,20 +93,30 @@ def features(docs: DataFrame, k: int = 5) -> DataFrame:
         run, "doc_id long, tx long, n_shingles long, fp binary, sig binary")
 
 
-def neighbours(rows: DataFrame, window: int, min_depth: int, crossing: bool, border: bool = False) -> DataFrame:
-    """Candidate pairs of rows (tree, key, fp, comp) that follow each other in
-    the sorted order of a tree.  Output: kind 0: pairs (a, b); kind 1: rows
-    of crowded regions; kind 2: the first and last rows of a partition, for
-    the pairs that a partition border separates.  ``crossing``: only pairs of
-    different components.  ``border``: only pairs of different partitions."""
+def neighbours(rows: DataFrame, depth: int, width: int, border: bool = False) -> DataFrame:
+    """Candidate pairs of rows (part, tree, key, fp) that follow each other in
+    the sorted order of a tree; ``key`` holds ``width`` minima.  Output: kind
+    0: pairs (fp, other); kind 1: a crowded region (tree, its ``depth``
+    minima as key); kind 2: a crowded region that shares the whole key; kind
+    3: the first and last rows of a partition, for the pairs that a partition
+    border separates.  ``border``: only pairs of different partitions."""
+    last = width == MINIMA
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        names = ["kind", "part", "tree", "key", "fp", "comp", "other"]
         schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("tree", pa.int32()), ("key", pa.binary()),
-                            ("fp", pa.binary()), ("comp", pa.binary()), ("other", pa.binary())])
+                            ("fp", pa.binary()), ("other", pa.binary())])
+
+        def out(kind, part=None, tree=None, key=None, fp=None, other=None):
+            n = len(fp if key is None else key)
+            cols = [np.full(n, kind, np.int32), part, tree, key, fp, other]
+            return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+        def ends(t):
+            return out(3, *[t.column(c).to_pylist() for c in ("part", "tree", "key", "fp")])
+
         tail, first = None, True
         for b in batches:
             if not b.num_rows:
@@ -115,122 +127,120 @@ def neighbours(rows: DataFrame, window: int, min_depth: int, crossing: bool, bor
                 fresh = tail.num_rows
                 t = pa.concat_tables([tail, t])
             n = t.num_rows
-            key = np.frombuffer(b"".join(t.column("key").to_pylist()), ">u4").reshape(n, DEPTH)
+            key = np.frombuffer(b"".join(t.column("key").to_pylist()), ">u4").reshape(n, width)
             tree, part = t.column("tree").to_numpy(), t.column("part").to_numpy()
             fp = np.array(t.column("fp").to_pylist(), object)
-            comp = np.array(t.column("comp").to_pylist(), object)
-            out_a, out_b, crowded = [], [], np.zeros(n, bool)
-            for w in range(min(window, n - 1), 0, -1):
-                same = tree[w:] == tree[:-w]
-                for d in range(min_depth):
-                    same &= key[w:, d] == key[:-w, d]
-                if w == window and not crossing:
-                    for i in np.flatnonzero(same):
-                        crowded[i:i + w + 1] = True
-                same[:max(0, fresh - w)] = False  # done with the batch before
-                if w > CROWD:
-                    same &= ~(crowded[w:] & crowded[:-w])
-                differ = fp[w:] != fp[:-w]
-                if crossing:
-                    differ &= comp[w:] != comp[:-w]
+            differ = key[1:] != key[:-1]
+            new_tree = tree[1:] != tree[:-1]
+            region = np.concatenate([[0], np.cumsum(new_tree | differ[:, :depth].any(axis=1))])
+            equal = np.concatenate([[0], np.cumsum(new_tree | differ.any(axis=1))])
+
+            def crowded(ids):
+                flag = np.zeros(n, bool)
+                for i in np.flatnonzero(ids[WINDOW:] == ids[:-WINDOW]) if n > WINDOW else ():
+                    flag[i:i + WINDOW + 1] = True
+                return flag
+
+            wide, same = crowded(region), crowded(equal)
+            for w in range(1, min(WINDOW, n)):
+                x, y = slice(0, n - w), slice(w, n)
+                take = (region[x] == region[y]) & ~wide[x] | (equal[x] == equal[y]) & ~same[x]
+                if w == 1:
+                    take |= (region[x] == region[y]) & (equal[x] != equal[y])
+                    if last:  # equal in all minima, so equal in every tree
+                        take |= same[x] & (equal[x] == equal[y]) & (tree[x] == 0)
+                take &= fp[x] != fp[y]
+                take[:max(0, fresh - w)] = False  # done with the batch before
                 if border:
-                    differ &= part[w:] != part[:-w]
-                at = np.flatnonzero(same & differ)
-                out_a.append(fp[at])
-                out_b.append(fp[at + w])
-            if out_a:
-                a, c = np.concatenate(out_a), np.concatenate(out_b)
-                m = len(a)
-                if m:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()),
-                         pa.nulls(m, pa.binary()), pa.array([min(x, y) for x, y in zip(a, c)], pa.binary()),
-                         pa.nulls(m, pa.binary()), pa.array([max(x, y) for x, y in zip(a, c)], pa.binary())], schema=schema)
-            if crowded.any():
-                at = np.flatnonzero(crowded)
-                yield marked(t.take(at), 1, schema, names)
+                    take &= part[x] != part[y]
+                at = np.flatnonzero(take)
+                if len(at):
+                    yield out(0, fp=np.minimum(fp[at], fp[at + w]), other=np.maximum(fp[at], fp[at + w]))
+            for kind, flag, ids, size in ((1, wide, region, depth), (2, same, equal, width)):
+                at = np.flatnonzero(flag)
+                at = at[np.unique(ids[at], return_index=True)[1]]
+                if len(at) and (kind == 1 or not last):
+                    yield out(kind, tree=tree[at], key=[key[i, :size].tobytes() for i in at])
             if first:
-                yield marked(t.slice(0, window), 2, schema, names)
+                yield ends(t.slice(0, WINDOW))
                 first = False
-            tail = t.slice(max(0, n - window))
+            tail = t.slice(max(0, n - WINDOW))
         if tail is not None:
-            yield marked(tail, 2, schema, names)
-
-    def marked(t, kind, schema, names):
-        import numpy as np
-        import pyarrow as pa
-
-        t = t.combine_chunks()
-        n = t.num_rows
-        cols = {"kind": pa.array(np.full(n, kind, np.int32)), "other": pa.nulls(n, pa.binary())}
-        cols |= {c: t.column(c).combine_chunks() for c in ("part", "tree", "key", "fp", "comp")}
-        return pa.RecordBatch.from_arrays([cols[c] for c in names], schema=schema)
-
-    cols = ["part", "tree", "key", "fp", "comp"]
-    return rows.select(*cols).mapInArrow(
-        run, "kind int, part int, tree int, key binary, fp binary, comp binary, other binary")
-
-
-def candidates(rows: DataFrame, window: int, min_depth: int, crossing: bool) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowded rows) of the sorted orders of all trees."""
-    n = partitions(rows.sparkSession)
-    order = ["tree", "key", "comp", "fp"]
-    found = save(neighbours(rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                            .withColumn("part", F.spark_partition_id()), window, min_depth, crossing), "neighbours")
-    # first and last rows of every partition: a bounded number of rows each,
-    # in the order of all, so that two rows of different partitions that are
-    # close here are as close there
-    edge = found.where("kind = 2").select("tree", "key", "fp", "comp", "part").distinct()
-    edges = save(neighbours(edge.coalesce(1).sortWithinPartitions(*order), window, min_depth, crossing, True), "edges")
-    both = found.union(edges)  # rows crowded only across a border count as crowded, too
-    pairs = both.where("kind = 0").select("fp", "other").toDF("a", "b").distinct()
-    return pairs, both.where("kind = 1").select("tree", "key", "fp", "comp").distinct()
+            yield ends(tail)
+
+    return rows.select("part", "tree", "key", "fp").mapInArrow(
+        run, "kind int, part int, tree int, key binary, fp binary, other binary")
+
+
+def read_from(sig, tree, minima: int):
+    """``minima`` minima of a signature as a tree reads them."""
+    return F.substring(F.concat(sig, sig), tree * (4 * STRIDE) + 1, F.lit(4 * minima))
+
+
+def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The candidate pairs (a, b) of all trees, and the crowded regions (tree,
+    region) of the first round.  ``reps``: (fp, sig)."""
+    n = partitions(reps.sparkSession)
+    order = ["tree", "key", "fp"]
+    trees = reps.select("fp", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    pairs = regions = None
+    for depth, width in zip(DEPTHS, DEPTHS[1:]):
+        rows = trees
+        if pairs is not None:
+            rows = trees.withColumn("key", read_from(F.col("sig"), F.col("tree"), depth)).join(deeper, ["tree", "key"], "left_semi")
+        rows = rows.select("tree", read_from(F.col("sig"), F.col("tree"), width).alias("key"), "fp")
+        rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+        found = save(neighbours(rows, depth, width), "neighbours")
+        # first and last rows of every partition: a bounded number of rows each,
+        # in the order of all, so that two rows of different partitions that are
+        # close here are as close there
+        edge = found.where("kind = 3").select("tree", "key", "fp", "part").distinct()
+        found = found.union(save(neighbours(edge.coalesce(1).sortWithinPartitions(*order), depth, width, True), "edges"))
+        here = found.where("kind = 0").select("fp", "other").toDF("a", "b")
+        pairs = here if pairs is None else pairs.union(here)
+        if regions is None:
+            regions = save(found.where("kind = 1").select("tree", F.col("key").alias("region")).distinct(), "regions", 8)
+        deeper = save(found.where("kind = 2").select("tree", "key").distinct(), "deeper", 8)
+        if deeper.isEmpty():
+            break
+    return pairs.distinct(), regions
 
 
 def full_sets(wanted: DataFrame, docs: DataFrame, feats: DataFrame, k: int) -> DataFrame:
-    """(fp, s): the shingle sets of the texts ``wanted`` (fp); only these are read."""
+    """(fp, s): the shingle sets (arrays of long) of the texts ``wanted`` (fp); only these are read."""
     ids = feats.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "tx")).alias("rep")).join(wanted, "fp")
     ids = ids.select("fp", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tx").alias("rep_tx"))
 
-    def sets(batches):
+    def run(batches):
+        import numpy as np
         import pyarrow as pa
         import xxhash
 
         for b in batches:
-            fp, blob = [], []
+            fp, sets = [], []
             for t, want in zip(b.column(0), b.column(1)):
                 w = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 f = xxhash.xxh3_128_digest(b" ".join(w)) if w else None
                 if f == want.as_py():  # unless two texts share a hash
                     fp.append(f)
-                    blob.append(shingle_set(w, k).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(blob, pa.binary())], ["fp", "s"])
+                    sets.append(shingle_set(w, k).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tx"), "text").join(
         ids, F.expr("tx = rep_tx and doc_id <=> rep_id"))
-    return save(texts.select("text", "fp").mapInArrow(sets, "fp binary, s binary").groupBy("fp")
-                .agg(F.max("s").alias("s")), "sets")
+    return save(texts.select("text", "fp").mapInArrow(run, "fp binary, s array<long>").groupBy("fp")
+                .agg(F.first("s").alias("s")), "sets")
 
 
 def checked(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, ok) with ok: 100 * intersection >= percent * union, on
-    the full sets ``held``."""
-
-    def check(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    return (pairs.join(held.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
-            .join(held.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
-            .select("a", "b", "sa", "sb").mapInArrow(check, "a binary, b binary, ok boolean"))
+    the full sets ``held``.  Row by row in the JVM: sets of long texts never
+    meet in one Arrow batch."""
+    both = (pairs.join(held.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
+            .join(held.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b"))
+    n = F.size("sa") + F.size("sb")
+    return both.select("a", "b", n.alias("n"), F.size(F.array_intersect("sa", "sb")).alias("m")).select(
+        "a", "b", F.expr(f"100L * m >= {percent}L * (n - m)").alias("ok"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, feats: DataFrame, k: int, percent: int) -> DataFrame:
@@ -252,8 +262,8 @@ def slot_counts(held: DataFrame):
 
         total = np.zeros(1 << SLOTS, np.int64)
         for b in batches:
-            for s in b.column(0):
-                np.add.at(total, np.frombuffer(s.as_py(), np.uint64) >> np.uint64(64 - SLOTS), 1)
+            s = np.asarray(b.column(0).flatten()).view(np.uint64)
+            total += np.bincount((s >> np.uint64(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS)
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(
             [total[i * width:(i + 1) * width].tobytes() for i in range(blocks)], pa.binary())], ["block", "n"])
 
@@ -292,7 +302,7 @@ def meetings(held: DataFrame, percent: int) -> DataFrame:
                 part = b.slice(at, 256)
                 rows, tokens, places, sizes = [], [], [], []
                 for i, x in enumerate(part.column(1)):
-                    s = np.frombuffer(x.as_py(), np.uint64)
+                    s = np.asarray(x.values).view(np.uint64)
                     n = len(s)
                     m = n + percent * n // -100 + 1
                     first = np.lexsort((s, counts[s >> np.uint64(64 - SLOTS)]))[:m]
@@ -307,43 +317,40 @@ def meetings(held: DataFrame, percent: int) -> DataFrame:
                     [pa.array(np.concatenate(tokens)), part.column(0).take(at_row), part.column(2).take(at_row),
                      pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["token", "fp", "comp", "n", "at"])
 
-    marks = held.select("fp", "s", "comp").mapInArrow(run, "token long, fp binary, comp binary, n int, at int")
-    marks = save(marks, "marks")
-    x = marks.where(f"at <= n - (2L * {percent} * n + {99 + percent}) div {100 + percent}").alias("x")
-    return x.join(marks.alias("y"), F.expr(
-        f"x.token = y.token and (x.n < y.n or x.n = y.n and x.fp < y.fp) and 100L * x.n >= {percent}L * y.n and x.comp <> y.comp"
+    marks = save(held.select("fp", "s", "comp").mapInArrow(run, "token long, fp binary, comp binary, n int, at int"), "marks")
+    # components meet first, so that the rows of a large one never meet each
+    # other; then the rows of the smaller one of two meet those of the other
+    of = marks.groupBy("token", "comp").agg(F.struct(F.count(F.lit(1)).alias("rows"), F.col("comp")).alias("size"), F.min("n").alias("low"),
+                                            F.max("n").alias("high"), F.max(F.expr("n - at")).alias("left"))
+    c, d = of.alias("c"), of.alias("d")
+    met = save(c.join(d, F.expr(
+        f"c.token = d.token and c.size < d.size and 100L * c.high >= {percent}L * d.low and 100L * d.high >= {percent}L * c.low"
+        f" and {100 + percent}L * least(c.left, d.left) >= {percent}L * (c.low + d.low)")).select(
+        "c.token", F.col("c.comp").alias("c"), F.col("d.comp").alias("d")), "met", 4)
+    row = F.struct("n", "fp", "at", F.expr(f"at <= n - (2L * {percent} * n + {99 + percent}) div {100 + percent}").alias("short"))
+    x = marks.select("token", F.col("comp").alias("c"), row.alias("x")).join(met, ["token", "c"])
+    y = marks.select("token", F.col("comp").alias("d"), row.alias("y"))
+    return x.join(y, (x.token == y.token) & (x.d == y.d) & F.expr(
+        f"100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n) and if(struct(x.n, x.fp) < struct(y.n, y.fp), x.short, y.short)"
         f" and {100 + percent}L * least(x.n - x.at, y.n - y.at) >= {percent}L * (x.n + y.n)")).select(
         F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, max_passes: int = 12) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, tx, n_shingles, component_id, kept for every row of ``docs``;
     (doc_id, tx) names the row by content."""
     feats = save(features(docs, k), "features")
-    reps = feats.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("root"), F.first("sig").alias("sig"))
-    step = 4 * DEPTH
-    rows = reps.select("fp", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
-        "tree", F.expr(f"substring(sig, tree * {step} + 1, {step})").alias("key"), "fp", F.col("fp").alias("comp"))
-    pairs, crowded = candidates(rows, WINDOW, MIN_DEPTH, False)
+    some = feats.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("root"), F.min("tx").alias("tx"), F.first("sig").alias("sig"))
+    reps = save(some, "representatives")
+    pairs, regions = forest(reps.select("fp", "sig"))
     tested = save(confirmed(save(pairs, "pairs", 4), docs, feats, k, percent), "tested")
     labels = components(tested.where("ok").select("a", "b"))
-    crowded = save(crowded.drop("comp"), "crowded", 4)
-    for _ in range(max_passes):
-        now = crowded.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-            "tree", "key", "fp", F.coalesce("comp", "fp").alias("comp"))
-        more, _rest = candidates(now, WINDOW, MIN_DEPTH, True)
-        more = save(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more", 8)
-        if more.isEmpty():
-            break
-        new = save(confirmed(more, docs, feats, k, percent), "tested", 4)
-        if new.where("ok").isEmpty():
-            break  # the same components would bring the same candidates
-        tested = tested.union(new)
-        labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-                            .union(new.where("ok").select("a", "b")))
-    # what the passes did not compare: rows of regions with several components
-    now = crowded.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "tree", F.expr(f"substring(key, 1, {4 * MIN_DEPTH})").alias("region"), "fp", F.coalesce("comp", "fp").alias("comp"))
+    # what the forest did not compare: rows of crowded regions with several components
+    now = (reps.select("fp", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+           .select("fp", "tree", read_from(F.col("sig"), F.col("tree"), DEPTHS[0]).alias("region"))
+           .join(regions, ["tree", "region"], "left_semi")
+           .join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("tree", "region", "fp", F.coalesce("comp", "fp").alias("comp")))
+    now = save(now, "crowded", 4)
     mixed = now.groupBy("tree", "region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     open_rows = save(now.join(mixed, ["tree", "region"], "left_semi").select("fp", "comp").distinct(), "open", 4)
     if not open_rows.isEmpty():
@@ -352,14 +359,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, max_passes:
         new = save(checked(more, held, percent), "tested", 4)
         labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
                             .union(new.where("ok").select("a", "b")))
-    roots = feats.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("root"))
-    linked = roots.join(labels.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("comp").agg(F.min("root").alias("least"))
-    of_fp = roots.join(linked.select("fp", "comp").join(least, "comp").select("fp", "least"), "fp", "left").select(
-        "fp", F.coalesce("least", "root").alias("component_id"))
+    linked = reps.select("fp", "root", "tx").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    # a group without any doc_id is held by the rows of its least text
+    least = linked.groupBy("comp").agg(F.min("root").alias("component_id"), F.min("tx").alias("holder"))
+    of_fp = linked.select("fp", "comp").join(least, "comp").drop("comp")
     return (feats.join(of_fp, "fp", "left")
-            .select("doc_id", "tx", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-            .withColumn("kept", F.expr("doc_id <=> component_id")))
+            .withColumn("kept", F.when(F.col("fp").isNull(), True).when(F.col("component_id").isNull(), F.col("tx") == F.col("holder"))
+                        .otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+            .select("doc_id", "tx", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "kept"))
 
 
 ship(__name__)

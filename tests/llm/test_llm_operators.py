@@ -141,8 +141,8 @@ def test_meetings_hold_every_pair(spark):
     common = rng.integers(0, 2**64, 40, np.uint64)
     sets = [np.unique(np.concatenate([rng.choice(common, rng.integers(0, 40), False), rng.integers(0, 2**64, rng.integers(1, 12), np.uint64)]))
             for _ in range(250)]
-    rows = [(b"%03d" % i, s.tobytes(), b"%03d" % (i // 2)) for i, s in enumerate(sets)]
-    held = spark.createDataFrame(rows, "fp binary, s binary, comp binary")
+    rows = [(b"%03d" % i, s.view(np.int64).tolist(), b"%03d" % (i // 2)) for i, s in enumerate(sets)]
+    held = spark.createDataFrame(rows, "fp binary, s array<long>, comp binary")
     for percent in (50, 75):
         got = {(int(r.a), int(r.b)) for r in meetings(held, percent).collect()}
         both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(250) for j in range(i + 1, 250) if i // 2 != j // 2}
@@ -151,15 +151,40 @@ def test_meetings_hold_every_pair(spark):
 
 
 def test_region_split_by_partition_borders(spark):
-    """Every pair of a region is a candidate or both its rows are searched again."""
+    """Every pair of a region is a candidate, or the region is a crowded one."""
     from ledgerlens.llm import near_dup
-    for n in (5, 6, 8):
-        rows = [(0, b"\0" * 4 * near_dup.DEPTH, b"%03d" % i, b"%03d" % i) for i in range(n)]
-        d = spark.createDataFrame(rows, "tree int, key binary, fp binary, comp binary")
-        pairs, crowded = near_dup.candidates(d, near_dup.WINDOW, near_dup.MIN_DEPTH, False)
-        pairs = {(int(r.a), int(r.b)) for r in pairs.collect()}
-        again = {int(r.fp) for r in crowded.collect()}
-        assert all((i, j) in pairs or {i, j} <= again for i in range(n) for j in range(i + 1, n))
+    rng = np.random.default_rng(4)
+    for n in (2, 4, 5, 6, 8):
+        sig = rng.integers(0, 2**32, (n, near_dup.MINIMA)).astype(">u4")
+        sig[:, :3] = 7
+        d = spark.createDataFrame([(b"%03d" % i, x.tobytes()) for i, x in enumerate(sig)], "fp binary, sig binary")
+        pairs, regions = near_dup.forest(d)
+        pairs, regions = {(int(r.a), int(r.b)) for r in pairs.collect()}, {(r.tree, bytes(r.region)) for r in regions.collect()}
+        every = {(i, j) for i in range(n) for j in range(i + 1, n)}
+        assert pairs == every if n <= near_dup.WINDOW else pairs >= every or regions == {(0, sig[0, :3].tobytes())}
+
+
+def test_forest_deepens_crowded_regions(spark):
+    """Rows that share ten minima with one other row each, in one large region."""
+    from ledgerlens.llm import near_dup
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 2**32, (400, near_dup.MINIMA)).astype(">u4")
+    sig[:, 5:10] = 7
+    sig[1::2, 10:20] = sig[::2, 10:20]
+    d = spark.createDataFrame([(b"%03d" % i, x.tobytes()) for i, x in enumerate(sig)], "fp binary, sig binary").repartition(5)
+    pairs, regions = near_dup.forest(d)
+    assert {(2 * i, 2 * i + 1) for i in range(200)} <= {(int(r.a), int(r.b)) for r in pairs.collect()}
+    assert [(r.tree, bytes(r.region)) for r in regions.collect()] == [(1, sig[0, 5:8].tobytes())]
+    assert near_dup.forest(d.limit(0))[0].collect() == []
+
+
+def test_near_duplicates_without_ids(spark):
+    """Of a group without any doc_id the rows of one text are kept."""
+    from ledgerlens.llm.near_dup import near_duplicates
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = [(None, text, "s"), (None, text + " more", "s"), (None, "other words", "s"), (None, None, "s")]
+    got = near_duplicates(frame(spark, docs)).select("component_id", "kept").collect()
+    assert sorted((r.component_id is None, r.kept) for r in got) == [(True, False), (True, True), (True, True), (True, True)]
 
 
 def test_components_of_a_long_chain(spark):
