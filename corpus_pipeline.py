@@ -1,10 +1,16 @@
 """From raw documents to tokens: quality rules, line dedup, near-duplicates,
 mixing, SentencePiece.  Each stage is one operator of ``ledgerlens.llm``; its
-result is written as Parquet and read again as the next stage's documents."""
+result is written as Parquet and read again as the next stage's documents.
+
+Defined results of the stages: a document without words goes in the first one;
+rows that repeat in all of id and text are one row after near-duplicates; of a
+group of near-duplicates without any doc_id the rows of one text stay; a null
+doc_id counts as the largest in line dedup and shares one hash in the mix;
+empty tables stay empty; extra columns travel to the mix and end there."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import line_dedup, mixing, near_dup, pieces, quality
@@ -29,9 +35,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "tx").distinct())
     rows = identity(docs)
     found = rows.join(kept, [rows.doc == kept.doc, rows.tx.eqNullSafe(kept.tx)], "left_semi")
-    # of rows that repeat, one
-    return (found.withColumn("turn", F.row_number().over(Window.partitionBy("doc", "tx").orderBy("doc")))
-            .where("turn = 1").select("d.*"))
+    return found.dropDuplicates(["doc", "tx"]).select("d.*")  # of rows that repeat, one
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
