@@ -73,7 +73,34 @@ def test_line_runs_are_compacted(spark):
     for b in range(5):
         runs.add(spark.range(b * 10, b * 10 + 10).select(F.col("id").alias("doc"), (F.col("id") % 15).alias("h1"), F.lit(1).alias("h2")))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert sorted((r.h1, r["first"]) for r in runs.keys().collect()) == [(k, k) for k in range(15)]
+    assert sorted((r.h1, r["first"]) for r in runs.close().collect()) == [(k, k) for k in range(15)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("llm_line_run_")]
+
+
+def test_line_runs_are_not_sorted_again(spark):
+    """A bucket is one file, and no sort stands above the scan of a run."""
+    import os
+
+    from ledgerlens.llm import line_dedup
+    from pyspark.sql import functions as F
+    runs = line_dedup.LineRuns(spark, fanout=3)
+    lines = lambda b: spark.range(b * 3000, b * 3000 + 4000).select(F.col("id").alias("doc"), F.xxhash64("id").alias("h1"), F.hash("id").alias("h2"))
+    for b in range(4):
+        runs.add(lines(b))
+    assert [len(x) for x in runs.levels] == [1, 1]
+    for level in runs.levels:
+        for run in level:
+            files = [f.split("_")[-1].split(".")[0] for f in os.listdir(runs.paths[run]) if f.startswith("part-")]
+            assert len(files) == len(set(files)) == runs.buckets
+    spark.conf.set(line_dedup.KEEP_ORDER, "true")
+    try:
+        join = runs.without_known(lines(5))._jdf.queryExecution().executedPlan().toString()
+        merge = runs.merged([r for level in runs.levels for r in level])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(line_dedup.KEEP_ORDER, "false")
+    assert join.count("SortMergeJoin") == 2 and join.count(" Sort [") == 1 and join.count("Exchange") == 1
+    assert merge.count("SortMergeJoin") == 1 and " Sort [" not in merge and "Exchange" not in merge
+    assert runs.close().count() == 13000
 
 
 def test_passages(spark, docs):
