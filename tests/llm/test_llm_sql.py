@@ -30,7 +30,7 @@ def test_sql(spark, name):
 def test_one_query_per_operator_and_native_plans(spark):
     from ledgerlens.llm.queries import QUERIES as Q
     assert sorted(int(n[2:].split("_")[0]) for n in Q) == list(range(1, 14))
-    for n in ("op1_", "op7_", "op8_"):
+    for n in ("op1_", "op4_", "op7_", "op8_"):
         name = next(k for k in Q if k.startswith(n))
         plan = Q[name][0](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
