@@ -66,12 +66,12 @@ def test_date_cells_and_number_text(spark, style):
 def test_equal_names_in_two_units(spark):
     one, two = tempfile.mkdtemp(dir="/tmp"), tempfile.mkdtemp(dir="/tmp")
     files = []
-    for unit, d, qty in (("Fath1", one, 10), ("Fath1b", two, 99)):
-        sheets = [("STOCK", [["REFERENCE", "DESIGNATION", "QUANTITE", "LOCALISATION"], ["B1", "d", qty, "MAGASINE DE BLOCS"]])]
-        files.append(("Fath1", "stock", put(d, "STOCK 3-2025.xlsx", sheets)))
-        files.append(("Fath1", "ledger", put(d, "MOV bloc.xlsx", [("MOUVEM 09", [["Date", "REFERENCE", "STOCK"], ["1/1/2024", "B1", qty]])])))
-    got, _ = run(spark, files[:2] + [("Fath2", r, p) for _, r, p in files[2:]])
-    assert got[("Fath1", "bloc", "B1")] == (10.0, 10.0, "match")
+    for unit, d, qty, place, sheet in (("Fath1", one, 10, "MAGASINE DE BLOCS", "MOUVEM 09"), ("Fath2", two, 99, "ATT SFIFA", "MOUVEMENT 2024")):
+        stock = [["Date", "REFERENCE", "DESIGNATION", "QUANTITE", "LOCALISATION"], ["1/1/2024", "B1", "d", qty, place]]
+        files.append((unit, "stock", put(d, "STOCK 3-2025.xlsx", [("STOCK", stock)])))
+        files.append((unit, "ledger", put(d, "MOV bloc sfifa.xlsx", [(sheet, [["Date", "REFERENCE", "STOCK"], ["1/1/2024", "B1", qty]])])))
+    got, _ = run(spark, files)
+    assert got == {("Fath1", "bloc", "B1"): (10.0, 10.0, "match"), ("Fath2", "sfifa", "B1"): (99.0, 99.0, "match")}
 
 
 def test_damaged_old_and_incomplete_files_become_diagnostics(spark):
