@@ -7,7 +7,8 @@ passage of that length, so that one level alone is built: equal paths of whole
 windows, found by sorting, without suffix order, inner nodes or depths.  Suffixes
 are dealt out by a prefix of ``PREFIX`` words, the smallest (by hash) of the
 prefixes that start inside the window, so that neighbouring windows travel
-together under one prefix and equal windows always meet.  Within a partition
+together under one prefix and equal windows always meet.  The number of
+partitions follows the bytes of text.  Within a partition
 the prefixes are sorted and cut, between different prefixes, into groups of
 about ``GROUP`` suffixes; a prefix is never lengthened, so one hot prefix stays
 one group however large.  Each group is sorted by the path of its suffixes, and
@@ -33,7 +34,8 @@ from ledgerlens.llm.common import partitions, ship
 WINDOW, PREFIX = 13, 5
 CHUNK = 1 << 20   # words that a task holds at a time
 GROUP = 1 << 19   # suffixes of one subtree
-BUCKETS = 64      # parts of the suffixes at least, whatever the session's partitions
+BUCKETS, MOST_BUCKETS = 64, 100_000  # parts of the suffixes, whatever the session's partitions
+BUCKET_TEXT = 4 << 20  # bytes of text whose suffixes make one part
 SEED = 13
 LAST = 2**63 - 1  # stands for a null doc_id
 
@@ -247,7 +249,8 @@ def subtrees(dealt: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, buckets: int | None = None) -> DataFrame:
     """Marks (doc_id, blobs): per document the paths of its windows that also
     start in a document with a smaller doc_id."""
-    n = buckets or max(BUCKETS, partitions(docs.sparkSession))
+    text = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = buckets or max(BUCKETS, partitions(docs.sparkSession), min(MOST_BUCKETS, -(-text // BUCKET_TEXT)))
     dealt = suffixes(docs, n, window, prefix)
     spread = F.coalesce("bucket", (F.xxhash64("doc_id") % 1009).cast("int"))
     return (subtrees(dealt.repartition(n, spread).sortWithinPartitions("bucket"))
