@@ -8,9 +8,11 @@ are an encoding of their own joined string; so with weight 0 for such a pair
 and minus infinity for any other it is the best path of a max-plus automaton,
 whose state at a chunk border is the piece over the character before it.
 Each chunk yields its transfer matrix between the states of its two borders
-(the finite entries only), one task pushes the reachable states of a document
-left to right through its matrices, which fixes the state at each border, and
-every chunk is then traced back alone.  Between places that no piece crosses (a blank after a
+(the finite entries only).  The matrices of ``FAN`` neighbours are multiplied
+into one, round by round, until a document is one matrix; its border states are
+then pushed back down the same rounds, each row solving the inner borders of
+its ``FAN`` parts, so that no row holds more than ``FAN`` matrices however long
+the document, and every chunk is traced back alone.  Between places that no piece crosses (a blank after a
 non-blank) the library encodes directly, so the automaton runs only around the
 borders; a chunk without blanks is walked as a whole.
 
@@ -33,6 +35,7 @@ from ledgerlens.llm.common import identity, save, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 14
+FAN = 32  # matrices multiplied in one row of a round
 MARK = "▁"
 OPEN = 0  # the state before the first and after the last piece
 
@@ -212,24 +215,78 @@ def product(a: dict, b: dict) -> dict:
     return {s: set().union(*(b.get(m, set()) for m in mids)) for s, mids in a.items()}
 
 
-def solved(cells: list[list[tuple[int, int]]]) -> list[int]:
-    """The border states of a document from its chunks' matrices, in order."""
-    sets: list[dict] = []
-    for c in cells:
-        m: dict = {}
-        for a, b in c:
-            m.setdefault(a, set()).add(b)
-        sets.append(m)
-    reach = [{OPEN}]
-    for m in sets:
-        reach.append(product({OPEN: reach[-1]}, m).get(OPEN, set()))
-    path, at = [OPEN], OPEN
-    for m, seen in zip(reversed(sets), reversed(reach[:-1])):
+def sparse(cells: list[tuple[int, int]]) -> dict:
+    """A matrix {state in: {state out}} from its finite entries."""
+    out: dict = {}
+    for a, b in cells:
+        out.setdefault(a, set()).add(b)
+    return out
+
+
+def folded(chain: list[dict]) -> dict:
+    """The product of neighbouring matrices, in order; rows without an entry go."""
+    total = chain[0]
+    for m in chain[1:]:
+        total = {s: to for s, to in product(total, m).items() if to}
+    return total
+
+
+def solved(chain: list[dict], into: int = OPEN, out: int = OPEN) -> list[int]:
+    """The states at all borders of neighbouring matrices, given the outer two."""
+    reach = [{into}]
+    for m in chain:
+        reach.append(product({into: reach[-1]}, m)[into])
+    path, at = [out], out
+    for m, seen in zip(reversed(chain), reversed(reach[:-1])):
         at = min(s for s in seen if at in m.get(s, ()))
         path.append(at)
     return path[::-1]
 
 
+def border_states(cells: DataFrame, longest: int) -> DataFrame:
+    """(doc, tx, i, into, out): the states at the borders of every chunk, from
+    the chunks' matrices (doc, tx, i, a, b) of documents of at most
+    ``longest`` chunks; one round for every power of ``FAN``."""
+
+    def matrices(chain) -> list[dict]:
+        return [sparse(list(zip(c["a"], c["b"]))) for c in chain]
+
+    def up(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [[(x, y) for x, to in folded(matrices(chain)).items() for y in to] for chain in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], pa.array([[x for x, _ in g] for g in got], pa.list_(pa.int32())),
+                 pa.array([[y for _, y in g] for g in got], pa.list_(pa.int32()))], ["doc", "tx", "i", "a", "b"])
+
+    def down(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for doc, tx, chain, into, out in zip(*(c.to_pylist() for c in b.columns)):
+                path, n = solved(matrices(chain), into, out), len(chain)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc] * n, pa.int64()), pa.array([tx] * n, pa.int64()), pa.array([c["i"] for c in chain], pa.int32()),
+                     pa.array(path[:-1], pa.int32()), pa.array(path[1:], pa.int32())], ["doc", "tx", "i", "into", "out"])
+
+    rounds: list[DataFrame] = []
+    while True:
+        chains = cells.groupBy("doc", "tx", F.expr(f"int(i div {FAN})").alias("g")).agg(
+            F.sort_array(F.collect_list(F.struct("i", "a", "b"))).alias("chain"))
+        longest = -(-longest // FAN)
+        if longest <= 1:
+            break
+        rounds.append(save(chains, "matrices"))  # read on the way up and on the way down
+        cells = rounds[-1].mapInArrow(up, "doc long, tx long, i int, a array<int>, b array<int>")
+    ends = chains.select("doc", "tx", "chain", F.lit(OPEN).alias("into"), F.lit(OPEN).alias("out"))
+    while True:
+        borders = ends.mapInArrow(down, "doc long, tx long, i int, into int, out int")
+        if not rounds:
+            return borders
+        ends = rounds.pop().join(borders.withColumnRenamed("i", "g"), ["doc", "tx", "g"]).select("doc", "tx", "chain", "into", "out")
+
+
 def slices(batch, rows: int = 64):
     """A batch in parts: token lists are large as Python objects."""
     for at in range(0, batch.num_rows, rows):
@@ -279,17 +336,6 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
                 [*b.columns[:4], pa.array([[x for x, _ in g] for g in got], pa.list_(pa.int32())),
                  pa.array([[x for _, x in g] for g in got], pa.list_(pa.int32()))], ["doc", "tx", "n", "i", "a", "b"])
 
-    def scan(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for doc, tx, chain in zip(*(c.to_pylist() for c in b.columns)):
-                path = solved([list(zip(c["a"], c["b"])) for c in chain])
-                n = len(chain)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * n, pa.int64()), pa.array([tx] * n, pa.int64()), pa.array([c["i"] for c in chain], pa.int32()),
-                     pa.array(path[:-1], pa.int32()), pa.array(path[1:], pa.int32())], ["doc", "tx", "i", "into", "out"])
-
     def back(batches):
         import pyarrow as pa
 
@@ -306,10 +352,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     chunks = save(giant.select("doc", "tx", F.col("d.text").alias("text")).dropDuplicates(["doc", "tx"])
                   .mapInArrow(cut, "doc long, tx long, n int, i int, left string, body string, right string"), "chunks")
     wide = chunks.repartition("doc", "tx", "i")  # the chunks of a document go to many tasks
-    # the matrices of a document: a few numbers for every CHUNK characters
-    borders = (wide.mapInArrow(cells, "doc long, tx long, n int, i int, a array<int>, b array<int>").groupBy("doc", "tx")
-               .agg(F.sort_array(F.collect_list(F.struct("i", "a", "b"))).alias("chain"))
-               .mapInArrow(scan, "doc long, tx long, i int, into int, out int"))
+    most = chunks.agg(F.max("n")).first()[0] or 1
+    borders = border_states(wide.mapInArrow(cells, "doc long, tx long, n int, i int, a array<int>, b array<int>").drop("n"), most)
     parts = (chunks.join(borders, ["doc", "tx", "i"]).select("doc", "tx", "n", "i", "left", "body", "right", "into", "out")
              .mapInArrow(back, "doc long, tx long, n int, i int, ids array<int>"))
     whole_ids = parts.groupBy("doc", "tx").agg(F.max("n").alias("n_chunks"), F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("p")).select(

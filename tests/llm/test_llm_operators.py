@@ -437,3 +437,38 @@ def test_max_plus_product_is_associative():
     for _ in range(50):
         a, b, c = ({i: {j for j in range(5) if rnd.random() < 0.3} for i in range(5)} for _ in range(3))
         assert product(product(a, b), c) == product(a, product(b, c))
+
+
+@pytest.mark.parametrize("fan", [2, 32])
+def test_sentencepiece_combines_in_rounds(spark, monkeypatch, fan):
+    """Documents of thousands of chunks, through many rounds of matrices."""
+    from ledgerlens.llm import pieces
+    lib = library()
+    monkeypatch.setattr(pieces, "FAN", fan)
+    rnd = random.Random(6)
+    bits = ["the", "tion", " ", "   ", "ing", "\n", "é", "漢", "😀", "er", "ab"]
+    texts = ["".join(rnd.choice(bits) for _ in range(n)) for n in (60000, 60000, 40, 3000, 65)] + [" " * 5000, "ab" * 4000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pieces.encode(d, chunk=64).selectExpr("d.doc_id as doc_id", "n_chunks", "ids").collect()}
+    assert max(r.n_chunks for r in got.values()) > 1500
+    for i, t in enumerate(texts):
+        assert list(got[i].ids) == lib.encode(t)
+
+
+def test_folding_and_solving_agree():
+    """States solved block by block are those solved over the whole chain, where there is one path."""
+    from ledgerlens.llm.pieces import OPEN, folded, solved
+    rnd = random.Random(11)
+    for _ in range(200):
+        states = [OPEN, *(rnd.sample(range(1, 9), 1)[0] for _ in range(11)), OPEN]
+        chain = []
+        for a, b in zip(states, states[1:]):
+            m = {a: {b}}
+            for _ in range(2):  # entries that lead nowhere
+                m.setdefault(rnd.randint(20, 29), set()).add(rnd.randint(1, 8))
+            chain.append(m)
+        assert solved(chain) == states
+        blocks = [chain[i:i + 5] for i in range(0, len(chain), 5)]
+        outer = solved([folded(b) for b in blocks])
+        inner = [solved(b, x, y) for b, x, y in zip(blocks, outer, outer[1:])]
+        assert [s for p in inner for s in p[:-1]] + [OPEN] == states
