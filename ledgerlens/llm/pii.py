@@ -8,8 +8,9 @@ it, and its shape.  Expectation-maximisation over the counts of equal vote
 patterns estimates each labeler's reliability per kind and the probability of
 every pattern; a logistic span classifier over context, gazetteer, shape and
 layout features is fitted to those probabilities and decides about the wider
-candidates.  Base spans always stay; a candidate that overlaps one of its kind
-is not proposed.
+candidates.  Base spans always stay; wider candidates are sought in the text
+with the base spans of their kind blanked, so that none overlaps one and lists
+are walked once.
 
 What the driver sees is the table of vote and feature patterns with counts,
 at most ``CELLS`` rows however many documents there are.
@@ -31,6 +32,8 @@ from ledgerlens.llm.common import lower_ascii, save
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, ROUNDS, STEPS = 40, 40, 300
+BLOCK = 256      # matches whose places are summed together
+FILL = "\x00"    # stands for the characters of base spans; part of no pattern
 CELLS = 4 * 2 * 3 * 3 * 3 * 2 * 3
 
 #: Fixed patterns of the base spans: leftmost matches, as the plain patterns give them.
@@ -60,13 +63,28 @@ CUES = {
 AGAINST = r"(?:version|isbn|issn|order|invoice|serial|article|ref\b|no\.|id\b|page|fig|table|sku|code)"
 
 
-def found(text: Column, pattern: str, needs: str) -> Column:
-    """array<struct<s, e, m, left>> of the leftmost matches: where each starts
-    and ends, the match, and up to CONTEXT characters of the gap before it.
-    The gaps between matches give the places; both lists are made once."""
-    kind = "struct<pos:bigint,out:array<struct<s:bigint,e:bigint,m:string,left:string>>>"
+def given(value: Column, use) -> Column:
+    """``use(value)`` with the value made once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def matched(text: Column, pattern: str, needs: str) -> Column:
+    """array<struct<m, gap>>: the leftmost matches, each with the gap before
+    it, and a last one without a match for the rest of the text."""
     hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    pairs = F.filter(F.arrays_zip(hits.alias("m"), F.split(text, pattern, -1).alias("gap")), lambda x: x["m"].isNotNull())
+    return F.when(F.rlike(text, F.lit(needs)), F.arrays_zip(hits.alias("m"), F.split(text, pattern, -1).alias("gap"))).otherwise(
+        F.array(F.struct(F.lit(None).cast("string").alias("m"), text.alias("gap"))))
+
+
+SPANS = "array<struct<s:bigint,e:bigint,m:string,left:string>>"
+
+
+def placed(pairs: Column) -> Column:
+    """array<struct<s, e, m, left>> of matches with gaps: where each starts and
+    ends, the match, and up to CONTEXT characters of the gap before it.  Places
+    are summed inside blocks of ``BLOCK`` matches first and then shifted by the
+    blocks before, so that no list of all matches is copied for every match."""
+    kind = f"struct<pos:bigint,out:{SPANS}>"
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["gap"])
@@ -74,9 +92,28 @@ def found(text: Column, pattern: str, needs: str) -> Column:
         span = F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"), F.right(x["gap"], F.lit(CONTEXT)).alias("left"))
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out")).cast(kind)
 
-    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().alias("out")).cast(kind)
-    return F.when(F.rlike(text, F.lit(needs)), F.aggregate(pairs, zero, step)["out"]).otherwise(
-        F.array().cast("array<struct<s:bigint,e:bigint,m:string,left:string>>"))
+    def summed(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).cast("long").alias("pos"), F.array().alias("out")).cast(kind), step)
+
+    def shifted(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["pos"])))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), lambda x, at: F.transform(x["out"], lambda y: F.struct(
+            (y["s"] + at).alias("s"), (y["e"] + at).alias("e"), y["m"].alias("m"), y["left"].alias("left")))))
+
+    def all_of(p: Column) -> Column:
+        n = F.size(p)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")),
+                             lambda k: summed(F.slice(p, k * BLOCK + 1, F.lit(BLOCK))))
+        return F.when(n == 0, F.array().cast(SPANS)).when(n <= BLOCK, summed(p)["out"]).otherwise(given(blocks, shifted))
+
+    return given(F.filter(pairs, lambda x: x["m"].isNotNull()), all_of)
+
+
+def without(pairs: Column, drop) -> Column:
+    """The text of matches and gaps, every match that ``drop`` holds for
+    replaced by as many ``FILL`` characters."""
+    return F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.when(x["m"].isNull(), "").when(
+        drop(x["m"]), F.repeat(F.lit(FILL), F.length(x["m"]))).otherwise(x["m"]))), "")
 
 
 def digits(m: Column) -> Column:
@@ -119,7 +156,9 @@ def labelled(kind: str, x: Column, base: bool) -> Column:
         shape = vote(F.rlike(m, F.lit("^[A-Za-z0-9]")), F.rlike(m, F.lit(r"^[.%+-]")))
     elif kind == "ip":
         head = F.regexp_extract(m, "^([0-9]{1,3})", 1).try_cast("int")
-        gazetteer = vote(head.between(1, 223), (head == 0) | (head > 239))
+        six = F.contains(m, F.lit(":"))  # of the longer addresses 2000::/3 is given out
+        gazetteer = vote(F.when(six, F.rlike(m, F.lit("^[23][0-9A-Fa-f]{3}:"))).otherwise(head.between(1, 223)),
+                         F.when(six, F.rlike(m, F.lit("^0{1,4}:"))).otherwise((head == 0) | (head > 239)))
         shape = vote(~F.rlike(m, F.lit(r"(?:^|[.:])0[0-9A-Fa-f]")), F.rlike(m, F.lit(r"^[0-9]\.[0-9]\.[0-9]\.[0-9]$")))
     elif kind == "card":
         gazetteer = vote(F.rlike(d, F.lit("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|62)")), F.rlike(d, F.lit("^[0179]")))
@@ -144,16 +183,19 @@ def candidates(docs: DataFrame) -> DataFrame:
     t = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def base(k: str) -> Column:
-        return F.filter(found(F.col("text"), BASE[k], NEEDS[k]), lambda x: valid(k, x["m"])).alias(f"b_{k}")
+        return F.filter(placed(F.col(f"p_{k}")), lambda x: valid(k, x["m"])).alias(f"b_{k}")
 
     def wide(k: str) -> Column:
-        return found(F.col("text"), WIDE[k], NEEDS[k]).alias(f"w_{k}")
+        # a wider candidate lies in what the base spans of its kind leave of the text
+        rest = F.when(F.size(f"b_{k}") == 0, F.col("text")).otherwise(without(F.col(f"p_{k}"), lambda m: valid(k, m)))
+        return placed(given(rest, lambda r: matched(r, WIDE[k], NEEDS[k]))).alias(f"w_{k}")
 
     def both(k: str) -> Column:
-        apart = F.filter(f"w_{k}", lambda x: ~F.exists(f"b_{k}", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-        return F.concat(F.transform(f"b_{k}", lambda x: labelled(k, x, True)), F.transform(apart, lambda x: labelled(k, x, False)))
+        return F.concat(F.transform(f"b_{k}", lambda x: labelled(k, x, True)), F.transform(f"w_{k}", lambda x: labelled(k, x, False)))
 
-    got = t.select("doc_id", *[base(k) for k in KINDS], *[wide(k) for k in KINDS])
+    got = t.select("*", *[matched(F.col("text"), BASE[k], NEEDS[k]).alias(f"p_{k}") for k in KINDS])
+    got = got.select("*", *[base(k) for k in KINDS])
+    got = got.select("doc_id", *[f"b_{k}" for k in KINDS], *[wide(k) for k in KINDS])
     return got.select("doc_id", F.concat(*[both(k) for k in KINDS]).alias("spans"))
 
 
