@@ -25,21 +25,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.session import cut_lineage
+
 ASSIGN_SCHEMA = "unit string, atelier string, path string"
 
 
 def candidates(files: DataFrame, ateliers: DataFrame, mode: str = "files_first") -> DataFrame:
     """files(unit, path, file_name, file_pos), ateliers(unit, atelier, keyword, atelier_pos)."""
-    name = F.lower(F.col("f.file_name"))
+    name, kw = F.col("f._name"), F.col("a._kw")
     if mode == "files_first":
-        kw = F.lower(F.col("a.keyword"))
+        a = ateliers.withColumn("_kw", F.lower("keyword"))
         pred = name.contains(kw)
     else:
-        kw = F.lower(F.trim(F.col("a.keyword")))
-        words = F.split(kw, r"\s+")
-        pred = name.contains(kw) | F.forall(words, lambda w: name.contains(w))
-    a = ateliers.alias("a")
-    return (files.alias("f").join(a, (F.col("f.unit") == F.col("a.unit")) & pred)
+        a = ateliers.withColumn("_kw", F.lower(F.trim("keyword")))
+        a = a.withColumn("_words", F.split("_kw", r"\s+"))
+        pred = name.contains(kw) | F.forall("a._words", lambda w: name.contains(w))
+    # texts are made ready once per row (written, or they move into the join and are made per pair)
+    f = cut_lineage(files.withColumn("_name", F.lower("file_name")), "match-files").alias("f")
+    a = cut_lineage(a, "match-ateliers").alias("a")
+    return (f.join(a, (F.col("f.unit") == F.col("a.unit")) & pred)
             .select("f.unit", "f.path", "f.file_pos", "a.atelier", "a.atelier_pos"))
 
 
@@ -79,6 +83,7 @@ def assign(files: DataFrame, ateliers: DataFrame, mode: str = "files_first") ->
 
 def unmatched(files: DataFrame, ateliers: DataFrame, assigned: DataFrame) -> DataFrame:
     """Files left without an atelier and ateliers left without a file."""
+    assigned = cut_lineage(assigned, "assigned")  # read twice
     uf = (files.join(assigned.select("unit", "path"), ["unit", "path"], "left_anti")
           .select("unit", F.lit("file").alias("kind"), F.col("file_name").alias("name")))
     ua = (ateliers.join(assigned.select("unit", "atelier"), ["unit", "atelier"], "left_anti")

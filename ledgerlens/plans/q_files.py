@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import matching as M
 from ledgerlens.plans.registry import cte, query
+from ledgerlens.session import cut_lineage
 from ledgerlens.sources import files as FL
 from ledgerlens.sources.tables import read_table
 
@@ -27,7 +28,9 @@ _PERIOD_RE = "(?i)stock\\s*(\\d{1,2})\\s*[-_\\s]\\s*(\\d{4})"
 
 def _months(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders")
-    return o.select(F.month("o_orderdate").alias("m"), F.year("o_orderdate").alias("y")).distinct()
+    # written: filters on names made of the months would move in front of the
+    # distinct otherwise, and be computed for every order
+    return cut_lineage(o.select(F.month("o_orderdate").alias("m"), F.year("o_orderdate").alias("y")).distinct(), "months")
 
 
 def _names(spark, sf_dir):
@@ -144,7 +147,7 @@ def _match_inputs(spark, sf_dir):
                         .alias("atelier")).distinct()
     ateliers = ateliers.withColumn("keyword", F.col("atelier")).withColumn(
         "atelier_pos", F.row_number().over(Window.partitionBy("unit").orderBy("atelier")))
-    return files, ateliers
+    return cut_lineage(files, "unit-files"), cut_lineage(ateliers, "unit-ateliers")
 
 
 @query("match_files", _greedy_sql(False) + "SELECT unit, atelier, path FROM chosen")

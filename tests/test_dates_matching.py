@@ -91,3 +91,21 @@ def test_dates_through_a_dictionary_equal_dates_by_line(spark, monkeypatch):
     one = run()
     monkeypatch.setattr(D, "DICTIONARY_ROWS", 1)
     assert one == run() and len(one) == len(rows)
+
+
+def test_month_names_are_made_of_distinct_months(spark):
+    """The texts of file names and their regexes are computed per month, not
+    per order: no filter on them stands in front of the distinct."""
+    from conftest import SF_SMALL
+    from ledgerlens.plans.catalog import QUERIES
+    for name in ("snapshot_roles", "filename_period"):
+        plan = QUERIES[name].build(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "orders.parquet" not in plan
+
+
+def test_unmatched_assigns_once(spark):
+    """The greedy assignment is computed once, not for each side."""
+    from conftest import SF_SMALL
+    from ledgerlens.plans.catalog import QUERIES
+    plan = QUERIES["unmatched"].build(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "part.parquet" not in plan
