@@ -89,14 +89,18 @@ def serial_date_columns(df: DataFrame, group: Sequence[str], value_col: str) ->
     reaches the middle; when a middle pair straddles a bound (even n) the two
     middle values are the max below / min above that bound.
     """
+    return _serial(dictionary(df, group, value_col), group, value_col)
+
+
+def _serial(texts: DataFrame, group: Sequence[str], value_col: str) -> DataFrame:
     s = strip_text(F.col(value_col).cast("string"))
     x = F.when(s != "", s).try_cast("decimal(38,10)").cast("double")
     lo_b, hi_b = float(SERIAL_MEDIAN_LOW), float(SERIAL_MEDIAN_HIGH)
-    agg = (df.where(F.col(value_col).isNotNull() & (s != ""))
+    times = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0))
+    agg = (texts.where(s != "")
            .groupBy(*group).agg(
-               F.count(F.lit(1)).alias("n"), F.count(x).alias("n_num"),
-               F.sum(F.when(x < lo_b, 1).otherwise(0)).alias("lo"),
-               F.sum(F.when(x > hi_b, 1).otherwise(0)).alias("hi"),
+               F.sum("_n").alias("n"), times(x.isNotNull()).alias("n_num"),
+               times(x < lo_b).alias("lo"), times(x > hi_b).alias("hi"),
                F.max(F.when(x < lo_b, x)).alias("a_lo"), F.min(F.when(x >= lo_b, x)).alias("b_lo"),
                F.max(F.when(x <= hi_b, x)).alias("a_hi"), F.min(F.when(x > hi_b, x)).alias("b_hi")))
     n, lo, hi = F.col("n"), F.col("lo"), F.col("hi")
@@ -115,9 +119,15 @@ def serial_date_columns(df: DataFrame, group: Sequence[str], value_col: str) ->
 
 def coerce_dates(df: DataFrame, group: Sequence[str], value_col: str, out: str = "mov_date") -> DataFrame:
     """Serial numbers where the column passes the gate, else day-first text."""
-    gate = checked_broadcast(serial_date_columns(df, group, value_col))
-    j = df.join(gate, list(group), "left").fillna(False, ["is_serial"])
+    texts = dictionary(df, group, value_col)
+    gate = checked_broadcast(_serial(texts, group, value_col))
+    gated = lambda rows: rows.join(gate, list(group), "left").fillna(False, ["is_serial"])
     s = strip_text(F.col(value_col).cast("string"))
     num = F.when(s != "", s).try_cast("decimal(38,10)").cast("double")
-    return j.withColumn(out, F.when(F.col("is_serial"), excel_serial_to_date(num))
-                        .otherwise(parse_dayfirst(F.col(value_col))))
+    date = F.when(F.col("is_serial"), excel_serial_to_date(num)).otherwise(parse_dayfirst(F.col(value_col)))
+    j = gated(df)
+    if texts.count() > DICTIONARY_ROWS:
+        return j.withColumn(out, date)
+    dates = gated(texts).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(group)], F.col(value_col).alias("_text"), date.alias(out))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(group)]
+    return j.join(checked_broadcast(dates), [*same, F.col(value_col) == F.col("_text")], "left").select(*j.columns, out)

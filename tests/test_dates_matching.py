@@ -109,3 +109,15 @@ def test_unmatched_assigns_once(spark):
     from ledgerlens.plans.catalog import QUERIES
     plan = QUERIES["unmatched"].build(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and "part.parquet" not in plan
+
+
+def test_serial_dates_are_parsed_once_per_text(spark):
+    """Dates come from the distinct texts, rows of a null group and repeats of
+    a value included (its repeats count for the median)."""
+    from ledgerlens.operators.dates import coerce_dates
+    rows = [("s", "45000")] * 3 + [("s", "1"), ("s", None), ("s", " ")] + [("t", "1")] * 3 + [("t", "45000"), (None, "2/1/2024"), ("t", "3/1/2024")]
+    out = coerce_dates(spark.createDataFrame(rows, "f string, v string"), ["f"], "v")
+    assert "RLike" not in out._jdf.queryExecution().optimizedPlan().toString() and "RLIKE" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((str(r.f), str(r.v), str(r.mov_date)) for r in out.collect())
+    assert got == sorted([("s", "45000", "2023-03-15")] * 3 + [("s", "1", "1899-12-31"), ("s", "None", "None"), ("s", " ", "None")]
+                         + [("t", "1", "None")] * 3 + [("t", "45000", "None"), ("None", "2/1/2024", "2024-01-02"), ("t", "3/1/2024", "2024-01-03")])
