@@ -19,7 +19,7 @@ from ledgerlens.operators.sheets import restrict, sheet_by_keywords, sheet_from_
 from ledgerlens.plans import sql_grid as SG
 from ledgerlens.plans.profiles import aliases
 from ledgerlens.plans.registry import query
-from ledgerlens.session import checked_broadcast, cut_lineage, stage
+from ledgerlens.session import checked_broadcast, stage
 from ledgerlens.sources import grids as G
 
 KEYS = ["file_id", "sheet"]
@@ -246,8 +246,8 @@ def csv_sniff(spark, sf_dir):
     from ledgerlens.sources.csv_grid import csv_grid, decoded, read_lines, sniff
     out = fresh_output(spark, "csv-ledgers")
     G.csv_ledger_files(spark, sf_dir, out)
-    lines = read_lines(spark, out, "*").withColumn("file_id", F.regexp_extract("file_id", "path=([^/]*)/", 1))
-    text = cut_lineage(decoded(lines), "csv-lines")
+    lines = read_lines(spark, out, "*").withColumn("file_id", F.substring_index("file_id", "path=", -1))
+    text = decoded(lines)
     seps = checked_broadcast(sniff(text), "csv-separators")
     grid = csv_grid(text, seps)
     stats = grid.groupBy("file_id").agg(

@@ -75,9 +75,12 @@ def read_lines(spark: SparkSession, paths, names: str = "*.[cC][sS][vV]") -> Dat
     """(file_id, block, id, raw): the physical lines of the files among
     ``paths`` with such names; (block, id) is their order in the file."""
     text = spark.read.option("pathGlobFilter", names).text(paths)
-    # the path as the other sources give it, without URL escapes
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return text.select(F.regexp_replace(path, "^file:/+", "/").alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
+    # the path as the other sources give it, without URL escapes; per line, so
+    # without a regex
+    path = F.col("_metadata.file_path")
+    path = F.when(F.instr(path, "%") > 0, F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
+    local = F.concat(F.lit("/"), F.ltrim(F.substr(path, F.lit(len("file:/") + 1)), F.lit("/")))
+    return text.select(F.when(F.startswith(path, F.lit("file:/")), local).otherwise(path).alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
                        F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("raw"))
 
 
@@ -88,45 +91,100 @@ def lines_of(files: DataFrame) -> DataFrame:
         "file_id", F.lit(0).cast("long").alias("block"), F.col("id").cast("long").alias("id"), F.encode("chars", "ISO-8859-1").alias("raw"))
 
 
+def _latin(raw: Column) -> Column:
+    return F.translate(F.decode(raw, "ISO-8859-1"), _LATIN1_HIGH, _CP1252_HIGH)
+
+
+def _without(mark: str, text: Column) -> Column:
+    return F.when(F.startswith(text, F.lit(mark)), F.substr(text, F.lit(len(mark) + 1))).otherwise(text)
+
+
 def decoded(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``text`` in place of the bytes, written once."""
-    raw = cut_lineage(lines.withColumn("utf8", F.is_valid_utf8(F.col("raw").cast("string"))), "csv-raw")
-    files = checked_broadcast(raw.groupBy("file_id").agg(F.every("utf8").alias("as_utf8")), "csv-encodings")
-    latin = F.translate(F.decode("raw", "ISO-8859-1"), _LATIN1_HIGH, _CP1252_HIGH)
-    text = F.when(F.col("as_utf8"), F.regexp_replace(F.col("raw").cast("string"), "^﻿", "")).otherwise(F.regexp_replace(latin, "^ï»¿", ""))
-    return raw.join(files, "file_id").select("file_id", "block", "id", text.alias("text"))
+    """``lines`` with ``text`` in place of the bytes, written once.  A line is
+    written as its own bytes decode; in a file with other lines that are no
+    UTF-8, those that are by chance are turned when they are read (most are
+    ASCII, the same in both)."""
+    plain = F.col("raw").cast("string")
+    text = F.when(F.col("utf8"), _without("\ufeff", plain)).otherwise(_without("ï»¿", _latin(F.col("raw"))))
+    own = cut_lineage(lines.withColumn("utf8", F.is_valid_utf8(plain)).select("file_id", "block", "id", "utf8", text.alias("text")), "csv-raw")
+    other = checked_broadcast(own.where("not utf8").select("file_id").distinct(), "csv-encodings").withColumn("as_latin", F.lit(True))
+    turned = F.col("as_latin") & F.col("utf8") & (F.octet_length("text") != F.length("text"))
+    return own.join(other, "file_id", "left").select(
+        "file_id", "block", "id", F.when(turned, _latin(F.encode("text", "UTF-8"))).otherwise(F.col("text")).alias("text"))
 
 
 def sniff(text: DataFrame) -> DataFrame:
-    """(file_id, sep) of decoded lines: one hash aggregate over all of them."""
+    """(file_id, sep) of decoded lines: one hash aggregate over all of them,
+    by block and by the widths under every candidate; its first row of a file
+    is the one with the file's first line."""
     def width(s: str) -> Column:
-        plain = F.length("text") - F.length(F.translate("text", s, ""))
+        plain = F.octet_length("text") - F.octet_length(F.replace("text", F.lit(s), F.lit("")))
         quoted = F.regexp_count(F.concat(F.lit(s), F.col("text")), F.lit(_pattern(_CUT, s))) - 1
-        return F.when(F.instr("text", '"') > 0, quoted).otherwise(plain) + 1
-
-    tries = F.array(*[F.struct(F.lit(i).alias("turn"), width(s).cast("long").alias("width")) for i, s in enumerate(SEPARATORS)])
-    filled = text.where(F.trim("text") != "")
-    lines = filled.select("file_id", F.explode(tries).alias("t"))
-    fits = lines.groupBy("file_id", "t").agg(F.count(F.lit(1)).alias("n")).where("t.width > 1")
-    # the first line: one number a file, in a type that hash aggregates keep in place
-    at = F.col("block").cast("decimal(38,0)") * F.expr("9223372036854775808BD") + F.col("id")
-    first = checked_broadcast(filled.groupBy("file_id").agg(F.min(at).alias("at")), "csv-firsts")
-    heads = filled.withColumn("at", at).join(first, ["file_id", "at"]).select("file_id", F.explode(tries).alias("t")).withColumn("head", F.lit(True))
+        return F.when((plain > 0) & (F.instr("text", '"') > 0), quoted).otherwise(plain) + 1
+
+    names = [f"w{i}" for i in range(len(SEPARATORS))]
+    widths = text.where(F.trim("text") != "").select("file_id", "block", "id", *[width(s).cast("long").alias(w) for w, s in zip(names, SEPARATORS)])
+    widths = cut_lineage(widths.groupBy("file_id", "block", *names).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")), "csv-widths")
+    tries = F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.col(w).alias("width")) for i, w in enumerate(names)])).alias("t")
+    fits = widths.select("file_id", "n", tries).groupBy("file_id", "t").agg(F.sum("n").alias("n")).where("t.width > 1")
+    first = widths.groupBy("file_id").agg(F.min_by(F.struct(*names), F.struct("block", "id")).alias("w"))
+    heads = first.select("file_id", "w.*").select("file_id", tries, F.lit(True).alias("head"))
     score = F.struct(F.when(F.col("head"), F.col("n")).otherwise(0), F.col("n") * (F.col("t.width") - 1), "t.width", -F.col("t.turn"))
     best = fits.join(heads, ["file_id", "t"], "left").groupBy("file_id").agg(F.max_by("t.turn", score).alias("turn"))
     seps = F.array(*[F.lit(s) for s in SEPARATORS])
-    return first.select("file_id").join(best, "file_id", "left").select("file_id", F.coalesce(F.get(seps, F.col("turn")), F.lit(",")).alias("sep"))
+    return widths.select("file_id").distinct().join(best, "file_id", "left").select("file_id", F.coalesce(F.get(seps, F.col("turn")), F.lit(",")).alias("sep"))
 
 
 def _before(value: Column, w) -> Column:
     return value.over(w.rowsBetween(Window.unboundedPreceding, -1))
 
 
+def _by_line():
+    return Window.partitionBy("file_id", "block").orderBy("id")
+
+
+def _by_block():
+    return Window.partitionBy("file_id").orderBy("block")  # a row per block of a file
+
+
+def _odd(c: Column) -> Column:
+    return c % 2 == 1
+
+
+def _states(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``turns`` and ``known``: the state before a line is the
+    last state that does not depend on what was before it (``known``), turned
+    round by every swap (``turns`` of them so far in the block)."""
+    turns = lines.withColumn("turns", F.coalesce(_before(F.sum(F.when(F.col("out") & ~F.col("in"), 1).otherwise(0)), _by_line()), F.lit(0)))
+    sure = F.when(F.col("out") == F.col("in"), F.col("out") != _odd(F.col("turns")))
+    return turns.withColumn("sure", sure).withColumn("known", _before(F.last("sure", ignorenulls=True), _by_line()))
+
+
+def _entries(lines: DataFrame) -> DataFrame:
+    """(file_id, block, entry) of the files of several blocks: is the begin of
+    the block inside quotes.  Only lines that are not left in the state they
+    are entered in count."""
+    several = checked_broadcast(lines.where("block > 0").select("file_id").distinct(), "csv-several")
+    here = lines.join(several, "file_id", "left_semi")
+    scan = _states(here.where("out or not in").select("file_id", "block", "id", "out", "in"))
+    blocks = scan.groupBy("file_id", "block").agg(F.max(F.when(F.col("sure").isNotNull(), F.struct("id", "sure"))).alias("last"),
+                                                  (F.sum(F.when(F.col("out") & ~F.col("in"), 1).otherwise(0)) % 2).alias("swap"))
+    blocks = here.select("file_id", "block").distinct().join(blocks, ["file_id", "block"], "left").withColumn("swap", F.coalesce("swap", F.lit(0)))
+    blocks = blocks.withColumn("swaps", F.when(F.col("last").isNull(), F.col("swap")).otherwise(0))
+    blocks = blocks.withColumn("turns", F.coalesce(_before(F.sum("swaps"), _by_block()), F.lit(0)))
+    blocks = blocks.withColumn("sure", F.when(F.col("last").isNotNull(), F.struct(
+        "block", (F.col("last.sure") != _odd(F.col("swap"))).alias("exit"), "turns")))
+    blocks = blocks.withColumn("known", _before(F.max("sure"), _by_block()))
+    entry = F.coalesce(F.col("known.exit") != _odd(F.col("turns") - F.col("known.turns")), _odd(F.col("turns")))
+    return checked_broadcast(blocks.select("file_id", "block", entry.alias("entry")), "csv-entries")
+
+
 def records(text: DataFrame, seps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file_id, row_idx, sep, record) of decoded lines, and (file_id, block,
-    id) of the line that opens a field the file never closes."""
-    line = Window.partitionBy("file_id", "block").orderBy("id")
-    block = Window.partitionBy("file_id").orderBy("block")  # a row per block of a file
+    id) of the line that opens a field the file never closes.
+
+    The lines are shuffled once, by block: their states and their row numbers
+    in the block come from the same sorted rows."""
     quotes = F.instr("text", '"') > 0
 
     def ends(template: str, otherwise: bool) -> Column:
@@ -134,43 +192,39 @@ def records(text: DataFrame, seps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # out / in: is the end of the line inside quotes, if its start is outside / inside
     lines = text.join(seps, "file_id").withColumn("out", ends(_STAYS_OPEN, False)).withColumn("in", ends(_STILL_OPEN, True))
-    swaps = F.when(F.col("out") & ~F.col("in"), 1).otherwise(0)
-    odd = lambda c: c % 2 == 1
-    # the state before a line is the last state that does not depend on what
-    # was before it, turned round by every swap since
-    scan = lines.withColumn("turns", F.coalesce(_before(F.sum(swaps), line), F.lit(0)))
-    sure = F.when(F.col("out") == F.col("in"), F.struct("id", (F.col("out") != odd(F.col("turns"))).alias("state")))
-    scan = cut_lineage(scan.withColumn("sure", sure).withColumn("known", _before(F.max("sure"), line)).withColumn("swap", swaps), "csv-scan")
-    blocks = scan.groupBy("file_id", "block").agg(F.max("sure").alias("last"), (F.sum("swap") % 2).alias("swap"))
-    blocks = blocks.withColumn("swaps", F.when(F.col("last").isNull(), F.col("swap")).otherwise(0))
-    blocks = blocks.withColumn("turns", F.coalesce(_before(F.sum("swaps"), block), F.lit(0)))
-    blocks = blocks.withColumn("sure", F.when(F.col("last").isNotNull(), F.struct(
-        "block", (F.col("last.state") != odd(F.col("swap")) ).alias("exit"), "turns")))
-    blocks = blocks.withColumn("known", _before(F.max("sure"), block))
-    entry = F.coalesce(F.col("known.exit") != odd(F.col("turns") - F.col("known.turns")), odd(F.col("turns")))
-    entries = checked_broadcast(blocks.select("file_id", "block", entry.alias("entry")), "csv-entries")
-    state = F.coalesce("known.state", "entry") != odd(F.col("turns"))
-    cut = scan.join(entries, ["file_id", "block"]).withColumn("inside", state).withColumn(
-        "open", F.when(F.col("inside"), F.col("in")).otherwise(F.col("out"))).select("file_id", "block", "id", "sep", "text", "inside", "open")
+    filled = F.trim("text") != ""
+    upto = _by_line().rowsBetween(Window.unboundedPreceding, 0)
+    state = F.coalesce("known", F.coalesce("entry", F.lit(False))) != _odd(F.col("turns"))
+    cut = _states(lines).join(_entries(lines), ["file_id", "block"], "left").withColumn("inside", state)
+    cut = cut.withColumn("open", F.when(F.col("inside"), F.col("in")).otherwise(F.col("out")))
+    # n: rows so far in the block; m: lines so far that are not blank
+    row = ~F.col("inside") & (F.col("open") | filled)
+    cut = cut.select("file_id", "block", "id", "sep", "text", "inside", "open", F.sum(row.cast("long")).over(upto).alias("n"),
+                     F.sum(filled.cast("long")).over(upto).alias("m"))
+    cut = cut_lineage(cut, "csv-cut")
+    outside = lambda c: F.max(F.when(~F.col("inside"), F.col(c)))
+    blocks = cut.groupBy("file_id", "block").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max_by("open", "id").alias("open"), outside("id").alias("head"),
+                                                 outside("n").alias("head_n"), outside("m").alias("head_m"))
+    blocks = cut_lineage(blocks, "csv-blocks")
     # a file that ends inside quotes: the line that opened them, and all behind it, stand alone
-    last = cut.groupBy("file_id").agg(F.max(F.struct("block", "id", "open")).alias("last"),
-                                      F.max(F.when(~F.col("inside"), F.struct("block", "id"))).alias("head"))
-    never = checked_broadcast(last.where("last.open").select("file_id", "head"), "csv-unclosed")
-    cut = cut.join(never, "file_id", "left")
-    alone = F.coalesce(F.struct("block", "id") >= F.col("head"), F.lit(False))
-    cut = cut.withColumn("inside", F.col("inside") & ~alone).withColumn("open", F.col("open") & ~alone).drop("head")
-    cut = cut.withColumn("row", ~F.col("inside") & (F.col("open") | (F.trim("text") != "")))
-    here = cut.withColumn("n", F.sum(F.col("row").cast("long")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    here = cut_lineage(here, "csv-cut")
-    counts = here.groupBy("file_id", "block").agg(F.max("n").alias("rows"))
-    offsets = checked_broadcast(counts.select("file_id", "block", F.coalesce(_before(F.sum("rows"), block), F.lit(0)).alias("first")), "csv-offsets")
-    numbered = here.join(offsets, ["file_id", "block"]).withColumn("row_idx", F.col("first") + F.col("n") - 1)
-    single = numbered.where("row and not open").select("file_id", "row_idx", "sep", F.col("text").alias("record"))
+    last = blocks.groupBy("file_id").agg(F.max_by("open", "block").alias("open"), F.max(F.when(F.col("head").isNotNull(), F.struct(
+        F.col("block").alias("head_block"), "head", "head_n", "head_m"))).alias("head"))
+    never = checked_broadcast(last.where("open").select("file_id", "head.*"), "csv-unclosed")
+    known = blocks.select("file_id", "block", "n", "m").join(never, "file_id", "left")
+    alone = (F.when(F.col("block") == F.col("head_block"), F.col("head_n") + F.col("m") - F.col("head_m"))
+             .when(F.col("block") > F.col("head_block"), F.col("m")))
+    first = F.coalesce(_before(F.sum(F.coalesce(alone, F.col("n"))), _by_block()), F.lit(0))
+    offsets = checked_broadcast(known.select("file_id", "block", first.alias("first"), "head_block", "head", "head_n", "head_m"), "csv-offsets")
+    here = cut.join(offsets, ["file_id", "block"])
+    apart = F.coalesce(F.struct("block", "id") >= F.struct("head_block", "head"), F.lit(False)) & F.col("head_block").isNotNull()
+    here = here.withColumn("row_idx", F.col("first") + F.when(apart, alone).otherwise(F.col("n")) - 1)
+    here = here.withColumn("joined", (F.col("inside") | F.col("open")) & ~apart)
+    single = here.where(~F.col("joined") & filled).select("file_id", "row_idx", "sep", F.col("text").alias("record"))
     # a line inside quotes has the number of the record it belongs to
-    several = numbered.where("inside or open").groupBy("file_id", "row_idx", "sep").agg(
+    several = here.where("joined").groupBy("file_id", "row_idx", "sep").agg(
         F.sort_array(F.collect_list(F.struct("block", "id", "text"))).alias("parts"))
     whole = several.select("file_id", "row_idx", "sep", F.array_join("parts.text", "\n").alias("record"))
-    return single.union(whole), never.select("file_id", "head.*")
+    return single.union(whole), never.select("file_id", F.col("head_block").alias("block"), F.col("head").alias("id"))
 
 
 def _fields(record: Column, sep: Column) -> Column:

@@ -187,32 +187,70 @@ CSV_BLOCK = 1000
 CSV_HEADER = ["Date", "REFERENCE", "Qté", "STOCK", "LOCALISATION"]
 
 
-def csv_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
+#: Characters of a name that its file writes as %XX, and the name for NULL.
+CSV_ESCAPED = {chr(c): f"%{c:02X}" for c in [*range(1, 32), 127, *map(ord, "\"#%'*/:=?\\{[]^")]}
+CSV_NULL = "__HIVE_DEFAULT_PARTITION__"
+
+
+def csv_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> DataFrame:
     """Write the ledger as CSV files into the shared folder ``out_dir``, the
-    file of a name in the folder ``path=<name>``.  Parts carry inch marks, and
-    quoted texts with delimiters, doubled quotes and line breaks."""
+    file of a name as ``path=<name>``.  Parts carry inch marks, and quoted
+    texts with delimiters, doubled quotes and line breaks.  A task writes the
+    files it holds one after the other, each line by line, so a file may have
+    any size.  Returns (file, rows) per file."""
+    from itertools import groupby
+    from urllib.parse import quote
+
+    from ledgerlens.operators.sinks import new_file
+    from ledgerlens.session import cut_lineage, ship_package
     from ledgerlens.sources.csv_grid import SEPARATORS
-    li = read_table(spark, sf_dir, "lineitem")
-    block = (F.col("l_orderkey") / CSV_BLOCK).cast("long")
+    ship_package(spark)
+    li = read_table(spark, sf_dir, "lineitem").withColumn("block", (F.col("l_orderkey") / CSV_BLOCK).cast("long"))
     sep = F.element_at(F.array(*[F.lit(s) for s in SEPARATORS]), (F.col("block") % len(SEPARATORS)).cast("int") + 1)
     qty = F.col("l_quantity").cast("decimal(18,2)").cast("string")
-    qty = F.when(F.col("sep") == ";", F.regexp_replace(qty, r"\.", ",")).otherwise(qty)
+    qty = F.when(F.col("sep") == ";", F.replace(qty, F.lit("."), F.lit(","))).otherwise(qty)
     ref = F.col("l_orderkey").cast("string")
     ref = F.when(F.col("sep") == ",", F.concat(F.lit('"'), ref, F.lit('"'))).otherwise(ref)
     n = F.col("l_linenumber")
     part = (F.when(n == 3, 'PIPE 5" STEEL').when(n == 5, F.concat(F.lit('"5"" pipe'), "sep", F.lit('steel\n\ncut"'))).otherwise("part"))
-    path = F.concat(F.lit("csv_"), F.col("l_returnflag"), F.col("l_linestatus"), F.lit("_"), F.col("block").cast("string"))
-    lines = li.withColumn("block", block).withColumn("sep", sep).select(
-        path.alias("path"), "block", "sep", F.col("l_orderkey").alias("at"), F.col("l_linenumber").cast("int").alias("n"),
-        F.concat_ws("", F.date_format(F.col("l_shipdate").cast("date"), "d/M/yyyy"), "sep", ref, "sep", part, "sep", qty, "sep", "l_returnflag").alias("line"))
+    path = F.coalesce(F.concat(F.lit("csv_"), F.col("l_returnflag"), F.col("l_linestatus"), F.lit("_"), F.col("block").cast("string")), F.lit(CSV_NULL))
+    path = F.when(path != "", path).otherwise(CSV_NULL).alias("path")
     latin = F.col("block") % 3 == 0
+
+    def encoded(line):
+        return F.when(latin, F.encode(line, "ISO-8859-1")).otherwise(F.encode(line, "UTF-8")).alias("line")
+
+    line = F.concat_ws("", F.date_format(F.col("l_shipdate").cast("date"), "d/M/yyyy"), "sep", ref, "sep", part, "sep", qty, "sep", "l_returnflag")
+    lines = li.withColumn("sep", sep).select(path, F.col("l_orderkey").alias("at"), F.col("l_linenumber").cast("int").alias("n"), encoded(line))
     head = F.expr("array_join(array(" + ", ".join(f"'{h}'" for h in CSV_HEADER) + "), sep)")
-    heads = lines.select("path", "block", "sep").distinct().select(
-        "path", "block", "sep", F.lit(-1).cast("long").alias("at"), F.lit(0).alias("n"),
-        F.when(latin, head).otherwise(F.concat(F.lit("\ufeff"), head)).alias("line"))
-    both = lines.unionByName(heads).withColumn("line", F.when(latin, F.encode("line", "ISO-8859-1").cast("string")).otherwise(F.col("line")))
-    (both.repartition("path").sortWithinPartitions("path", "at", "n").select("path", "line")
-     .write.mode("overwrite").partitionBy("path").text(out_dir))
+    heads = li.select("l_returnflag", "l_linestatus", "block").distinct().withColumn("sep", sep).select(
+        path, F.lit(-1).cast("long").alias("at"), F.lit(0).alias("n"), encoded(F.when(latin, head).otherwise(F.concat(F.lit("\ufeff"), head)))).distinct()
+
+    def write(batches):
+        import pyarrow as pa
+
+        def runs():
+            for b in batches:
+                at = 0
+                for name, run in groupby(b.column(0).to_pylist()):
+                    n = sum(1 for _ in run)
+                    yield name, b.column(1).slice(at, n).to_pylist()
+                    at += n
+
+        done = []
+        for name, parts in groupby(runs(), key=lambda r: r[0]):
+            rows = 0
+            escaped = "".join(CSV_ESCAPED.get(c, c) for c in name)
+            with new_file(f"{out_dir}/path={quote(escaped)}") as out:  # a URI
+                for _, part in parts:
+                    out.write(b"\n".join(x or b"" for x in part) + b"\n")
+                    rows += len(part)
+            done.append((name, rows))
+        if done:
+            yield pa.RecordBatch.from_pydict({"file": [f for f, _ in done], "rows": pa.array([r for _, r in done], pa.int64())})
+
+    ordered = lines.unionByName(heads).repartition("path").sortWithinPartitions("path", "at", "n")
+    return cut_lineage(ordered.select("path", "line").mapInArrow(write, "file string, rows long"), "csv-files")
 
 
 def xlsx_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> DataFrame:

@@ -252,3 +252,27 @@ def test_inch_marks_keep_their_rows(spark):
         fh.write(b'Date;REF;QTE\n1/2/2025;A;1\n2/2/2025;PIPE 5" STEEL;2\n3/2/2025;B;3\n4/2/2025;C;4\n')
     rows = read_csv_grid(spark, d + "/*.csv").orderBy("row_idx").collect()
     assert [r.cells[1] for r in rows] == ["REF", "A", 'PIPE 5" STEEL', "B", "C"]
+
+
+def test_csv_ledgers_are_files_of_one_folder(spark):
+    """Not a folder per file; a file without a name takes all lines that have
+    none, and lines are in the order of their keys."""
+    from ledgerlens.sources.grids import csv_ledger_files
+    d, out = tmpdir(), sinks.fresh_output(spark, "t-ledgers")
+    rows = [(k, n, 1.5, f, "F", "1998-06-01") for k, f in ((7, "A"), (1002, "A"), (3001, "N:"), (5, None)) for n in (2, 1, 3)]
+    li = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, d string")
+    li.withColumn("l_shipdate", F.col("d").cast("timestamp_ntz")).repartition(3).write.parquet(d + "/lineitem.parquet")
+    made = {r.file: r.rows for r in csv_ledger_files(spark, d, out).collect()}
+    assert made == {"csv_AF_0": 4, "csv_AF_1": 4, "csv_N:F_3": 4, "__HIVE_DEFAULT_PARTITION__": 4}
+    assert sorted(os.listdir(out)) == ["path=__HIVE_DEFAULT_PARTITION__", "path=csv_AF_0", "path=csv_AF_1", "path=csv_N%3AF_3"]
+    assert open(out + "/path=csv_AF_0", "rb").read() == 'Date;REFERENCE;Qté;STOCK;LOCALISATION\n1/6/1998;7;part;1,50;A\n1/6/1998;7;part;1,50;A\n1/6/1998;7;PIPE 5" STEEL;1,50;A\n'.encode("latin-1")
+    assert open(out + "/path=csv_AF_1", "rb").read().startswith('﻿Date,REFERENCE,Qté,STOCK,LOCALISATION\n1/6/1998,"1002",part,1.50,A\n'.encode())
+
+
+def test_csv_lines_of_mixed_encodings(spark):
+    """In a file that is no UTF-8 a line that is by chance is not read as such."""
+    from ledgerlens.sources.csv_grid import csv_grid, lines_of
+    files = [("a.csv", b"\xef\xbb\xbfDate;REF\n1;\xc3\xa9\n2;\xe9\n3;x\n"), ("b.csv", b"\xef\xbb\xbfDate;REF\n1;\xc3\xa9\n")]
+    got = {(r.file_id, r.row_idx): r.cells for r in csv_grid(lines_of(spark.createDataFrame(files, "path string, content binary"))).collect()}
+    assert [got["a.csv", i] for i in range(4)] == [["Date", "REF"], ["1", "Ã©"], ["2", "é"], ["3", "x"]]
+    assert [got["b.csv", i] for i in range(2)] == [["Date", "REF"], ["1", "é"]]
