@@ -250,8 +250,10 @@ def csv_sniff(spark, sf_dir):
     text = decoded(lines)
     seps = checked_broadcast(sniff(text), "csv-separators")
     grid = csv_grid(text, seps)
-    stats = grid.groupBy("file_id").agg(
+    # the header text, a key first: numbers only in the aggregate, which hashes then
+    at_top = F.when(F.col("row_idx") == 0, F.element_at("cells", 3)).alias("qty_header")
+    parts = grid.groupBy("file_id", at_top).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.max(F.when(F.col("row_idx") == 0, F.element_at("cells", 3))).alias("qty_header"),
         F.sum(F.when(F.col("row_idx") > 0, F.element_at("cells", 2).try_cast("long"))).alias("ref_sum"))
+    stats = parts.groupBy("file_id").agg(*[f(c).alias(c) for f, c in ((F.sum, "n_rows"), (F.max, "qty_header"), (F.sum, "ref_sum"))])
     return stats.join(seps, "file_id").select("file_id", "sep", "n_rows", "qty_header", "ref_sum")

@@ -216,7 +216,7 @@ def records(text: DataFrame, seps: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.coalesce(_before(F.sum(F.coalesce(alone, F.col("n"))), _by_block()), F.lit(0))
     offsets = checked_broadcast(known.select("file_id", "block", first.alias("first"), "head_block", "head", "head_n", "head_m"), "csv-offsets")
     here = cut.join(offsets, ["file_id", "block"])
-    apart = F.coalesce(F.struct("block", "id") >= F.struct("head_block", "head"), F.lit(False)) & F.col("head_block").isNotNull()
+    apart = F.when(F.col("head_block").isNotNull(), F.struct("block", "id") >= F.struct("head_block", "head")).otherwise(False)
     here = here.withColumn("row_idx", F.col("first") + F.when(apart, alone).otherwise(F.col("n")) - 1)
     here = here.withColumn("joined", (F.col("inside") | F.col("open")) & ~apart)
     single = here.where(~F.col("joined") & filled).select("file_id", "row_idx", "sep", F.col("text").alias("record"))

@@ -218,6 +218,7 @@ def csv_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> DataFram
     latin = F.col("block") % 3 == 0
 
     def encoded(line):
+        line = F.concat(F.coalesce(line, F.lit("")), F.lit("\n"))
         return F.when(latin, F.encode(line, "ISO-8859-1")).otherwise(F.encode(line, "UTF-8")).alias("line")
 
     line = F.concat_ws("", F.date_format(F.col("l_shipdate").cast("date"), "d/M/yyyy"), "sep", ref, "sep", part, "sep", qty, "sep", "l_returnflag")
@@ -228,23 +229,28 @@ def csv_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> DataFram
 
     def write(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         def runs():
+            """(name, lines, their bytes) of neighbours in a batch."""
             for b in batches:
-                at = 0
-                for name, run in groupby(b.column(0).to_pylist()):
-                    n = sum(1 for _ in run)
-                    yield name, b.column(1).slice(at, n).to_pylist()
-                    at += n
+                at, ends = 0, pc.run_end_encode(b.column(0))
+                for name, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()):
+                    lines = b.column(1).slice(at, end - at)
+                    _, offsets, data = lines.buffers()
+                    width = 8 if pa.types.is_large_binary(lines.type) else 4
+                    first, last = (int.from_bytes(offsets[width * i:width * (i + 1)], "little") for i in (lines.offset, lines.offset + len(lines)))
+                    yield name, end - at, data[first:last]
+                    at = end
 
         done = []
         for name, parts in groupby(runs(), key=lambda r: r[0]):
             rows = 0
             escaped = "".join(CSV_ESCAPED.get(c, c) for c in name)
             with new_file(f"{out_dir}/path={quote(escaped)}") as out:  # a URI
-                for _, part in parts:
-                    out.write(b"\n".join(x or b"" for x in part) + b"\n")
-                    rows += len(part)
+                for _, n, data in parts:
+                    out.write(data)
+                    rows += n
             done.append((name, rows))
         if done:
             yield pa.RecordBatch.from_pydict({"file": [f for f, _ in done], "rows": pa.array([r for _, r in done], pa.int64())})
