@@ -263,9 +263,10 @@ def xlsx_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> DataFra
     """Write ledger workbooks derived from lineitem into ``out_dir`` (a
     shared folder): one per (flag, status, block of CSV_BLOCK
     orders), each with a 'NOTES' sheet and a 'MOUVEMENT' sheet (title row,
-    header row, one row per line).  Each workbook is built by one task from
-    its bounded block of rows.  Returns (file, rows) per workbook."""
-    import pandas as pd
+    header row, one row per line).  A task builds the workbooks it holds one
+    after the other, each from its bounded block of rows.  Returns (file,
+    rows) per workbook."""
+    from itertools import groupby
 
     from ledgerlens.operators.sinks import put_file, workbook_bytes
     from ledgerlens.session import cut_lineage, ship_package
@@ -278,13 +279,20 @@ def xlsx_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> DataFra
                      F.date_format(F.col("l_shipdate").cast("date"), "d/M/yyyy").alias("d"),
                      F.col("l_quantity").cast("decimal(18,2)").cast("string").alias("q"))
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["l_orderkey", "l_linenumber"])
-        fn = pdf["file"].iloc[0]
-        body = [[d, str(k), q] for d, k, q in zip(pdf["d"], pdf["l_orderkey"], pdf["q"])]
-        sheets = [("NOTES", [["fichier", fn]]),
-                  ("MOUVEMENT", [["Suivi des mouvements"], ["Date", "REFERENCE", "STOCK"]] + body)]
-        put_file(f"{out_dir}/{fn}", workbook_bytes(sheets))
-        return pd.DataFrame({"file": [fn], "rows": [len(body)]})
+    def write(batches):
+        import pyarrow as pa
+
+        lines = (line for b in batches for line in zip(*[c.to_pylist() for c in b.columns]))
+        done = []
+        for fn, group in groupby(lines, key=lambda line: line[0]):
+            body = [line[1:] for line in group]
+            sheets = [("NOTES", [["fichier", fn]]),
+                      ("MOUVEMENT", [["Suivi des mouvements"], ["Date", "REFERENCE", "STOCK"]] + body)]
+            put_file(f"{out_dir}/{fn}", workbook_bytes(sheets))
+            done.append((fn, len(body)))
+        if done:
+            yield pa.RecordBatch.from_pydict({"file": pa.array([f for f, _ in done], pa.string()), "rows": pa.array([n for _, n in done], pa.int64())})
 
-    return cut_lineage(rows.groupBy("file").applyInPandas(write, "file string, rows long"), "xlsx-files")
+    ordered = rows.repartition("file").sortWithinPartitions("file", F.col("l_orderkey").asc_nulls_last(), F.col("l_linenumber").asc_nulls_last())
+    written = ordered.select("file", "d", F.col("l_orderkey").cast("string"), "q").mapInArrow(write, "file string, rows long")
+    return cut_lineage(written, "xlsx-files")

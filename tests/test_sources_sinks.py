@@ -276,3 +276,49 @@ def test_csv_lines_of_mixed_encodings(spark):
     got = {(r.file_id, r.row_idx): r.cells for r in csv_grid(lines_of(spark.createDataFrame(files, "path string, content binary"))).collect()}
     assert [got["a.csv", i] for i in range(4)] == [["Date", "REF"], ["1", "Ã©"], ["2", "é"], ["3", "x"]]
     assert [got["b.csv", i] for i in range(2)] == [["Date", "REF"], ["1", "é"]]
+
+
+def test_workbook_rows_of_any_form_are_read_alike(spark):
+    """The writer's rows are taken by the pattern; what it does not take goes
+    through the parser, in its place, and errors stay errors."""
+    import io
+
+    from ledgerlens.sources import xlsx
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+    def sheet(xml, shared=""):
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(sinks.workbook_bytes([("S", [])]))) as z, zipfile.ZipFile(out, "w") as w:
+            for n in z.namelist():
+                w.writestr(n, xml if n.endswith("sheet1.xml") else z.read(n))
+            w.writestr("xl/sharedStrings.xml", f"<sst {ns}>{shared}</sst>")
+        got = []
+        try:
+            got += [(r, c) for _, _, r, c in xlsx.read_workbook(io.BytesIO(out.getvalue()))]
+        except Exception as e:  # noqa: BLE001
+            got.append(type(e).__name__)
+        return got
+
+    made = sinks.workbook_bytes([("S", [[f"d{i}", i, None, i / 2] for i in range(9000)])])
+    text = zipfile.ZipFile(io.BytesIO(made)).read("xl/worksheets/sheet1.xml").decode()
+    assert len(xlsx._ROW.findall(text)) == 9000
+    assert [c for *_, c in xlsx.read_workbook(io.BytesIO(made))] == [[f"d{i}", str(i), None, str(i // 2) if i % 2 == 0 else repr(i / 2)] for i in range(9000)]
+    simple = '<row r="{}"><c r="A{}"><v>{}</v></c><c r="C1" t="s"><v>1</v></c></row>'
+    for plain in (False, True):
+        first = simple.format(1, 1, 5) if plain else simple.format(1, 1, 5).replace("<v>5", "<f>x</f><v>5")
+        odd = '<row r="2"><c><v>1</v></c><c r="AB2" t="inlineStr"><is><r><t>a&amp;b</t></r><r><t>c<!-- x -->d</t></r></is></c></row>'
+        rows = f"<worksheet {ns}><cols/><sheetData>{first}{odd}{simple.format(7, 7, 'inf')}"
+        got = sheet(rows + "</sheetData></worksheet>", "<si><t>s0</t></si><si><t>s1</t></si>")
+        assert got == [(0, ["5", None, "s1"]), (1, ["1"] + [None] * 26 + ["a&bcd"]), (6, ["inf", None, "s1"])]
+        assert sheet(rows + "</worksheet>", "<si/><si/>")[-1] == "ParseError"
+        assert sheet(rows + "</sheetData></worksheet>", "<si/>") == ["IndexError"]
+    prefixed = f'<x:worksheet xmlns:x="{ns[7:-1]}"><x:sheetData>{simple.format(1, 1, 5)}<x:row r="3"><x:c r="B3"><x:v>7</x:v></x:c></x:row></x:sheetData></x:worksheet>'
+    assert sheet(prefixed) == [(2, [None, "7"])]
+
+
+def test_workbooks_of_a_folder_by_name(spark):
+    d = tmpdir()
+    for name in ("a.xlsx", "None"):
+        with open(os.path.join(d, name), "wb") as fh:
+            fh.write(sinks.workbook_bytes([("S", [["Date"]])]))
+    assert [os.path.basename(r.file_id) for r in read_xlsx_grid(spark, d, "*.xlsx").collect()] == ["a.xlsx"]
