@@ -32,9 +32,9 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _blank_null(c) -> Column:
-    s = strip_text(_c(c).cast("string"))
-    return F.when(s != "", s)
+def _stripped(c) -> Column:
+    """The text of a cell; a blank one has no layout's shape."""
+    return strip_text(_c(c).cast("string"))
 
 
 def _layout(s: Column, shape: str, ymd: str) -> Column:
@@ -45,17 +45,17 @@ def _layout(s: Column, shape: str, ymd: str) -> Column:
 
 
 def parse_iso(c) -> Column:
-    return _layout(_blank_null(c), ISO_FULL, "$1-$2-$3")
+    return _layout(_stripped(c), ISO_FULL, "$1-$2-$3")
 
 
 def parse_dayfirst(c) -> Column:
     """Day-first text date (ISO first); blank or unparsable -> NULL."""
-    s = _blank_null(c)
+    s = _stripped(c)
     return F.coalesce(_layout(s, ISO_FULL, "$1-$2-$3"), _layout(s, DMY_FULL, "$3-$2-$1"))
 
 
 def parse_monthfirst(c) -> Column:
-    s = _blank_null(c)
+    s = _stripped(c)
     return F.coalesce(_layout(s, ISO_FULL, "$1-$2-$3"), _layout(s, MDY_FULL, "$3-$1-$2"))
 
 

@@ -33,8 +33,13 @@ def normalize_ref(c) -> Column:
     Digits are Unicode decimal digits (Arabic-Indic included).  Blank refs
     become NULL so that they never form a group key.
     """
-    s = F.regexp_replace(strip_text(c), _DIGIT_DOT_DIGIT, ",")
-    return F.when(s != "", s)
+    return ref_key(strip_text(c))
+
+
+def ref_key(s: Column) -> Column:
+    """``normalize_ref`` of a stripped text; the pattern runs only on texts
+    that hold a dot."""
+    return F.when(s != "", F.when(s.contains("."), F.regexp_replace(s, _DIGIT_DOT_DIGIT, ",")).otherwise(s))
 
 
 def normalize_label(c) -> Column:

@@ -2,8 +2,8 @@
 
 A grid is ``(file_id, sheet, row_idx, cells ARRAY<STRING>)`` with NULL for
 empty cells.  Every rule is a per-sheet aggregate (``min`` of the qualifying
-row index, searched in rounds from the top of the sheets, or the ``max`` of a
-packed (count, row) for the densest row): partial aggregation runs map-side,
+row index, searched in rounds from the top of the sheets, or the first row of
+every count of cells for the densest row): partial aggregation runs map-side,
 so no sheet is gathered into one task.  The result has one row per
 sheet: ``(keys..., header_idx, found)``; without a qualifying row the first
 row of the sheet is the header, as a headerless read would take it.
@@ -12,12 +12,13 @@ row of the sheet is the header, as a headerless read would take it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import normalize_label, strip_text
-from ledgerlens.session import checked_broadcast, cut_lineage
+from ledgerlens.session import checked_broadcast
 
 KEYS = ("file_id", "sheet")
 
@@ -41,7 +42,7 @@ def _scan(grid: DataFrame, max_rows: int | None) -> DataFrame:
     return grid.where(F.col("row_idx") < max_rows) if max_rows is not None else grid
 
 
-#: Rows of the first stretch of a header search, and how much longer every
+#: Rows of the first stretch of a header search, and how much longer the
 #: next one is.
 STRETCH, LONGER = 128, 64
 
@@ -54,28 +55,41 @@ def _rule(grid: DataFrame, max_rows: int | None, keys: Sequence[str], *preds: Co
 
 
 def _search(grid: DataFrame, keys: Sequence[str], preds: Sequence[Column]) -> DataFrame:
-    """The rule over whole sheets, in rounds that stop early and stay exact:
-    a round reads the next stretch of rows, ``LONGER`` times the one before,
-    of only those sheets that have no row of the first predicate yet and are
-    not at their end.  Every row is tested once at most; a grid written in row
-    order is read up to the headers and no further.  What is known per sheet
-    is one row, joined by its checked size."""
+    """The rule over whole sheets, in three rounds at most that stop early and
+    stay exact: the first ``STRETCH`` rows, ``LONGER`` times as many, and all
+    others, of only those sheets that have no row of the first predicate yet
+    and are not at their end.  Every row is tested once at most; a grid written
+    in row order is read up to the headers and no further.  A round keeps row
+    numbers alone (a hash aggregate); the cells are fetched at the end, of the
+    one row a sheet that is its header.  What is known per sheet is one row,
+    joined by its checked size."""
     idx = F.col("row_idx")
     spans = checked_broadcast(grid.groupBy(*keys).agg(F.max(idx).alias("_end")), "sheet-spans")
-    pending, found, at, size = spans, None, 0, STRETCH
-    while True:
-        stretch = grid.where(idx < at + size)
+    n = len(preds)
+    parts = [F.min(F.when(p, idx)).alias(f"_h{i}") for i, p in [*enumerate(preds), ("f", F.lit(True))]]
+    pending, found, at = spans, None, None
+    for end in (STRETCH, STRETCH * (1 + LONGER), None):
+        stretch = grid.where(idx < end) if end is not None else grid
         if found is not None:
             stretch = stretch.where(idx >= at).join(pending.select(*keys), list(keys), "left_semi")
-        hits = cut_lineage(_hits(stretch, keys, preds), "header-hits")
-        found = hits if found is None else found.union(hits)
-        at, size = at + size, size * LONGER
+        hits = checked_broadcast(stretch.groupBy(*keys).agg(*parts), "header-hits")
+        found, at = hits if found is None else found.union(hits), end
+        if end is None:
+            break
         pending = pending.where(F.col("_end") >= at).join(hits.where("_h0 is not null").select(*keys), list(keys), "left_anti")
         if pending.isEmpty():
             break
-    n = len(preds)
-    parts = [x for i in [*range(n), "f"] for x in (F.min_by(f"_c{i}", f"_h{i}").alias(f"_c{i}"), F.min(f"_h{i}").alias(f"_h{i}"))]
-    return _picked(found.groupBy(*keys).agg(*parts), keys, n)
+    first = found.groupBy(*keys).agg(*[F.min(f"_h{i}").alias(f"_h{i}") for i in [*range(n), "f"]])
+    picked = checked_broadcast(first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                                            F.coalesce(*[f"_h{i}" for i in [*range(n), "f"]]).alias("_at")), "header-rows")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    rows = _up_to(grid, picked, "_at").join(picked, [*same, idx == F.col("_at")], "left_semi")
+    return _picked(_hits(rows, keys, preds), keys, n)
+
+
+def _up_to(grid: DataFrame, picked: DataFrame, at: str) -> DataFrame:
+    """The rows up to the last picked one, a bound that the scan knows."""
+    return grid.where(F.col("row_idx") <= F.lit(picked.agg(F.max(at)).first()[0]))
 
 
 def _hits(grid: DataFrame, keys: Sequence[str], preds: Sequence[Column]) -> DataFrame:
@@ -98,8 +112,9 @@ def _fetch_cells(grid: DataFrame, picked: DataFrame, keys: Sequence[str]) -> Dat
     join with the one-row-per-sheet pick (broadcast when its measured size
     allows).  The picked row index came from the grid, so an inner join
     keeps every sheet."""
-    g = grid.select(*keys, F.col("row_idx").alias("header_idx"), F.col("cells").alias("header"))
-    return g.join(checked_broadcast(picked), [*keys, "header_idx"]).select(*keys, "header_idx", "found", "header")
+    picked = checked_broadcast(picked)
+    g = _up_to(grid, picked, "header_idx").select(*keys, F.col("row_idx").alias("header_idx"), F.col("cells").alias("header"))
+    return g.join(picked, [*keys, "header_idx"]).select(*keys, "header_idx", "found", "header")
 
 
 def header_by_alias(grid: DataFrame, aliases: Sequence[str], keys: Sequence[str] = KEYS,
@@ -115,6 +130,9 @@ def header_by_alias(grid: DataFrame, aliases: Sequence[str], keys: Sequence[str]
         vals = present_values()
         targets = list(aliases)
     pred = F.exists(vals, lambda v: F.array_contains(_lit_array(targets), v))
+    if not normalize:  # the row's text holds the name then: a cheap test that most rows fail
+        text = F.array_join("cells", "\n")
+        pred = reduce(Column.__or__, [text.contains(a) for a in targets], F.lit(False)) & pred
     return _rule(grid, max_rows, keys, pred)
 
 
@@ -128,23 +146,17 @@ def normalize_label_py(value: str) -> str:
     return " ".join(str(value).split()).strip().lower()
 
 
-# Row indices are BIGINT, so below 10^19: (non-empty count, first row) packs
-# into one DECIMAL(38,0) whose max is the densest row, first on ties.
-_ROW_SPAN = 10 ** 19
-
-
 def header_densest(grid: DataFrame, keys: Sequence[str] = KEYS, max_rows: int | None = None) -> DataFrame:
     """Row with the most non-empty cells; the first such row wins ties.
 
-    The pick is a plain ``max`` of a packed decimal, so the whole-sheet scan
-    is a hash aggregate; the winning row's cells are fetched by one join."""
-    dec = "decimal(38,0)"
-    span, last = F.lit(str(_ROW_SPAN)).cast(dec), F.lit(str(_ROW_SPAN - 1)).cast(dec)
-    n = F.size(F.filter(F.col("cells"), lambda x: x.isNotNull())).cast(dec)
-    packed = n * span + (last - F.col("row_idx").cast(dec))
-    best = _scan(grid, max_rows).groupBy(*keys).agg(F.max(packed).alias("_k"))
-    row = (last - F.col("_k") % span).cast("bigint")
-    picked = best.select(*keys, row.alias("header_idx"), F.lit(True).alias("found"))
+    The whole-sheet scan is a hash aggregate: the first row of every count of
+    cells, of which the largest count's is taken; its cells are fetched by one
+    join."""
+    filled = F.size(F.filter(F.col("cells"), lambda x: x.isNotNull()))
+    # False: neither an empty text nor a NULL among them, so all count
+    n = F.when(~F.array_contains("cells", ""), F.size("cells")).otherwise(filled)
+    firsts = _scan(grid, max_rows).where(F.col("row_idx").isNotNull()).groupBy(*keys, n.alias("_n")).agg(F.min("row_idx").alias("_i"))
+    picked = firsts.groupBy(*keys).agg(F.max_by("_i", "_n").alias("header_idx")).select(*keys, "header_idx", F.lit(True).alias("found"))
     return _fetch_cells(grid, picked, keys)
 
 

@@ -29,11 +29,19 @@ def extract(grid: DataFrame, header: DataFrame, roles: Mapping[str, Column],
     if not written:
         pos = checked_broadcast(pos)
     body = grid.join(pos, list(keys)).where(F.col("row_idx") > F.col("header_idx"))
-    body = body.where(F.exists("cells", lambda c: c.isNotNull()))
+    body = body.where(F.array_max("cells").isNotNull())  # some cell is not empty
     return body.select(*keys, "row_idx", *[cell(F.col(f"{r}_pos")).alias(r) for r in roles],
                        *[f"{r}_pos" for r in roles])
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` added or replaced, each computed once a row.
+    A filter on a column of a plain ``select`` is moved below it, with the
+    column's expression written out at every use; not below a generator."""
+    row = F.struct(*[c.alias(k) for k, c in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(row)))
+
+
 def missing_columns(header: DataFrame, roles: Mapping[str, Column], required: Sequence[str],
                     keys: Sequence[str] = KEYS) -> DataFrame:
     """Diagnostics rows for sheets where a required role was not resolved."""

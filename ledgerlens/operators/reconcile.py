@@ -81,14 +81,15 @@ def reconcile_join(stock: DataFrame, mov: DataFrame, keys: Sequence[str] = (),
 def reconcile_union(stock: DataFrame, mov: DataFrame, keys: Sequence[str] = (),
                     tolerance: float | None = None, stock_round: int | None = None,
                     mov_round: int | None = None) -> DataFrame:
-    """Join-free comparison: one shuffle, two conditional sums."""
+    """Join-free comparison: one shuffle, two filtered sums (a line touches
+    the sum of its own side alone)."""
     cols = [*keys, "ref"]
-    s = stock.select(*cols, _line_qty(stock_round).alias("sq"), F.lit(None).cast(QTY).alias("mq"))
-    m = mov.select(*cols, F.lit(None).cast(QTY).alias("sq"), _line_qty(mov_round).alias("mq"))
+    s = stock.select(*cols, _line_qty(stock_round).cast(QTY).alias("_q"), F.lit(True).alias("_stock"))
+    m = mov.select(*cols, _line_qty(mov_round).cast(QTY).alias("_q"), F.lit(False).alias("_stock"))
     tagged = s.unionByName(m).where(F.col("ref").isNotNull())
+    side = lambda of: F.round(F.coalesce(F.expr(f"sum(_q) filter (where {of})"), F.lit(0).cast(QTY)), 2)
     agg = (tagged.groupBy(*keys, F.col("ref").alias("Ref"))
-           .agg(sum_round2(F.col("sq")).alias("Stock_Qty"),
-                sum_round2(F.col("mq")).alias("Calc_Mov_Qty")))
+           .agg(side("_stock").alias("Stock_Qty"), side("not _stock").alias("Calc_Mov_Qty")))
     return finish(agg, keys, tolerance)
 
 

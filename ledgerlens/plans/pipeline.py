@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import parse_dayfirst, parse_monthfirst
 from ledgerlens.functions.numbers import QTY, coerce_locale_number, coerce_number, qty_or_zero
-from ledgerlens.functions.text import normalize_ref, strip_text
+from ledgerlens.functions.text import normalize_ref, ref_key, strip_text
 from ledgerlens.operators import columns as C
 from ledgerlens.operators import headers as H
 from ledgerlens.operators import reconcile as R
 from ledgerlens.operators.dates import coerce_dates, parse_dates_auto
-from ledgerlens.operators.loaders import extract, missing_columns
+from ledgerlens.operators.loaders import computed, extract, missing_columns
 from ledgerlens.operators.rollforward import rollforward
 from ledgerlens.operators.sheets import sheet_by_keywords, sheet_from_candidates
 from ledgerlens.plans.profiles import NAME_PARTS, PROFILE_COLUMNS, PROFILES, aliases
@@ -137,16 +137,17 @@ def _headers(grid: DataFrame, rule: str, r: UnitRules, side: str, keys, max_rows
 def ledger_sheets(mov_grid: DataFrame, jobs: DataFrame) -> DataFrame:
     """(job keys, file_id, sheet): first available candidate, or every
     available candidate for stacked jobs."""
-    sheets = sheets_of(mov_grid)
+    sheets = checked_broadcast(sheets_of(mov_grid), "sheet-list")
     single = sheet_from_candidates(sheets, jobs.where(~F.col("stack_sheets")), JOB_KEYS)
     st = jobs.where(F.col("stack_sheets")).select(*JOB_KEYS, "file_id", F.explode("candidates").alias("sheet"))
     stacked = st.join(sheets, ["file_id", "sheet"], "left_semi")
     return single.unionByName(stacked.select(*JOB_KEYS, "file_id", "sheet"))
 
 
-def missing_sheets(mov_grid: DataFrame, jobs: DataFrame) -> DataFrame:
-    """A row per job none of whose sheets is in its ledger."""
-    found = ledger_sheets(mov_grid, jobs).where(F.col("sheet").isNotNull()).select(*JOB_KEYS)
+def missing_sheets(chosen: DataFrame, jobs: DataFrame) -> DataFrame:
+    """A row per job none of whose sheets is in its ledger (``chosen``: the
+    sheets of ``ledger_sheets`` that are)."""
+    found = chosen.select(*JOB_KEYS)
     names = F.array_join(F.transform("candidates", lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", ")
     return jobs.join(found.distinct(), JOB_KEYS, "left_anti").select(
         "unit", F.concat_ws("/", "atelier", "file_id").alias("scope"), F.lit("error").alias("severity"),
@@ -195,7 +196,7 @@ def movement_lines(mov_grid: DataFrame, jobs: DataFrame, r: UnitRules, year: int
             roles["loc"] = F.coalesce(roles["loc"], F.when(F.col("no_loc_col"), F.lit(BEYOND)))
     diag = missing_columns(hc, roles, needed, keys).select(
         "unit", F.concat_ws("/", "atelier", "file_id", "sheet").alias("scope"), "severity", "code", "message")
-    diag = diag.unionByName(missing_sheets(mov_grid, ujobs))
+    diag = diag.unionByName(missing_sheets(per_job, ujobs))
     lines = extract(rows, hc, roles, keys, written=True)
     for n in needed:
         lines = lines.where(F.col(f"{n}_pos").isNotNull())
@@ -220,16 +221,23 @@ def movement_lines(mov_grid: DataFrame, jobs: DataFrame, r: UnitRules, year: int
     if r.date_order == "serial_dmy":
         lines = lines.where(F.col("mov_date").isNotNull())
     start = F.make_date(F.lit(year), F.lit(month), F.lit(1))
+    qty = coerce_locale_number("qty") if r.stock_null_qty == "zero_locale" else qty_or_zero("qty")
+    if r.mov_round is not None:
+        qty = F.round(qty, r.mov_round)
+    # read by the filters and joins that follow: stripped and parsed once a row
+    cells = {"ref": strip_text("ref"), "qty": qty.cast(QTY)}
+    if "loc" in roles:
+        cells["loc"] = strip_text("loc")
+    if r.period in ("cumulative", "exact_month"):
+        cells["mov_date"] = F.col("mov_date")
+    lines = computed(lines, **cells)
     if r.period == "cumulative":
         lines = lines.where(~has_date | (F.col("mov_date") < F.add_months(start, 1)))
     elif r.period == "exact_month":
         d = F.col("mov_date")
         lines = lines.where(~has_date | ((d >= start) & (d < F.add_months(start, 1))))
-    qty = coerce_locale_number("qty") if r.stock_null_qty == "zero_locale" else qty_or_zero("qty")
-    if r.mov_round is not None:
-        qty = F.round(qty, r.mov_round)
-    loc = strip_text("loc") if "loc" in roles else F.lit(None).cast("string")
-    typed = lines.select(*JOB_KEYS, normalize_ref("ref").alias("ref"), qty.cast(QTY).alias("qty"), "mov_date",
+    loc = F.col("loc") if "loc" in roles else F.lit(None).cast("string")
+    typed = lines.select(*JOB_KEYS, ref_key(F.col("ref")).alias("ref"), "qty", "mov_date",
                          loc.alias("localisation"), F.col("loc_pos").isNotNull().alias("_has_loc")
                          if "loc" in roles else F.lit(False).alias("_has_loc"))
     return typed, diag, ok_jobs
@@ -244,7 +252,7 @@ def snapshot_lines(stock_grid: DataFrame, jobs: DataFrame, r: UnitRules):
     a column.  With 'listed' sheets the lines are already per job."""
     g = stock_grid.where(F.col("unit") == r.unit) if "unit" in stock_grid.columns else \
         stock_grid.withColumn("unit", F.lit(r.unit))
-    sheets = sheets_of(g)
+    sheets = checked_broadcast(sheets_of(g), "sheet-list")
     kind, _, arg = r.stock_sheet.partition(":")
     per_job = kind == "listed"
     if per_job:
@@ -290,9 +298,12 @@ def snapshot_lines(stock_grid: DataFrame, jobs: DataFrame, r: UnitRules):
     qty = coerce_locale_number("qty") if r.stock_null_qty == "zero_locale" else qty_or_zero("qty")
     if r.stock_round is not None:
         qty = F.round(qty, r.stock_round)
-    typed = lines.select(*out, normalize_ref("ref").alias("ref"), qty.cast(QTY).alias("qty"),
-                        (strip_text("local") if "local" in roles else F.lit(None).cast("string")).alias("local"),
-                        (strip_text("loc") if "loc" in roles else F.lit(None).cast("string")).alias("localisation"),
+    # read by the filters and joins that follow: stripped and parsed once a row
+    texts = [k for k in ("ref", "local", "loc") if k in roles]
+    lines = computed(lines, qty=qty.cast(QTY), **{k: strip_text(k) for k in texts})
+    typed = lines.select(*out, ref_key(F.col("ref")).alias("ref"), "qty",
+                        (F.col("local") if "local" in roles else F.lit(None).cast("string")).alias("local"),
+                        (F.col("loc") if "loc" in roles else F.lit(None).cast("string")).alias("localisation"),
                         F.col("sheet").alias("source_sheet"))
     return typed, diag, bad
 

@@ -140,9 +140,15 @@ def stage(df: DataFrame, name: str, order_by: tuple[str, ...] = ()) -> DataFrame
     return spark.read.parquet(path)
 
 
+#: Files a task of ``stage_by`` writes side by side.
+WRITERS = 4
+
+
 def stage_by(df: DataFrame, column: str, name: str) -> DataFrame:
     """``stage`` with one folder per value of a low-cardinality ``column``:
-    a filter on it reads that folder alone."""
+    a filter on it reads that folder alone.  A task keeps the files of up to
+    ``WRITERS`` values open, so that its rows need no sort by ``column``; those
+    of further values are sorted."""
     import uuid
 
     spark = df.sparkSession
@@ -151,5 +157,11 @@ def stage_by(df: DataFrame, column: str, name: str) -> DataFrame:
     if df.rdd.getNumPartitions() < slots:
         df = df.repartition(slots)
     schema = df.schema
-    df.write.mode("overwrite").partitionBy(column).parquet(path)
+    conf = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(conf, None)
+    try:
+        spark.conf.set(conf, str(WRITERS))
+        df.write.mode("overwrite").partitionBy(column).parquet(path)
+    finally:
+        spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
     return spark.read.schema(schema).parquet(path)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.session import checked_broadcast
 from ledgerlens.sources.tables import read_table
 
 GRID_SCHEMA = "file_id string, sheet_pos int, sheet string, row_idx bigint, cells array<string>"
@@ -80,7 +81,8 @@ def ledger_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = li.select(file_id.alias("file_id"), F.lit(0).alias("sheet_pos"), sheet.alias("sheet"),
                      (n_top + F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("row_idx"),
                      cells.alias("cells"))
-    files = li.select(rf.alias("_rf"), ls.alias("_ls")).distinct()
+    # a row per file, written once: else every part of the union finds it again
+    files = checked_broadcast(li.select(rf.alias("_rf"), ls.alias("_ls")).distinct(), "ledger-files")
     files = files.select("_rf", F.concat(F.lit("MOV "), "_rf", "_ls", F.lit(".xlsx")).alias("file_id"),
                          F.lit(0).alias("sheet_pos"), _case(F.col("_ls"), LEDGER_SHEETS, lambda s: F.lit(s)).alias("sheet"))
     top = _title_rows(files, F.col("_rf"), LEDGER_LAYOUTS, 5).drop("_rf", "_ls")

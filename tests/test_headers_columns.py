@@ -85,3 +85,29 @@ def test_header_far_down_and_none_at_all(spark):
     got = {r.sheet: (r.header_idx, r.found) for r in H.header_tiered(grid, ["Date"], ["REF"], ["QTY"]).collect()}
     assert got == {"early": (3, True), "late": (100_000, True), "none": (9_000, True)}
     assert H.header_by_alias(grid.limit(0), ["Date"]).collect() == []
+
+
+def test_rounds_of_the_search_are_bounded(spark):
+    """Rows numbered far apart: the rounds do not grow with the numbers, and
+    a round is a hash aggregate that carries no cells."""
+    from ledgerlens.operators import headers as H
+
+    rows = [("f.xlsx", 0, s, i, [v, None]) for s, v in (("late", "Date"), ("none", "y")) for i, v in ((7, "x"), (8, None), (10**12, v), (10**12, "z"))]
+    grid = spark.createDataFrame(rows, "file_id string, sheet_pos int, sheet string, row_idx bigint, cells array<string>")
+    rounds = lambda: sum("header-hits" in p for p in spark.sparkContext._ledgerlens_scratch)
+    spark.sparkContext.__dict__.setdefault("_ledgerlens_scratch", [])
+    before = rounds()
+    got = {r.sheet: (r.header_idx, r.found, r.header) for r in H.header_by_alias(grid, ["Date", "DATE"]).collect()}
+    # of two rows of one number, the one that holds the name
+    assert got == {"late": (10**12, True, ["Date", None]), "none": (7, False, ["x", None])}
+    assert rounds() - before <= 3
+
+
+def test_densest_counts_blank_and_missing_cells(spark):
+    from ledgerlens.operators import headers as H
+
+    rows = [("f", 0, "S", 5, ["a", None, "b"]), ("f", 0, "S", 9, ["", "c", None]), ("f", 0, "S", 4, ["d", None, None]),
+            ("f", 0, "T", 3, ["a", "b"]), ("f", 0, "T", 2, ["", "b"]), ("f", 0, "T", None, ["a", "b", "c"]), ("f", 0, "T", 1, None)]
+    grid = spark.createDataFrame(rows, "file_id string, sheet_pos int, sheet string, row_idx bigint, cells array<string>")
+    picked = H.header_densest(grid)
+    assert {(r.sheet, r.header_idx, tuple(r.header)) for r in picked.collect()} == {("S", 5, ("a", None, "b")), ("T", 2, ("", "b"))}

@@ -180,3 +180,32 @@ def test_process_from_files_with_matching_skip_and_override(spark):
                    ("mov-com", "C1"): (2.0, 2.0, "match"), ("mov-com", "B1"): (1.0, 1.5, "discrepancy")}
     assert {(r.code, r.scope) for r in diag.collect()} == {("UNMATCHED_FILE", "MOV rouler.xlsx"),
                                                           ("UNMATCHED_FILE", "notes.xlsx")}
+
+
+def test_cells_are_cleaned_once_a_row(spark):
+    """No filter or join condition cleans a cell again: what they read is
+    computed once, below them."""
+    from ledgerlens.plans.pipeline import movement_lines, snapshot_lines
+
+    ledger = [("m.xlsx", 0, "MOV", i, c) for i, c in enumerate(
+        [["Date", "REF", "STOCK"], ["1/2/2025", " A.1 ", "2.005"], ["1/2/2025", "1.5", " 3 "], ["9/9/2025", "1.5", "7"],
+         ["x", "1.5", "7"], ["1/2/2025", " ", "4"], ["1/2/2025", None, "4"], [None, None, None]])]
+    stock = [("s.xlsx", 0, "MOUV", i, c) for i, c in enumerate(
+        [["Date", "REF", "QUANTITE", "LOCALISATION"], [None, "A.1 ", "2.01", " L "], [None, "1.5", "x", "L"], [None, "1.5", "9", "other"]])]
+    ddl = "file_id string, sheet_pos int, sheet string, row_idx bigint, cells array<string>"
+    mov, st = spark.createDataFrame(ledger, ddl), spark.createDataFrame(stock, ddl).withColumn("unit", F.lit("Mdoukal"))
+    job = ("Mdoukal", "a", 0, "a", ["MOV"], False, None, None, ["L"], None, None, None, None, None, False, "m.xlsx")
+    jobs = spark.createDataFrame([job], JOB_DDL + ", file_id string")
+    r = UnitRules.from_profile("Mdoukal")
+    lines, _, _ = movement_lines(mov, jobs, r, 2025, 3)
+    lines = lines.where(F.col("ref").isNotNull())
+    assert sorted((x.ref, str(x.qty), str(x.mov_date)) for x in lines.collect()) == [
+        ("1,5", "3.0000", "2025-01-02"), ("A.1", "2.0100", "2025-01-02")]
+    snap, _, _ = snapshot_lines(st, jobs, r)
+    snap = snap.where(F.col("ref").isNotNull() & (F.col("localisation") == "L"))
+    assert sorted((x.ref, str(x.qty)) for x in snap.collect()) == [("1,5", "0.0000"), ("A.1", "2.0100")]
+    recon, _ = run_units(st, mov, jobs, [r], 2025, 3)
+    assert results(recon) == {("a", 0, "A.1"): (2.01, 2.01, "match"), ("a", 0, "1,5"): (0.0, 3.0, "discrepancy")}
+    for df in (lines, snap, recon):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert not [x for x in plan if ("Join" in x or " Filter " in x) and "cells#" in x and ("regexp_replace(" in x or "trim(" in x)]
